@@ -20,6 +20,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), ranks, P.PATTERN)
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from . import common, tokenfile
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return tokenfile.checksums(_documents(spark, sf_dir), common.shared_dir(spark), tokenizer, 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
