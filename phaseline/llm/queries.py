@@ -20,6 +20,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), ranks, P.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
