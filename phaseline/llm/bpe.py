@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 #: Text of a block; a block's dictionary travels once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct pre-tokens of about this much text belong to one owner.
 OWNER_BYTES = 8 << 20
 
@@ -58,11 +58,15 @@ def decode_ids(ids: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
     return data[C.ragged(start[ids], n)], n
 
 
-def _owner(words: list[str], owners: int) -> np.ndarray:
+def _by_owner(words: set[str], owners: int) -> dict[int, list[str]]:
+    """The words of each owner, in order, so that both ends agree on it."""
     import xxhash
 
     h = xxhash.xxh3_64_intdigest
-    return (np.fromiter((h(w.encode()) for w in words), np.uint64, len(words)) % np.uint64(owners)).astype(np.int64)
+    out: dict[int, list[str]] = {}
+    for w in sorted(words):
+        out.setdefault(h(w.encode()) % owners, []).append(w)
+    return out
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", finish=None, schema: str | None = None) -> DataFrame:
@@ -75,7 +79,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     spark = df.sparkSession
     total = C.text_bytes(df, text)[1]
     owners = C.pieces(total, OWNER_BYTES)
-    blocks = C.pack_documents(df, key, text, BLOCK_BYTES)
+    # one exchange, which both uses of the blocks read
+    blocks = C.pack_documents(df, key, text, BLOCK_BYTES, 5).repartition("block")
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
 
     def split(payload: bytes):
@@ -88,51 +93,66 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                words: set[str] = set()
-                for tokens in split(payload.as_py())[1]:
-                    words.update(tokens)
-                listed = list(words)
-                owner = _owner(listed, owners)
-                order = np.argsort(owner, kind="stable")
-                cuts = np.flatnonzero(np.diff(owner[order])) + 1
-                groups = np.split(order, cuts) if len(order) else []
-                blobs = [C.to_blob(w=pa.array([listed[i] for i in g], pa.string())) for g in groups]
-                yield pa.RecordBatch.from_arrays([pa.array([int(owner[g[0]]) for g in groups], pa.int64()), pa.array([block] * len(groups), pa.int64()), pa.array(blobs, pa.binary())], ["owner", "block", "words"])
+                groups = _by_owner({w for tokens in split(payload.as_py())[1] for w in tokens}, owners)
+                blobs = [C.to_blob(3, w=pa.array(g, pa.string())) for g in groups.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array([block] * len(groups), pa.int64()), pa.array(list(map(check, groups.values())), pa.int64()), pa.array(blobs, pa.binary())], ["owner", "block", "words_hash", "words"])
 
-    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(words: list[str]) -> int:
+        import xxhash
+
+        return xxhash.xxh3_64_intdigest("\n".join(words).encode()) >> 1
+
+    def one_piece():
         import tiktoken
 
         # the pattern takes a whole pre-token as one piece, so only merges act
-        one = tiktoken.Encoding("one", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("one", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = one_piece()
         known: dict[str, list[int]] = {}
         for b in batches:
             out = []
-            for blob in b.column(2):
-                words = C.from_blob(blob.as_py()).column("w")
+            for blob in b.column(3):
                 ids = []
-                for w in words.to_pylist():
+                for w in C.from_blob(blob.as_py()).column("w").to_pylist():
                     got = known.get(w)
                     if got is None:
                         known[w] = got = one(w)
                     ids.append(got)
-                out.append(C.to_blob(w=words.combine_chunks(), ids=pa.array(ids, pa.list_(pa.uint32()))))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["block", "answer"])
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter((i for own in ids for i in own), np.uint32, int(size.sum()))
+                out.append(pack_ids(size, flat))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["owner", "block", "words_hash", "answer"])
+
+    def pack_ids(size, flat):
+        small = size.astype(np.uint8) if size.max(initial=0) < 256 else size.astype(np.uint32)
+        ids = flat.astype(np.uint16) if flat.max(initial=0) < 65536 else flat
+        return b"".join([small.dtype.str[-1:].encode(), ids.dtype.str[-1:].encode(), len(size).to_bytes(4, "little"), small.tobytes(), ids.tobytes()])
+
+    def unpack_ids(blob):
+        kinds, n = blob[:2].decode(), int.from_bytes(blob[2:6], "little")
+        size = np.frombuffer(blob, f"<u{kinds[0]}", n, 6).astype(np.int64)
+        return size, np.frombuffer(blob, f"<u{kinds[1]}", -1, 6 + n * int(kinds[0])).astype(np.uint32)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        split_docs = [split(p) for p in left.column("payload").to_pylist()]
+        groups = _by_owner({w for _, docs in split_docs for tokens in docs for w in tokens}, owners)
+        answers = {(o, h): unpack_ids(a) for o, h, a in zip(*(right.column(c).to_pylist() for c in ("owner", "words_hash", "answer")))}
         number: dict[str, int] = {}
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for blob in right.column("answer").to_pylist():
-            t = C.from_blob(blob)
-            for w in t.column("w").to_pylist():
-                number[w] = len(number)
-            ids = t.column("ids").combine_chunks()
-            flat.append(ids.flatten().to_numpy(zero_copy_only=False))
-            sizes.append(np.diff(ids.offsets.to_numpy()))
-        flat, size = np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
+        for owner, words in groups.items():
+            size, ids = answers.get((owner, check(words)), (None, None))
+            if size is None:  # the block was made anew, with other rows, after an executor was lost
+                one = one_piece()
+                own = [one(w) for w in words]
+                size, ids = np.fromiter(map(len, own), np.int64, len(own)), np.array([i for x in own for i in x], np.uint32)
+            number.update(zip(words, range(len(number), len(number) + len(words))))
+            flat.append(ids), sizes.append(size)
+        flat, size = np.concatenate(flat), np.concatenate(sizes)
         start = np.cumsum(size) - size
         tables = []
-        for payload in left.column("payload").to_pylist():
-            keys, docs = split(payload)
+        for keys, docs in split_docs:
             per = np.fromiter(map(len, docs), np.int64, len(docs))
             at = np.fromiter((number[w] for tokens in docs for w in tokens), np.int64, int(per.sum()))
             ids = flat[C.ragged(start[at], size[at])]
@@ -144,8 +164,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))})
 
-    asked = blocks.mapInArrow(ask, "owner long, block long, words binary").repartition(owners, "owner")
-    answers = asked.mapInArrow(answer, "block long, answer binary")
+    asked = blocks.mapInArrow(ask, "owner long, block long, words_hash long, words binary").repartition(owners, "owner")
+    answers = asked.mapInArrow(answer, "owner long, block long, words_hash long, answer binary")
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema or "key long, ids array<int>")
     return out if schema else out.withColumnRenamed("key", key)
 

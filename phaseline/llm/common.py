@@ -77,11 +77,11 @@ def prefix_sums(df: DataFrame, order: str, value: str, fan: int = 4096) -> DataF
 # blobs: Arrow IPC inside a binary column
 
 
-def to_blob(**columns) -> bytes:
+def to_blob(level: int = 1, **columns) -> bytes:
     """Columns of one length as one compressed Arrow stream."""
     batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -95,8 +95,8 @@ def np_col(table: pa.Table, name: str) -> np.ndarray:
     return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.combine_chunks().to_numpy(zero_copy_only=False) if c.num_chunks != 1 else c.chunk(0).to_numpy(zero_copy_only=False)
 
 
-def pack_documents(df: DataFrame, key: str, text: str, block_bytes: int = 4 << 20) -> DataFrame:
-    """(block long, payload binary): documents in blocks, staged in the shared folder.
+def pack_documents(df: DataFrame, key: str, text: str, block_bytes: int = 4 << 20, level: int = 1) -> DataFrame:
+    """(block long, payload binary): documents in blocks.
 
     A payload is a compressed Arrow stream of (key, text); a block holds at
     least one document and closes once it has ``block_bytes`` of text.
@@ -110,7 +110,7 @@ def pack_documents(df: DataFrame, key: str, text: str, block_bytes: int = 4 << 2
 
         def flush():
             nonlocal seq, size
-            blob = to_blob(k=pa.concat_arrays(keys), x=pa.concat_arrays(texts))
+            blob = to_blob(level, k=pa.concat_arrays(keys), x=pa.concat_arrays(texts))
             keys.clear(), texts.clear()
             size, seq = 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([seq - 1], pa.int64()), pa.array([blob], pa.binary())], ["block", "payload"])
@@ -130,7 +130,7 @@ def pack_documents(df: DataFrame, key: str, text: str, block_bytes: int = 4 << 2
         if keys:
             yield flush()
 
-    return staged(src.mapInArrow(pack, "block long, payload binary"), "none")
+    return src.mapInArrow(pack, "block long, payload binary")
 
 
 def byte_lengths(x: pa.Array) -> np.ndarray:
