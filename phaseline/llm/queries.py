@@ -26,6 +26,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    return linededup.clean_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mixture(_documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
@@ -53,4 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import linededup
+
+    return {"op5_line_dedup": linededup.clean_pages_sql()}
