@@ -38,6 +38,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.rules(_documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
@@ -65,6 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup
+    from . import linededup, quality
 
-    return {"op5_line_dedup": linededup.clean_pages_sql()}
+    return {"op5_line_dedup": linededup.clean_pages_sql(), "op7_quality_rules": quality.rules_sql()}
