@@ -61,7 +61,7 @@ def boilerplate(df: DataFrame, text: str, host: str, percent: int, least: int) -
     return C.staged(over.groupBy("host").agg(F.collect_list("line").alias("lines")))
 
 
-def drop_boilerplate(df: DataFrame, text: str, host: str, percent: int = 20, least: int = 3, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, text: str, host: str, percent: int = 10, least: int = 5, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``df`` with ``text`` rid of its host's boilerplate; optional columns count lines."""
     go = boilerplate(df, text, host, percent, least).select(F.col("host").alias("_host"), F.col("lines").alias("_go"))
     joined = df.join(go, df[host].eqNullSafe(go["_host"]), "left")
@@ -77,13 +77,13 @@ def drop_boilerplate(df: DataFrame, text: str, host: str, percent: int = 20, lea
     return out.select(*cols)
 
 
-def clean_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", percent: int = 20, least: int = 3) -> DataFrame:
+def clean_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", percent: int = 5, least: int = 3) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) for every page."""
     pages = df.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), html_lines(F.col(html)).alias("text"))
     return drop_boilerplate(C.staged(pages), "text", "host", percent, least, "n_lines", "n_dropped").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
-def clean_pages_sql(percent: int = 20, least: int = 3) -> str:
+def clean_pages_sql(percent: int = 5, least: int = 3) -> str:
     """The same in DuckDB's SQL."""
     q = lambda s: s.replace("'", "''")
     edge = "' ' || chr(9) || chr(13)"
