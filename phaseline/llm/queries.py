@@ -17,6 +17,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
 
 
+def op2_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.digest(media.media_table(_documents(spark, sf_dir)))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
