@@ -96,36 +96,38 @@ class Chunk:
 
     def __init__(self, texts: list[bytes], length: int):
         self.length, self.gram = length, length // 2
-        self.t = np.frombuffer(b"".join(texts), np.uint8)
+        t = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(x) for x in texts])
-        self.roll = Rolling(self.t)
-        self.starts = np.flatnonzero(valid_starts(self.ends, len(self.t), length))
-        self.anchors, self.anchor_of = self._anchors()
-        self.keys = self.roll.at(self.anchors, self.gram)
+        roll = Rolling(t)
+        self.starts = np.flatnonzero(valid_starts(self.ends, len(t), length)).astype(np.int32)
+        anchors, self.anchor_of = self._anchors(roll, len(t))
+        self.keys = roll.at(anchors, self.gram)
 
-    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
+    def _anchors(self, roll: Rolling, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the anchors, and the anchor of the string at each of ``starts``."""
-        n = len(self.t)
         if not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         low = (np.uint64(1) << np.uint64(n.bit_length())) - np.uint64(1)
         h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        grams = self.roll.at(slice(None), self.gram)
+        grams = roll.at(slice(None), self.gram)
         h[: len(grams)] = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         least = (sliding_min(h, self.length - self.gram + 1)[self.starts] & low).astype(np.int64)
         hit = np.zeros(n, bool)
         hit[least] = True
-        return np.flatnonzero(hit), (np.cumsum(hit) - 1)[least]
+        return np.flatnonzero(hit), (np.cumsum(hit) - 1)[least].astype(np.int32)
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of all strings whose anchor is repeated."""
         return self.starts[repeated[self.anchor_of]] if len(self.starts) else self.starts
 
-    def tokens(self, p: np.ndarray) -> np.ndarray:
-        """(3, len(p)) tokens of the suffixes at ``p``."""
-        third = -(-self.length // 3) + 1
-        places = (0, (self.length - third) // 2, self.length - third)
-        return np.stack([(self.roll.at(p + d, third) >> np.uint64(32)).astype(np.uint32) for d in places]) if len(p) else np.zeros((3, 0), np.uint32)
+
+def suffix_tokens(texts: list[bytes], p: np.ndarray, length: int) -> np.ndarray:
+    """(3, len(p)) tokens of the suffixes at ``p`` of the joined texts."""
+    if not len(p):
+        return np.zeros((3, 0), np.uint32)
+    roll, third, p = Rolling(np.frombuffer(b"".join(texts), np.uint8)), -(-length // 3) + 1, p.astype(np.int64)
+    places = (0, (length - third) // 2, length - third)
+    return np.stack([(roll.at(p + d, third) >> np.uint64(32)).astype(np.uint32) for d in places])
 
 
 def chunks(texts: list[bytes], length: int) -> Iterator[tuple[int, int, Chunk]]:
@@ -138,29 +140,31 @@ def chunks(texts: list[bytes], length: int) -> Iterator[tuple[int, int, Chunk]]:
 
 
 def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
-    """Order of the columns of ``tokens`` (depth, n): three-way partition on one token, then the next."""
+    """Order of the columns of ``tokens`` (depth, n), leading token first.
+
+    Quicksort on two tokens at a time, read as one 64-bit key; only columns that
+    tie there, and differ further on, are sorted again within their ties.
+    """
     depth, n = tokens.shape
-    order = np.arange(n)
-    todo = [(0, n, 0)]
-    while todo:
-        lo, hi, d = todo.pop()
-        if hi - lo < 2 or d == depth:
-            continue
-        own = order[lo:hi]
-        x = tokens[d, own]
-        if hi - lo <= 1 << 16:  # small: sort on the token, go on with its ties
-            s = np.argsort(x, kind="stable")
-            order[lo:hi] = own[s]
-            x = x[s]
-            cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
-            wide = np.flatnonzero(np.diff(cut) > 1)
-            todo += [(lo + int(cut[i]), lo + int(cut[i + 1]), d + 1) for i in wide] if d + 1 < depth else []
-            continue
-        pivot = np.sort(x[:: max(1, len(x) // 9)])[4]
-        less, same, more = own[x < pivot], own[x == pivot], own[x > pivot]
-        order[lo:hi] = np.concatenate([less, same, more])
-        a, b = lo + len(less), lo + len(less) + len(same)
-        todo += [(lo, a, d), (a, b, d + 1), (b, hi, d)]
+    order, run = np.arange(n), np.zeros(n, np.int64)
+    for d in range(0, depth, 2):
+        key = tokens[d].astype(np.uint64) << np.uint64(32) if d + 1 < depth else tokens[d].astype(np.uint64)
+        if d + 1 < depth:
+            key |= tokens[d + 1]
+        if d == 0:
+            order = np.argsort(key)
+            k = key[order]
+        else:
+            k = key[order]
+            differs = np.zeros(int(run[-1]) + 1 if n else 1, bool)
+            differs[run[1:][(k[1:] != k[:-1]) & (run[1:] == run[:-1])]] = True
+            own = np.flatnonzero(differs[run])
+            order[own] = order[own][np.lexsort((k[own], run[own]))]
+            k = key[order]
+        if d + 2 < depth and n:
+            new = np.ones(n, bool)
+            new[1:] = (k[1:] != k[:-1]) | (run[1:] != run[:-1])
+            run = np.cumsum(new) - 1
     return order
 
 
@@ -256,14 +260,15 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
 
     def suffixes_of(texts: list[bytes], masks: dict[int, bytes]):
         """Chunks with their candidate starts, and the block's distinct suffixes."""
-        keys = [c.keys for _, _, c in chunks(texts, length)]
+        parts = list(chunks(texts, length))
+        keys = [c.keys for _, _, c in parts]
         u = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
         sizes = np.bincount(owner_of(u).astype(np.int64), minlength=owners)
         hit = np.concatenate([np.zeros(0, bool), *(_unbits(masks[o], int(sizes[o])) for o in np.flatnonzero(sizes).tolist())])
         found, tokens = [], [np.zeros((3, 0), np.uint32)]
-        for a, b, c in chunks(texts, length):
+        for a, b, c in parts:
             starts = c.candidates(hit[np.searchsorted(u, c.keys)])
-            tokens.append(c.tokens(starts))
+            tokens.append(suffix_tokens(texts[a:b], starts, length))
             found.append((a, b, c.ends, starts))
         return found, np.concatenate(tokens, axis=1)
 
@@ -312,7 +317,7 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
             at += len(starts)
             edge = np.zeros(int(ends[-1]) + 1, np.int32)
             edge[own] += 1
-            edge[own + length] -= 1
+            edge[own + np.int32(length)] -= 1
             gone = np.cumsum(edge)[:-1] > 0
             begin = 0
             for i, e in zip(range(a, b), ends.tolist()):
@@ -326,8 +331,8 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
     def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x for x in b.column(0).cast(pa.binary()).to_pylist() if len(x) >= length]
-            for _, _, c in chunks(texts, length):
-                yield pa.RecordBatch.from_arrays([pa.array(c.tokens(c.starts[::64])[0].astype(np.int64))], ["t"])
+            for a, z, c in chunks(texts, length):
+                yield pa.RecordBatch.from_arrays([pa.array(suffix_tokens(texts[a:z], c.starts[::64], length)[0].astype(np.int64))], ["t"])
 
     every = max(1, total // (SAMPLED * 64))
     sample = np.sort(src.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).mapInArrow(leading, "t long").limit(4 * SAMPLED).toPandas().t.to_numpy())
