@@ -18,11 +18,12 @@ def phase_of(value: Column, high: str = "Positive", low: str = "Negative", at: f
 
 
 def coarse_phase(amplitude: Column, phase: Column) -> Column:
-    return F.when(amplitude < 1, "Inactive").when(phase.between(1, 4), "Active_1to4").when(phase.between(5, 8), "Active_5to8")
+    on = amplitude >= 1
+    return F.when(amplitude < 1, "Inactive").when(on & phase.between(1, 4), "Active_1to4").when(on & phase.between(5, 8), "Active_5to8")
 
 
 def detailed_phase(amplitude: Column, phase: Column) -> Column:
-    return F.when(amplitude < 1, "Inactive").when(phase.between(1, 8), F.concat(F.lit("Phase_"), phase.cast("int").cast("string")))
+    return F.when(amplitude < 1, "Inactive").when((amplitude >= 1) & phase.between(1, 8), F.concat(F.lit("Phase_"), phase.cast("int").cast("string")))
 
 
 def phase_rank(phase: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 
 def in_range(df: DataFrame, column: str, low, high) -> DataFrame:
-    """Rows from low to high, both included; reaches a Parquet scan."""
-    return df.where(F.col(column).between(F.lit(low), F.lit(high)))
+    """Rows from low to high, both included; bounds take the column's type, so the filter reaches a Parquet scan."""
+    kind = df.schema[column].dataType
+    return df.where(F.col(column).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
 
 
 def in_box(df: DataFrame, box: dict) -> DataFrame:

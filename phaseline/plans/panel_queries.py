@@ -25,7 +25,7 @@ def message_scan_filter(spark, sf_dir):
 @query("SELECT count(*) AS n, count(DISTINCT src) AS files FROM (SELECT 1 AS src, l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' UNION ALL SELECT 2, l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')")
 def concat_time(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    split = F.lit(dt.datetime(1997, 1, 1))
+    split = F.lit(dt.datetime(1997, 1, 1)).cast(li.schema["l_shipdate"].dataType)
     early, late = li.where(F.col("l_shipdate") < split), li.where(F.col("l_shipdate") >= split)
     both = early.select(F.lit(1).alias("src"), "l_orderkey").unionByName(late.select(F.lit(2).alias("src"), "l_orderkey"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("files"))
