@@ -60,6 +60,7 @@ def test_streams_equal_batch(spark):
 
 
 def test_scan_is_pruned_and_pushed_down(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = registry.queries()["message_scan_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "l_comment" not in plan and "l_quantity" not in plan
 
