@@ -11,8 +11,8 @@ the weights of the arcs taken.
 Counts are exact and never gathered in one place.  Each block of documents sends
 its distinct words, counted over its training documents, to owners by hash; the
 owners return each word's total and a number, small for frequent words.  Pairs
-of numbers then take the same way.  A pair whose history or word occurs in
-training in this block alone needs no owner.  So each block builds the part of
+of numbers then take the same way.  A pair whose history or word occurs in one
+block alone needs no owner.  So each block builds the part of
 the automaton that its documents visit, in bounded memory, and a frequent word
 or pair costs one entry a block.
 
@@ -92,14 +92,16 @@ class Block:
         self.times = np.bincount(self.token[self.train], minlength=len(self.words))
         self.times[self.start] = int((~self.held).sum())  # how often training texts start
 
-    def pairs(self, total: np.ndarray, number: np.ndarray, owners: int) -> None:
-        """Distinct pairs: counts here, and which must be asked for, in an order both ends derive."""
+    def pairs(self, number: np.ndarray, shared: np.ndarray, owners: int) -> None:
+        """Distinct pairs: counts here, and which must be asked for, in an order both ends derive.
+
+        ``shared`` tells the words that other blocks have too; a pair of others is counted here in full.
+        """
         width = len(self.words)
         u, self.pair = np.unique(self.history * width + self.token, return_inverse=True)
         h, w = u // width, u % width
         self.pair_count = np.bincount(self.pair[self.train], minlength=len(u))
-        wide = (total > self.times)[h] & (total > self.times)[w]
-        asked = np.flatnonzero(wide)
+        asked = np.flatnonzero(shared[h] & shared[w])
         hn, wn = number[h[asked]], number[w[asked]]
         owner = ((C.mix64(hn * np.uint64(0x9E3779B97F4A7C15) + wn) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((wn, hn, owner))
@@ -155,30 +157,31 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
         rank = np.empty(len(u), np.int64)
         rank[np.lexsort((u, -total))] = np.arange(len(u))
         number = (rank * owners + table.column("owner")[0].as_py()).astype(np.uint64)
+        shared = (np.bincount(inverse, minlength=len(u)) > 1).astype(np.uint8)  # an entry a block
         answers, at = [], 0
         for p in parts:
             own = inverse[at : at + p.num_rows]
             at += p.num_rows
-            answers.append(C.to_blob(c=slim(total[own]), i=slim(number[own])))
+            answers.append(C.to_blob(c=slim(total[own]), i=slim(number[own]), s=shared[own]))
         real = u != START
         stats = np.zeros((2, len(parts)), np.int64)
         stats[:, 0] = total[real].sum(), (total[real] > 0).sum()
         return pa.table({"block": table.column("block"), "kind": pa.array(np.zeros(len(parts), np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary()), "n": stats[0], "v": stats[1]})
 
-    def known(b: Block, right: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-        """(totals, numbers) of the block's words, and the answers about pairs."""
+    def known(b: Block, right: pa.Table) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+        """Totals of the block's words, whose pairs are made ready, and the answers about pairs."""
         kind, part, answer = (right.column(c).to_pylist() for c in ("kind", "part", "answer"))
         words = [C.from_blob(a) for _, k, a in sorted((p, k, a) for k, p, a in zip(kind, part, answer) if k == 0)]
         total = np.concatenate([C.np_col(t, "c") for t in words]).astype(np.int64)
         number = np.concatenate([C.np_col(t, "i") for t in words]).astype(np.uint64)
         if len(total) != len(b.words):
             raise ValueError("answers do not fit their block")
-        return total, number, sorted((p, a) for k, p, a in zip(kind, part, answer) if k == 1)
+        b.pairs(number, np.concatenate([C.np_col(t, "s") for t in words]).astype(bool), owners)
+        return total, sorted((p, a) for k, p, a in zip(kind, part, answer) if k == 1)
 
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left.column("payload").to_pylist())
-        total, number, _ = known(b, right)
-        b.pairs(total, number, owners)
+        known(b, right)
         block, c = left.column("block")[0].as_py(), b.pair_count[b.asked]
         rows = [(o, block, C.to_blob(3, h=slim(np.diff(b.hn[i:j], prepend=np.uint64(0))), w=slim(b.wn[i:j]), c=slim(c[i:j]))) for o, i, j in cuts(b.owner)]
         return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
@@ -202,8 +205,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left.column("payload").to_pylist())
-        total, number, answers = known(b, right)
-        b.pairs(total, number, owners)
+        total, answers = known(b, right)
         found = [C.np_col(C.from_blob(a), "c") for _, a in answers]
         if sum(map(len, found)) != len(b.asked):
             raise ValueError("answers do not fit their block")
