@@ -1,30 +1,46 @@
-"""False-discovery-rate control (Benjamini-Hochberg) as windows."""
+"""False-discovery-rate control (Benjamini-Hochberg) without a global sort in one task.
+
+Equal p values share their largest rank, so ranks are cumulative counts of
+distinct values.  Values are cut into ``SLICES`` ranges: sums over whole ranges
+form a small table, and windows only order the values inside a range.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICES = 4096
+
 
-def _ranked(df: DataFrame, p: str, by: list[str], order: list[str]) -> DataFrame:
-    tested = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = tested.orderBy(F.col(p).asc_nulls_last(), *order)
-    return df.withColumn("_rank", F.when(F.col(p).isNotNull(), F.row_number().over(w))).withColumn("_n", F.count(p).over(tested))
+def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
+    """(by, p, _b, _rank, _n): every distinct p with its largest rank and the number of tests."""
+    v = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
+    v = v.withColumn("_b", F.least(F.floor(F.col(p) * SLICES), F.lit(SLICES)))
+    sums = v.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most SLICES + 1 rows
+    before = F.coalesce(F.sum("_s").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_b", before.alias("_before"), F.sum("_s").over(own).alias("_n"))
+    inside = Window.partitionBy(*by, "_b").orderBy(p)
+    v = v.withColumn("_upto", F.sum("_c").over(inside))
+    return v.join(sums, [*by, "_b"]).select(*by, p, "_b", (F.col("_before") + F.col("_upto")).alias("_rank"), "_n")
 
 
-def significant(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] = [], order: list[str] = []) -> DataFrame:  # noqa: B006
+def significant(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``df`` with boolean ``sig``: p up to the largest one under its critical value."""
-    tested = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    d = _ranked(df, p, by, order)
-    passing = F.when(F.col(p) <= F.col("_rank") / F.col("_n") * alpha, F.col(p))
-    d = d.withColumn("_star", F.max(passing).over(tested))
-    return d.withColumn("sig", F.coalesce(F.col(p) <= F.col("_star"), F.lit(False))).drop("_rank", "_n", "_star")
+    passing = _ranked(df, p, by).where(F.col(p) <= F.col("_rank") / F.col("_n") * alpha)
+    star = passing.groupBy(*by).agg(F.max(p).alias("_star"))
+    d = df.join(star, by, "left") if by else df.join(F.broadcast(star))  # one row
+    return d.withColumn("sig", F.coalesce(F.col(p) <= F.col("_star"), F.lit(False))).drop("_star")
 
 
-def q_values(df: DataFrame, p: str, name: str = "q", by: list[str] = [], order: list[str] = []) -> DataFrame:  # noqa: B006
+def q_values(df: DataFrame, p: str, name: str = "q", by: list[str] = []) -> DataFrame:  # noqa: B006
     """``df`` with adjusted p values; NULL where p is NULL."""
-    d = _ranked(df, p, by, order)
-    tested = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    up = tested.orderBy(F.col("_rank").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    q: Column = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(up))
-    return d.withColumn(name, F.when(F.col(p).isNotNull(), q)).drop("_rank", "_n")
+    v = _ranked(df, p, by).withColumn("_m", F.col(p) * F.col("_n") / F.col("_rank"))
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most SLICES + 1 rows
+    above = F.min("_least").over(own.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))
+    rest = v.groupBy(*by, "_b").agg(F.min("_m").alias("_least")).select(*by, "_b", above.alias("_above"))
+    up = Window.partitionBy(*by, "_b").orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    v = v.withColumn("_in", F.min("_m").over(up)).join(rest, [*by, "_b"])
+    q = v.select(*by, p, F.least(F.lit(1.0), "_in", "_above").alias(name))
+    return df.join(q, [*by, p], "left").select(*df.columns, name)

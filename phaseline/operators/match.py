@@ -64,10 +64,10 @@ def permuted(df: DataFrame, value: str, stratum: list[str], unit: str, iteration
     Units in order are joined with units in the order of a draw, so each
     iteration is a permutation within every stratum.
     """
-    its = df.sparkSession.range(first, first + iterations).select(F.col("id").cast("int").alias("iter"))
+    its = F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))).alias("iter")
     w = Window.partitionBy(*stratum)
-    to = df.select(*stratum, unit, F.row_number().over(w.orderBy(unit)).alias("_r")).crossJoin(F.broadcast(its))  # as many rows as iterations
-    of = df.select(*stratum, unit, value).crossJoin(F.broadcast(its))
+    to = df.select(*stratum, unit, F.row_number().over(w.orderBy(unit)).alias("_r")).select("*", its)
+    of = df.select(*stratum, unit, value, its)
     wi = Window.partitionBy("iter", *stratum)
     of = of.withColumn("_r", F.row_number().over(wi.orderBy(draws.key(seed, F.col("iter"), F.col(unit)), unit))).drop(unit)
     return to.join(of, ["iter", *stratum, "_r"]).drop("_r")

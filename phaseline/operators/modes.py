@@ -104,8 +104,7 @@ def bootstrap_contrasts(blocks: DataFrame, keys: list[str], repetitions: int, se
     own = [*keys, "phase"]
     w = Window.partitionBy(*own)
     b = blocks.withColumn("_i", F.row_number().over(w.orderBy("ym")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
-    reps = b.sparkSession.range(repetitions).select(F.col("id").cast("int").alias("rep"))
-    slot = b.select(*own, "_n", F.col("_i").alias("_slot")).crossJoin(F.broadcast(reps))  # as many rows as repetitions
+    slot = b.select(*own, "_n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
     pick = draws.integer(F.col("_n"), seed, *(F.col(k) for k in own), F.col("rep"), F.col("_slot"))
     drawn = slot.withColumn("_i", pick).drop("_n").join(b.drop("_n"), [*own, "_i"])
     sums = drawn.groupBy(*own, "rep").agg(*(F.sum(x).alias(x) for x in "abcd"))

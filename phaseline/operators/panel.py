@@ -75,10 +75,18 @@ def daily_max(df: DataFrame, cell: str, ts: str, values: list[str]) -> DataFrame
 
 
 def time_gaps(df: DataFrame, ts: str) -> DataFrame:
-    """(gap_hours, n): distinct distances of neighbouring distinct times."""
-    t = df.select(F.col(ts).cast("timestamp").alias("t")).distinct()
-    gap = (F.unix_timestamp("t") - F.unix_timestamp(F.lag("t").over(Window.orderBy("t")))) / 3600
-    return t.select(gap.alias("gap_hours")).where("gap_hours is not null").groupBy("gap_hours").agg(F.count(F.lit(1)).alias("n"))
+    """(gap_hours, n): distinct distances of neighbouring distinct times.
+
+    Windows order the times of one month; a month's first time follows the last
+    one of the month before it that has any, from a table of a row a month.
+    """
+    t = df.select(F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t"), F.trunc(F.col(ts), "MM").alias("m")).distinct()
+    ends = t.groupBy("m").agg(F.max("t").alias("last"))
+    ends = ends.select("m", F.lag("last").over(Window.orderBy("m")).alias("before"))
+    own = F.lag("t").over(Window.partitionBy("m").orderBy("t"))
+    gap = (F.col("t") - F.coalesce("own", "before")) / 3600
+    d = t.withColumn("own", own).join(ends, "m").select(gap.alias("gap_hours"))
+    return d.where("gap_hours is not null").groupBy("gap_hours").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shifted(value: str, k: int, cell: str = "cell_id", time: str = "d") -> Column:

@@ -56,7 +56,7 @@ def cc_strict_k(spark, sf_dir):
 def cc_or_grid(spark, sf_dir):
     """Odds ratio, interval, binomial p and FDR mask of every cell."""
     o = _odds(match.odds(match.discordant_all(S.panel(spark, sf_dir), ["cell_id"], _month())))
-    return fdr.significant(o, "p", 0.05, order=["cell_id"])
+    return fdr.significant(o, "p", 0.05)
 
 
 @query(f"WITH {_SAMPLED}, t AS (SELECT CAST(sum(n10) AS BIGINT) AS n10, CAST(sum(n01) AS BIGINT) AS n01 FROM dc) SELECT n10, n01, {_num('n10', 'n01')} FROM t")

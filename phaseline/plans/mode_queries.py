@@ -216,7 +216,7 @@ def _effects(spark, sf_dir):
     blocks = _scan(spark, sf_dir, ["ym"]).drop("n_time")
     t = modes.bootstrap_contrasts(blocks, ["mode", "lag"], _REPS, 42, _RANKM)
     t = t.select("mode", "lag", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
-    t = fdr.q_values(t, "p", by=["metric"], order=["mode", "lag", "phase1", "phase2"]).withColumn("q", R(F.col("q")))
+    t = fdr.q_values(t, "p", by=["metric"]).withColumn("q", R(F.col("q")))
     sure = F.col("q") < 0.05
     t = t.withColumn("s", F.when(sure & (F.col("low") > 0), 1).when(sure & (F.col("high") < 0), -1).otherwise(0))
     up, down = F.count_if(F.col("s") > 0), F.count_if(F.col("s") < 0)

@@ -44,12 +44,12 @@ def _tested(spark, sf_dir):
 
 @query(f"WITH {_P} SELECT cell_id, p, coalesce(p <= (SELECT max(p) FROM k WHERE p <= r / n::DOUBLE * 0.6), false) AS sig FROM k")
 def bh_mask(spark, sf_dir):
-    return fdr.significant(_tested(spark, sf_dir), "p", 0.6, order=["cell_id"])
+    return fdr.significant(_tested(spark, sf_dir), "p", 0.6)
 
 
 @query(f"WITH {_P} SELECT cell_id, p, round(least(1.0, min(p * n / r::DOUBLE) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM k")
 def bh_qvalues(spark, sf_dir):
-    return fdr.q_values(_tested(spark, sf_dir), "p", order=["cell_id"]).withColumn("q", R(F.col("q")))
+    return fdr.q_values(_tested(spark, sf_dir), "p").withColumn("q", R(F.col("q")))
 
 
 _SEASON = "CASE WHEN month(panel.d) IN (3,4,5) THEN 'MAM' WHEN month(panel.d) IN (6,7,8) THEN 'JJA' WHEN month(panel.d) IN (9,10,11) THEN 'SON' ELSE 'DJF' END"

@@ -69,9 +69,9 @@ def test_bh_against_plain(spark):
     q = {}
     for x in set(known):
         q[x] = min(1.0, min(y * n / k for k, y in enumerate(known, 1) if y >= x))
-    for r in fdr.significant(df, "p", 0.1, order=["i"]).collect():
+    for r in fdr.significant(df, "p", 0.1).collect():
         assert r.sig == (r.p is not None and r.p <= star)
-    for r in fdr.q_values(df, "p", order=["i"]).collect():
+    for r in fdr.q_values(df, "p").collect():
         assert r.q is None if r.p is None else abs(r.q - q[r.p]) < 1e-12
 
 
