@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-random keys and prefix sums.
 
-Every row gets a hash-random key.  Within a source the rows are ordered by key;
+Every row gets a hash-random key, 60 bits of an md5 that any SQL engine has.  Within a source the rows are ordered by key;
 key ranges cut that order into buckets small enough for one task, so the prefix
 sum of sizes is a sum over whole buckets plus a running sum inside the one
 bucket where a source's budget ends.  Only that bucket is sorted.  A budget over
@@ -81,8 +81,8 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[int, ...
     """
     n = df.count()
     bits = min(40, max(6, (n // BUCKET_ROWS).bit_length()))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1)
-    rows = df.withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 63 - bits))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 60 - bits))
     buckets = C.staged(rows.groupBy(F.col(source).alias("_source"), "_bucket").agg(F.sum(size).alias("n")))
     sizes = C.staged(buckets.groupBy("_source").agg(F.sum("n").alias("size")))
     targets = fill_targets(cycled_weights(sizes, "_source", weights), cap, share)
@@ -108,11 +108,24 @@ def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return mix(sized, "_from", "size", "doc_id", **how).drop("_from")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or the first variation of it that no column of ``df`` has."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+def mixture_sql(weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 42) -> str:
+    """The same query in DuckDB's SQL; the level comes in closed form from the order in which sources fill."""
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws('|', '{seed}', doc_id)), 1, 15) AS BIGINT) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+w AS (SELECT source, size, CAST({list(weights)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] AS DOUBLE) AS weight FROM s),
+k AS (SELECT *, CAST({cap} AS DOUBLE) * size AS lim, (SELECT CAST(sum(size) AS DOUBLE) FROM s) AS total FROM w),
+f AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower,
+  sum(weight) OVER (ORDER BY lim / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM k),
+v AS (SELECT (total - lower) / above AS level FROM f WHERE (total - lower) / above <= lim / weight ORDER BY lim / weight, source LIMIT 1),
+t AS (SELECT source, size AS source_size, least(lim, level * weight) AS target FROM f, v),
+b AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), {cap} * source_size) AS budget FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+p AS (SELECT d.*, source_size, target, epochs, budget - epochs * source_size AS rest,
+  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(rest - before, 0), size) AS BIGINT) AS taken FROM p"""
 
 
 def apply_mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

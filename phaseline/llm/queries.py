@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, quality
+    from . import linededup, mixing, neardup, quality
 
-    return {"op5_line_dedup": linededup.clean_pages_sql(), "op7_quality_rules": quality.rules_sql()}
+    return {"op4_near_duplicates": neardup.near_duplicates_sql(), "op5_line_dedup": linededup.clean_pages_sql(), "op6_mixing": mixing.mixture_sql(), "op7_quality_rules": quality.rules_sql()}
