@@ -33,7 +33,11 @@ from . import common as C
 #: Text of a block, and tokens between checkpoints.
 BLOCK_BYTES, EVERY = 2 << 20, 128
 #: Text of a sorted partition.
-PART_BYTES = 24 << 20
+PART_BYTES = 48 << 20
+#: Pieces of text whose ids a task remembers.
+KNOWN = 1_000_000
+#: Text that is encoded in one call.
+RUN_BYTES = 1024
 
 
 # --------------------------------------------------------------------------
@@ -84,23 +88,52 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bits, offset of every 128th id) of ids; codes of at most 25 bits."""
-    if not len(ids):
+def pack_codes(codes: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bits, first bit of each) of codes of 1 to 57 bits, one after another."""
+    if not len(codes):
         return b"", np.zeros(0, np.int64)
-    n = lengths[ids]
     ends = np.cumsum(n)
     at = ends - n
     word, shift = at >> 6, 64 - (at & 63) - n
-    c = codes[ids]
     over = np.flatnonzero(shift < 0)
-    hi = c << np.maximum(shift, 0).astype(np.uint64)
-    hi[over] = c[over] >> (-shift[over]).astype(np.uint64)
+    hi = codes << np.maximum(shift, 0).astype(np.uint64)
+    hi[over] = codes[over] >> (-shift[over]).astype(np.uint64)
     out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
     out[word[first]] = np.bitwise_or.reduceat(hi, first)
-    out[word[over] + 1] |= c[over] << (64 + shift[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::EVERY]
+    out[word[over] + 1] |= codes[over] << (64 + shift[over]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at
+
+
+def pack_pieces(which: np.ndarray, size: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bits, first bit of every 128th id) of the ids of pieces in the order ``which``.
+
+    Each piece's codes are joined once, into strings of at most 57 bits.
+    """
+    start, n = np.cumsum(size) - size, lengths[ids]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    inside = upto[:-1] - np.repeat(upto[start], size)  # first bit of each id in its piece
+    part = np.concatenate([[True], (inside[1:] >> 5 != inside[:-1] >> 5) | (inside[1:] == 0)]) if len(ids) else np.zeros(0, bool)
+    first = np.flatnonzero(part)
+    bits = np.add.reduceat(n, first) if len(first) else first
+    of = np.cumsum(part) - 1
+    left = (upto[first] + bits)[of] - upto[1:]  # bits that follow in the same string
+    joined = np.bitwise_or.reduceat(codes[ids] << left.astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+    parts = np.bincount(np.repeat(np.arange(len(size)), size)[first], minlength=len(size)) if len(ids) else np.zeros(len(size), np.int64)
+    at_part = np.cumsum(parts) - parts
+    flow = C.ragged(at_part[which], parts[which])
+    data, _ = pack_codes(joined[flow], bits[flow])
+    tokens, width = size[which], (upto[start + size] - upto[start])[which]
+    token_at, bit_at = np.cumsum(tokens) - tokens, np.cumsum(width) - width
+    total = int(tokens.sum())
+    marks = np.arange(0, total, EVERY)
+    j = np.searchsorted(token_at + tokens, marks, side="right")
+    return data, bit_at[j] + inside[start[which[j]] + marks - token_at[j]] if total else np.zeros(0, np.int64)
+
+
+def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bits, first bit of every 128th id) of ids, each a piece of its own."""
+    return pack_pieces(ids, np.ones(len(lengths), np.int64) * (lengths > 0), np.flatnonzero(lengths), codes, lengths)
 
 
 def decode_table(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -136,37 +169,126 @@ def unpack_bits(data: bytes, offsets: np.ndarray, n: int, table: tuple) -> np.nd
 
 
 #: A single space between characters that are not white space: no token spans it.
-_CUT, _NEAR = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ | $| \s|\s ")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+def _plain(text: str) -> bool:
+    """Whether every space stands between characters that are not white space."""
+    if text[0] == " " or text[-1] == " ":
+        return False
+    return not any(c + " " in text or " " + c in text for c in _WHITE if c in text)
+
+
+#: Marks the first piece of a text, which has no space before it (a noncharacter).
+FIRST = "\uffff"
 
 
 def split_pieces(text: str) -> list[str]:
-    """Pieces that a byte-level tokenizer encodes independently; their join is ``text``."""
-    parts = (_CUT.split(text) if _NEAR.search(text) else text.split(" ")) if text else []
-    return parts[:1] + [" " + p for p in parts[1:]]
+    """Pieces that a byte-level tokenizer encodes independently, without the space before each."""
+    parts = text.split(" ") if not text or _plain(text) else _CUT.split(text)
+    return [FIRST + parts[0], *parts[1:]]
+
 
+def number_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct pieces, number of each piece of all texts, pieces of each text)."""
+    import pyarrow.compute as pc
 
-class Pieces:
-    """Ids of pieces, each encoded once while it is remembered."""
+    if all(not x or (_plain(x) and FIRST not in x) for x in texts):
+        lists = pc.split_pattern(pa.array([FIRST + x for x in texts], pa.large_string()), " ")
+    else:  # a text that holds the mark itself is one piece
+        lists = pa.array([[FIRST + x] if FIRST in x else split_pieces(x) for x in texts], pa.large_list(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+
+class Pieces(dict):
+    """Number of each piece; ids of each, encoded once while it is remembered."""
+
+    def __init__(self, tokenizer_json: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.t = Tokenizer.from_str(tokenizer_json)
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.known = most, {}
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = [p for p in pieces if p not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
+        vocabulary = self.t.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a byte-level token has one character a byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Number of each of some distinct pieces; new ones are encoded."""
+        got = list(map(self.get, pieces))
+        new = [p for p, n in zip(pieces, got) if n is None]
+        out = np.array(got, np.float64)  # NaN for None; exact below 2**53
+        if new:
+            at = len(self)
+            self.update(zip(new, range(at, at + len(new))))
+            self._learn(new, at)
+            out[np.isnan(out)] = np.arange(at, at + len(new))
+        return out.astype(np.int64)
+
+    def _learn(self, new: list[str], at: int) -> None:
+        import pyarrow.compute as pc
+
+        listed = pa.array(new, pa.large_string())
+        length = C.byte_lengths(listed)
+        single = (length == 0) | (length != C.byte_lengths(pc.utf8_rtrim_whitespace(listed))) | pc.starts_with(listed, FIRST).to_numpy(zero_copy_only=False)
+        alone, order = np.flatnonzero(single).tolist(), np.flatnonzero(~single)
+        ids, sizes = [], []
+        for e in self.t.encode_batch_fast([new[i][1:] if new[i][:1] == FIRST else " " + new[i] for i in alone], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append([len(ids[-1])])
+        # the others stand side by side in one call, and are told apart by their bytes
+        ends = np.cumsum(length[order] + 1)
+        cuts = np.flatnonzero(np.diff(ends // RUN_BYTES, prepend=-1)).tolist() + [len(order)]
+        plain = [new[i] for i in order.tolist()]
+        for i, j, e in zip(cuts[:-1], cuts[1:], self.t.encode_batch_fast([" " + " ".join(plain[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], add_special_tokens=False)):
+            ids.append(np.array(e.ids, np.uint32))
+            base = ends[i - 1] if i else 0
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends[i:j] - base) + 1, prepend=0))
+        order = order.tolist()
+        size = np.concatenate(sizes).astype(np.int64)
+        place = at + np.array(alone + order, np.int64)
+        starts = np.empty(at + len(new), np.int64)
+        starts[:at], self.size = self.start, np.concatenate([self.size, np.zeros(len(new), np.int64)])
+        starts[place], self.size[place] = len(self.ids) + np.cumsum(size) - size, size
+        self.start, self.ids = starts, np.concatenate([self.ids, *ids])
+
+
+def encode_block(pieces: Pieces, keys: list, texts: list[str], end_id: int) -> dict:
+    """A block of documents as its pieces' numbers, the pieces' ids, and counts of ids."""
+    if len(pieces) > KNOWN:
+        pieces.forget()
+    listed, flat, per = number_pieces(texts)
+    here = pieces.numbers(listed)
+    times = np.bincount(flat, minlength=len(listed))
+    rank = np.argsort(-times, kind="stable")  # frequent pieces get small numbers, which compress well
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    sizes = pieces.size[here]
+    ordered, size = pieces.ids[C.ragged(pieces.start[here[rank]], sizes[rank])], sizes[rank]
+    counts = np.bincount(ordered, weights=np.repeat(times[rank], size), minlength=end_id + 1).astype(np.int64)
+    counts[end_id] += len(keys)
+    used = np.flatnonzero(counts)
+    token_ends = np.concatenate([[0], np.cumsum(sizes[flat])])
+    n_tokens = np.diff(token_ends[np.concatenate([[0], np.cumsum(per)])]) + 1
+    return {
+        "n": int(n_tokens.sum()),
+        "docs": C.to_blob(k=pa.array(keys, pa.int64()), words=per, tokens=n_tokens),
+        "which": C.to_blob(w=place[flat].astype(np.uint32)),
+        "sizes": C.to_blob(s=size.astype(np.uint32)),
+        "ids": C.to_blob(i=ordered if end_id > 65535 or (len(ordered) and ordered.max() > 65535) else ordered.astype(np.uint16)),
+        "counts": C.to_blob(i=used.astype(np.uint32), c=counts[used]),
+    }
 
 
 def _staged_blocks(df: DataFrame, tokenizer_json: str, end_id: int, key: str, text: str) -> DataFrame:
@@ -183,35 +305,7 @@ def _staged_blocks(df: DataFrame, tokenizer_json: str, end_id: int, key: str, te
 
         def block(keys, texts):
             nonlocal seq
-            split = [split_pieces(x) for x in texts]
-            number: dict[str, int] = {}
-            flat = [number.setdefault(p, len(number)) for own in split for p in own]
-            pieces.learn(number)
-            listed = [pieces.known[p] for p in number]
-            size = np.fromiter(map(len, listed), np.int64, len(listed)) // 4
-            ids = np.frombuffer(b"".join(listed), np.uint32)
-            which = np.array(flat, np.int64)
-            times = np.bincount(which, minlength=len(size))
-            # frequent pieces get small numbers, which compress well
-            rank = np.argsort(-times, kind="stable")
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            counts = np.bincount(ids.astype(np.int64), weights=np.repeat(times, size), minlength=end_id + 1).astype(np.int64)
-            counts[end_id] += len(keys)
-            used = np.flatnonzero(counts)
-            start = np.cumsum(size) - size
-            ordered = ids[C.ragged(start[rank], size[rank])].astype(np.uint32)
-            per = np.fromiter(map(len, split), np.int64, len(split))
-            token_ends = np.concatenate([[0], np.cumsum(size[which])])
-            n_tokens = np.diff(token_ends[np.concatenate([[0], np.cumsum(per)])]) + 1
-            row = {
-                "part": part, "seq": seq, "n": int(n_tokens.sum()),
-                "docs": C.to_blob(k=pa.array(keys, pa.int64()), words=per, tokens=n_tokens),
-                "which": C.to_blob(w=place[which].astype(np.uint32)),
-                "sizes": C.to_blob(s=size[rank].astype(np.uint16)),
-                "ids": C.to_blob(i=ordered if end_id > 65535 or (len(ordered) and ordered.max() > 65535) else ordered.astype(np.uint16)),
-                "counts": C.to_blob(i=used.astype(np.uint32), c=counts[used]),
-            }
+            row = {"part": part, "seq": seq} | encode_block(pieces, keys, texts, end_id)
             seq += 1
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
@@ -270,13 +364,10 @@ def write(df: DataFrame, path: str, tokenizer_json: str, end_id: int, key: str =
                 which = C.np_col(C.from_blob(row["which"]), "w").astype(np.int64)
                 size = C.np_col(C.from_blob(row["sizes"]), "s").astype(np.int64)
                 ids = C.np_col(C.from_blob(row["ids"]), "i").astype(np.int64)
-                start = np.cumsum(size) - size
-                tokens = C.np_col(docs, "tokens")
-                flat = np.full(row["n"], end_id, np.int64)
-                inner = np.ones(row["n"], bool)
-                inner[np.cumsum(tokens) - 1] = False  # a document's last id is the end id
-                flat[inner] = ids[C.ragged(start[which], size[which])]
-                data, offsets = pack_bits(flat, codes, lengths)
+                tokens, words = C.np_col(docs, "tokens"), C.np_col(docs, "words")
+                # the end id is one piece more, after each document's own
+                flow = np.insert(which, np.cumsum(words), len(size))
+                data, offsets = pack_pieces(flow, np.append(size, 1), np.append(ids, end_id), codes, lengths)
                 steps = np.diff(offsets, prepend=0).astype(np.uint16)
                 yield pa.RecordBatch.from_pylist([{"part": row["part"], "seq": row["seq"], "n": row["n"], "docs": C.to_blob(k=docs.column("k").combine_chunks(), tokens=tokens.astype(np.uint32)), "bits": data, "steps": steps.tobytes()}], schema=arrow)
 
