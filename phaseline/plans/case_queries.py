@@ -119,14 +119,14 @@ def _time_permutation(spark, sf_dir):
     return match.permuted(t, "src", ["m"], "unit", 5, 42).select("iter", F.col("unit").alias("d"), "src")
 
 
-@query(f"WITH {S.PANEL}, {_PERM} SELECT it AS iter, day, src FROM pm")
+@query(f"WITH {S.PANEL}, {_PERM} SELECT it AS iter, day, src FROM pm", ints=("iter",))
 def calendar_month_permutation(spark, sf_dir):
     return _time_permutation(spark, sf_dir).select("iter", F.col("d").alias("day"), "src")
 
 
 @query(f"""WITH {S.PANEL}, {_PERM}, x AS (SELECT it, p.cell_id, p.d, p.ep, coalesce(q.ar, 0) AS ar FROM panel p JOIN pm ON p.d = pm.day LEFT JOIN panel q ON q.cell_id = p.cell_id AND q.d = pm.src AND q.ar = 1),
 st AS (SELECT it, cell_id, month(x.d) AS m, sum(ep * ar) AS c1, sum(ep * (1 - ar)) AS c0, sum((1 - ep) * ar) AS k1, sum((1 - ep) * (1 - ar)) AS k0 FROM x GROUP BY 1, 2, 3)
-SELECT it AS iter, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01, round((sum(c1 * k0) + 0.5::DOUBLE) / (sum(c0 * k1) + 0.5::DOUBLE), 6) AS "or" FROM st GROUP BY 1""")
+SELECT it AS iter, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01, round((sum(c1 * k0) + 0.5::DOUBLE) / (sum(c0 * k1) + 0.5::DOUBLE), 6) AS "or" FROM st GROUP BY 1""", ints=("iter",))
 def placebo_month_shuffle(spark, sf_dir):
     p = S.panel(spark, sf_dir)
     x = p.where("ar = 1").select("cell_id", F.col("d").alias("src"), "ar")
@@ -137,7 +137,7 @@ def placebo_month_shuffle(spark, sf_dir):
 @query(f"""WITH {S.PANEL}, w AS (SELECT cell_id, strftime(panel.d, '%Y-%m') AS ym, panel.d AS day, ar FROM panel),
 a AS (SELECT it, cell_id, ym, day, row_number() OVER (PARTITION BY it, cell_id, ym ORDER BY day) AS r FROM w, range(0, 2) q(it)),
 b AS (SELECT it, cell_id, ym, ar, row_number() OVER (PARTITION BY it, cell_id, ym ORDER BY md5(concat_ws('|', '9', it, day)), day) AS r FROM w, range(0, 2) q(it))
-SELECT it AS iter, cell_id, day, ar FROM a JOIN b USING (it, cell_id, ym, r)""")
+SELECT it AS iter, cell_id, day, ar FROM a JOIN b USING (it, cell_id, ym, r)""", ints=("iter",))
 def within_month_permutation(spark, sf_dir):
     p = S.panel(spark, sf_dir).select("cell_id", F.date_format("d", "yyyy-MM").alias("ym"), F.col("d").alias("day"), "ar")
     return match.permuted(p, "ar", ["cell_id", "ym"], "day", 2, 9).select("iter", "cell_id", "day", "ar")

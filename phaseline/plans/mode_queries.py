@@ -233,7 +233,7 @@ def _order():
 
 
 
-@query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score, min_q, direction, daf, drd, dpaf, place FROM er")
+@query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score, min_q, direction, daf, drd, dpaf, place FROM er", ints=("place",))
 def effect_ranking(spark, sf_dir):
     """One global order; the table has a row a comparison and lag, so one task orders it."""
     return _effects(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))

@@ -32,7 +32,7 @@ def concat_time(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, l_extendedprice - 30000 AS tp, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS shapemap, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ocean, CASE WHEN l_linestatus = 'O' AND l_discount > 0.05 THEN 1 ELSE 0 END AS land, l_discount FROM lineitem)
-SELECT l_suppkey AS cell_id, 10 + (l_suppkey // 40) * 0.25::DOUBLE AS lat, d, round(sum(greatest(tp * 1000, 0)), 2) AS amount, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS bin, max(CASE WHEN shapemap IS NULL THEN 0 ELSE 1 END) AS ar, max(greatest(ocean, land)) AS ep, min(year(d) * 12 + month(d)) AS months, min(dayofyear(d)) AS doy FROM r GROUP BY ALL""")
+SELECT l_suppkey AS cell_id, 10 + (l_suppkey // 40) * 0.25::DOUBLE AS lat, d, round(sum(greatest(tp * 1000, 0)), 2) AS amount, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS bin, max(CASE WHEN shapemap IS NULL THEN 0 ELSE 1 END) AS ar, max(greatest(ocean, land)) AS ep, min(year(d) * 12 + month(d)) AS months, min(dayofyear(d)) AS doy FROM r GROUP BY ALL""", ints=("months", "doy"))
 def normalise_panel(spark, sf_dir):
     """Raw names, units and flags brought to the panel's form."""
     li = S.table(spark, sf_dir, "lineitem")
@@ -81,7 +81,7 @@ def dedupe_last(spark, sf_dir):
     return P.keep_one(S.table(spark, sf_dir, "lineitem"), _KEY, _ORDER, last=True).select(*_OUT)
 
 
-@query("WITH f AS (SELECT *, year(o_orderdate) AS file FROM orders), m AS (SELECT file, min(o_orderdate) AS t FROM f GROUP BY 1) SELECT f.file, count(*) AS n, min(o_orderdate) AS first FROM f JOIN m USING (file) WHERE f.file = (SELECT min(file) FROM f) OR o_orderdate > t GROUP BY 1")
+@query("WITH f AS (SELECT *, year(o_orderdate) AS file FROM orders), m AS (SELECT file, min(o_orderdate) AS t FROM f GROUP BY 1) SELECT f.file, count(*) AS n, min(o_orderdate) AS first FROM f JOIN m USING (file) WHERE f.file = (SELECT min(file) FROM f) OR o_orderdate > t GROUP BY 1", ints=("file",))
 def drop_first_step(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders").withColumn("file", F.year("o_orderdate"))
     return P.drop_first_step(o, "file", "o_orderdate").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("first"))
@@ -137,7 +137,7 @@ def _windows(half: int, ring: int) -> str:
     return f"w AS (SELECT cell_id, v, (dayofyear(daily.d) - 1 + o + {ring}) % {ring} + 1 AS doy FROM daily, range(-{half}, {half + 1}) r(o))"
 
 
-@query(f"WITH {S.DAILY}, {_windows(7, 366)} SELECT cell_id, doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS thr FROM w GROUP BY 1, 2")
+@query(f"WITH {S.DAILY}, {_windows(7, 366)} SELECT cell_id, doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS thr FROM w GROUP BY 1, 2", ints=("doy",))
 def doy_window_p95_all(spark, sf_dir):
     return T.doy_thresholds(S.daily(spark, sf_dir), "v", 0.95, 7)
 
@@ -145,7 +145,7 @@ def doy_window_p95_all(spark, sf_dir):
 _WET = "wet AS (SELECT cell_id, d, greatest(v - 3000000, 0) AS v FROM daily)"
 
 
-@query(f"WITH {S.DAILY}, {_WET}, {_windows(7, 366).replace('daily', 'wet')} SELECT cell_id, doy, coalesce(round(quantile_cont(v::DOUBLE, 0.9) FILTER (WHERE v > 0), 6), 0) AS thr FROM w GROUP BY 1, 2")
+@query(f"WITH {S.DAILY}, {_WET}, {_windows(7, 366).replace('daily', 'wet')} SELECT cell_id, doy, coalesce(round(quantile_cont(v::DOUBLE, 0.9) FILTER (WHERE v > 0), 6), 0) AS thr FROM w GROUP BY 1, 2", ints=("doy",))
 def doy_window_p90_wet(spark, sf_dir):
     return T.doy_thresholds(_wet(spark, sf_dir), "v", 0.9, 7, wet=True)
 
@@ -166,7 +166,7 @@ def global_p95_wet(spark, sf_dir):
     return _wet(spark, sf_dir).agg(T.global_threshold("v", 0.95).alias("thr"))
 
 
-@query(f"WITH {S.DAILY}, {_windows(15, 365)} SELECT doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS thr FROM w GROUP BY 1")
+@query(f"WITH {S.DAILY}, {_windows(15, 365)} SELECT doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS thr FROM w GROUP BY 1", ints=("doy",))
 def moving_window_p95(spark, sf_dir):
     return T.doy_thresholds(S.daily(spark, sf_dir), "v", 0.95, 15, 365, keys=[])
 
@@ -205,7 +205,7 @@ def interp_6h(spark, sf_dir):
     return P.interpolated(h, "ts", "v", 6).select("cell_id", F.col("ts").cast("timestamp_ntz").alias("ts"), R(F.col("v")).alias("v"))
 
 
-@query(f"WITH {S.PANEL}, x AS (SELECT cell_id, date_diff('day', DATE '1995-01-01', panel.d) AS t FROM panel WHERE ar = 1), g AS (SELECT cell_id, t, t - row_number() OVER (PARTITION BY cell_id ORDER BY t) AS g FROM x) SELECT cell_id, min(t) AS first, max(t) AS last, count(*) AS n FROM g GROUP BY cell_id, g")
+@query(f"WITH {S.PANEL}, x AS (SELECT cell_id, date_diff('day', DATE '1995-01-01', panel.d) AS t FROM panel WHERE ar = 1), g AS (SELECT cell_id, t, t - row_number() OVER (PARTITION BY cell_id ORDER BY t) AS g FROM x) SELECT cell_id, min(t) AS first, max(t) AS last, count(*) AS n FROM g GROUP BY cell_id, g", ints=("first", "last"))
 def contiguous_runs(spark, sf_dir):
     x = S.panel(spark, sf_dir).where("ar = 1").select("cell_id", F.datediff("d", F.lit("1995-01-01").cast("date")).alias("t"))
     return P.runs(x, "t", ["cell_id"])
@@ -236,7 +236,7 @@ def box_smooth_constant(spark, sf_dir):
     return _smooth(spark, sf_dir, "constant")
 
 
-@query("SELECT o_orderkey, quarter(o_orderdate) AS quarter, CASE WHEN o_custkey % 10 + 1 <= 3 THEN 'A' WHEN o_custkey % 10 + 1 <= 7 THEN 'B' ELSE 'C' END AS band FROM orders")
+@query("SELECT o_orderkey, quarter(o_orderdate) AS quarter, CASE WHEN o_custkey % 10 + 1 <= 3 THEN 'A' WHEN o_custkey % 10 + 1 <= 7 THEN 'B' ELSE 'C' END AS band FROM orders", ints=("quarter",))
 def calendar_groups(spark, sf_dir):
     grid = F.col("o_custkey") % 10 + 1
     return S.table(spark, sf_dir, "orders").select("o_orderkey", F.quarter("o_orderdate").alias("quarter"), F.when(grid <= 3, "A").when(grid <= 7, "B").otherwise("C").alias("band"))

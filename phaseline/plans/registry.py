@@ -10,13 +10,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with DuckDB SQL of the same rows if there is any."""
+def query(sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a function under its name, with DuckDB SQL of the same rows if there is any.
+
+    ``ints`` are columns that Spark has as 32-bit whole numbers.
+    """
 
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            narrow = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in ints)
+            _SQL[f.__name__] = f"SELECT * REPLACE ({narrow}) FROM ({sql})" if ints else sql
         return f
 
     return add

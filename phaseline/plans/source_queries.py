@@ -61,7 +61,7 @@ def read_abcd(spark, sf_dir):
     return files.read_counts(spark, path).select("cell_id", *"abcd", R(M.attributable_fraction()).alias("af"), R(M.population_attributable_fraction()).alias("paf"))
 
 
-@query(f"WITH {S.DAILY} SELECT year(daily.d) AS year, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM daily WHERE year(daily.d) BETWEEN 1997 AND 1999 GROUP BY 1")
+@query(f"WITH {S.DAILY} SELECT year(daily.d) AS year, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM daily WHERE year(daily.d) BETWEEN 1997 AND 1999 GROUP BY 1", ints=("year",))
 def partitioned_panel(spark, sf_dir):
     """A panel written by year and read with only the years asked for."""
     path = files.work_folder(spark)

@@ -164,7 +164,7 @@ def _orders(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 10 + 1).alias("grid"), (F.col("o_orderstatus") == "F").cast("int").alias("ar"), (F.col("o_totalprice") > 400000).cast("int").alias("ep"))
 
 
-@query(f"WITH {_DESIGN} SELECT ep, month, round(count(*) / sum(count(*)) OVER (PARTITION BY ep), 6) AS share FROM o GROUP BY 1, 2")
+@query(f"WITH {_DESIGN} SELECT ep, month, round(count(*) / sum(count(*)) OVER (PARTITION BY ep), 6) AS share FROM o GROUP BY 1, 2", ints=("month",))
 def composition_shares(spark, sf_dir):
     return balance.shares(_orders(spark, sf_dir), ["month"], ["ep"]).withColumn("share", R(F.col("share")))
 
