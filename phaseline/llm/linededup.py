@@ -63,15 +63,16 @@ def boilerplate(df: DataFrame, text: str, host: str, percent: int, least: int) -
 
 def drop_boilerplate(df: DataFrame, text: str, host: str, percent: int = 10, least: int = 5, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``df`` with ``text`` rid of its host's boilerplate; optional columns count lines."""
-    go = boilerplate(df, text, host, percent, least).select(F.col("host").alias("_host"), F.col("lines").alias("_go"))
-    joined = df.join(go, df[host].eqNullSafe(go["_host"]), "left")
+    plain = {c: f"c{i}" for i, c in enumerate(df.columns)}  # no name of the input can clash
+    d, text, host = df.toDF(*plain.values()), plain[text], plain[host]
+    go = boilerplate(d, text, host, percent, least).select(F.col("host").alias("_host"), F.col("lines").alias("_go"))
+    joined = d.join(go, d[host].eqNullSafe(go["_host"]), "left")
     stays = lambda v: (F.btrim(v, F.lit(_EDGES)) == "") | ~F.array_contains(F.col("_go"), _hash(v))
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("_go").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    kept = F.when(F.col("_go").isNull(), F.col(text)).otherwise(F.array_join(F.filter(_lines(F.col(text)), stays), "\n"))
     out = joined.withColumn("_kept", kept)
-    cols = [F.col("_kept").alias(c) if c == text else F.col(c) for c in df.columns]
+    cols = [(F.col("_kept") if p == text else F.col(p)).alias(c) for c, p in plain.items()]
     if n_lines:
-        full = lambda t: F.coalesce(F.size(F.filter(_lines(t), lambda v: F.btrim(v, F.lit(_EDGES)) != "")), F.lit(0))
+        full = lambda t: F.size(F.filter(_lines(t), lambda v: F.btrim(v, F.lit(_EDGES)) != ""))
         some = lambda t: F.when(t.isNull(), 0).otherwise(full(t)).cast("long")
         cols += [some(F.col(text)).alias(n_lines), (some(F.col(text)) - some(F.col("_kept"))).alias(n_dropped)]
     return out.select(*cols)

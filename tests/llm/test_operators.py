@@ -245,6 +245,7 @@ def test_line_dedup(docs, rows, empty):
     got = linededup.drop_boilerplate(docs, "text", "source", 10, 3)
     assert got.columns == docs.columns
     assert by_row(got.select("doc_id", "text")) == want
+    assert {tuple(r) for r in got.select("_kept", "x", "key").collect()} == {("clash",) * 3}
     assert sum("boiler plate line" in (t or "") for _, t in want) == 0
     assert linededup.drop_boilerplate(empty, "text", "source").count() == 0
 
@@ -285,7 +286,8 @@ def test_mixing(docs, rows, empty):
     assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in order)
     assert by_row(mixing.mixture(docs)) == by_row(mixing.mixture(docs.repartition(7)))
     assert mixing.mixture(empty).count() == 0 and mixing.apply_mixture(empty).count() == 0
-    assert mixing.apply_mixture(docs).columns == docs.columns
+    mixed = mixing.apply_mixture(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.select("size" if "size" in docs.columns else "n", "taken", "target").collect()} == {("clash",) * 3}
 
 
 # ---------------------------------------------------------------- op7
