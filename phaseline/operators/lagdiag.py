@@ -69,14 +69,19 @@ def monte_carlo(df: DataFrame, iterations: int, seed: int, least: int = 10, abso
     """(keys, p, n, converged): sequential permutation test of the joint count sum(ar ep).
 
     Exposure is shuffled within the year-months of each cell.  All iterations run
-    in one plan; the first one at which the rule stops is reported.
+    in one plan; the first one at which the rule stops is reported.  Months
+    without an outcome or without an exposure add nothing to any count, so they
+    are not shuffled.
     """
     d = df.withColumn("_ym", F.date_format("d", "yyyy-MM"))
     real = d.groupBy(*keys).agg(F.sum(F.col("ar") * F.col("ep")).alias("real"), F.sum("ar").alias("_sx"), F.sum("ep").alias("_sy"))
+    live = d.groupBy(*keys, "_ym").agg(F.max("ar").alias("_a"), F.max("ep").alias("_e")).where("_a > 0 and _e > 0")
+    d = d.join(live, [*keys, "_ym"], "left_semi")
     p = permuted(d.select(*keys, "_ym", "d", "ar"), "ar", [*keys, "_ym"], "d", iterations, seed)
     stat = p.join(d.where("ep = 1").select(*keys, "d"), [*keys, "d"]).groupBy(*keys, "iter").agg(F.sum("ar").alias("stat"))
     w = Window.partitionBy(*keys).orderBy("iter")
-    run = real.where("_sx > 0 and _sy > 0").join(stat, keys).withColumn("n", F.col("iter") + 1)
+    run = real.where("_sx > 0 and _sy > 0").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    run = run.join(stat, [*keys, "iter"], "left").withColumn("stat", F.coalesce("stat", F.lit(0))).withColumn("n", F.col("iter") + 1)
     run = run.withColumn("p", (F.sum(F.when(F.col("stat") >= F.col("real"), 1).otherwise(0)).over(w) + 1) / (F.col("n") + 1))
     half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
     run = run.withColumn("stop", (F.col("n") >= least) & ((half <= absolute) | (half / F.col("p") <= relative)))
