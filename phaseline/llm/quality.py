@@ -98,8 +98,6 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 def fences(sketch: DataFrame, least_rows: int, reach: int) -> DataFrame:
     """(lang, source, fence map<rule, struct<low, high>>) for every group that has texts."""
     own, lang, every = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    for d in (lang, every):
-        assert "rule" in d.columns
     lang = lang.select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), F.struct("rows", "q1", "q3").alias("_l"))
     every = every.select(F.col("rule").alias("_every_rule"), F.struct("rows", "q1", "q3").alias("_e"))
     d = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule"))).join(every, F.col("rule") == F.col("_every_rule"))
