@@ -8,6 +8,8 @@
   must; what parts from the rest there stays in the parent region, in slices,
   and the region's hubs (its largest class, and the member with the most
   neighbours over all orders) go along with every slice.
+* A region that was parted so is then compared block by block: every two of its
+  members that are not yet in one component meet in some task.
 * A region compares signatures inside one task and emits no pairs: it confirms
   candidates on full sets, best first, skips what is already connected, and
   sends each member one link to the smallest key it reached.
@@ -120,8 +122,8 @@ def _regions_at(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("key", "n", "copies", "sig").mapInArrow(run, "key long, n long, copies long, order int, region long")
 
 
-def _tasks(reps: DataFrame, most: int, weight: int) -> DataFrame:
-    """(task long, key long): which representatives are compared together."""
+def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame | None]:
+    """(task long, key long): which representatives are compared together; (region, key, n) of regions whose members are parted, if any."""
     rows = _regions_at(reps, LEAST_DEPTH)
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
     rows = C.staged(rows.join(sizes, "region"))
@@ -129,7 +131,7 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> DataFrame:
     out = rows.where(~large).select(F.col("region").alias("task"), "key")
     open_rows = rows.where(large)
     if open_rows.isEmpty():
-        return out
+        return out, None
     # what a region's slices share: its largest class and its most connected member
     degree = rows.groupBy("key").agg(F.sum("size").alias("degree"))
     tops = open_rows.join(degree, "key").groupBy("region").agg(F.max_by("key", F.struct("copies", -F.col("key"))).alias("a"), F.max_by("key", F.struct("degree", -F.col("key"))).alias("b"))
@@ -137,7 +139,7 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> DataFrame:
 
     def sliced(parts: DataFrame) -> DataFrame:
         slices = F.greatest(F.ceil(F.col("size") / most), F.ceil(F.col("weight") / weight))
-        return parts.select("root", F.xxhash64("region", F.lit("slice"), F.pmod(F.xxhash64("key"), slices)).alias("task"), "key")
+        return parts.select("root", F.xxhash64("region", F.lit("slice"), F.pmod(F.xxhash64("region", "key"), slices)).alias("task"), "key")
 
     deep = []
     live = open_rows.select("key", "n", "copies", "order", F.col("region").alias("root"), "region", "size", "weight")
@@ -162,24 +164,55 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> DataFrame:
         tasks = tasks.unionByName(d)
     tasks = C.staged(tasks)
     visits = tasks.select("root", "task").distinct().join(hubs.withColumnRenamed("region", "root"), "root").select("task", "key")
-    return out.unionByName(tasks.select("task", "key")).unionByName(visits).distinct()
-
-
-def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The smallest key that each member reaches by confirmed links inside the region."""
+    return out.unionByName(tasks.select("task", "key")).unionByName(visits).distinct(), open_rows.select("region", "key", "n")
+
+
+def _cross_tasks(parted: DataFrame, found: DataFrame, most: int, weight: int) -> DataFrame:
+    """(task, key, component): blocks of each parted region, every two of them in one task.
+
+    Blocks of the region's largest component are not paired with each other, for
+    its members are connected already.  A block has half of a task's bounds.
+    """
+    member = parted.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    member = C.staged(member)
+    per = member.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    top = F.max_by(F.struct("component", "size", "weight"), F.struct("size", -F.col("component"))).alias("top")
+    sums = per.groupBy("region").agg(top, F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    blocks = lambda size, w: F.greatest(F.ceil(2 * size / most), F.ceil(2 * w / weight), F.lit(1))
+    inner, rest = blocks(F.col("top.size"), F.col("top.weight")), blocks(F.col("size") - F.col("top.size"), F.col("weight") - F.col("top.weight"))
+    sums = sums.select("region", F.col("top.component").alias("top"), inner.alias("inner"), rest.alias("rest"))
+    d = member.join(sums, "region").withColumn("in_top", F.col("component") == F.col("top"))
+    draw = F.xxhash64("region", "key")
+    d = d.withColumn("own", F.when(F.col("in_top"), F.col("rest") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("rest"))))
+    # the others' blocks meet all blocks but themselves: inside, they are compared in each of their tasks
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("inner"))))).where("with <> own")
+    return d.select(F.xxhash64("region", F.lit("blocks"), F.least("own", "with"), F.greatest("own", "with")).alias("task"), "key", "component")
+
+
+def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """The smallest key that each member reaches by confirmed links inside the region.
+
+    Members of one component of ``known`` count as linked and are not compared.
+    """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
     keys, sets = keys[order], [sets[i] for i in order]
     label = np.arange(n)
+    scan, outer = label, n - 1
+    if known is not None:
+        _, at, of, count = np.unique(known[order], return_index=True, return_inverse=True, return_counts=True)
+        label = at[of]
+        scan, outer = np.argsort(of == count.argmax(), kind="stable"), n - count.max()  # the largest one last
     sig, size = signatures(sets), np.array([len(s) for s in sets])
     first, second, score = [], [], []
     least = int(np.ceil(SKETCH_LEAST * sig.shape[1])) if n > 2 else 0
-    for i in range(n - 1):
+    sig, wide, part = sig[scan], size[scan], label[scan]
+    for i in range(outer):
         same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1)
-        small, large = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-        j = np.flatnonzero((same >= least) & (100 * small >= percent * large))
-        first.append(np.full(len(j), i)), second.append(j + i + 1), score.append(same[j])
-    a, b, s = map(np.concatenate, (first, second, score))
+        small, large = np.minimum(wide[i], wide[i + 1 :]), np.maximum(wide[i], wide[i + 1 :])
+        j = np.flatnonzero((same >= least) & (100 * small >= percent * large) & (part[i + 1 :] != part[i]))
+        first.append(np.full(len(j), scan[i])), second.append(scan[j + i + 1]), score.append(same[j])
+    a, b, s = map(np.concatenate, (first, second, score)) if first else np.zeros((3, 0), np.int64)
     best = np.argsort(-s, kind="stable")
     a, b = a[best], b[best]
     at = 0
@@ -206,7 +239,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     known = table.where("key is not null and n > 0")
     classes = known.groupBy("class").agg(F.min(F.struct("key", "n", "sig")).alias("r"), F.count(F.lit(1)).alias("copies"))
     reps = C.staged(classes.select("class", "r.key", "r.n", "r.sig", "copies"), "none")
-    tasks = C.staged(_tasks(reps, most_members, most_shingles))
+    tasks, parted = _tasks(reps, most_members, most_shingles)
+    tasks = C.staged(tasks)
 
     def compare(t: pa.Table) -> pa.Table:
         hashes = C.WordHashes()
@@ -217,13 +251,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         own = reached != keys
         return pa.table({"a": pa.array(keys[own]), "b": pa.array(reached[own])})
 
+    def compare_across(t: pa.Table) -> pa.Table:
+        hashes = C.WordHashes()
+        keys, first = np.unique(t.column("key").to_numpy(), return_index=True)
+        texts, known = t.column("x").cast(pa.large_binary()), t.column("component").to_numpy()[first]
+        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, known)
+        to = known[np.searchsorted(keys, reached)]
+        a, b = np.unique(np.stack([known, to])[:, known != to], axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("x")).where("key is not null and x is not null")
     links = tasks.join(texts, "key").groupBy("task").applyInArrow(compare, "a long, b long")
     same_key = known.join(reps.select("class", F.col("key").alias("rep")), "class").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     multi = known.groupBy("key").agg(F.countDistinct("class").alias("sets")).where("sets > 1").select("key")  # rows of one key with different texts
     links = links.unionByName(same_key.join(multi.withColumnRenamed("key", "a"), "a", "left_semi"))
-    found = C.components(links).select(F.col("node").alias("rep"), "component")
-    member = reps.select("class", F.col("key").alias("rep")).join(found, "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    found = C.components(links)
+    member = reps.select("class", F.col("key").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    across = None if parted is None else C.staged(_cross_tasks(parted, found, most_members, most_shingles))
+    if across is not None and not across.isEmpty():
+        more = across.join(texts, "key").groupBy("task").applyInArrow(compare_across, "a long, b long")
+        merged = C.components(more).select(F.col("node").alias("component_id"), F.col("component").alias("merged"))
+        member = member.join(merged, "component_id", "left").select("class", F.coalesce("merged", "component_id").alias("component_id"))
     rows = table.drop("sig").join(member, "class", "left")
     own = F.coalesce("component_id", "key")
     return rows.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), own).alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))

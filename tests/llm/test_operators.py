@@ -226,6 +226,16 @@ def test_large_star_in_slices(spark):
     assert by_row(got) == near_want(made)
 
 
+def test_large_region_without_a_hub(spark):
+    """Pairs of 0.79 among texts that are otherwise 0.69 alike: no member links to a hub, and regions must be parted."""
+    core = [f"t{k}" for k in range(140)]
+    made = [(i, " ".join(core + [f"p{i // 2}x{k}" for k in range(12)] + [f"o{i}x{k}" for k in range(20)])) for i in range(160)]
+    assert all(r[2] == r[0] - r[0] % 2 for r in near_want(made))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for most in (8, 32):
+        assert by_row(neardup.near_duplicates(df, most_members=most)) == near_want(made)
+
+
 # ---------------------------------------------------------------- op5
 
 
