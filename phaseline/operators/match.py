@@ -38,6 +38,26 @@ def sampled_pairs(df: DataFrame, stratum: Column, k: int, seed: int, strict: boo
     return pairs.withColumn("_n", F.row_number().over(own.orderBy(order, "ctrl_d"))).where(F.col("_n") <= k).select(cell, "case_d", "case_ar", "ctrl_d", "ctrl_ar")
 
 
+def drawn_controls(case: DataFrame, ctrl: DataFrame, stratum: list[str], k: int, seed: int) -> DataFrame:
+    """(case(cid, ..), ctrl(kid, ..)): k different controls of its stratum for every case; cases with fewer are dropped.
+
+    Controls are numbered in the order of an md5 draw, and a case draws k of the
+    numbers by Floyd's method, so k rows a case are made and no other pair.
+    """
+    w = Window.partitionBy(*stratum)
+    ranked = ctrl.withColumn("_r", F.row_number().over(w.orderBy(draws.key(seed, F.col("kid")), "kid")).cast("long") - 1)
+    size = ctrl.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
+    chosen = F.array().cast("array<bigint>")
+    for j in range(k):
+        top = F.col("_n") - k + j
+        r = draws.integer(top + 1, seed, F.col("cid"), F.lit(j))
+        chosen = F.concat(F.col(f"_c{j - 1}") if j else chosen, F.array(F.when(F.array_contains(F.col(f"_c{j - 1}"), r), top).otherwise(r) if j else r))
+        case = case.join(size, stratum).where(F.col("_n") >= k) if not j else case
+        case = case.withColumn(f"_c{j}", chosen)
+    pairs = case.withColumn("_r", F.explode(f"_c{k - 1}")).drop("_n", *(f"_c{j}" for j in range(k)))
+    return pairs.join(ranked, [*stratum, "_r"]).drop("_r")
+
+
 def discordant(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n10, n01) of sampled pairs."""
     x = lambda a, b: F.sum(F.when((F.col("case_ar") == a) & (F.col("ctrl_ar") == b), 1).otherwise(0)).cast("long")

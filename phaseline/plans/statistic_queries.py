@@ -198,9 +198,29 @@ def _matched(spark, sf_dir):
     return p.where("k >= 5 and n <= 5")
 
 
+def _matched_full(spark, sf_dir):
+    """Five controls of the same month and grid for every case; cases with fewer are dropped."""
+    from ..operators.match import drawn_controls
+
+    o = _orders(spark, sf_dir)
+    c = o.where("ep = 1").select(F.col("id").alias("cid"), "month", "grid", F.col("ar").alias("case_ar"))
+    k = o.where("ep = 0").select(F.col("id").alias("kid"), "month", "grid", F.col("ar").alias("ctrl_ar"))
+    return drawn_controls(c, k, ["month", "grid"], 5, 42)
+
+
 @query(f"WITH {_MATCHED}, u AS (SELECT DISTINCT cid, case_ar FROM mt), t AS (SELECT (SELECT sum(case_ar) FROM u) + 0.5::DOUBLE AS a, (SELECT sum(1 - case_ar) FROM u) + 0.5::DOUBLE AS b, sum(ctrl_ar) + 0.5::DOUBLE AS c, sum(1 - ctrl_ar) + 0.5::DOUBLE AS d FROM mt) SELECT a, b, c, d, round((a / b) / (c / d), 6) AS \"or\" FROM t")
 def matched_or(spark, sf_dir):
-    m = _matched(spark, sf_dir)
+    """Of every fifth case, as in the SQL; ``matched_or_full`` is the whole job."""
+    return _matched_or(_matched(spark, sf_dir))
+
+
+@query()
+def matched_or_full(spark, sf_dir):
+    """Of every case; tests hold the matching against a plain version."""
+    return _matched_or(_matched_full(spark, sf_dir))
+
+
+def _matched_or(m):
     cases = m.select("cid", "case_ar").distinct().agg((F.sum("case_ar") + 0.5).alias("a"), (F.sum(1 - F.col("case_ar")) + 0.5).alias("b"))
     ctrl = m.agg((F.sum("ctrl_ar") + 0.5).alias("c"), (F.sum(1 - F.col("ctrl_ar")) + 0.5).alias("d"))
     t = cases.crossJoin(ctrl)  # one row each
@@ -213,14 +233,23 @@ b AS (SELECT it, ar, row_number() OVER (PARTITION BY it ORDER BY md5(concat_ws('
 s AS (SELECT it, (sum(ar * is_case) + 0.5) / (sum((1 - ar) * is_case) + 0.5) / ((sum(ar * (1 - is_case)) + 0.5) / (sum((1 - ar) * (1 - is_case)) + 0.5)) AS o FROM a JOIN b USING (it, r) GROUP BY it)
 SELECT round(quantile_cont(o::DOUBLE, 0.95), 6) AS p95, round(avg(o::DOUBLE), 6) AS mean, count(*) AS n FROM s""")
 def perturbation_test(spark, sf_dir):
-    """The odds ratio when exposure is shuffled over the matched rows, 50 times."""
+    """The odds ratio when exposure is shuffled over the matched rows of every fifth case, 50 times, as in the SQL."""
+    return _perturbed(_matched(spark, sf_dir), 50)
+
+
+@query()
+def perturbation_test_full(spark, sf_dir):
+    """The same over the matched rows of every case."""
+    return _perturbed(_matched_full(spark, sf_dir), 50)
+
+
+def _perturbed(m, times):
     from ..operators.match import permuted
 
-    m = _matched(spark, sf_dir)
     u = m.select(F.col("cid").alias("id"), F.col("case_ar").alias("ar"), F.lit(1).alias("is_case")).distinct()
     u = u.unionByName(m.groupBy(F.col("kid").alias("id")).agg(F.max("ctrl_ar").alias("ar")).withColumn("is_case", F.lit(0)))
     u = u.select((F.col("id") * 2 + F.col("is_case")).alias("unit"), "is_case", "ar", F.lit(0).alias("s"))
-    p = permuted(u, "ar", ["s"], "unit", 50, 7).join(u.select("unit", "is_case"), "unit")
+    p = permuted(u, "ar", ["s"], "unit", times, 7).join(u.select("unit", "is_case"), "unit")
     odd = lambda c: (F.sum(F.when(c, F.col("ar")).otherwise(0)) + 0.5) / (F.sum(F.when(c, 1 - F.col("ar")).otherwise(0)) + 0.5)
     s = p.groupBy("iter").agg((odd(F.col("is_case") == 1) / odd(F.col("is_case") == 0)).cast("double").alias("o"))
     return s.agg(R(F.percentile("o", F.lit(0.95))).alias("p95"), R(F.avg("o")).alias("mean"), F.count(F.lit(1)).alias("n"))

@@ -98,6 +98,35 @@ def test_matching(spark):
     assert strict == {28: 3, 29: 2, 30: 0}
 
 
+def test_every_case_draws_its_controls(spark):
+    """Floyd's draws against a plain version; strata of too few controls drop their cases."""
+    import hashlib
+
+    md5 = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest()
+    cases, ctrl = [(i, i % 4) for i in range(200)], [(1000 + i, i % 3) for i in range(60)] + [(2000 + i, 3) for i in range(4)]
+    want = set()
+    for c, s in cases:
+        own = sorted((k for k, x in ctrl if x == s), key=lambda k: (md5(42, k), k))
+        chosen = []
+        for top in range(len(own) - 5, len(own)) if len(own) >= 5 else ():
+            r = int(md5(42, c, len(chosen))[:8], 16) % (top + 1)
+            chosen.append(top if r in chosen else r)
+        want |= {(c, own[r]) for r in chosen}
+    got = match.drawn_controls(spark.createDataFrame(cases, "cid long, s int"), spark.createDataFrame(ctrl, "kid long, s int"), ["s"], 5, 42)
+    got = [(r.cid, r.kid) for r in got.collect()]
+    assert len(got) == len(want) == 750 and set(got) == want
+
+
+def test_full_matching_uses_every_case(spark):
+    from phaseline.plans import statistic_queries
+
+    sf = "/root/testdata/sf0.01"
+    m = statistic_queries._matched_full(spark, sf).groupBy("cid").count().collect()
+    o = statistic_queries._orders(spark, sf)
+    enough = o.where("ep = 0").groupBy("month", "grid").count().where("count >= 5")
+    assert {r["count"] for r in m} == {5} and len(m) == o.where("ep = 1").join(enough, ["month", "grid"]).count()
+
+
 def test_permutation_keeps_strata(spark):
     rows = [("a", i, i * 10) for i in range(7)] + [("b", 7, 99)]
     df = spark.createDataFrame(rows, "s string, u int, v int")
