@@ -1,4 +1,8 @@
-"""Lag diagnostics on a dense daily panel of 1996-1997."""
+"""Lag diagnostics on a dense daily panel.
+
+A query with SQL reads the year 1996 only, as its SQL does; the one of the same
+name with ``_full`` reads the panel from its first day to its last.
+"""
 
 from __future__ import annotations
 
@@ -23,30 +27,81 @@ def _dense(spark, sf_dir):
     return P.dense(S.panel(spark, sf_dir), LO, HI, ["ar", "ep"])
 
 
+def _dense_full(spark, sf_dir):
+    p = S.panel(spark, sf_dir)
+    first, last = p.agg(F.min("d"), F.max("d")).first()
+    return P.dense(p, first or LO, last or HI, ["ar", "ep"])
+
+
 @query(f"WITH {_DENSE} SELECT cell_id, d AS day, t, ar, ep FROM dn")
 def densified_panel(spark, sf_dir):
-    return _dense(spark, sf_dir).withColumnRenamed("d", "day")
+    return _days(_dense(spark, sf_dir))
+
+
+@query()
+def densified_panel_full(spark, sf_dir):
+    return _days(_dense_full(spark, sf_dir))
+
+
+def _days(d):
+    return d.withColumnRenamed("d", "day")
 
 
 @query(f"WITH {_XC} SELECT cell_id, lag, round(r, 6) AS r FROM xc", ints=("lag",))
 def cross_correlation(spark, sf_dir):
-    return L.cross_correlation(_dense(spark, sf_dir), LAGS).select("cell_id", "lag", R(F.col("r")).alias("r"))
+    return _correlations(_dense(spark, sf_dir))
+
+
+@query()
+def cross_correlation_full(spark, sf_dir):
+    return _correlations(_dense_full(spark, sf_dir))
+
+
+def _correlations(d):
+    return L.cross_correlation(d, LAGS).select("cell_id", "lag", R(F.col("r")).alias("r"))
 
 
 @query(f"WITH {_XC}, z AS (SELECT cell_id, lag, CASE WHEN abs(r) > 1e-9 THEN r ELSE 0 END AS r FROM xc) SELECT a.cell_id, a.lag, round((a.r - b.r) / greatest(abs(a.r), abs(b.r), 1e-12), 8) + 0.0 AS s FROM z a JOIN z b ON a.cell_id = b.cell_id AND a.lag = -b.lag AND a.lag > 0", ints=("lag",))
 def directionality(spark, sf_dir):
-    r = L.cross_correlation(_dense(spark, sf_dir), LAGS).withColumn("r", F.when(F.abs("r") > 1e-9, F.col("r")).otherwise(0.0))
+    return _directions(_dense(spark, sf_dir))
+
+
+@query()
+def directionality_full(spark, sf_dir):
+    return _directions(_dense_full(spark, sf_dir))
+
+
+def _directions(d):
+    r = L.cross_correlation(d, LAGS).withColumn("r", F.when(F.abs("r") > 1e-9, F.col("r")).otherwise(0.0))
     return L.directionality(r).select("cell_id", "lag", (R(F.col("s"), 8) + 0.0).alias("s"))
 
 
 @query(f"WITH {_DENSE}, b AS (SELECT cell_id, avg(ar) AS baseline FROM dn GROUP BY 1) SELECT e.cell_id, tau, round(avg(x.ar), 6) AS eta, round(any_value(baseline), 6) AS baseline FROM dn e CROSS JOIN range(-5, 6) q(tau) JOIN dn x ON x.cell_id = e.cell_id AND x.t = e.t - tau JOIN b ON b.cell_id = e.cell_id WHERE e.ep = 1 GROUP BY 1, 2", ints=("tau",))
 def eta(spark, sf_dir):
-    return L.event_average(_dense(spark, sf_dir), 5).select("cell_id", "tau", R(F.col("eta")).alias("eta"), R(F.col("baseline")).alias("baseline"))
+    return _averages(_dense(spark, sf_dir))
+
+
+@query()
+def eta_full(spark, sf_dir):
+    return _averages(_dense_full(spark, sf_dir))
+
+
+def _averages(d):
+    return L.event_average(d, 5).select("cell_id", "tau", R(F.col("eta")).alias("eta"), R(F.col("baseline")).alias("baseline"))
 
 
 @query(f"WITH {_DENSE} SELECT e.cell_id, k AS lag, round(avg(CASE WHEN EXISTS (SELECT 1 FROM dn x WHERE x.cell_id = e.cell_id AND x.ar = 1 AND abs(x.t - e.t) <= k) THEN 1.0 ELSE 0.0 END), 6) AS share FROM dn e CROSS JOIN range(0, 8) q(k) WHERE e.ep = 1 GROUP BY 1, 2", ints=("lag",))
 def hit_cdf(spark, sf_dir):
-    return L.hit_share(_dense(spark, sf_dir), 7).select("cell_id", "lag", R(F.col("share")).alias("share"))
+    return _shares(_dense(spark, sf_dir))
+
+
+@query()
+def hit_cdf_full(spark, sf_dir):
+    return _shares(_dense_full(spark, sf_dir))
+
+
+def _shares(d):
+    return L.hit_share(d, 7).select("cell_id", "lag", R(F.col("share")).alias("share"))
 
 
 _ITER = 60
@@ -62,20 +117,46 @@ mc AS (SELECT rl.cell_id, p, coalesce(n, 0) AS n, coalesce(stop, false) AS conve
 
 @query(f"WITH {_MC} SELECT cell_id, round(p, 6) AS p, n, converged FROM mc", ints=("n",))
 def seq_mc_pvalue(spark, sf_dir):
-    return L.monte_carlo(_dense(spark, sf_dir), _ITER, 42).withColumn("p", R(F.col("p")))
+    return _p_values(_dense(spark, sf_dir), _ITER)
+
+
+@query()
+def seq_mc_pvalue_full(spark, sf_dir):
+    return _p_values(_dense_full(spark, sf_dir), _ITER)
+
+
+def _p_values(d, iterations):
+    return L.monte_carlo(d, iterations, 42).withColumn("p", R(F.col("p")))
 
 
 @query(f"WITH {_XC}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc) SELECT cell_id, lag, round(r, 6) AS r FROM top WHERE o = 1", ints=("lag",))
 def strongest_lag(spark, sf_dir):
-    return L.strongest(L.cross_correlation(_dense(spark, sf_dir), LAGS)).select("cell_id", "lag", R(F.col("r")).alias("r"))
+    return _strongest(_dense(spark, sf_dir))
+
+
+@query()
+def strongest_lag_full(spark, sf_dir):
+    return _strongest(_dense_full(spark, sf_dir))
+
+
+def _strongest(d):
+    return L.strongest(L.cross_correlation(d, LAGS)).select("cell_id", "lag", R(F.col("r")).alias("r"))
 
 
 @query(f"WITH {_XC}, {_MC[len(_DENSE) + 2:]}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc), k AS (SELECT cell_id, count(DISTINCT ar) > 1 AND count(DISTINCT ep) > 1 AS ok FROM dn GROUP BY 1) SELECT cell_id, CASE WHEN ok THEN lag END AS lag, CASE WHEN ok THEN round(r, 6) END AS r, CASE WHEN ok THEN round(p, 6) END AS p FROM top JOIN mc USING (cell_id) JOIN k USING (cell_id) WHERE o = 1", ints=("lag",))
 def point_diagnostics(spark, sf_dir):
+    return _diagnostics(_dense(spark, sf_dir), _ITER)
+
+
+@query()
+def point_diagnostics_full(spark, sf_dir):
+    return _diagnostics(_dense_full(spark, sf_dir), _ITER)
+
+
+def _diagnostics(d, iterations):
     """Strongest lag and Monte-Carlo p of every cell; NULL where a series is constant."""
-    d = _dense(spark, sf_dir)
     top = L.strongest(L.cross_correlation(d, LAGS))
     ok = d.groupBy("cell_id").agg(((F.min("ar") < F.max("ar")) & (F.min("ep") < F.max("ep"))).alias("ok"))
-    mc = L.monte_carlo(d, _ITER, 42)
+    mc = L.monte_carlo(d, iterations, 42)
     j = top.join(mc.select("cell_id", "p"), "cell_id").join(ok, "cell_id")
     return j.select("cell_id", F.when(F.col("ok"), F.col("lag")).alias("lag"), F.when(F.col("ok"), R(F.col("r"))).alias("r"), F.when(F.col("ok"), R(F.col("p"))).alias("p"))

@@ -150,6 +150,41 @@ def test_cross_correlation(spark):
     assert lagdiag.strongest(tie).first().lag == -2
 
 
+def test_full_lag_queries_read_every_day(spark):
+    """Events, exposures and lag sums of the whole panel against plain ones."""
+    from phaseline.plans import lag_queries, standins
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.cell_id, r.d, r.ar, r.ep) for r in standins.panel(spark, sf).collect()]
+    first, last = min(r[1] for r in rows), max(r[1] for r in rows)
+    n = (last - first).days + 1
+    dense = lag_queries.densified_panel_full(spark, sf)
+    assert dense.count() == n * len({r[0] for r in rows}) and dense.agg(F.sum("ar"), F.sum("ep")).first()[:] == (sum(r[2] for r in rows), sum(r[3] for r in rows))
+    x = {c: np.zeros((2, n)) for c, *_ in rows}
+    for c, d, a, e in rows:
+        x[c][:, (d - first).days] = a, e
+    near, share, mean = {}, {}, {}
+    for c, (a, e) in x.items():
+        for k in range(-15, 16):
+            if a.std() * e.std():
+                lo, hi = max(0, -k), min(n, n - k)
+                near[c, k] = ((a[lo + k : hi + k] - a.mean()) * (e[lo:hi] - e.mean())).sum() / (n * a.std() * e.std())
+        at, on = np.flatnonzero(e), np.flatnonzero(a)
+        for k in range(8):
+            if len(at):
+                share[c, k] = np.mean([len(on) > 0 and abs(on - t).min() <= k for t in at])
+        for k in range(-5, 6):
+            own = [a[t - k] for t in at if 0 <= t - k < n]
+            if own:
+                mean[c, k] = np.mean(own)
+    for r in lag_queries.cross_correlation_full(spark, sf).collect():
+        assert abs(r.r - near.get((r.cell_id, r.lag), 0)) < 2e-6
+    got = {(r.cell_id, r.lag): r.share for r in lag_queries.hit_cdf_full(spark, sf).collect()}
+    assert got.keys() == share.keys() and all(abs(got[k] - v) < 2e-6 for k, v in share.items())
+    got = {(r.cell_id, r.tau): r.eta for r in lag_queries.eta_full(spark, sf).collect()}
+    assert got.keys() == mean.keys() and all(abs(got[k] - v) < 2e-6 for k, v in mean.items())
+
+
 def test_nearest_labels(spark):
     labels = spark.createDataFrame([(dt.date(2000, 1, 1), "a"), (dt.date(2000, 1, 11), "b")], "day date, phase string")
     times = spark.createDataFrame([(dt.date(2000, 1, d),) for d in (1, 5, 6, 7, 30)] + [(dt.date(1999, 1, 1),)], "d date")
