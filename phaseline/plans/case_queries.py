@@ -113,10 +113,10 @@ pb AS (SELECT it, m, day AS src, row_number() OVER (PARTITION BY it, m ORDER BY
 pm AS (SELECT it, day, src FROM pa JOIN pb USING (it, m, r))"""
 
 
-def _time_permutation(spark, sf_dir):
+def _time_permutation(spark, sf_dir, times=5):
     """(iter, d, src): one permutation of days within calendar months, shared by all cells."""
     t = S.panel(spark, sf_dir).select(F.col("d").alias("unit")).distinct().withColumn("m", F.month("unit")).withColumn("src", F.col("unit"))
-    return match.permuted(t, "src", ["m"], "unit", 5, 42).select("iter", F.col("unit").alias("d"), "src")
+    return match.permuted(t, "src", ["m"], "unit", times, 42).select("iter", F.col("unit").alias("d"), "src")
 
 
 @query(f"WITH {S.PANEL}, {_PERM} SELECT it AS iter, day, src FROM pm", ints=("iter",))
@@ -124,13 +124,28 @@ def calendar_month_permutation(spark, sf_dir):
     return _time_permutation(spark, sf_dir).select("iter", F.col("d").alias("day"), "src")
 
 
+@query()
+def calendar_month_permutation_full(spark, sf_dir):
+    """The reference's twenty shuffles."""
+    return _time_permutation(spark, sf_dir, 20).select("iter", F.col("d").alias("day"), "src")
+
+
 @query(f"""WITH {S.PANEL}, {_PERM}, x AS (SELECT it, p.cell_id, p.d, p.ep, coalesce(q.ar, 0) AS ar FROM panel p JOIN pm ON p.d = pm.day LEFT JOIN panel q ON q.cell_id = p.cell_id AND q.d = pm.src AND q.ar = 1),
 st AS (SELECT it, cell_id, month(x.d) AS m, sum(ep * ar) AS c1, sum(ep * (1 - ar)) AS c0, sum((1 - ep) * ar) AS k1, sum((1 - ep) * (1 - ar)) AS k0 FROM x GROUP BY 1, 2, 3)
 SELECT it AS iter, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01, round((sum(c1 * k0) + 0.5::DOUBLE) / (sum(c0 * k1) + 0.5::DOUBLE), 6) AS "or" FROM st GROUP BY 1""", ints=("iter",))
 def placebo_month_shuffle(spark, sf_dir):
+    return _month_shuffle(spark, sf_dir, 5)
+
+
+@query()
+def placebo_month_shuffle_full(spark, sf_dir):
+    return _month_shuffle(spark, sf_dir, 20)
+
+
+def _month_shuffle(spark, sf_dir, times):
     p = S.panel(spark, sf_dir)
     x = p.where("ar = 1").select("cell_id", F.col("d").alias("src"), "ar")
-    d = p.select("cell_id", "d", "ep").join(_time_permutation(spark, sf_dir), "d").join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
+    d = p.select("cell_id", "d", "ep").join(_time_permutation(spark, sf_dir, times), "d").join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
     return match.pooled(match.discordant_all(d, ["iter", "cell_id"], _month()), ["iter"]).select("iter", "n10", "n01", R(F.col("or")).alias("or"))
 
 

@@ -104,7 +104,8 @@ def _shares(d):
     return L.hit_share(d, 7).select("cell_id", "lag", R(F.col("share")).alias("share"))
 
 
-_ITER = 60
+#: Iterations of the queries with SQL, and of those with ``_full``: the reference's cap a cell.
+_ITER, _ITER_FULL = 60, 500
 _MC = _DENSE + f""", pa AS (SELECT it, cell_id, strftime(d, '%Y-%m') AS ym, d, ep, row_number() OVER (PARTITION BY it, cell_id, strftime(d, '%Y-%m') ORDER BY d) AS r FROM dn, range(0, {_ITER}) q(it)),
 pb AS (SELECT it, cell_id, strftime(d, '%Y-%m') AS ym, ar, row_number() OVER (PARTITION BY it, cell_id, strftime(d, '%Y-%m') ORDER BY md5(concat_ws('|', '42', it, d)), d) AS r FROM dn, range(0, {_ITER}) q(it)),
 sm AS (SELECT it, cell_id, sum(ar) AS stat FROM pa JOIN pb USING (it, cell_id, ym, r) WHERE ep = 1 GROUP BY 1, 2),
@@ -122,7 +123,7 @@ def seq_mc_pvalue(spark, sf_dir):
 
 @query()
 def seq_mc_pvalue_full(spark, sf_dir):
-    return _p_values(_dense_full(spark, sf_dir), _ITER)
+    return _p_values(_dense_full(spark, sf_dir), _ITER_FULL)
 
 
 def _p_values(d, iterations):
@@ -150,7 +151,7 @@ def point_diagnostics(spark, sf_dir):
 
 @query()
 def point_diagnostics_full(spark, sf_dir):
-    return _diagnostics(_dense_full(spark, sf_dir), _ITER)
+    return _diagnostics(_dense_full(spark, sf_dir), _ITER_FULL)
 
 
 def _diagnostics(d, iterations):

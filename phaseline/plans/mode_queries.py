@@ -159,7 +159,8 @@ def phase_pair_diff(spark, sf_dir):
     return c.select("mode", "phase1", "phase2", *(R(F.col(f"d_{m}")).alias(f"d_{m}") for m in _DIFF))
 
 
-_REPS = 40
+#: Repetitions of the queries with SQL, and of those with ``_full``: the reference's.
+_REPS, _REPS_FULL = 40, 500
 
 
 def _boot_sql(blocks: str, keys: list[str], metrics: list[str]) -> str:
@@ -176,8 +177,17 @@ bt AS (SELECT {k}, phase1, phase2, metric, avg(x) AS mean, quantile_cont(x, 0.02
 
 @query(f"WITH {_BLOCKS}, {_boot_sql('bl', ['mode'], _DIFF)} SELECT mode, phase1, phase2, metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p FROM bt")
 def block_bootstrap_diff(spark, sf_dir):
+    return _bootstrap(spark, sf_dir, _REPS)
+
+
+@query()
+def block_bootstrap_diff_full(spark, sf_dir):
+    return _bootstrap(spark, sf_dir, _REPS_FULL)
+
+
+def _bootstrap(spark, sf_dir, reps):
     b = counts.contingency(_phased(spark, sf_dir), ["mode", "phase", "ym"])
-    t = modes.bootstrap_contrasts(b, ["mode"], _REPS, 42, _DIFF)
+    t = modes.bootstrap_contrasts(b, ["mode"], reps, 42, _DIFF)
     return t.select("mode", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
 
 
@@ -211,10 +221,10 @@ ef AS (SELECT mode, lag, phase1, phase2, CAST(sum(abs(s)) AS BIGINT) AS score, m
 er AS (SELECT *, row_number() OVER (ORDER BY score DESC, min_q, daf DESC, drd DESC, dpaf DESC, mode, lag, phase1, phase2) AS place FROM ef)"""
 
 
-def _effects(spark, sf_dir):
+def _effects(spark, sf_dir, reps=_REPS):
     """Contrasts of every lag with q values, as one row a comparison: score, direction, sizes."""
     blocks = _scan(spark, sf_dir, ["ym"]).drop("n_time")
-    t = modes.bootstrap_contrasts(blocks, ["mode", "lag"], _REPS, 42, _RANKM)
+    t = modes.bootstrap_contrasts(blocks, ["mode", "lag"], reps, 42, _RANKM)
     t = t.select("mode", "lag", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
     t = fdr.q_values(t, "p", by=["metric"]).withColumn("q", R(F.col("q")))
     sure = F.col("q") < 0.05
@@ -236,16 +246,43 @@ def _order():
 @query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score, min_q, direction, daf, drd, dpaf, place FROM er", ints=("place",))
 def effect_ranking(spark, sf_dir):
     """One global order; the table has a row a comparison and lag, so one task orders it."""
-    return _effects(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))
+    return _placed(_effects(spark, sf_dir))
+
+
+@query()
+def effect_ranking_full(spark, sf_dir):
+    return _placed(_effects(spark, sf_dir, _REPS_FULL))
+
+
+def _placed(e):
+    return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))
 
 
 @query(f"WITH {_EFFECT} SELECT mode, phase1, phase2, lag, score, direction FROM (SELECT *, row_number() OVER (PARTITION BY mode, phase1, phase2 ORDER BY place) AS o FROM er) WHERE o = 1")
 def best_lag(spark, sf_dir):
+    return _best(_effects(spark, sf_dir))
+
+
+@query()
+def best_lag_full(spark, sf_dir):
+    return _best(_effects(spark, sf_dir, _REPS_FULL))
+
+
+def _best(e):
     w = Window.partitionBy("mode", "phase1", "phase2").orderBy(*_order()[:5], "lag")
-    return _effects(spark, sf_dir).withColumn("_o", F.row_number().over(w)).where("_o = 1").select("mode", "phase1", "phase2", "lag", "score", "direction")
+    return e.withColumn("_o", F.row_number().over(w)).where("_o = 1").select("mode", "phase1", "phase2", "lag", "score", "direction")
 
 
 @query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score FROM er WHERE place <= 40")
 def ranking_top40(spark, sf_dir):
     """The report's first forty lines: a top-k."""
-    return _effects(spark, sf_dir).orderBy(*_order()).limit(40).select("mode", "lag", "phase1", "phase2", "score")
+    return _top40(_effects(spark, sf_dir))
+
+
+@query()
+def ranking_top40_full(spark, sf_dir):
+    return _top40(_effects(spark, sf_dir, _REPS_FULL))
+
+
+def _top40(e):
+    return e.orderBy(*_order()).limit(40).select("mode", "lag", "phase1", "phase2", "score")

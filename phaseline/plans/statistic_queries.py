@@ -239,8 +239,8 @@ def perturbation_test(spark, sf_dir):
 
 @query()
 def perturbation_test_full(spark, sf_dir):
-    """The same over the matched rows of every case."""
-    return _perturbed(_matched_full(spark, sf_dir), 50)
+    """The same over the matched rows of every case, 500 times."""
+    return _perturbed(_matched_full(spark, sf_dir), 500)
 
 
 def _perturbed(m, times):

@@ -201,6 +201,26 @@ def test_phases(spark):
     assert [tuple(r) for r in m.select(modes.coarse_phase(F.col("a"), F.col("p")), modes.detailed_phase(F.col("a"), F.col("p"))).collect()] == [("Inactive", "Inactive"), ("Active_1to4", "Phase_4"), ("Active_5to8", "Phase_5"), (None, None), (None, None)]
 
 
+def test_full_queries_repeat_as_often_as_the_reference(spark, monkeypatch):
+    from phaseline.plans import registry
+
+    sf, q = "/root/testdata/sf0.001", registry.queries()
+    assert q["placebo_month_shuffle_full"](spark, sf).count() == 20
+    assert q["calendar_month_permutation_full"](spark, sf).agg(F.count_distinct("iter")).first()[0] == 20
+    first = q["placebo_month_shuffle"](spark, sf).collect()  # more shuffles leave the first ones as they were
+    assert sorted(first) == sorted(q["placebo_month_shuffle_full"](spark, sf).where("iter < 5").collect())
+    assert q["perturbation_test_full"](spark, sf).first().n == 500
+    p = [r.p * 250 for r in q["block_bootstrap_diff_full"](spark, sf).collect() if r.p < 1]
+    assert any(abs(x - round(x)) < 1e-3 and round(x) % 12.5 for x in p)
+    asked = []
+    real = modes.bootstrap_contrasts
+    monkeypatch.setattr(modes, "bootstrap_contrasts", lambda b, k, n, *a: asked.append(n) or real(b, k, n, *a))
+    monkeypatch.setattr(lagdiag, "monte_carlo", lambda d, n, *a, f=lagdiag.monte_carlo: asked.append(n) or f(d, n, *a))
+    for name in ("block_bootstrap_diff", "effect_ranking", "best_lag", "ranking_top40", "seq_mc_pvalue", "point_diagnostics"):
+        q[f"{name}_full"](spark, sf)
+    assert asked == [500] * 6
+
+
 def test_bootstrap_of_equal_phases(spark):
     rows = [("m", p, dt.date(2000, 1 + i % 12, 1), 5, 5, 5, 5) for p in ("Positive", "Negative") for i in range(6)]
     b = spark.createDataFrame(rows, "mode string, phase string, ym date, a long, b long, c long, d long")
