@@ -75,12 +75,16 @@ _IDX = f"{S.PANEL}, {S.MONTHLY}, j AS (SELECT mode, cell_id, lat, lon, value, ar
 _CORR = f"{_IDX}, g AS (SELECT mode, cell_id, any_value(lat) AS lat, any_value(lon) AS lon, count(*) AS n, CAST(sum(joint) AS BIGINT) AS k, corr(joint, value) AS r FROM j GROUP BY 1, 2), gr AS (SELECT mode, cell_id, lat, lon, n, k, CASE WHEN n >= 30 AND k >= 3 AND NOT isnan(r) THEN r END AS r FROM g)"
 
 
-def _correlated(spark, sf_dir):
+#: Joint events that a correlation needs: in queries with SQL, and in the others (the survey's).
+_JOINT, _JOINT_FULL = 3, 10
+
+
+def _correlated(spark, sf_dir, joint=_JOINT):
     """Point-biserial r of joint events and each monthly index; NULL under the smallest sample."""
     p = S.panel(spark, sf_dir).withColumn("ym", F.trunc("d", "MM")).withColumn("joint", F.col("ar") * F.col("ep"))
     j = p.join(S.monthly_index(spark, sf_dir), "ym")
     g = j.groupBy("mode", "cell_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.sum("joint").alias("k"), F.corr(F.col("joint").cast("double"), "value").alias("r"))
-    return g.withColumn("r", F.when((F.col("n") >= 30) & (F.col("k") >= 3) & ~F.isnan("r"), F.col("r")))
+    return g.withColumn("r", F.when((F.col("n") >= 30) & (F.col("k") >= joint) & ~F.isnan("r"), F.col("r")))
 
 
 @query(f"WITH {_CORR} SELECT mode, cell_id, n, k, round(r, 6) AS r FROM gr")
@@ -88,31 +92,71 @@ def point_biserial(spark, sf_dir):
     return _correlated(spark, sf_dir).select("mode", "cell_id", "n", "k", R(F.col("r")).alias("r"))
 
 
+@query()
+def point_biserial_full(spark, sf_dir):
+    return _correlated(spark, sf_dir, _JOINT_FULL).select("mode", "cell_id", "n", "k", R(F.col("r")).alias("r"))
+
+
+def _with_p(c):
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    return c.withColumn("p", student_two_sided(t, F.col("n") - 2))
+
+
 @query()
 def point_biserial_p(spark, sf_dir):
     """Two-sided p of each correlation; checked against exact tails in the tests."""
-    c = _correlated(spark, sf_dir)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return c.select("mode", "cell_id", R(F.col("r")).alias("r"), R(student_two_sided(t, F.col("n") - 2)).alias("p"))
+    return _with_p(_correlated(spark, sf_dir, _JOINT_FULL)).select("mode", "cell_id", R(F.col("r")).alias("r"), R(F.col("p")).alias("p"))
 
 
 @query(f"WITH {_CORR}, o AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC NULLS LAST, CASE mode WHEN 'ENSO' THEN 0 WHEN 'MJO' THEN 1 WHEN 'AO' THEN 2 ELSE 3 END) AS o FROM gr) SELECT cell_id, CASE WHEN r IS NULL OR r = 0 THEN 'no-dominant' ELSE mode END AS mode, round(r, 6) AS r FROM o WHERE o = 1")
 def dominant_mode(spark, sf_dir):
-    """The mode of the largest absolute correlation; ties go by a fixed order of modes."""
+    """The mode of the largest absolute correlation, without masks, as in the SQL; ties go by a fixed order of modes."""
+    return _dominant(_correlated(spark, sf_dir))
+
+
+@query()
+def dominant_mode_full(spark, sf_dir):
+    """The same among correlations that pass the FDR mask of their mode; no-dominant where none does."""
+    return _dominant(_masked(_with_p(_correlated(spark, sf_dir, _JOINT_FULL))))
+
+
+def _masked(c, alpha=0.05):
+    return fdr.significant(c, "p", alpha, ["mode"]).withColumn("r", F.when(F.col("sig"), F.col("r")))
+
+
+def _dominant(c):
     place = F.when(F.col("mode") == "ENSO", 0).when(F.col("mode") == "MJO", 1).when(F.col("mode") == "AO", 2).otherwise(3)
-    c = P.keep_one(_correlated(spark, sf_dir), ["cell_id"], [F.coalesce(-F.round(F.abs("r"), 9), F.lit(9.0)), place])
+    c = P.keep_one(c, ["cell_id"], [F.coalesce(-F.round(F.abs("r"), 9), F.lit(9.0)), place])
     return c.select("cell_id", F.when(F.col("r").isNull() | (F.col("r") == 0), "no-dominant").otherwise(F.col("mode")).alias("mode"), R(F.col("r")).alias("r"))
 
 
 @query(f"WITH {_CORR}, {S.REGION_TABLE} SELECT mode, region, round(avg(r), 6) AS r, count(r) AS n FROM gr JOIN regions ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY 1, 2")
 def region_mean_corr(spark, sf_dir):
-    c = P.with_regions(_correlated(spark, sf_dir), S.regions(spark))
+    return _region_means(spark, _correlated(spark, sf_dir))
+
+
+@query()
+def region_mean_corr_full(spark, sf_dir):
+    return _region_means(spark, _correlated(spark, sf_dir, _JOINT_FULL))
+
+
+def _region_means(spark, c):
+    c = P.with_regions(c, S.regions(spark))
     return c.groupBy("mode", "region").agg(R(F.avg("r")).alias("r"), F.count("r").alias("n"))
 
 
 @query(f"WITH {_CORR} SELECT mode, count(*) AS cells, count(*) FILTER (WHERE n >= 30 AND k >= 3) AS enough FROM gr GROUP BY 1")
 def min_sample_filter(spark, sf_dir):
-    return _correlated(spark, sf_dir).groupBy("mode").agg(F.count(F.lit(1)).alias("cells"), F.count_if((F.col("n") >= 30) & (F.col("k") >= 3)).alias("enough"))
+    return _enough(_correlated(spark, sf_dir), _JOINT)
+
+
+@query()
+def min_sample_filter_full(spark, sf_dir):
+    return _enough(_correlated(spark, sf_dir, _JOINT_FULL), _JOINT_FULL)
+
+
+def _enough(c, joint):
+    return c.groupBy("mode").agg(F.count(F.lit(1)).alias("cells"), F.count_if((F.col("n") >= 30) & (F.col("k") >= joint)).alias("enough"))
 
 
 def _design(spark, sf_dir):

@@ -221,6 +221,18 @@ def test_full_queries_repeat_as_often_as_the_reference(spark, monkeypatch):
     assert asked == [500] * 6
 
 
+def test_dominant_mode_is_masked(spark):
+    """Of a mode's correlations only those count that pass its FDR mask, however large the others are."""
+    from phaseline.plans import statistic_queries as Q
+
+    rows = [("ENSO", 1, 100, 20, 0.5), ("AO", 1, 100, 20, -0.1), ("PDO", 1, 30, 20, None), ("ENSO", 2, 100, 20, 0.1), ("AO", 2, 30, 20, 0.3), ("AO", 3, 100, 20, -0.6), ("ENSO", 3, 100, 20, 0.02)]
+    c = Q._with_p(spark.createDataFrame(rows, "mode string, cell_id long, n long, k long, r double"))
+    assert {r.cell_id: (r["mode"], r.r) for r in Q._dominant(Q._masked(c)).collect()} == {1: ("ENSO", 0.5), 2: ("no-dominant", None), 3: ("AO", -0.6)}
+    for name in ("point_biserial_full", "point_biserial_p"):
+        few = getattr(Q, name)(spark, "/root/testdata/sf0.01").join(Q.point_biserial(spark, "/root/testdata/sf0.01").select("mode", "cell_id", F.col("k").alias("joint")), ["mode", "cell_id"]).where("joint < 10")
+        assert few.count() and not few.where("r is not null").count()
+
+
 def test_bootstrap_of_equal_phases(spark):
     rows = [("m", p, dt.date(2000, 1 + i % 12, 1), 5, 5, 5, 5) for p in ("Positive", "Negative") for i in range(6)]
     b = spark.createDataFrame(rows, "mode string, phase string, ym date, a long, b long, c long, d long")
