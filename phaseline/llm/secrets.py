@@ -38,7 +38,8 @@ HARMLESS = {"count", "length", "len", "size", "max", "min", "limit", "type", "na
 PLACEHOLDERS = {"true", "false", "null", "none", "nil", "undefined", "changeme", "example", "placeholder", "redacted", "todo", "password", "secret", "token"}
 LEAST_SCORE = 4.0
 
-_HINT = re.compile("|".join(sorted(w for w, n in SENSITIVE.items() if n > 1) + ["key", "auth"]), re.I)
+#: A text in which none of these stands has no name that scores.
+_HINT = re.compile("|".join(sorted(SENSITIVE)), re.I)
 _NAME = r"[A-Za-z_$][\w$.-]*+"
 _ITEM = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`|[^\s"'`,;#(){}\[\]<>+]++"""
 _PAIR = re.compile(rf"""(?<![\w$.-])({_NAME})["'\]]{{0,2}}[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+({_ITEM})((?:[ \t]*+\+[ \t]*+(?:{_ITEM}))*+)""")

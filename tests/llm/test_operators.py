@@ -51,6 +51,14 @@ def test_secret_constants_reach_sensitive_names():
     assert secrets.scan_text("tokens ſecret = abcdefgh") == []  # letters of ASCII only
 
 
+def test_names_of_light_words_need_no_other_word():
+    """A pair's verdict doesn't depend on words elsewhere in the text."""
+    for name in ("api_access", "private_access", "signingAccess"):
+        pair = f'{name} = "Zq8$Lm2#Xv9!Tb4@"'
+        alone, beside = secrets.scan_text(pair), secrets.scan_text(f"{pair}\nthe author")
+        assert [f[0] for f in alone] == ["literal"] and alone == beside
+
+
 # ---------------------------------------------------------------- op2
 
 
