@@ -64,8 +64,7 @@ def literal_score(literal: str) -> float:
     kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search(r"\d", literal), re.search(r"[^A-Za-z0-9\s]", literal))))
     if any(c.isspace() for c in literal) and kinds < 3:
         return 0.0
-    sample = literal if n <= 4096 else literal[:2048] + literal[-2048:]
-    entropy = -sum(c / len(sample) * math.log2(c / len(sample)) for c in Counter(sample).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     return (n >= 12) * 0.5 + (kinds - 1) * 0.5 + max(0.0, entropy - 2.0) * 0.5
 
 

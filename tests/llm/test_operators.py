@@ -59,6 +59,13 @@ def test_names_of_light_words_need_no_other_word():
         assert [f[0] for f in alone] == ["literal"] and alone == beside
 
 
+def test_long_literals_are_judged_whole():
+    """Padding at both ends of a long literal doesn't hide its middle."""
+    middle = hashlib.sha512(b"x").hexdigest().upper() * 40
+    found = secrets.scan_text(f'cred = "{"xy" * 1100}{middle}{"xy" * 1100}"')
+    assert [f[0] for f in found] == ["literal"]
+
+
 # ---------------------------------------------------------------- op2
 
 
