@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that over a tenth of their source's documents share."""
-    out = linededup.drop_boilerplate(docs, "text", "source")
+    """Documents without the lines that over a twentieth of their source's documents, and at least five, share."""
+    out = linededup.drop_boilerplate(docs, "text", "source", 5)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

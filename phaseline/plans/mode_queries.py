@@ -41,9 +41,19 @@ _TIMES = f"{S.PANEL}, {S.LABELS}"
 
 @query(f"WITH {_TIMES}, dm AS (SELECT key AS day, phase FROM labels WHERE mode = 'MJO' AND day(key) % 7 = 0), t AS (SELECT DISTINCT panel.d AS day FROM panel), n AS (SELECT t.day, dm.phase, row_number() OVER (PARTITION BY t.day ORDER BY abs(date_diff('day', t.day, dm.day)), dm.day DESC) AS o FROM t CROSS JOIN dm) SELECT day, phase FROM n WHERE o = 1")
 def asof_nearest_label(spark, sf_dir):
+    """Among the labels of every seventh day of a month, as in the SQL; ``asof_nearest_label_full`` has all."""
     sparse = S.labels(spark, sf_dir).where("mode = 'MJO' and day(key) % 7 = 0").select(F.col("key").alias("day"), "phase")
+    return _nearest(spark, sf_dir, sparse)
+
+
+@query()
+def asof_nearest_label_full(spark, sf_dir):
+    return _nearest(spark, sf_dir, S.labels(spark, sf_dir).where("mode = 'MJO'").select(F.col("key").alias("day"), "phase"))
+
+
+def _nearest(spark, sf_dir, labels):
     times = S.panel(spark, sf_dir).select(F.col("d")).distinct()
-    return modes.nearest_labels(times, sparse).select(F.col("d").alias("day"), "phase")
+    return modes.nearest_labels(times, labels).select(F.col("d").alias("day"), "phase")
 
 
 @query(f"WITH {_TIMES} SELECT panel.d AS day, cell_id, phase FROM panel LEFT JOIN mphase ON mphase.mode = 'AO' AND CAST(date_trunc('month', panel.d) AS DATE) = ym")

@@ -9,6 +9,14 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def test_lines_over_a_twentieth_go(spark):
+    """A line of 8 in 100 documents of a source goes; one of 5 stays."""
+    made = [(i, f"own {i}\n" + ("eight" if i < 8 else "five" if i < 13 else f"other {i}"), "s", 0) for i in range(100)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long")
+    out = " ".join(r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect())
+    assert "eight" not in out and out.count("five") == 5
+
+
 def test_pipeline(spark, docs, tmp_path):
     import tiktoken
 

@@ -194,6 +194,15 @@ def test_nearest_labels(spark):
     assert near["2000-01-30"] is None and near["1999-01-01"] is None and near["2000-01-06"] == "b"
 
 
+def test_full_nearest_labels_use_every_label(spark):
+    from phaseline.plans import mode_queries, standins
+
+    sf = "/root/testdata/sf0.001"
+    labels = {r.key: r.phase for r in standins.labels(spark, sf).where("mode = 'MJO'").collect()}
+    got = {r.day: r.phase for r in mode_queries.asof_nearest_label_full(spark, sf).collect()}
+    assert got == {d: labels[min(labels, key=lambda k: (abs((k - d).days), -k.toordinal()))] for d in got}
+
+
 def test_phases(spark):
     d = spark.createDataFrame([(0.5,), (-0.5,), (0.51,), (-0.51,), (None,)], "v double")
     assert [r[0] for r in d.select(modes.phase_of(F.col("v"))).collect()] == ["Neutral", "Neutral", "Positive", "Negative", None]
