@@ -1,29 +1,36 @@
-"""Exact removal of long repeats by range-partitioned suffixes.
+"""Exact removal of long repeats by range-partitioned suffixes, confirmed byte by byte.
 
 A byte goes if some ``length``-byte string that covers it also starts anywhere
-else in the corpus.  Matches never cross documents.
+else in the corpus.  Beside that, passages of ``words`` words that another
+document also has are counted, however their words are spaced.  Matches never
+cross documents.
 
 * Exact copies first: texts are grouped by digest with a combine on the map
   side, so a group of copies costs one text a task and is processed once.
 * Only suffixes that can start a repeat are sorted.  Winnowing picks anchors so
-  that every ``length``-byte string holds one with its whole gram, at a place that
-  depends on the string alone; a string can repeat only if its anchor does.  Anchors go to owners by hash, once a
-  block, and one bit each comes back.
-* A suffix's first ``length`` bytes are three tokens of 32 bits, fingerprints of
-  overlapping thirds.  Suffixes are range-partitioned on the leading token by
-  sampled splitters, each block sending every distinct suffix once; a bucket is
-  sorted by multikey quicksort and neighbours are compared.  A splitter always
-  lies between two values of the leading token, so suffixes that agree never
-  stand on two sides of a boundary; each bucket checks its own bounds.
-  Ninety-six bits make a false match improbable at any corpus size here.
-* Blocks turn the returned bits into covered bytes.
+  that every string holds one with its whole gram, at a place that depends on
+  the string alone; a string can repeat only if its anchor does.  Anchors go to
+  owners by hash, once a block, and one bit each comes back.
+* Those suffixes are range-partitioned by their leading four bytes, and where
+  these tie by a 64-bit fingerprint of the whole string, with sampled splitters;
+  each block sends every distinct suffix once.  A bucket is sorted by multikey
+  quicksort and neighbours are compared.  A splitter lies between two values of
+  the whole key, so suffixes that agree never stand on two sides of a boundary,
+  and each bucket compares its ends with the splitters beside it.
+* What agrees by fingerprint is confirmed on text: runs of such strings around
+  one anchor are sent as text, each distinct one once a block, to the anchor's
+  owner, which sorts their strings and compares neighbours byte by byte (ties of
+  unequal strings are sorted by their bytes).  So no false match is possible.
+* Blocks turn the confirmed bits into covered bytes and words.
 
 No step holds more than a block of texts or a bucket of suffixes, and a string
 that occurs everywhere costs one row a block.
 
 Defined cases: null and empty texts lose nothing (``kept_sha256`` is the digest
 of no bytes); null and repeated keys keep their rows, each judged by its text;
-an empty table gives an empty result; other columns are ignored.
+a very long text is a block of its own and is cut at no place; of equal texts
+each loses all its bytes if it has ``length`` of them; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,16 +47,20 @@ from . import common as C
 
 #: Text of a block, of a working chunk, and sizes of buckets in bytes.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 8 << 20
-#: Leading tokens sampled for the splitters, at most about so many.
-SAMPLED = 65_536
+#: Suffixes sampled for each splitter, and at least; splitters that the driver picks at most.
+SAMPLED_EACH, SAMPLED, SPLITTERS = 8, 65_536, 1 << 20
 _M = 0x9E3779B97F4A7C15
 _M_INVERSE = pow(_M, -1, 1 << 64)
+#: Keeps keys of strings of words apart from those of strings of bytes.
+_WORDS = np.uint64(0xA0761D6478BD642F)
+BYTES, WORDS = 0, 1
 
 
 class Rolling:
-    """Fingerprints of all windows of one byte string."""
+    """Fingerprints of all windows of one byte string; each sees every byte."""
 
     powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    table = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M))
 
     def __init__(self, t: np.ndarray):
         n = len(t) + 1
@@ -57,12 +68,11 @@ class Rolling:
             m = np.full(n, _M, np.uint64), np.full(n, _M_INVERSE, np.uint64)
             m[0][0] = m[1][0] = 1
             Rolling.powers = tuple(map(np.cumprod, m))
-        table = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(table[t] * Rolling.powers[0][: n - 1], out=self.sums[1:])
+        np.cumsum(Rolling.table[t] * Rolling.powers[0][: n - 1], out=self.sums[1:])
 
-    def at(self, p: np.ndarray | slice, size: int) -> np.ndarray:
-        """Fingerprints of the windows of ``size`` bytes starting at ``p``."""
+    def at(self, p: np.ndarray | slice, size) -> np.ndarray:
+        """Fingerprints of the windows of ``size`` bytes (one number or one a window) starting at ``p``."""
         if isinstance(p, slice):
             n = len(self.sums) - size
             return C.mix64((self.sums[size:] - self.sums[:n]) * Rolling.powers[1][:n])
@@ -70,7 +80,7 @@ class Rolling:
 
 
 def valid_starts(ends: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Whether a window of ``size`` bytes from each position stays in its document."""
+    """Whether a window of ``size`` units from each unit stays in its document."""
     ok = np.zeros(n, bool)
     begin = 0
     for e in ends.tolist():
@@ -91,51 +101,86 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : n + w - 1])
 
 
+def word_bounds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of a string whose words stand one blank apart."""
+    if not len(t):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(t == 32)
+    return np.concatenate([[0], gaps + 1]), np.append(gaps, len(t))
+
+
 class Chunk:
-    """Anchors and suffixes of some concatenated documents."""
-
-    def __init__(self, texts: list[bytes], length: int):
-        self.length, self.gram = length, length // 2
-        t = np.frombuffer(b"".join(texts), np.uint8)
-        self.ends = np.cumsum([len(x) for x in texts])
-        roll = Rolling(t)
-        self.starts = np.flatnonzero(valid_starts(self.ends, len(t), length)).astype(np.int32)
-        anchors, self.anchor_of = self._anchors(roll, len(t))
-        self.keys = roll.at(anchors, self.gram)
-
-    def _anchors(self, roll: Rolling, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the anchors, and the anchor of the string at each of ``starts``."""
+    """Anchors and strings of some concatenated documents: ``size`` bytes from every byte, or ``size`` words from every word."""
+
+    def __init__(self, texts: list[bytes], kind: int, size: int):
+        self.kind, self.size, gram = kind, size, size // 2
+        if kind == WORDS:
+            texts = [b" ".join(x.split()) for x in texts]
+            self.joined = b" ".join(x for x in texts if x)
+            t = np.frombuffer(self.joined, np.uint8)
+            self.first, self.last = word_bounds(t)
+            self.ends = np.cumsum([x.count(b" ") + 1 if x else 0 for x in texts])
+            n = len(self.first)
+        else:
+            self.joined = b"".join(texts)
+            t = np.frombuffer(self.joined, np.uint8)
+            self.ends = np.cumsum([len(x) for x in texts])
+            n = len(t)
+        self.roll = Rolling(t)
+        self.starts = np.flatnonzero(valid_starts(self.ends, n, size)).astype(np.int32)
+        anchors, self.anchor_of = self._anchors(n, gram)
+        self.keys = self.prints(anchors, gram)
+        self.roll = None  # eight times the text; made again where candidates need it
+
+    def prints(self, units: np.ndarray | slice, size: int) -> np.ndarray:
+        """Fingerprints of the strings of ``size`` units from ``units``."""
+        if self.kind == BYTES:
+            return self.roll.at(units, size)
+        p = self.first[units]
+        return C.mix64(self.roll.at(p, self.last[units + size - 1] - p) ^ _WORDS)
+
+    def span(self, unit, last) -> tuple:
+        """Bytes from the first of ``unit`` to the end of the string that starts at ``last``."""
+        if self.kind == BYTES:
+            return unit, last + self.size
+        return self.first[unit], self.last[last + self.size - 1]
+
+    def _anchors(self, n: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the anchors, and the anchor of the string at each of ``starts``."""
         if not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         low = (np.uint64(1) << np.uint64(n.bit_length())) - np.uint64(1)
         h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        grams = roll.at(slice(None), self.gram)
+        grams = self.prints(slice(None) if self.kind == BYTES else np.arange(n - gram + 1), gram)
         h[: len(grams)] = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        least = (sliding_min(h, self.length - self.gram + 1)[self.starts] & low).astype(np.int64)
+        least = (sliding_min(h, self.size - gram + 1)[self.starts] & low).astype(np.int64)
         hit = np.zeros(n, bool)
         hit[least] = True
         return np.flatnonzero(hit), (np.cumsum(hit) - 1)[least].astype(np.int32)
 
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of all strings whose anchor is repeated."""
-        return self.starts[repeated[self.anchor_of]] if len(self.starts) else self.starts
-
-
-def suffix_tokens(texts: list[bytes], p: np.ndarray, length: int) -> np.ndarray:
-    """(3, len(p)) tokens of the suffixes at ``p`` of the joined texts."""
-    if not len(p):
-        return np.zeros((3, 0), np.uint32)
-    roll, third, p = Rolling(np.frombuffer(b"".join(texts), np.uint8)), -(-length // 3) + 1, p.astype(np.int64)
-    places = (0, (length - third) // 2, length - third)
-    return np.stack([(roll.at(p + d, third) >> np.uint64(32)).astype(np.uint32) for d in places])
-
-
-def chunks(texts: list[bytes], length: int) -> Iterator[tuple[int, int, Chunk]]:
+    def tokens(self, starts: np.ndarray) -> np.ndarray:
+        """(3, n): the leading four bytes of each suffix, and the halves of the whole string's fingerprint."""
+        if not len(starts):
+            return np.zeros((3, 0), np.uint32)
+        starts = starts.astype(np.int64)
+        t = np.frombuffer(self.joined, np.uint8)
+        p = starts if self.kind == BYTES else self.first[starts]
+        lead = np.zeros(len(p), np.uint32)
+        for d in range(4):
+            lead = (lead << np.uint32(8)) | t[np.minimum(p + d, len(t) - 1)]
+        self.roll = Rolling(t)
+        whole, self.roll = self.prints(starts, self.size), None
+        return np.stack([lead, (whole >> np.uint64(32)).astype(np.uint32), whole.astype(np.uint32)])
+
+
+def chunks(texts: list[bytes], length: int, words: int) -> Iterator[tuple[int, Chunk]]:
+    """(number of the first text, chunk) in both kinds."""
     begin, size = 0, 0
     for i, x in enumerate(texts):
         size += len(x)
         if size >= CHUNK_BYTES or i + 1 == len(texts):
-            yield begin, i + 1, Chunk(texts[begin : i + 1], length)
+            yield begin, Chunk(texts[begin : i + 1], BYTES, length)
+            yield begin, Chunk(texts[begin : i + 1], WORDS, words)
             begin, size = i + 1, 0
 
 
@@ -168,8 +213,8 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
-def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct columns, their counts up to 2, index of each input column)."""
+def distinct(tokens: np.ndarray, who: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct columns, whether two or more of ``who`` have each, index of each input column)."""
     order = multikey_quicksort(tokens)
     s = tokens[:, order]
     new = np.ones(s.shape[1], bool)
@@ -177,8 +222,12 @@ def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, s.shape[1]))
-    return s[:, first], np.minimum(counts, 2).astype(np.uint8), place
+    if who is None:
+        twice = np.diff(np.append(first, s.shape[1])) > 1
+    else:
+        w = who[order]
+        twice = np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first) if len(first) else np.zeros(0, bool)
+    return s[:, first], twice, place
 
 
 def _bits(mask: np.ndarray) -> bytes:
@@ -189,14 +238,64 @@ def _unbits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
-    """(digest binary, n_removed, n_spans, kept binary) of each distinct text that loses bytes."""
+def _runs(of: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    if not len(of):
+        return []
+    at = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]).tolist()
+    return list(zip(at[:-1], at[1:]))
+
+
+def same_strings(t: bytes, p: np.ndarray, q: np.ndarray, size: np.ndarray, size_q: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the string at ``p`` are those of the string at ``q``."""
+    same = size == size_q
+    if len(p) and same.all() and (size == size[0]).all():
+        rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(t, np.uint8), int(size[0]))
+        for a in range(0, len(p), 8192):
+            same[a : a + 8192] = (rows[p[a : a + 8192]] == rows[q[a : a + 8192]]).all(axis=1)
+        return same
+    at = np.flatnonzero(same)
+    same[at] = [t[a : a + n] == t[b : b + n] for a, b, n in zip(p[at].tolist(), q[at].tolist(), size[at].tolist())]
+    return same
+
+
+def confirmed(t: bytes, p: np.ndarray, size: np.ndarray, who: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which strings stand at two or more of ``who``, or at one that holds them for two; by their bytes."""
+    hit = np.zeros(len(p), bool)
+    if not len(p):
+        return hit
+    key = Rolling(np.frombuffer(t, np.uint8)).at(p, size)
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(p), bool)
+    tie = np.flatnonzero(k[1:] == k[:-1])
+    same = same_strings(t, p[order[tie]], p[order[tie + 1]], size[order[tie]], size[order[tie + 1]])
+    new[tie[same] + 1] = False
+    if not same.all():  # unequal strings of one fingerprint: the deeper text decides
+        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        for h in np.unique(np.searchsorted(heads, tie[~same], side="right") - 1).tolist():
+            a, b = int(heads[h]), int(heads[h + 1]) if h + 1 < len(heads) else len(k)
+            text = lambda i: t[p[i] : p[i] + size[i]]
+            own = sorted(order[a:b].tolist(), key=text)
+            order[a:b] = own
+            new[a:b] = [True] + [text(x) != text(y) for x, y in zip(own[:-1], own[1:])]
+    first = np.flatnonzero(new)
+    w = who[order]
+    good = (np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first)) | np.logical_or.reduceat(twice[order], first)
+    hit[order] = good[np.cumsum(new) - 1]
+    return hit
+
+
+def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: int = 50) -> DataFrame:
+    """(digest binary, n_removed, n_spans, kept binary, n_passage_words) of each distinct text that shares something."""
     spark = df.sparkSession
-    src = df.select(F.col(text).cast("string").alias("x")).where(F.octet_length("x") >= length)
-    n_docs, total = C.text_bytes(src, "x")
-    blocks_n = C.pieces(total, BLOCK_BYTES)
-    owners = C.pieces(total // 12, BUCKET_BYTES)
-    ranges = C.pieces(total, BUCKET_BYTES)
+    src = df.select(F.col(text).cast("string").alias("x")).where(F.octet_length("x") >= min(length, 2 * words - 1))
+    total = C.text_bytes(src, "x")[1]
+    blocks_n = C.pieces(total, BLOCK_BYTES, most=1 << 26)
+    owners = C.pieces(total // 8, BUCKET_BYTES, most=1 << 26)
+    homes = C.pieces(total, BUCKET_BYTES, most=1 << 26)
+    ranges = min(homes, SPLITTERS)
+    fine = -(-homes // ranges)  # equal parts of each range between two splitters
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -237,17 +336,19 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
         digests = sorted(found)
         return digests, [found[d][0] for d in digests], [found[d][1] for d in digests]
 
-    def owner_of(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+    def among(keys: np.ndarray, n: int) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+    def rows_of(rows: list[tuple], schema: list[tuple]) -> pa.Table:
+        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(schema)})
 
     def anchors(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        keys = [c.keys for _, _, c in chunks(open_block(table)[1], length)]
+        keys = [c.keys for _, c in chunks(open_block(table)[1], length, words)]
         u, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-        owner = owner_of(u)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(u)]]) if len(u) else np.zeros(1, int)
-        rows = [(int(owner[a]), block, u[a:b].tobytes(), _bits(n[a:b] > 1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("owner", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())))})
+        owner = among(u, owners)
+        rows = [(int(owner[a]), block, u[a:b].tobytes(), _bits(n[a:b] > 1)) for a, b in _runs(owner)]
+        return rows_of(rows, [("owner", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
 
     def repeated(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
@@ -258,35 +359,51 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
         ends = np.cumsum([len(k) for k in keys])
         return pa.table({"block": table.column("block"), "kind": pa.array(np.zeros(len(keys), np.int32)), "part": table.column("owner"), "mask": pa.array([_bits(hit[e - len(k) : e]) for e, k in zip(ends, keys)], pa.binary())})
 
-    def suffixes_of(texts: list[bytes], masks: dict[int, bytes]):
-        """Chunks with their candidate starts, and the block's distinct suffixes."""
-        parts = list(chunks(texts, length))
-        keys = [c.keys for _, _, c in parts]
+    def suffixes_of(texts: list[bytes], copies: list[int], masks: dict[int, bytes]):
+        """(first text, chunk, its candidate starts, their anchors), and tokens and holders of all candidates."""
+        parts = list(chunks(texts, length, words))
+        keys = [c.keys for _, c in parts]
         u = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-        sizes = np.bincount(owner_of(u).astype(np.int64), minlength=owners)
+        sizes = np.bincount(among(u, owners).astype(np.int64), minlength=owners)
         hit = np.concatenate([np.zeros(0, bool), *(_unbits(masks[o], int(sizes[o])) for o in np.flatnonzero(sizes).tolist())])
-        found, tokens = [], [np.zeros((3, 0), np.uint32)]
-        for a, b, c in parts:
-            starts = c.candidates(hit[np.searchsorted(u, c.keys)])
-            tokens.append(suffix_tokens(texts[a:b], starts, length))
-            found.append((a, b, c.ends, starts))
-        return found, np.concatenate(tokens, axis=1)
-
-    def bounds(leading: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters.value, leading, side="right")
+        many = np.array([c > 1 for c in copies], bool)
+        found, tokens, who, at = [], [np.zeros((3, 0), np.uint32)], [np.zeros(0, np.int64)], 0
+        for a, c in parts:
+            own = np.flatnonzero(hit[np.searchsorted(u, c.keys)][c.anchor_of]) if len(c.starts) else np.zeros(0, np.int64)
+            starts = c.starts[own]
+            tokens.append(c.tokens(starts))
+            doc = a + np.searchsorted(c.ends, starts, side="right")
+            # strings of bytes may repeat in their own text, those of words only in another
+            who.append(np.arange(at, at + len(own)) if c.kind == BYTES else doc)
+            at += len(own)
+            found.append((c, starts, c.anchor_of[own] if len(own) else own, doc, np.concatenate([[0], c.ends])[doc - a] if len(own) else doc))
+        return found, np.concatenate(tokens, axis=1), np.concatenate(who), many
+
+    def whole_key(tokens: np.ndarray) -> np.ndarray:
+        return (tokens[0].astype(np.uint64) << np.uint64(32)) | tokens[1]
+
+    def bounds(tokens: np.ndarray) -> np.ndarray:
+        """Bucket of each column, ascending with the key."""
+        key, cut = whole_key(tokens), splitters.value
+        at = np.searchsorted(cut, key, side="right")
+        if fine == 1:
+            return at
+        low = np.concatenate([[np.uint64(0)], cut])[at]
+        high = np.append(cut, np.iinfo(np.uint64).max)[at]
+        share = (key - low).astype(np.float64) / np.maximum((high - low).astype(np.float64), 1.0)
+        return at * fine + np.minimum((share * fine).astype(np.int64), fine - 1)
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py() if len(left) else -1
         masks = dict(zip(right.column("part").to_pylist(), right.column("mask").to_pylist()))
-        tokens = suffixes_of(open_block(left)[1], masks)[1]
-        u, n, _ = distinct(tokens)
-        bucket = bounds(u[0])
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        _, texts, copies = open_block(left)
+        _, tokens, who, _ = suffixes_of(texts, copies, masks)
+        u, twice, _ = distinct(tokens, who)
+        bucket, rows = bounds(u), []
+        for a, b in _runs(bucket):
             own = u[:, a:b]
-            rows.append((int(bucket[a]), block, C.to_blob(d=np.diff(own[0], prepend=np.uint32(0)), t=own[1], v=own[2]), _bits(n[a:b] > 1)))
-        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("twice", pa.binary())))})
+            rows.append((int(bucket[a]), block, C.to_blob(d=np.diff(own[0], prepend=np.uint32(0)), t=own[1], v=own[2]), _bits(twice[a:b])))
+        return rows_of(rows, [("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("twice", pa.binary())])
 
     def neighbours(table: pa.Table) -> pa.Table:
         parts, twice = [], []
@@ -294,65 +411,168 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFr
             t = C.from_blob(blob)
             parts.append(np.stack([np.cumsum(C.np_col(t, "d"), dtype=np.uint32), C.np_col(t, "t"), C.np_col(t, "v")]))
             twice.append(_unbits(m, parts[-1].shape[1]))
-        tokens, mult = np.concatenate(parts, axis=1), 1 + np.concatenate(twice)
-        if (bounds(tokens[0]) != table.column("bucket")[0].as_py()).any():
+        tokens, twice = np.concatenate(parts, axis=1), np.concatenate(twice)
+        u, many, place = distinct(tokens)
+        # the ends against the splitters beside them: nothing that agrees stands across a boundary
+        if len(u[0]) and (bounds(u[:, [0, -1]]) != table.column("bucket")[0].as_py()).any():
             raise ValueError("a suffix stands outside its bucket")
-        _, _, place = distinct(tokens)
-        hit = (np.bincount(place, weights=mult) > 1)[place]
+        hit = many[place]
+        hit[twice] = True
         ends = np.cumsum([p.shape[1] for p in parts])
         return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(parts), np.int32)), "part": table.column("bucket"), "mask": pa.array([_bits(hit[e - p.shape[1] : e]) for e, p in zip(ends, parts)], pa.binary())})
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    answer = [("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]
+
+    def ask_text(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Runs of strings that agree by fingerprint: their texts for the owners, their places for the block itself."""
+        block = left.column("block")[0].as_py() if len(left) else -1
         masks: tuple[dict, dict] = ({}, {})
         for kind, part, mask in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "mask"))):
             masks[kind][part] = mask
-        digests, texts, copies = open_block(left)
-        found, tokens = suffixes_of(texts, masks[0])
-        u, _, place = distinct(tokens)
-        sizes = np.bincount(bounds(u[0]), minlength=1)
-        hit = np.concatenate([np.zeros(0, bool), *(_unbits(masks[1][o], int(sizes[o])) for o in np.flatnonzero(sizes).tolist())])[place]
-        rows, at = [], 0
-        for a, b, ends, starts in found:
-            own = starts[hit[at : at + len(starts)]]
+        _, texts, copies = open_block(left)
+        found, tokens, who, many = suffixes_of(texts, copies, masks[0])
+        u, twice, place = distinct(tokens, who)
+        bucket = bounds(u)
+        answers = [_unbits(masks[1][int(bucket[a])], b - a) for a, b in _runs(bucket)]
+        hit = (np.concatenate([np.zeros(0, bool), *answers]) | twice)[place]
+        known: dict[tuple, list] = {}  # (kind, text) -> [owner, strings, document, whether two hold it, its number]
+        places, at = [], 0
+        for c, starts, anchor, doc, base in found:
+            own = np.flatnonzero(hit[at : at + len(starts)])
             at += len(starts)
-            edge = np.zeros(int(ends[-1]) + 1, np.int32)
-            edge[own] += 1
-            edge[own + np.int32(length)] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            begin = 0
-            for i, e in zip(range(a, b), ends.tolist()):
-                g = np.ones(e - begin, bool) if copies[i] > 1 else gone[begin:e]
-                begin = e
-                if g.any():
-                    spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-                    rows.append((digests[i], int(g.sum()), spans, np.frombuffer(texts[i], np.uint8)[~g].tobytes()))
-        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("digest", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())))})
+            if not len(own):
+                continue
+            s, a, d = starts[own].astype(np.int64), anchor[own], doc[own]
+            cut = np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])) + 1])
+            n = np.diff(np.append(cut, len(s)))
+            begin, end = c.span(s[cut], s[cut] + n - 1)
+            owner = among(c.keys[a[cut]], homes)
+            first = s[cut] - base[own][cut]
+            for p, q, m, o, x, k in zip(begin.tolist(), end.tolist(), n.tolist(), owner.tolist(), d[cut].tolist(), first.tolist()):
+                t = c.joined[p:q]
+                e = known.get((c.kind, t))
+                if e is None:
+                    e = known[c.kind, t] = [o, m, x, bool(many[x]), len(known)]
+                elif c.kind == BYTES or e[2] != x:
+                    e[3] = True
+                places.append((c.kind, x, k, m, e[4]))
+        order = sorted(known.items(), key=lambda e: (e[0][0], e[1][0], e[1][4]))
+        rank = np.empty(len(order), np.int64)
+        rank[[e[4] for _, e in order]] = np.arange(len(order))
+        rows = []
+        key = np.array([(kind, e[0]) for (kind, _), e in order], np.int64).reshape(-1, 2)
+        for a, b in _runs(key[:, 0] * np.int64(homes) + key[:, 1]):
+            own = order[a:b]
+            blob = C.to_blob(1, x=pa.array([t for (_, t), _ in own], pa.large_binary()), d=np.array([e[2] for _, e in own], np.int32), m=np.array([e[3] for _, e in own], bool))
+            rows.append((int(key[a, 1]), block, int(key[a, 0]), blob))
+        if places:
+            kind, x, k, m, number = (np.array(v, np.int64) for v in zip(*places))
+            own = C.to_blob(1, kind=kind.astype(np.int8), doc=x.astype(np.int32), first=k, n=m, run=rank[number])
+            listed = C.to_blob(1, kind=key[:, 0].astype(np.int8), owner=key[:, 1], n=np.array([e[1] for _, e in order], np.int64))
+            rows += [(-1 - block, block, 2, own), (-1 - block, block, 3, listed)]
+        return rows_of(rows, answer)
+
+    def confirm(table: pa.Table) -> pa.Table:
+        """Bits of the strings of all texts of an owner; a block's own rows pass as they are."""
+        if table.column("route")[0].as_py() < 0:
+            return pa.table({"block": table.column("block"), "kind": table.column("kind"), "part": pa.array(np.zeros(len(table), np.int64)), "mask": table.column("blob")})
+        rows, owner = [], table.column("route")[0].as_py()
+        kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_pylist()
+        for kind in (BYTES, WORDS):
+            at = np.flatnonzero(kinds == kind).tolist()
+            if not at:
+                continue
+            parts = [C.from_blob(table.column("blob")[i].as_py()) for i in at]
+            texts = [x for p in parts for x in p.column("x").to_pylist()]
+            row = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
+            holder = (row.astype(np.int64) << 32) | np.concatenate([C.np_col(p, "d") for p in parts])
+            twice = np.concatenate([C.np_col(p, "m") for p in parts]).astype(bool)
+            joined = b" ".join(texts)
+            sizes = np.array([len(x) for x in texts])
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            if kind == BYTES:
+                n = sizes - length + 1
+                p = C.ragged(begin, n)
+                size = np.full(len(p), length)
+                who = np.arange(len(p))
+            else:
+                first, last = word_bounds(np.frombuffer(joined, np.uint8))
+                n = np.array([x.count(b" ") + 2 for x in texts]) - words
+                unit = C.ragged(np.searchsorted(first, begin), n)
+                p, size = first[unit], last[unit + words - 1] - first[unit]
+                who = np.repeat(holder, n)
+            hit = confirmed(joined, p, size, who, np.repeat(twice, n))
+            ends = np.cumsum(np.bincount(row, weights=n, minlength=len(parts)).astype(np.int64))
+            rows += [(blocks[i], 4 + kind, owner, _bits(hit[a:b])) for i, a, b in zip(at, [0, *ends[:-1].tolist()], ends.tolist())]
+        return rows_of(rows, [("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("mask", pa.binary())])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        digests, texts, copies = open_block(left)
+        masks: dict[tuple, bytes] = dict(zip(zip(right.column("kind").to_pylist(), right.column("part").to_pylist()), right.column("mask").to_pylist()))
+        ends = np.cumsum([len(x) for x in texts])
+        edge = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
+        passage = np.zeros(len(texts), np.int64)
+        if (2, 0) in masks:
+            runs, listed = C.from_blob(masks[2, 0]), C.from_blob(masks[3, 0])
+            kind, owner, n = (C.np_col(listed, c).astype(np.int64) for c in ("kind", "owner", "n"))
+            bits = [np.zeros(0, bool)]
+            for a, b in _runs(kind * np.int64(homes) + owner):
+                bits.append(_unbits(masks[4 + int(kind[a]), int(owner[a])], int(n[a:b].sum())))
+            bits, begin = np.concatenate(bits), np.cumsum(n) - n
+            kind, doc, first, m, run = (C.np_col(runs, c).astype(np.int64) for c in ("kind", "doc", "first", "n", "run"))
+            good = bits[C.ragged(begin[run], m)]
+            kind, doc, at = np.repeat(kind, m)[good], np.repeat(doc, m)[good], C.ragged(first, m)[good]
+            own = np.concatenate([[0], ends])[doc[kind == BYTES]] + at[kind == BYTES]
+            edge[own] += 1  # each start comes once
+            edge[own + length] -= 1
+            doc, at = doc[kind == WORDS], at[kind == WORDS]
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            new = np.full(len(at), words)
+            new[:-1] = np.where(doc[1:] == doc[:-1], np.minimum(at[1:] - at[:-1], words), words)
+            passage = np.bincount(doc, weights=new, minlength=len(texts)).astype(np.int64)
+        gone = np.cumsum(edge)[:-1] > 0
+        rows, begin = [], 0
+        for i, e in enumerate(ends.tolist()):
+            g = gone[begin:e]
+            begin = e
+            if copies[i] > 1:
+                n = len(texts[i].split())
+                passage[i] = n if n >= words else 0
+                g = np.full(len(texts[i]), len(texts[i]) >= length)
+            if passage[i] or g.any():
+                spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
+                rows.append((digests[i], int(g.sum()), spans, np.frombuffer(texts[i], np.uint8)[~g].tobytes(), int(passage[i])))
+        return rows_of(rows, [("digest", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_passage_words", pa.int64())])
 
     def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x for x in b.column(0).cast(pa.binary()).to_pylist() if len(x) >= length]
-            for a, z, c in chunks(texts, length):
-                yield pa.RecordBatch.from_arrays([pa.array(suffix_tokens(texts[a:z], c.starts[::64], length)[0].astype(np.int64))], ["t"])
+            for _, c in chunks(b.column(0).cast(pa.binary()).to_pylist(), length, words):
+                yield pa.RecordBatch.from_arrays([pa.array(whole_key(c.tokens(c.starts[:: 64 if c.kind == BYTES else 10])).view(np.int64))], ["t"])
 
-    every = max(1, total // (SAMPLED * 64))
-    sample = np.sort(src.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).mapInArrow(leading, "t long").limit(4 * SAMPLED).toPandas().t.to_numpy())
+    every = max(1, total // (max(SAMPLED, SAMPLED_EACH * ranges) * 64))  # so the sample grows with the splitters, and no further
+    sample = np.sort(src.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).mapInArrow(leading, "t long").toPandas().t.to_numpy().astype(np.int64).view(np.uint64))
     picked = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) else sample
-    splitters = spark.sparkContext.broadcast(np.unique(picked).astype(np.uint32))  # one value a bucket
+    splitters = spark.sparkContext.broadcast(np.unique(picked))  # one value a range
 
     asked = packed.groupBy("block").applyInArrow(anchors, "owner long, block long, keys binary, twice binary")
     back = "block long, kind int, part long, mask binary"
     one = asked.groupBy("owner").applyInArrow(repeated, back)
     sent = packed.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(suffixes, "bucket long, block long, tokens binary, twice binary")
     two = sent.groupBy("bucket").applyInArrow(neighbours, back)
-    both = one.unionByName(two)
-    return packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, "digest binary, n_removed long, n_spans long, kept binary")
+    runs = packed.groupBy("block").cogroup(one.unionByName(two).groupBy("block")).applyInArrow(ask_text, "route long, block long, kind int, blob binary")
+    sure = runs.groupBy("route").applyInArrow(confirm, back)
+    return packed.groupBy("block").cogroup(sure.groupBy("block")).applyInArrow(cut, "digest binary, n_removed long, n_spans long, kept binary, n_passage_words long")
+
 
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, words: int = 50) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words) for every row of ``df``.
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``df``."""
-    marked = mark_repeats(df, text, length).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    ``n_passage_words`` counts the words of passages of at least ``words`` words that another row's text also has.
+    """
+    marked = mark_repeats(df, text, length, words).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
     x = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key).alias("doc_id"), F.octet_length(x).cast("long").alias("n_bytes"), F.sha2(x, 256).alias("own"))
     rows = rows.withColumn("digest", F.unhex("own")).join(marked, "digest", "left")
-    zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+    counted = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return rows.select("doc_id", "n_bytes", counted("n_removed"), counted("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), counted("n_passage_words"))

@@ -359,8 +359,13 @@ def test_quality_sql(spark, docs, rows):
 # ---------------------------------------------------------------- op8
 
 
-def repeats_want(texts, n):
+def repeats_want(texts, n, words=50):
     count = Counter(t[p : p + n] for t in texts for p in range(len(t) - n + 1))
+    copies, holders = Counter(texts), defaultdict(set)
+    for t in copies:
+        w = t.split()
+        for k in range(len(w) - words + 1):
+            holders[tuple(w[k : k + words])].add(t)
     out = []
     for t in texts:
         gone = bytearray(len(t))
@@ -368,7 +373,9 @@ def repeats_want(texts, n):
             if count[t[p : p + n]] > 1:
                 gone[p : p + n] = b"\1" * n
         spans = sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1]))
-        out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+        w = t.split()
+        passage = {k + j for k in range(len(w) - words + 1) if copies[t] > 1 or len(holders[tuple(w[k : k + words])]) > 1 for j in range(words)}
+        out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest(), len(passage)))
     return out
 
 
@@ -389,8 +396,38 @@ def test_suffix_dedup_chunks(docs, rows, monkeypatch):
         monkeypatch.setattr(suffixes, name, v)
     small = [(i, x) for i, x, _, _ in rows if x and 60 <= (i or 0) < 80]
     d = docs.where("doc_id between 60 and 79")
-    want = [(i, *w) for (i, _), w in zip(small, repeats_want([x.encode() for _, x in small], 60))]
-    assert by_row(suffixes.remove_repeats(d, length=60)) == sorted(want, key=repr)
+    want = [(i, *w) for (i, _), w in zip(small, repeats_want([x.encode() for _, x in small], 60, 12))]
+    assert by_row(suffixes.remove_repeats(d, length=60, words=12)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("at", [0, 384, 192])
+def test_strings_that_differ_in_one_place_stay(spark, at):
+    """Texts of one template that differ in 16 bytes repeat nothing of 400 bytes."""
+    template = "".join(f"{k:03d}." for k in range(100))
+    made = [(i, template[:at] + f"{i * 7919:016d}" + template[at + 16 :]) for i in range(20_000)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = suffixes.remove_repeats(df, words=500)
+    assert got.where("n_removed > 0 or n_bytes <> 400").count() == 0
+
+
+def test_equal_fingerprints_are_told_apart_by_bytes(monkeypatch):
+    """With fingerprints of one bit the bytes still decide."""
+    rng = np.random.default_rng(2)
+    t = bytes(rng.integers(97, 99, 4000, dtype=np.uint8))
+    p, n = np.arange(len(t) - 9), 10
+    count = Counter(t[i : i + n] for i in p.tolist())
+    monkeypatch.setattr(suffixes.Rolling, "at", lambda self, p, size: np.zeros(len(p), np.uint64) + np.uint64(0) * p.astype(np.uint64))
+    hit = suffixes.confirmed(t, p, np.full(len(p), n), np.arange(len(p)), np.zeros(len(p), bool))
+    assert hit.tolist() == [count[t[i : i + n]] > 1 for i in p.tolist()]
+
+
+def test_passages_of_words(spark):
+    """A passage counts where another text has it, however it is spaced, and not where one text repeats it."""
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    passage = " ".join(f"p{k}" for k in range(51))
+    made = [(0, f"{own(0, 30)} {passage} {own(10, 30)}"), (1, f"{own(1, 9)}\n" + passage.replace(" ", "  ") + f"\t{own(11, 50)}"), (2, f"{own(2, 70)}"), (3, f"{own(3, 60)}\n" * 2), (4, passage[: passage.index(" p49")])]
+    got = suffixes.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {r.doc_id: r.n_passage_words for r in got.collect()} == {0: 51, 1: 51, 2: 0, 3: 0, 4: 0}
 
 
 def test_multikey_quicksort():
@@ -399,8 +436,8 @@ def test_multikey_quicksort():
         t = rng.integers(0, high, (3, 5000), dtype=np.uint32)
         o = suffixes.multikey_quicksort(t)
         assert (t[:, o] == t[:, np.lexsort(t[::-1])]).all()
-        u, n, place = suffixes.distinct(t)
-        assert (u[:, place] == t).all()
+        u, twice, place = suffixes.distinct(t)
+        assert (u[:, place] == t).all() and (twice == (np.bincount(place) > 1)).all()
 
 
 # ---------------------------------------------------------------- op10
