@@ -11,17 +11,23 @@ cross documents.
   that every string holds one with its whole gram, at a place that depends on
   the string alone; a string can repeat only if its anchor does.  Anchors go to
   owners by hash, once a block, and one bit each comes back.
-* Those suffixes are range-partitioned by their leading four bytes, and where
-  these tie by a 64-bit fingerprint of the whole string, with sampled splitters;
-  each block sends every distinct suffix once.  A bucket is sorted by multikey
-  quicksort and neighbours are compared.  A splitter lies between two values of
-  the whole key, so suffixes that agree never stand on two sides of a boundary,
-  and each bucket compares its ends with the splitters beside it.
-* What agrees by fingerprint is confirmed on text: runs of such strings around
-  one anchor are sent as text, each distinct one once a block, to the anchor's
-  owner, which sorts their strings and compares neighbours byte by byte (ties of
-  unequal strings are sorted by their bytes).  So no false match is possible.
-* Blocks turn the confirmed bits into covered bytes and words.
+* A string's place around its anchor tells which strings it may equal, so text
+  is sent for each anchor that occurs again: the anchor's suffix with the bytes
+  before it that its strings reach, each distinct text once a block.  Suffixes
+  are range-partitioned by their leading four bytes, and where these tie by the
+  anchor's fingerprint, with sampled splitters.  A splitter lies between two
+  values of the whole key, so strings that agree never stand on two sides of a
+  boundary, and each bucket compares its ends with the splitters beside it.
+* A bucket sorts all strings of its texts by multikey quicksort: by their leading
+  bytes, ties by a fingerprint that sees every byte, ties of unequal strings by
+  their bytes.  Neighbours are compared byte by byte, so no false match is
+  possible.  One bit for each string goes back to its block.
+* An anchor with more than ``HOT`` occurrences stands in texts that differ around
+  it, whose copies would meet in one bucket.  Its strings are told apart first:
+  blocks send their distinct fingerprints to owners by hash, and only strings
+  whose fingerprint occurs again are sent as text, which are the same few in
+  every block.
+* Blocks turn the bits into covered bytes and words.
 
 No step holds more than a block of texts or a bucket of suffixes, and a string
 that occurs everywhere costs one row a block.
@@ -46,7 +52,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Text of a block, of a working chunk, and sizes of buckets in bytes.
-BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 1 << 18, 8 << 20
+#: Text of a bucket that is sorted at a time, cut between anchors.
+RUN_BYTES = 1 << 19
+#: Occurrences from which an anchor's strings are told apart by fingerprint before their text is sent.
+HOT = 4096
 #: Suffixes sampled for each splitter, and at least; splitters that the driver picks at most.
 SAMPLED_EACH, SAMPLED, SPLITTERS = 8, 65_536, 1 << 20
 _M = 0x9E3779B97F4A7C15
@@ -109,6 +119,14 @@ def word_bounds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], gaps + 1]), np.append(gaps, len(t))
 
 
+def leading_bytes(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Four bytes from each position as one number that sorts as they do."""
+    lead = np.zeros(len(p), np.uint32)
+    for d in range(4):
+        lead = (lead << np.uint32(8)) | t[np.minimum(p + d, len(t) - 1)]
+    return lead
+
+
 class Chunk:
     """Anchors and strings of some concatenated documents: ``size`` bytes from every byte, or ``size`` words from every word."""
 
@@ -130,7 +148,9 @@ class Chunk:
         self.starts = np.flatnonzero(valid_starts(self.ends, n, size)).astype(np.int32)
         anchors, self.anchor_of = self._anchors(n, gram)
         self.keys = self.prints(anchors, gram)
-        self.roll = None  # eight times the text; made again where candidates need it
+        self.roll = None  # eight times the text; made again where hot strings need it
+        #: Places of the anchors in the order of suffixes, as far as they decide the bucket.
+        self.places = (self._leads(anchors).astype(np.uint64) << np.uint64(32)) | (self.keys >> np.uint64(32))
 
     def prints(self, units: np.ndarray | slice, size: int) -> np.ndarray:
         """Fingerprints of the strings of ``size`` units from ``units``."""
@@ -158,19 +178,17 @@ class Chunk:
         hit[least] = True
         return np.flatnonzero(hit), (np.cumsum(hit) - 1)[least].astype(np.int32)
 
-    def tokens(self, starts: np.ndarray) -> np.ndarray:
-        """(3, n): the leading four bytes of each suffix, and the halves of the whole string's fingerprint."""
+    def _leads(self, units: np.ndarray) -> np.ndarray:
+        """The leading four bytes of the text from each unit."""
+        return leading_bytes(np.frombuffer(self.joined, np.uint8), units.astype(np.int64) if self.kind == BYTES else self.first[units])
+
+    def strings(self, starts: np.ndarray) -> np.ndarray:
+        """Fingerprints of the whole strings at ``starts``."""
         if not len(starts):
-            return np.zeros((3, 0), np.uint32)
-        starts = starts.astype(np.int64)
-        t = np.frombuffer(self.joined, np.uint8)
-        p = starts if self.kind == BYTES else self.first[starts]
-        lead = np.zeros(len(p), np.uint32)
-        for d in range(4):
-            lead = (lead << np.uint32(8)) | t[np.minimum(p + d, len(t) - 1)]
-        self.roll = Rolling(t)
-        whole, self.roll = self.prints(starts, self.size), None
-        return np.stack([lead, (whole >> np.uint64(32)).astype(np.uint32), whole.astype(np.uint32)])
+            return np.zeros(0, np.uint64)
+        self.roll = Rolling(np.frombuffer(self.joined, np.uint8))
+        out, self.roll = self.prints(starts.astype(np.int64), self.size), None
+        return out
 
 
 def chunks(texts: list[bytes], length: int, words: int) -> Iterator[tuple[int, Chunk]]:
@@ -213,23 +231,6 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
-def distinct(tokens: np.ndarray, who: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct columns, whether two or more of ``who`` have each, index of each input column)."""
-    order = multikey_quicksort(tokens)
-    s = tokens[:, order]
-    new = np.ones(s.shape[1], bool)
-    new[1:] = (s[:, 1:] != s[:, :-1]).any(axis=0)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    if who is None:
-        twice = np.diff(np.append(first, s.shape[1])) > 1
-    else:
-        w = who[order]
-        twice = np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first) if len(first) else np.zeros(0, bool)
-    return s[:, first], twice, place
-
-
 def _bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask.astype(bool)).tobytes()
 
@@ -264,17 +265,20 @@ def confirmed(t: bytes, p: np.ndarray, size: np.ndarray, who: np.ndarray, twice:
     hit = np.zeros(len(p), bool)
     if not len(p):
         return hit
-    key = Rolling(np.frombuffer(t, np.uint8)).at(p, size)
-    order = np.argsort(key)
-    k = key[order]
+    a = np.frombuffer(t, np.uint8)
+    key = Rolling(a).at(p, size)
+    tokens = np.stack([leading_bytes(a, p), (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)])
+    order = multikey_quicksort(tokens)
+    k = tokens[:, order]
+    agree = (k[:, 1:] == k[:, :-1]).all(axis=0)
     new = np.ones(len(p), bool)
-    tie = np.flatnonzero(k[1:] == k[:-1])
+    tie = np.flatnonzero(agree)
     same = same_strings(t, p[order[tie]], p[order[tie + 1]], size[order[tie]], size[order[tie + 1]])
     new[tie[same] + 1] = False
     if not same.all():  # unequal strings of one fingerprint: the deeper text decides
-        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        heads = np.flatnonzero(np.concatenate([[True], ~agree]))
         for h in np.unique(np.searchsorted(heads, tie[~same], side="right") - 1).tolist():
-            a, b = int(heads[h]), int(heads[h + 1]) if h + 1 < len(heads) else len(k)
+            a, b = int(heads[h]), int(heads[h + 1]) if h + 1 < len(heads) else len(p)
             text = lambda i: t[p[i] : p[i] + size[i]]
             own = sorted(order[a:b].tolist(), key=text)
             order[a:b] = own
@@ -292,8 +296,8 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
     src = df.select(F.col(text).cast("string").alias("x")).where(F.octet_length("x") >= min(length, 2 * words - 1))
     total = C.text_bytes(src, "x")[1]
     blocks_n = C.pieces(total, BLOCK_BYTES, most=1 << 26)
-    owners = C.pieces(total // 8, BUCKET_BYTES, most=1 << 26)
-    homes = C.pieces(total, BUCKET_BYTES, most=1 << 26)
+    owners = C.pieces(total // 2, BUCKET_BYTES, most=1 << 26)
+    homes = C.pieces(2 * total, BUCKET_BYTES, most=1 << 26)
     ranges = min(homes, SPLITTERS)
     fine = -(-homes // ranges)  # equal parts of each range between two splitters
 
@@ -347,44 +351,70 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
         keys = [c.keys for _, c in chunks(open_block(table)[1], length, words)]
         u, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
         owner = among(u, owners)
-        rows = [(int(owner[a]), block, u[a:b].tobytes(), _bits(n[a:b] > 1)) for a, b in _runs(owner)]
-        return rows_of(rows, [("owner", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+        rows = [(int(owner[a]), block, u[a:b].tobytes(), np.minimum(n[a:b], 65535).astype(np.uint16).tobytes()) for a, b in _runs(owner)]
+        return rows_of(rows, [("owner", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
 
     def repeated(table: pa.Table) -> pa.Table:
+        """Of each anchor 0 if it occurs once, 2 if it is hot, else 1."""
         keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        twice = [_unbits(m, len(k)) for m, k in zip(table.column("twice").to_pylist(), keys)]
+        times = np.concatenate([np.frombuffer(m, np.uint16) for m in table.column("times").to_pylist()])
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        times = np.bincount(inverse, weights=1 + np.concatenate(twice), minlength=len(u))
-        hit = (times > 1)[inverse]
+        total = np.bincount(inverse, weights=times, minlength=len(u))
+        level = ((total > 1).astype(np.uint8) + (total > HOT))[inverse]
         ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"block": table.column("block"), "kind": pa.array(np.zeros(len(keys), np.int32)), "part": table.column("owner"), "mask": pa.array([_bits(hit[e - len(k) : e]) for e, k in zip(ends, keys)], pa.binary())})
+        return pa.table({"block": table.column("block"), "kind": pa.array(np.zeros(len(keys), np.int32)), "part": table.column("owner"), "mask": pa.array([_bits(level[e - len(k) : e] > 0) + _bits(level[e - len(k) : e] > 1) for e, k in zip(ends, keys)], pa.binary())})
 
-    def suffixes_of(texts: list[bytes], copies: list[int], masks: dict[int, bytes]):
-        """(first text, chunk, its candidate starts, their anchors), and tokens and holders of all candidates."""
-        parts = list(chunks(texts, length, words))
-        keys = [c.keys for _, c in parts]
+    def levels(keys: list[np.ndarray], masks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's distinct anchors, and whether each is repeated and hot."""
         u = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-        sizes = np.bincount(among(u, owners).astype(np.int64), minlength=owners)
-        hit = np.concatenate([np.zeros(0, bool), *(_unbits(masks[o], int(sizes[o])) for o in np.flatnonzero(sizes).tolist())])
-        many = np.array([c > 1 for c in copies], bool)
-        found, tokens, who, at = [], [np.zeros((3, 0), np.uint32)], [np.zeros(0, np.int64)], 0
+        sizes = np.bincount(among(u, owners).astype(np.int64), minlength=1)
+        got = [(masks[o], int(sizes[o])) for o in np.flatnonzero(sizes).tolist()]
+        both = [[_unbits(m[: -(-n // 8)], n) for m, n in got], [_unbits(m[-(-n // 8) :], n) for m, n in got]]
+        return u, *(np.concatenate([np.zeros(0, bool), *b]) for b in both)
+
+    def hot_strings(parts: list, u: np.ndarray, hot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(indices into the starts, fingerprints, holders) of the strings with hot anchors in each chunk."""
+        out, at = [], 0
         for a, c in parts:
-            own = np.flatnonzero(hit[np.searchsorted(u, c.keys)][c.anchor_of]) if len(c.starts) else np.zeros(0, np.int64)
-            starts = c.starts[own]
-            tokens.append(c.tokens(starts))
-            doc = a + np.searchsorted(c.ends, starts, side="right")
+            own = np.flatnonzero(hot[np.searchsorted(u, c.keys)][c.anchor_of]) if len(c.starts) else np.zeros(0, np.int64)
+            doc = a + np.searchsorted(c.ends, c.starts[own], side="right")
             # strings of bytes may repeat in their own text, those of words only in another
-            who.append(np.arange(at, at + len(own)) if c.kind == BYTES else doc)
+            out.append((own, c.strings(c.starts[own]), np.arange(at, at + len(own)) if c.kind == BYTES else doc))
             at += len(own)
-            found.append((c, starts, c.anchor_of[own] if len(own) else own, doc, np.concatenate([[0], c.ends])[doc - a] if len(own) else doc))
-        return found, np.concatenate(tokens, axis=1), np.concatenate(who), many
-
-    def whole_key(tokens: np.ndarray) -> np.ndarray:
-        return (tokens[0].astype(np.uint64) << np.uint64(32)) | tokens[1]
+        return out
+
+    def distinct_strings(found: list) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct fingerprints, and whether two or more hold each."""
+        key = np.concatenate([np.zeros(0, np.uint64), *(f for _, f, _ in found)])
+        who = np.concatenate([np.zeros(0, np.int64), *(w for _, _, w in found)])
+        order = np.argsort(key)
+        key, who = key[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        return key[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first) if len(first) else np.zeros(0, bool)
+
+    def ask_hot(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        masks = dict(zip(right.column("part").to_pylist(), right.column("mask").to_pylist()))
+        if any(m[len(m) // 2 :].strip(b"\0") for m in masks.values()):
+            block = left.column("block")[0].as_py()
+            parts = list(chunks(open_block(left)[1], length, words))
+            u, _, hot = levels([c.keys for _, c in parts], masks)
+            key, twice = distinct_strings(hot_strings(parts, u, hot))
+            owner = among(key, homes)
+            rows = [(int(owner[a]), block, C.to_blob(1, k=np.diff(key[a:b], prepend=np.uint64(0))), _bits(twice[a:b])) for a, b in _runs(owner)]
+        return rows_of(rows, [("home", pa.int64()), ("block", pa.int64()), ("blob", pa.binary()), ("twice", pa.binary())])
+
+    def count_hot(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(C.np_col(C.from_blob(x), "k"), dtype=np.uint64) for x in table.column("blob").to_pylist()]
+        twice = np.concatenate([_unbits(m, len(k)) for m, k in zip(table.column("twice").to_pylist(), keys)])
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        hit = (np.bincount(inverse, weights=1 + twice, minlength=len(u)) > 1)[inverse]
+        ends = np.cumsum([len(k) for k in keys])
+        return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(keys), np.int32)), "part": table.column("home"), "mask": pa.array([_bits(hit[e - len(k) : e]) for e, k in zip(ends, keys)], pa.binary())})
 
-    def bounds(tokens: np.ndarray) -> np.ndarray:
-        """Bucket of each column, ascending with the key."""
-        key, cut = whole_key(tokens), splitters.value
+    def bounds(key: np.ndarray) -> np.ndarray:
+        """Bucket of each place in the order of suffixes, ascending."""
+        cut = splitters.value
         at = np.searchsorted(cut, key, side="right")
         if fine == 1:
             return at
@@ -393,66 +423,48 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
         share = (key - low).astype(np.float64) / np.maximum((high - low).astype(np.float64), 1.0)
         return at * fine + np.minimum((share * fine).astype(np.int64), fine - 1)
 
-    def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = left.column("block")[0].as_py() if len(left) else -1
-        masks = dict(zip(right.column("part").to_pylist(), right.column("mask").to_pylist()))
-        _, texts, copies = open_block(left)
-        _, tokens, who, _ = suffixes_of(texts, copies, masks)
-        u, twice, _ = distinct(tokens, who)
-        bucket, rows = bounds(u), []
-        for a, b in _runs(bucket):
-            own = u[:, a:b]
-            rows.append((int(bucket[a]), block, C.to_blob(d=np.diff(own[0], prepend=np.uint32(0)), t=own[1], v=own[2]), _bits(twice[a:b])))
-        return rows_of(rows, [("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("twice", pa.binary())])
-
-    def neighbours(table: pa.Table) -> pa.Table:
-        parts, twice = [], []
-        for blob, m in zip(table.column("tokens").to_pylist(), table.column("twice").to_pylist()):
-            t = C.from_blob(blob)
-            parts.append(np.stack([np.cumsum(C.np_col(t, "d"), dtype=np.uint32), C.np_col(t, "t"), C.np_col(t, "v")]))
-            twice.append(_unbits(m, parts[-1].shape[1]))
-        tokens, twice = np.concatenate(parts, axis=1), np.concatenate(twice)
-        u, many, place = distinct(tokens)
-        # the ends against the splitters beside them: nothing that agrees stands across a boundary
-        if len(u[0]) and (bounds(u[:, [0, -1]]) != table.column("bucket")[0].as_py()).any():
-            raise ValueError("a suffix stands outside its bucket")
-        hit = many[place]
-        hit[twice] = True
-        ends = np.cumsum([p.shape[1] for p in parts])
-        return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(parts), np.int32)), "part": table.column("bucket"), "mask": pa.array([_bits(hit[e - p.shape[1] : e]) for e, p in zip(ends, parts)], pa.binary())})
-
     answer = [("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]
 
     def ask_text(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Runs of strings that agree by fingerprint: their texts for the owners, their places for the block itself."""
+        """Runs of strings that may repeat: their texts for the buckets, their places for the block itself."""
         block = left.column("block")[0].as_py() if len(left) else -1
         masks: tuple[dict, dict] = ({}, {})
         for kind, part, mask in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "mask"))):
             masks[kind][part] = mask
         _, texts, copies = open_block(left)
-        found, tokens, who, many = suffixes_of(texts, copies, masks[0])
-        u, twice, place = distinct(tokens, who)
-        bucket = bounds(u)
-        answers = [_unbits(masks[1][int(bucket[a])], b - a) for a, b in _runs(bucket)]
-        hit = (np.concatenate([np.zeros(0, bool), *answers]) | twice)[place]
-        known: dict[tuple, list] = {}  # (kind, text) -> [owner, strings, document, whether two hold it, its number]
-        places, at = [], 0
-        for c, starts, anchor, doc, base in found:
-            own = np.flatnonzero(hit[at : at + len(starts)])
-            at += len(starts)
+        parts = list(chunks(texts, length, words))
+        u, again, hot = levels([c.keys for _, c in parts], masks[0])
+        cold = again & ~hot
+        found, again_hot, hot_keys = [], np.zeros(0, bool), np.zeros(0, np.uint64)
+        if hot.any():
+            found = hot_strings(parts, u, hot)
+            hot_keys, twice = distinct_strings(found)
+            owner = among(hot_keys, homes)
+            again_hot = twice | np.concatenate([np.zeros(0, bool), *(_unbits(masks[1][int(owner[a])], b - a) for a, b in _runs(owner))])
+        known: dict[tuple, list] = {}  # (kind, text) -> [bucket, strings, document, whether two hold it, its number, its anchor's place]
+        places = []
+        for number, (at, c) in enumerate(parts):
+            if not len(c.starts):
+                continue
+            take = cold[np.searchsorted(u, c.keys)][c.anchor_of]
+            if found:
+                own, key, _ = found[number]
+                take[own] = again_hot[np.searchsorted(hot_keys, key)]
+            own = np.flatnonzero(take)
             if not len(own):
                 continue
-            s, a, d = starts[own].astype(np.int64), anchor[own], doc[own]
+            s, a = c.starts[own].astype(np.int64), c.anchor_of[own]
             cut = np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])) + 1])
             n = np.diff(np.append(cut, len(s)))
             begin, end = c.span(s[cut], s[cut] + n - 1)
-            owner = among(c.keys[a[cut]], homes)
-            first = s[cut] - base[own][cut]
-            for p, q, m, o, x, k in zip(begin.tolist(), end.tolist(), n.tolist(), owner.tolist(), d[cut].tolist(), first.tolist()):
+            bucket = bounds(c.places[a[cut]])
+            doc = np.searchsorted(c.ends, s[cut], side="right")
+            first = s[cut] - np.concatenate([[0], c.ends])[doc]
+            for p, q, m, o, x, k, g in zip(begin.tolist(), end.tolist(), n.tolist(), bucket.tolist(), (at + doc).tolist(), first.tolist(), c.places[a[cut]].tolist()):
                 t = c.joined[p:q]
                 e = known.get((c.kind, t))
                 if e is None:
-                    e = known[c.kind, t] = [o, m, x, bool(many[x]), len(known)]
+                    e = known[c.kind, t] = [o, m, x, copies[x] > 1, len(known), g]
                 elif c.kind == BYTES or e[2] != x:
                     e[3] = True
                 places.append((c.kind, x, k, m, e[4]))
@@ -461,9 +473,9 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
         rank[[e[4] for _, e in order]] = np.arange(len(order))
         rows = []
         key = np.array([(kind, e[0]) for (kind, _), e in order], np.int64).reshape(-1, 2)
-        for a, b in _runs(key[:, 0] * np.int64(homes) + key[:, 1]):
+        for a, b in _runs(key[:, 0] * np.int64(2 * homes + 2) + key[:, 1]):
             own = order[a:b]
-            blob = C.to_blob(1, x=pa.array([t for (_, t), _ in own], pa.large_binary()), d=np.array([e[2] for _, e in own], np.int32), m=np.array([e[3] for _, e in own], bool))
+            blob = C.to_blob(1, x=pa.array([t for (_, t), _ in own], pa.large_binary()), d=np.array([e[2] for _, e in own], np.int32), m=np.array([e[3] for _, e in own], bool), g=np.array([e[5] for _, e in own], np.uint64))
             rows.append((int(key[a, 1]), block, int(key[a, 0]), blob))
         if places:
             kind, x, k, m, number = (np.array(v, np.int64) for v in zip(*places))
@@ -473,7 +485,7 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
         return rows_of(rows, answer)
 
     def confirm(table: pa.Table) -> pa.Table:
-        """Bits of the strings of all texts of an owner; a block's own rows pass as they are."""
+        """Bits of the strings of all texts of a bucket; a block's own rows pass as they are."""
         if table.column("route")[0].as_py() < 0:
             return pa.table({"block": table.column("block"), "kind": table.column("kind"), "part": pa.array(np.zeros(len(table), np.int64)), "mask": table.column("blob")})
         rows, owner = [], table.column("route")[0].as_py()
@@ -483,25 +495,36 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
             if not at:
                 continue
             parts = [C.from_blob(table.column("blob")[i].as_py()) for i in at]
+            place = np.concatenate([C.np_col(p, "g") for p in parts])
+            # the least and the greatest suffix against the splitters beside them: nothing that agrees stands across a boundary
+            if (bounds(np.array([place.min(), place.max()], np.uint64)) != owner).any():
+                raise ValueError("a suffix stands outside its bucket")
             texts = [x for p in parts for x in p.column("x").to_pylist()]
             row = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
             holder = (row.astype(np.int64) << 32) | np.concatenate([C.np_col(p, "d") for p in parts])
             twice = np.concatenate([C.np_col(p, "m") for p in parts]).astype(bool)
-            joined = b" ".join(texts)
             sizes = np.array([len(x) for x in texts])
-            begin = np.cumsum(sizes + 1) - sizes - 1
-            if kind == BYTES:
-                n = sizes - length + 1
-                p = C.ragged(begin, n)
-                size = np.full(len(p), length)
-                who = np.arange(len(p))
-            else:
-                first, last = word_bounds(np.frombuffer(joined, np.uint8))
-                n = np.array([x.count(b" ") + 2 for x in texts]) - words
-                unit = C.ragged(np.searchsorted(first, begin), n)
-                p, size = first[unit], last[unit + words - 1] - first[unit]
-                who = np.repeat(holder, n)
-            hit = confirmed(joined, p, size, who, np.repeat(twice, n))
+            n = sizes - length + 1 if kind == BYTES else np.array([x.count(b" ") + 2 for x in texts]) - words
+            at_hit = np.cumsum(n) - n
+            hit = np.zeros(int(n.sum()), bool)
+            # strings of different anchors never agree, so the bucket is sorted run by run of anchors
+            order = np.argsort(place, kind="stable")
+            upto, new = np.cumsum(sizes[order]) // RUN_BYTES, place[order][1:] != place[order][:-1]
+            some = np.concatenate([[0], np.flatnonzero(new) + 1])
+            some = some[np.concatenate([[True], upto[some[1:]] != upto[some[:-1]]])]
+            for a, b in zip(some.tolist(), [*some[1:].tolist(), len(order)]):
+                own = order[a:b]
+                joined = b" ".join(texts[i] for i in own.tolist())
+                begin = np.cumsum(sizes[own] + 1) - sizes[own] - 1
+                if kind == BYTES:
+                    p = C.ragged(begin, n[own])
+                    size, who = np.full(len(p), length), np.arange(len(p))
+                else:
+                    first, last = word_bounds(np.frombuffer(joined, np.uint8))
+                    unit = C.ragged(np.searchsorted(first, begin), n[own])
+                    p, size = first[unit], last[unit + words - 1] - first[unit]
+                    who = np.repeat(holder[own], n[own])
+                hit[C.ragged(at_hit[own], n[own])] = confirmed(joined, p, size, who, np.repeat(twice[own], n[own]))
             ends = np.cumsum(np.bincount(row, weights=n, minlength=len(parts)).astype(np.int64))
             rows += [(blocks[i], 4 + kind, owner, _bits(hit[a:b])) for i, a, b in zip(at, [0, *ends[:-1].tolist()], ends.tolist())]
         return rows_of(rows, [("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("mask", pa.binary())])
@@ -516,7 +539,7 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
             runs, listed = C.from_blob(masks[2, 0]), C.from_blob(masks[3, 0])
             kind, owner, n = (C.np_col(listed, c).astype(np.int64) for c in ("kind", "owner", "n"))
             bits = [np.zeros(0, bool)]
-            for a, b in _runs(kind * np.int64(homes) + owner):
+            for a, b in _runs(kind * np.int64(2 * homes + 2) + owner):
                 bits.append(_unbits(masks[4 + int(kind[a]), int(owner[a])], int(n[a:b].sum())))
             bits, begin = np.concatenate(bits), np.cumsum(n) - n
             kind, doc, first, m, run = (C.np_col(runs, c).astype(np.int64) for c in ("kind", "doc", "first", "n", "run"))
@@ -548,18 +571,18 @@ def mark_repeats(df: DataFrame, text: str = "text", length: int = 400, words: in
     def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, c in chunks(b.column(0).cast(pa.binary()).to_pylist(), length, words):
-                yield pa.RecordBatch.from_arrays([pa.array(whole_key(c.tokens(c.starts[:: 64 if c.kind == BYTES else 10])).view(np.int64))], ["t"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.places.view(np.int64))], ["t"])
 
-    every = max(1, total // (max(SAMPLED, SAMPLED_EACH * ranges) * 64))  # so the sample grows with the splitters, and no further
+    every = max(1, total // (max(SAMPLED, SAMPLED_EACH * ranges) * 50))  # an anchor a 50 bytes; so the sample grows with the splitters, and no further
     sample = np.sort(src.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).mapInArrow(leading, "t long").toPandas().t.to_numpy().astype(np.int64).view(np.uint64))
     picked = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) else sample
     splitters = spark.sparkContext.broadcast(np.unique(picked))  # one value a range
 
-    asked = packed.groupBy("block").applyInArrow(anchors, "owner long, block long, keys binary, twice binary")
+    asked = packed.groupBy("block").applyInArrow(anchors, "owner long, block long, keys binary, times binary")
     back = "block long, kind int, part long, mask binary"
     one = asked.groupBy("owner").applyInArrow(repeated, back)
-    sent = packed.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(suffixes, "bucket long, block long, tokens binary, twice binary")
-    two = sent.groupBy("bucket").applyInArrow(neighbours, back)
+    asked_hot = packed.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(ask_hot, "home long, block long, blob binary, twice binary")
+    two = asked_hot.groupBy("home").applyInArrow(count_hot, back)
     runs = packed.groupBy("block").cogroup(one.unionByName(two).groupBy("block")).applyInArrow(ask_text, "route long, block long, kind int, blob binary")
     sure = runs.groupBy("route").applyInArrow(confirm, back)
     return packed.groupBy("block").cogroup(sure.groupBy("block")).applyInArrow(cut, "digest binary, n_removed long, n_spans long, kept binary, n_passage_words long")

@@ -66,6 +66,32 @@ def test_long_literals_are_judged_whole():
     assert [f[0] for f in found] == ["literal"]
 
 
+def test_syntax_of_literals():
+    """Elements of markup, three quotes and joins over lines are read; a value that only looks like one is not."""
+    found = lambda x: {x[a:b] for k, a, b, *_ in secrets.scan_text(x) if k in ("literal", "constant")}
+    assert found("<conf><dbPassword id='1'> q8Jd82!kdLwp0 </dbPassword><color>q8Jd82!kdLwp1</color></conf>") == {"q8Jd82!kdLwp0"}
+    assert found('client_secret = """q8Jd82!\nkdLwp0 x"""\ncolor = 1') == {"q8Jd82!\nkdLwp0 x"}
+    assert found('auth_token = "q8Jd82!kdL" +\n    "wp0Zz91?kkP"') == {"q8Jd82!kdL", "wp0Zz91?kkP"}
+    assert found("<tokenCount>q8Jd82!kdLwp0</tokenCount>") == set()
+
+
+def test_secrets_of_long_texts():
+    """Lexing takes time in proportion to a text, also where constants are joined upon constants."""
+    import time
+
+    def seconds(n):
+        text = 'master = "Zx9!kkPqL02mmQ"\n' + 's = s + "Zx9!kkPqL02mmR"\nsecret_key = secret_key + s\n' * n
+        begin = time.process_time()
+        found = secrets.scan_text(text)
+        return time.process_time() - begin, len(found)
+
+    seconds(100)
+    (one, few), (eight, many) = seconds(5_000), seconds(40_000)
+    assert eight < 16 * max(one, 0.05) and many > 7 * few
+    text = "w " * 3_000_000 + 'db_password = "Zx9!kkPqL02mmQ"'
+    assert [f[0] for f in secrets.scan_text(text)] == ["literal"]
+
+
 # ---------------------------------------------------------------- op2
 
 
@@ -128,7 +154,6 @@ def test_token_file(spark, docs, rows, empty, tmp_path):
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         js = f.read()
     t = Tokenizer.from_str(js)
-    t.encode_special_tokens = True
     ordered = sorted(((i, x or "") for i, x, _, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     start, want = 0, []
     for i, x in ordered:
@@ -174,19 +199,26 @@ def test_pieces_equal_whole_texts():
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         js = f.read()
     t, pieces, rng = Tokenizer.from_str(js), tokenfile.Pieces(js), random.Random(3)
-    t.encode_special_tokens = True
     parts = ["a", "b", " ", "  ", "\n", "\t", "　", "\xa0", "é", "1", "²", "￿", "<|endoftext|>", "'s", " x", "!", "\x85", "中", "\x1c", "\r\n", "🙂"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", "￿", " "]
     for g in range(0, len(texts), 100):
         own = texts[g : g + 100]
         listed, flat, per = tokenfile.number_pieces(own)
-        here, at = pieces.numbers(listed), 0
+        (start, size, every), at = pieces.encode(listed), 0
         for x, n in zip(own, per):
-            ids = [i for k in flat[at : at + n] for i in pieces.ids[pieces.start[here[k]] :][: pieces.size[here[k]]].tolist()]
+            ids = [i for k in flat[at : at + n] for i in every[start[k] :][: size[k]].tolist()]
             at += n
             assert ids == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        js = f.read()
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    tokenfile.write(df, f"{tmp_path}/a", js, 2)
+    assert tokenfile.read(spark, f"{tmp_path}/a").first().ids == [64, 220, 50256, 275, 2]
+
+
 # ---------------------------------------------------------------- op4
 
 
@@ -379,7 +411,9 @@ def repeats_want(texts, n, words=50):
     return out
 
 
-def test_suffix_dedup(docs, rows, empty):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup(docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     small = [(i, x) for i, x, _, _ in rows if x is None or len(x) < 20_000]
     d = docs.where("text is null or length(text) < 20000")
     want = [(i, *w) for (i, _), w in zip(small, repeats_want([(x or "").encode() for _, x in small], 400))]
@@ -390,9 +424,10 @@ def test_suffix_dedup(docs, rows, empty):
     assert all(r.n_removed == r.n_bytes and r.n_spans == 1 for r in long)
 
 
-def test_suffix_dedup_chunks(docs, rows, monkeypatch):
-    """Blocks, chunks and buckets far smaller than a text give the same."""
-    for name, v in (("BLOCK_BYTES", 4000), ("CHUNK_BYTES", 700), ("BUCKET_BYTES", 2000)):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup_chunks(docs, rows, monkeypatch, hot):
+    """Blocks, chunks and buckets far smaller than a text give the same, and so do hot anchors."""
+    for name, v in (("BLOCK_BYTES", 4000), ("CHUNK_BYTES", 700), ("BUCKET_BYTES", 2000), ("HOT", hot), ("SPLITTERS", 16), ("RUN_BYTES", 1000)):
         monkeypatch.setattr(suffixes, name, v)
     small = [(i, x) for i, x, _, _ in rows if x and 60 <= (i or 0) < 80]
     d = docs.where("doc_id between 60 and 79")
@@ -436,8 +471,6 @@ def test_multikey_quicksort():
         t = rng.integers(0, high, (3, 5000), dtype=np.uint32)
         o = suffixes.multikey_quicksort(t)
         assert (t[:, o] == t[:, np.lexsort(t[::-1])]).all()
-        u, twice, place = suffixes.distinct(t)
-        assert (u[:, place] == t).all() and (twice == (np.bincount(place) > 1)).all()
 
 
 # ---------------------------------------------------------------- op10
