@@ -3,7 +3,8 @@
 The base patterns find assignments, access keys and long hexadecimal runs
 wherever they stand.  The lexer reads the text as source or configuration
 (``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name := ..``,
-``name => ..``, several joined by ``+``) into pairs of a name and literals.
+``name => ..``, ``<name>literal</name>``, literals in one or three quotes, several
+joined by ``+`` over lines) into pairs of a name and literals.
 A right side that is itself a name is replaced by the literals last assigned to
 it, through any number of steps, so a constant is judged by every name it
 reaches.  A pair scores by how sensitive its name's words are and by how much
@@ -12,7 +13,10 @@ its literal looks like a secret; from ``LEAST_SCORE`` on the literal is found.
 A span inside an assignment that a base pattern already found is not repeated.
 
 Defined cases: a null text is read as empty and has no findings; texts are read
-whole, never in windows; null keys and repeated rows keep their rows; an empty table gives an empty result; other columns are ignored.
+whole, never in windows, however long, in time that grows with their length; of
+names that a literal reaches the most sensitive counts, the first on a tie; null
+keys and repeated rows keep their rows; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,11 +42,15 @@ HARMLESS = {"count", "length", "len", "size", "max", "min", "limit", "type", "na
 PLACEHOLDERS = {"true", "false", "null", "none", "nil", "undefined", "changeme", "example", "placeholder", "redacted", "todo", "password", "secret", "token"}
 LEAST_SCORE = 4.0
 
-#: A text in which none of these stands has no name that scores.
+#: Every name that scores holds one of these words, and a constant counts only once it reaches such a name,
+#: so a text without any of them has no pair to judge.
 _HINT = re.compile("|".join(sorted(SENSITIVE)), re.I)
 _NAME = r"[A-Za-z_$][\w$.-]*+"
-_ITEM = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`|[^\s"'`,;#(){}\[\]<>+]++"""
-_PAIR = re.compile(rf"""(?<![\w$.-])({_NAME})["'\]]{{0,2}}[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+({_ITEM})((?:[ \t]*+\+[ \t]*+(?:{_ITEM}))*+)""")
+_TRIPLE = r"""\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}"""
+_ITEM = _TRIPLE + r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`|[^\s"'`,;#(){}\[\]<>+]++"""
+_PAIR = re.compile(rf"""(?<![\w$.-])({_NAME})["'\]]{{0,2}}[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+({_ITEM})((?:\s*+\+\s*+(?:{_ITEM}))*+)""")
+#: An element of markup whose tag is the name.
+_ELEMENT = re.compile(rf"""<({_NAME})(?:\s[^<>]*+)?>\s*+([^<>\s](?:[^<>]*[^<>\s])?)\s*+</\1\s*+>""")
 _ITEMS = re.compile(_ITEM)
 _IDENTIFIER = re.compile(rf"{_NAME}\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -69,16 +77,26 @@ def literal_score(literal: str) -> float:
 
 
 def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, its right side) of every assignment: items as (kind, start, end), kind ``"`` or ``n``."""
+    """(name, its right side) of every assignment: items as (kind, start, end), kind ``"`` or ``n``.
+
+    Assignments come in the order of the text; elements of markup are pairs too.
+    """
+    elements = [(m.start(1), m[1], [('"', *m.span(2))]) for m in _ELEMENT.finditer(text)] if "</" in text else []
+    at = 0
     for m in _PAIR.finditer(text):
+        while at < len(elements) and elements[at][0] < m.start():
+            yield elements[at][1:]
+            at += 1
         items = []
         for i in _ITEMS.finditer(text, m.start(2), m.end()):
             a, b = i.span()
             if text[a] in "\"'`":
-                items.append(('"', a + 1, b - 1))
+                q = 3 if b - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1
+                items.append(('"', a + q, b - q))
             else:
                 items.append(("n" if _IDENTIFIER.match(text, a, b) else '"', a, b))
         yield m[1], items
+    yield from (e[1:] for e in elements[at:])
 
 
 def scan_text(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -92,23 +110,28 @@ def scan_text(text: str) -> list[tuple[str, int, int, str, float]]:
     found += [("hex", *m.span(), "", 0.0) for m in _HEX.finditer(text)]
     if _HINT.search(text):
         best: dict[tuple[int, int], tuple] = {}
-        constants: dict[str, list[tuple[int, int]]] = {}
+        constants: dict[str, list] = {}  # [literals, the constants joined with them, the score of the most sensitive name that they have reached]
         for name, items in lex(text):
-            spans, through = [], set()
+            value = [[], [], 0.0]
             for kind, a, b in items:
                 known = constants.get(text[a:b]) if kind == "n" else None
                 if known is None:
-                    spans.append((a, b))
+                    value[0].append((a, b))
                 else:
-                    spans += known
-                    through.update(known)
-            spans = list(dict.fromkeys(spans))
-            constants[name] = spans
+                    value[1].append(known)
+            constants[name] = value
             own = name_score(name)
-            for a, b in spans if own else ():
-                score = own + literal_score(text[a:b])
-                if score >= LEAST_SCORE and literal_score(text[a:b]) > 0 and score > best.get((a, b), (0, 0, 0))[2]:
-                    best[a, b] = ("constant" if (a, b) in through else "literal", name, score)
+            reached = [(value, "literal")]
+            while reached:  # a value is walked again only for a more sensitive name, so joins upon joins take linear time
+                v, how = reached.pop()
+                if v[2] >= own:
+                    continue
+                v[2] = own
+                for a, b in v[0]:
+                    looks = literal_score(text[a:b])
+                    if looks > 0 and own + looks >= LEAST_SCORE and own + looks > best.get((a, b), (0, 0, 0))[2]:
+                        best[a, b] = (how, name, own + looks)
+                reached += [(c, "constant") for c in v[1]]
         covered = _inside(sorted(best), taken)
         found += [(k, a, b, name, score) for (a, b), (k, name, score) in best.items() if (a, b) not in covered]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
