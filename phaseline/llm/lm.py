@@ -59,11 +59,15 @@ def cuts(owner: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(owner[i]), i, j) for i, j in zip(c[:-1], c[1:])]
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One sortable key a pair of numbers, exact while numbers are below 2**32."""
-    if max(h.max(initial=0), w.max(initial=0)) >= 1 << 32:
-        return C.mix64(h * np.uint64(0x9E3779B97F4A7C15) + C.mix64(w))
-    return (h << np.uint64(32)) | w
+def numbered_pairs(h: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    """(distinct pairs, the number of each pair) of any two columns of 64-bit numbers."""
+    order = np.lexsort((w, h))
+    a, b = h[order], w[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return int(new.sum()), place
 
 
 class Block:
@@ -187,14 +191,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
         return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
 
     def count_pairs(table: pa.Table) -> pa.Table:
-        keys, times, size = [], [], []
+        heads, words, times, size = [], [], [], []
         for x in table.column("blob").to_pylist():
             t = C.from_blob(x)
-            keys.append(pair_keys(np.cumsum(C.np_col(t, "h"), dtype=np.uint64), C.np_col(t, "w").astype(np.uint64)))
+            heads.append(np.cumsum(C.np_col(t, "h"), dtype=np.uint64))
+            words.append(C.np_col(t, "w").astype(np.uint64))
             times.append(C.np_col(t, "c").astype(np.int64))
             size.append(t.num_rows)
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(u)).astype(np.int64)[inverse]
+        n, inverse = numbered_pairs(np.concatenate(heads), np.concatenate(words))
+        total = np.bincount(inverse, weights=np.concatenate(times), minlength=n).astype(np.int64)[inverse]
         ends = np.cumsum(size)
         answers = [C.to_blob(3, c=slim(total[e - n : e])) for e, n in zip(ends, size)]
         return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(size), np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary())})
