@@ -6,14 +6,17 @@ log-linear histograms of whole numbers, 128 buckets to a factor of two, so a
 merge is a sum of counts, the same for every order and partitioning.  Sketches
 are kept per language and source; where one holds under ``least_rows`` texts
 its language's merged sketch is used, then the one of all texts.  Fences lie
-``reach`` interquartile ranges, and at least a margin, outside the quartiles.
+``reach`` interquartile ranges and a margin outside the quartiles; the one on word
+length, a mean, widens for texts of few words as that mean's error does.
 A text is kept if it passes the fixed base rules and lies inside its fences.
 
 Only built-in DataFrame functions are used.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null language or source is a group of its own; repeated rows count each time;
-a very long text is judged whole; an empty table gives an empty result.
+a value on a fence is inside; a very long text is judged whole; other columns
+are ignored by ``rules`` and kept, whatever their names, by ``keep_good``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: (ratio, smallest margin outside the quartiles, whether low values are rejected too)
 RULES = (("word_length_100", 60, True), ("symbols_1000", 100, False), ("dup_lines_1000", 400, False))
-#: Ratios of fewer words are too noisy for a fence on word length.
+#: A mean over fewer words is noisier, so its fence widens as one over the root of the words.
 STEADY_WORDS = 50
 
 
@@ -96,7 +99,7 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, least_rows: int, reach: int) -> DataFrame:
-    """(lang, source, fence map<rule, struct<low, high>>) for every group that has texts."""
+    """(lang, source, fence map<rule, struct<q1, q3, out>>) for every group that has texts."""
     own, lang, every = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
     lang = lang.select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), F.struct("rows", "q1", "q3").alias("_l"))
     every = every.select(F.col("rule").alias("_every_rule"), F.struct("rows", "q1", "q3").alias("_e"))
@@ -104,7 +107,7 @@ def fences(sketch: DataFrame, least_rows: int, reach: int) -> DataFrame:
     pick = F.when(F.col("rows") >= least_rows, F.struct("rows", "q1", "q3")).when(F.col("_l")["rows"] >= least_rows, F.col("_l")).otherwise(F.col("_e"))
     margin = F.element_at(F.create_map(*(F.lit(x) for r in RULES for x in (r[0], r[1]))), F.col("rule"))
     d = d.withColumn("p", pick).withColumn("out", F.lit(reach) * (F.col("p")["q3"] - F.col("p")["q1"]) + margin)
-    fence = F.struct((F.col("p")["q1"] - F.col("out")).alias("low"), (F.col("p")["q3"] + F.col("out")).alias("high"))
+    fence = F.struct(F.col("p")["q1"].alias("q1"), F.col("p")["q3"].alias("q3"), "out")
     return d.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", fence.alias("f")))).alias("fence"))
 
 
@@ -117,12 +120,12 @@ def judge(df: DataFrame, lang: str, source: str, measures: str, least_rows: int
     m = F.col(measures)
     f = C.staged(fences(sketches(df, lang, source, m), least_rows, reach)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
     d = df.join(f, df[lang].eqNullSafe(f["_lang"]) & df[source].eqNullSafe(f["_source"]), "left")
-    ok = F.lit(True)
+    ok, wide = F.lit(True), F.greatest(F.lit(1.0), F.sqrt(F.lit(float(STEADY_WORDS)) / F.greatest(m["n_words"], F.lit(1))))
     for name, _, both in RULES:
         v, fence = ratios(m)[name], F.try_element_at(F.col("fence"), F.lit(name))
-        inside = v <= fence["high"]
+        inside = v <= fence["q3"] + fence["out"]
         if both:
-            inside = (inside & (v >= fence["low"])) | (m["n_words"] < STEADY_WORDS)
+            inside = (v <= fence["q3"] + fence["out"] * wide) & (v >= fence["q1"] - fence["out"] * wide)
         ok = ok & F.coalesce(inside, F.lit(True))
     failed = base_failed(m)
     return d.select(*df.columns, failed.alias("_failed"), (~failed & ok).alias("_kept"))
@@ -173,13 +176,13 @@ u AS (SELECT lang, source, 'word_length_100' AS rule, a AS x FROM v UNION ALL SE
 k AS (SELECT lang, source, rule, (x >> s) << s AS bucket, count(*) AS n
       FROM (SELECT *, greatest(length(bin(x)) - 8, 0) AS s FROM u WHERE x IS NOT NULL) GROUP BY ALL),
 o AS ({quart("lang, source")}), l AS ({quart("lang")}), e AS ({quart("")}),
-f AS (SELECT lang, source, rule, q1 - 3 * (q3 - q1) - {cases(1)} AS low, q3 + 3 * (q3 - q1) + {cases(1)} AS high
+f AS (SELECT lang, source, rule, q1, q3, 3 * (q3 - q1) + {cases(1)} AS wide
       FROM (SELECT o.lang, o.source, o.rule, {pick("q1")} AS q1, {pick("q3")} AS q3
             FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN e ON o.rule = e.rule)),
-x AS (SELECT lang, source, max(low) FILTER (WHERE rule = 'word_length_100') AS a_low, max(high) FILTER (WHERE rule = 'word_length_100') AS a_high,
-             max(high) FILTER (WHERE rule = 'symbols_1000') AS b_high, max(high) FILTER (WHERE rule = 'dup_lines_1000') AS z_high FROM f GROUP BY lang, source)
+x AS (SELECT lang, source, max(q1) FILTER (WHERE rule = 'word_length_100') AS a1, max(q3) FILTER (WHERE rule = 'word_length_100') AS a3, max(wide) FILTER (WHERE rule = 'word_length_100') AS a_out,
+             max(q3 + wide) FILTER (WHERE rule = 'symbols_1000') AS b_high, max(q3 + wide) FILTER (WHERE rule = 'dup_lines_1000') AS z_high FROM f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-       AND coalesce((a <= a_high AND a >= a_low) OR n_words < {STEADY_WORDS}, true) AND coalesce(b <= b_high, true) AND coalesce(z <= z_high, true) AS kept
+       AND coalesce(a <= a3 + a_out * greatest(1.0::DOUBLE, sqrt({STEADY_WORDS}::DOUBLE / greatest(n_words, 1))) AND a >= a1 - a_out * greatest(1.0::DOUBLE, sqrt({STEADY_WORDS}::DOUBLE / greatest(n_words, 1))), true) AND coalesce(b <= b_high, true) AND coalesce(z <= z_high, true) AS kept
 FROM v LEFT JOIN x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source"""
