@@ -32,7 +32,9 @@ BLANK = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that driver and executors share."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only where the cluster names none, as in tests
+    if not base:  # only in tests on one machine
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="phaseline-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
