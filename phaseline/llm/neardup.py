@@ -2,25 +2,30 @@
 
 * A document's set is its distinct 5-word shingles as 64-bit fingerprints.
   Documents with equal sets are one class; only its smallest key goes on.
-* A signature of 128 min-hashes is read in 16 orders of eight labels.  In each
-  order, documents that share at least three leading labels form a region.  A
-  region too large for one task is taken deeper, label by label, as far as it
-  must; what parts from the rest there stays in the parent region, in slices,
-  and the region's hubs (its largest class, and the member with the most
-  neighbours over all orders) go along with every slice.
+* A signature of 128 min-hashes is read in 16 orders of eight labels.  Sorted in
+  an order, documents that share at least three leading labels stand side by
+  side and form a region.  A region too large for one task is taken deeper, label
+  by label, as far as it must; what parts from the rest there stays in the parent
+  region, in slices, and the region's hubs (its largest class, and the member with
+  the most neighbours over all orders) go along with every slice.
 * A region that was parted so is then compared block by block: every two of its
   members that are not yet in one component meet in some task.
-* A region compares signatures inside one task and emits no pairs: it confirms
-  candidates on full sets, best first, skips what is already connected, and
-  sends each member one link to the smallest key it reached.
+* A task sorts its members by their labels in the order and goes up from the
+  longest common prefix: neighbours first, then all that share just so many labels
+  and are not yet connected.  It emits no pairs: it confirms candidates on full
+  sets, the most alike first, and sends each member one link to the smallest key
+  it reached.
 * Components of the links are found by distributed star contractions.
 
 A link of similarity 0.75 is met in some order with probability 0.9998, one of
 0.8 with 0.99997; links inside a component have many chances more.
 
 Defined cases: null or blank texts have no shingles and link with nothing;
-fewer than five words are one shingle; a null key has a null component and is
-kept; rows of one key are one document; an empty table gives an empty result.
+fewer than five words are one shingle; a very long text is one set, read whole; a
+null key has a null component and is kept; rows of one key are one document; of
+equally alike candidates the smallest keys come first, which changes no
+component; other columns are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from . import common as C
 
 ORDERS, LABELS, LEAST_DEPTH = 16, 8, 3
 #: A region of more members, or more shingles, is taken deeper or sliced.
-MOST_MEMBERS, MOST_SHINGLES = 2048, 4_000_000
+MOST_MEMBERS, MOST_SHINGLES = 1024, 4_000_000
 #: Share of equal min-hashes under which a pair is not confirmed: 4.4 deviations below 0.75.
 SKETCH_LEAST = 0.58
 _rng = np.random.default_rng(20_240_601)
@@ -123,12 +128,12 @@ def _regions_at(reps: DataFrame, depth: int) -> DataFrame:
 
 
 def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame | None]:
-    """(task long, key long): which representatives are compared together; (region, key, n) of regions whose members are parted, if any."""
+    """(task long, key long, order int): which representatives are compared together; (region, key, n, order) of regions whose members are parted, if any."""
     rows = _regions_at(reps, LEAST_DEPTH)
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
     rows = C.staged(rows.join(sizes, "region"))
     large = (F.col("size") > most) | (F.col("weight") > weight)
-    out = rows.where(~large).select(F.col("region").alias("task"), "key")
+    out = rows.where(~large).select(F.col("region").alias("task"), "key", "order")
     open_rows = rows.where(large)
     if open_rows.isEmpty():
         return out, None
@@ -139,7 +144,7 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFram
 
     def sliced(parts: DataFrame) -> DataFrame:
         slices = F.greatest(F.ceil(F.col("size") / most), F.ceil(F.col("weight") / weight))
-        return parts.select("root", F.xxhash64("region", F.lit("slice"), F.pmod(F.xxhash64("region", "key"), slices)).alias("task"), "key")
+        return parts.select("root", F.xxhash64("region", F.lit("slice"), F.pmod(F.xxhash64("region", "key"), slices)).alias("task"), "key", "order")
 
     deep = []
     live = open_rows.select("key", "n", "copies", "order", F.col("region").alias("root"), "region", "size", "weight")
@@ -152,7 +157,7 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFram
         left = alone.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
         deep.append(sliced(alone.drop("size", "weight").join(left, "region")))
         wide = (F.col("size2") > most) | (F.col("weight2") > weight)
-        deep.append(split.where((F.col("size2") > 1) & ~wide).select("root", F.col("below").alias("task"), "key"))
+        deep.append(split.where((F.col("size2") > 1) & ~wide).select("root", F.col("below").alias("task"), "key", "order"))
         live = split.where(wide).select("key", "n", "copies", "order", "root", F.col("below").alias("region"), F.col("size2").alias("size"), F.col("weight2").alias("weight"))
         if live.isEmpty():
             live = None
@@ -163,12 +168,12 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFram
     for d in deep[1:]:
         tasks = tasks.unionByName(d)
     tasks = C.staged(tasks)
-    visits = tasks.select("root", "task").distinct().join(hubs.withColumnRenamed("region", "root"), "root").select("task", "key")
-    return out.unionByName(tasks.select("task", "key")).unionByName(visits).distinct(), open_rows.select("region", "key", "n")
+    visits = tasks.select("root", "task", "order").distinct().join(hubs.withColumnRenamed("region", "root"), "root").select("task", "key", "order")
+    return out.unionByName(tasks.select("task", "key", "order")).unionByName(visits).distinct(), open_rows.select("region", "key", "n", "order")
 
 
 def _cross_tasks(parted: DataFrame, found: DataFrame, most: int, weight: int) -> DataFrame:
-    """(task, key, component): blocks of each parted region, every two of them in one task.
+    """(task, key, component, order): blocks of each parted region, every two of them in one task.
 
     Blocks of the region's largest component are not paired with each other, for
     its members are connected already.  A block has half of a task's bounds.
@@ -186,53 +191,93 @@ def _cross_tasks(parted: DataFrame, found: DataFrame, most: int, weight: int) ->
     d = d.withColumn("own", F.when(F.col("in_top"), F.col("rest") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("rest"))))
     # the others' blocks meet all blocks but themselves: inside, they are compared in each of their tasks
     d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("inner"))))).where("with <> own")
-    return d.select(F.xxhash64("region", F.lit("blocks"), F.least("own", "with"), F.greatest("own", "with")).alias("task"), "key", "component")
+    return d.select(F.xxhash64("region", F.lit("blocks"), F.least("own", "with"), F.greatest("own", "with")).alias("task"), "key", "component", "order")
 
 
-def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least ``percent`` of their union in common."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: int = 0, known: np.ndarray | None = None) -> np.ndarray:
     """The smallest key that each member reaches by confirmed links inside the region.
 
-    Members of one component of ``known`` count as linked and are not compared.
+    Members are sorted by their signatures in the region's order of labels.  From
+    the deepest common prefix up, those that share just so many labels are
+    candidates: first neighbours in the order, then, as long as they are not in
+    one component, all others, the most alike first.  Every two members become
+    candidates at the depth of their common prefix, unless they are connected by
+    then, which those that part late mostly are.  Members of one component of
+    ``known`` count as linked.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
-    keys, sets = keys[order], [sets[i] for i in order]
+    by_key = np.argsort(keys, kind="stable")
+    keys, sets = keys[by_key], [sets[i] for i in by_key]
     label = np.arange(n)
-    scan, outer = label, n - 1
     if known is not None:
-        _, at, of, count = np.unique(known[order], return_index=True, return_inverse=True, return_counts=True)
+        _, at, of = np.unique(known[by_key], return_index=True, return_inverse=True)
         label = at[of]
-        scan, outer = np.argsort(of == count.argmax(), kind="stable"), n - count.max()  # the largest one last
-    sig, size = signatures(sets), np.array([len(s) for s in sets])
-    first, second, score = [], [], []
-    least = int(np.ceil(SKETCH_LEAST * sig.shape[1])) if n > 2 else 0
-    sig, wide, part = sig[scan], size[scan], label[scan]
-    for i in range(outer):
-        same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1)
-        small, large = np.minimum(wide[i], wide[i + 1 :]), np.maximum(wide[i], wide[i + 1 :])
-        j = np.flatnonzero((same >= least) & (100 * small >= percent * large) & (part[i + 1 :] != part[i]))
-        first.append(np.full(len(j), scan[i])), second.append(scan[j + i + 1]), score.append(same[j])
-    a, b, s = map(np.concatenate, (first, second, score)) if first else np.zeros((3, 0), np.int64)
-    best = np.argsort(-s, kind="stable")
-    a, b = a[best], b[best]
-    at = 0
-    while at < len(a):
-        x, y = a[at : at + 512], b[at : at + 512]
-        at += 512
-        for i, j in zip(x.tolist(), y.tolist()):
-            if label[i] == label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                lo, hi = sorted((label[i], label[j]))
-                label[label == hi] = lo
-        apart = label[a[at:]] != label[b[at:]]
-        a, b = np.concatenate([a[:at], a[at:][apart]]), np.concatenate([b[:at], b[at:][apart]])
+    size = np.array([len(s) for s in sets])
+
+    def confirm(i: int, j: int) -> None:
+        a, b = sorted((int(label[i]), int(label[j])))
+        if a != b and alike(sets[i], sets[j], percent):
+            label[label == b] = a
+
+    if n == 2:
+        confirm(0, 1)
+    else:
+        sig = signatures(sets)
+        labels = sig.reshape(n, ORDERS, LABELS)[:, order]
+        sort = np.lexsort(labels.T[::-1])
+        equal = labels[sort][1:] == labels[sort][:-1]
+        lcp = np.concatenate([[-1], np.logical_and.accumulate(equal, axis=1).sum(axis=1)])  # with the one before
+        for depth in sorted(set(lcp[1:].tolist()), reverse=True):
+            heads = np.flatnonzero(lcp < depth)
+            for a, b in zip(heads.tolist(), np.append(heads[1:], n).tolist()):
+                if b - a > 1:
+                    _link_run(sort[a:b], lcp[a:b] == depth, label, sig, size, percent, confirm)
     out = np.empty(n, np.int64)
-    out[order] = keys[label]
+    out[by_key] = keys[label]
     return out
 
 
+def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, confirm) -> None:
+    """Candidates among members that share a prefix, and part at its end wherever ``parts`` is set."""
+    seam = np.flatnonzero(parts[1:])
+    if not len(seam) or (label[run] == label[run[0]]).all():
+        return
+    for i in seam.tolist():
+        confirm(run[i], run[i + 1])
+    sub = np.cumsum(np.concatenate([[False], parts[1:]]))
+    own = label[run]
+    values, count = np.unique(own, return_counts=True)
+    if len(values) == 1:
+        return
+    # those outside the run's largest component against all, which leaves that one's members uncompared
+    outer = np.flatnonzero(own != values[count.argmax()])
+    least = int(np.ceil(SKETCH_LEAST * sig.shape[1]))
+    first, second, score = [], [], []
+    mine, wide = sig[run], size[run]
+    for i in outer.tolist():
+        small, large = np.minimum(wide[i], wide), np.maximum(wide[i], wide)
+        may = np.flatnonzero((100 * small >= percent * large) & (own != own[i]) & (sub != sub[i]))
+        same = np.count_nonzero(mine[may] == mine[i], axis=1)
+        hit = same >= least
+        first.append(np.full(int(hit.sum()), i)), second.append(may[hit]), score.append(same[hit])
+    a, b, s = map(np.concatenate, (first, second, score))
+    once = (a < b) | (own[b] == values[count.argmax()])  # a pair of outer members was met from both sides
+    a, b, s = a[once], b[once], s[once]
+    best = np.argsort(-s, kind="stable")
+    a, b = run[a[best]], run[b[best]]
+    while len(a):
+        for i, j in zip(a[:512].tolist(), b[:512].tolist()):
+            confirm(i, j)
+        apart = label[a[512:]] != label[b[512:]]
+        a, b = a[512:][apart], b[512:][apart]
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most_members: int = MOST_MEMBERS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
     table = _sets_table(df, key, text, width)
@@ -247,7 +292,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         keys = t.column("key").to_numpy()
         keys, first = np.unique(keys, return_index=True)
         texts = t.column("x").cast(pa.large_binary())
-        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent) if len(keys) > 1 else keys
+        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, t.column("order")[0].as_py()) if len(keys) > 1 else keys
         own = reached != keys
         return pa.table({"a": pa.array(keys[own]), "b": pa.array(reached[own])})
 
@@ -255,7 +300,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         hashes = C.WordHashes()
         keys, first = np.unique(t.column("key").to_numpy(), return_index=True)
         texts, known = t.column("x").cast(pa.large_binary()), t.column("component").to_numpy()[first]
-        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, known)
+        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, t.column("order")[0].as_py(), known)
         to = known[np.searchsorted(keys, reached)]
         a, b = np.unique(np.stack([known, to])[:, known != to], axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
