@@ -34,10 +34,8 @@ from . import common as C
 BLOCK_BYTES, EVERY = 2 << 20, 128
 #: Text of a sorted partition.
 PART_BYTES = 48 << 20
-#: Pieces of text whose ids a task remembers.
-KNOWN = 1_000_000
-#: Text that is encoded in one call.
-RUN_BYTES = 1024
+#: Text that pieces side by side may have, and such texts in one call.
+RUN_BYTES, CALL = 2048, 512
 
 
 # --------------------------------------------------------------------------
@@ -136,32 +134,31 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
     return pack_pieces(ids, np.ones(len(lengths), np.int64) * (lengths > 0), np.flatnonzero(lengths), codes, lengths)
 
 
-def decode_table(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, id by prefix, length by prefix)."""
+def decode_table(lengths: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bits, id and length by prefix in one number: the length in the low five bits)."""
     used = np.flatnonzero(lengths)
     bits = int(lengths.max(initial=0))
     order = used[np.lexsort((used, lengths[used]))]
     span = 1 << (bits - lengths[order])
-    ids, size = np.zeros(1 << bits, np.int64), np.ones(1 << bits, np.int64)
-    filled = int(span.sum())
-    ids[:filled], size[:filled] = np.repeat(order, span), np.repeat(lengths[order], span)
-    return bits, ids, size
+    both = np.ones(1 << bits, np.uint32 if len(lengths) < 1 << 27 else np.uint64)
+    both[: int(span.sum())] = np.repeat((order << 5) | lengths[order], span)
+    return bits, both
 
 
 def unpack_bits(data: bytes, offsets: np.ndarray, n: int, table: tuple) -> np.ndarray:
     """The ``n`` ids of a block, one lane a checkpoint."""
-    out = np.zeros((EVERY, len(offsets)), np.int64)
+    bits, both = table
+    out = np.zeros((EVERY, len(offsets)), both.dtype)
     if not n:
         return np.zeros(0, np.int64)
-    bits, ids, size = table
     b = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
     window = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
     at, mask, end = offsets.astype(np.int64), np.uint32((1 << bits) - 1), len(window) - 1
     for step in range(min(EVERY, n)):
         prefix = (window[np.minimum(at >> 3, end)] >> (32 - bits - (at & 7)).astype(np.uint32)) & mask
-        out[step] = ids[prefix]
-        at = at + size[prefix]
-    return out.T.reshape(-1)[:n]
+        out[step] = got = both[prefix]
+        at += got & 31
+    return (out >> 5).T.reshape(-1)[:n].astype(np.int64)
 
 
 # --------------------------------------------------------------------------
@@ -190,7 +187,7 @@ def split_pieces(text: str) -> list[str]:
     return [FIRST + parts[0], *parts[1:]]
 
 
-def number_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def number_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct pieces, number of each piece of all texts, pieces of each text)."""
     import pyarrow.compute as pc
 
@@ -199,11 +196,17 @@ def number_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     else:  # a text that holds the mark itself is one piece
         lists = pa.array([[FIRST + x] if FIRST in x else split_pieces(x) for x in texts], pa.large_list(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
 
-class Pieces(dict):
-    """Number of each piece; ids of each, encoded once while it is remembered."""
+def unified(lists: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """(distinct pieces of all lists, the number of each piece of each list)."""
+    coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(np.arange(len(x), dtype=np.int32)), x) for x in lists]).unify_dictionaries()
+    return coded.chunk(0).dictionary, [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+
+
+class Pieces:
+    """Encodes distinct pieces, many side by side in one call of the library."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -211,84 +214,74 @@ class Pieces(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.t = Tokenizer.from_str(tokenizer_json)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.t.get_vocab(with_added_tokens=True)
+        # a byte-level token has one character a byte, an added one the characters of its text
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
-            self.width[i] = len(token)  # a byte-level token has one character a byte
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """Number of each of some distinct pieces; new ones are encoded."""
-        got = list(map(self.get, pieces))
-        new = [p for p, n in zip(pieces, got) if n is None]
-        out = np.array(got, np.float64)  # NaN for None; exact below 2**53
-        if new:
-            at = len(self)
-            self.update(zip(new, range(at, at + len(new))))
-            self._learn(new, at)
-            out[np.isnan(out)] = np.arange(at, at + len(new))
-        return out.astype(np.int64)
-
-    def _learn(self, new: list[str], at: int) -> None:
+            self.width[i] = len(token)
+        for i, token in self.t.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
+            if token.lstrip or token.rstrip or token.single_word or " " in token.content:
+                raise ValueError(f"the added token {token.content!r} looks beyond its piece")
+
+    def encode(self, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first id, number of ids) of each piece, and the ids."""
         import pyarrow.compute as pc
 
-        listed = pa.array(new, pa.large_string())
         length = C.byte_lengths(listed)
         single = (length == 0) | (length != C.byte_lengths(pc.utf8_rtrim_whitespace(listed))) | pc.starts_with(listed, FIRST).to_numpy(zero_copy_only=False)
-        alone, order = np.flatnonzero(single).tolist(), np.flatnonzero(~single)
-        ids, sizes = [], []
-        for e in self.t.encode_batch_fast([new[i][1:] if new[i][:1] == FIRST else " " + new[i] for i in alone], add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append([len(ids[-1])])
-        # the others stand side by side in one call, and are told apart by their bytes
+        alone, order = np.flatnonzero(single), np.flatnonzero(~single)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        texts = [x[1:] if x[:1] == FIRST else " " + x for x in listed.take(pa.array(alone)).to_pylist()]
+        for at in range(0, len(texts), CALL):
+            for e in self.t.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append([len(ids[-1])])
+        # the others stand side by side, and are told apart by their bytes
         ends = np.cumsum(length[order] + 1)
-        cuts = np.flatnonzero(np.diff(ends // RUN_BYTES, prepend=-1)).tolist() + [len(order)]
-        plain = [new[i] for i in order.tolist()]
-        for i, j, e in zip(cuts[:-1], cuts[1:], self.t.encode_batch_fast([" " + " ".join(plain[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], add_special_tokens=False)):
-            ids.append(np.array(e.ids, np.uint32))
-            base = ends[i - 1] if i else 0
-            sizes.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends[i:j] - base) + 1, prepend=0))
-        order = order.tolist()
-        size = np.concatenate(sizes).astype(np.int64)
-        place = at + np.array(alone + order, np.int64)
-        starts = np.empty(at + len(new), np.int64)
-        starts[:at], self.size = self.start, np.concatenate([self.size, np.zeros(len(new), np.int64)])
-        starts[place], self.size[place] = len(self.ids) + np.cumsum(size) - size, size
-        self.start, self.ids = starts, np.concatenate([self.ids, *ids])
-
-
-def encode_block(pieces: Pieces, keys: list, texts: list[str], end_id: int) -> dict:
-    """A block of documents as its pieces' numbers, the pieces' ids, and counts of ids."""
-    if len(pieces) > KNOWN:
-        pieces.forget()
-    listed, flat, per = number_pieces(texts)
-    here = pieces.numbers(listed)
-    times = np.bincount(flat, minlength=len(listed))
-    rank = np.argsort(-times, kind="stable")  # frequent pieces get small numbers, which compress well
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.arange(len(rank))
-    sizes = pieces.size[here]
-    ordered, size = pieces.ids[C.ragged(pieces.start[here[rank]], sizes[rank])], sizes[rank]
-    counts = np.bincount(ordered, weights=np.repeat(times[rank], size), minlength=end_id + 1).astype(np.int64)
-    counts[end_id] += len(keys)
-    used = np.flatnonzero(counts)
-    token_ends = np.concatenate([[0], np.cumsum(sizes[flat])])
-    n_tokens = np.diff(token_ends[np.concatenate([[0], np.cumsum(per)])]) + 1
-    return {
-        "n": int(n_tokens.sum()),
-        "docs": C.to_blob(k=pa.array(keys, pa.int64()), words=per, tokens=n_tokens),
-        "which": C.to_blob(w=place[flat].astype(np.uint32)),
-        "sizes": C.to_blob(s=size.astype(np.uint32)),
-        "ids": C.to_blob(i=ordered if end_id > 65535 or (len(ordered) and ordered.max() > 65535) else ordered.astype(np.uint16)),
-        "counts": C.to_blob(i=used.astype(np.uint32), c=counts[used]),
-    }
+        cuts = np.append(np.flatnonzero(np.diff(ends // RUN_BYTES, prepend=-1)), len(order))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), listed.take(pa.array(order))), pa.scalar(" ", listed.type))
+        for at in range(0, len(joined), CALL):
+            for n, e in enumerate(self.t.encode_batch_fast([" " + x for x in joined[at : at + CALL].to_pylist()], add_special_tokens=False), at):
+                i, j = cuts[n], cuts[n + 1]
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends[i:j] - (ends[i - 1] if i else 0)) + 1, prepend=0))
+        got = np.concatenate(sizes).astype(np.int64)
+        place = np.concatenate([alone, order])
+        start, size = np.empty(len(got), np.int64), np.empty(len(got), np.int64)
+        start[place], size[place] = np.cumsum(got) - got, got
+        return start, size, np.concatenate(ids)
+
+
+def encode_blocks(pieces: Pieces, blocks: list[tuple], end_id: int) -> Iterator[dict]:
+    """Blocks (keys, distinct pieces, piece numbers, pieces of each text) as their pieces' numbers, the pieces' ids, and counts of ids.
+
+    A piece that several of the blocks hold is encoded once.
+    """
+    every, numbers = unified([b[1] for b in blocks])
+    start, number_of, all_ids = pieces.encode(every)
+    for (keys, _, flat, per), here in zip(blocks, numbers):
+        times = np.bincount(flat, minlength=len(here))
+        rank = np.argsort(-times, kind="stable")  # frequent pieces get small numbers, which compress well
+        place = np.empty(len(rank), np.uint32)
+        place[rank] = np.arange(len(rank), dtype=np.uint32)
+        sizes = number_of[here]
+        size = sizes[rank]
+        ordered = all_ids[C.ragged(start[here[rank]], size)]
+        counts = np.bincount(ordered, weights=np.repeat(times[rank], size), minlength=end_id + 1).astype(np.int64)
+        counts[end_id] += len(keys)
+        used = np.flatnonzero(counts)
+        token_ends = np.concatenate([[0], np.cumsum(sizes[flat])])
+        n_tokens = np.diff(token_ends[np.concatenate([[0], np.cumsum(per)])]) + 1
+        yield {
+            "n": int(n_tokens.sum()),
+            "docs": C.to_blob(k=pa.array(keys, pa.int64()), words=per, tokens=n_tokens),
+            "which": C.to_blob(w=place[flat]),
+            "sizes": C.to_blob(s=size.astype(np.uint32)),
+            "ids": C.to_blob(i=ordered if end_id > 65535 or (len(ordered) and ordered.max() > 65535) else ordered.astype(np.uint16)),
+            "counts": C.to_blob(i=used.astype(np.uint32), c=counts[used]),
+        }
 
 
 def _staged_blocks(df: DataFrame, tokenizer_json: str, end_id: int, key: str, text: str) -> DataFrame:
@@ -303,23 +296,29 @@ def _staged_blocks(df: DataFrame, tokenizer_json: str, end_id: int, key: str, te
 
         pieces, part, seq = Pieces(shared.value), TaskContext.get().partitionId(), 0
 
-        def block(keys, texts):
+        def group(blocks):
             nonlocal seq
-            row = {"part": part, "seq": seq} | encode_block(pieces, keys, texts, end_id)
-            seq += 1
-            return pa.RecordBatch.from_pylist([row], schema=arrow)
+            for row in encode_blocks(pieces, blocks, end_id):
+                yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq} | row], schema=arrow)
+                seq += 1
 
         arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("which", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
-        keys, texts, size = [], [], 0
+        held, blocks, keys, texts, size = 0, [], [], [], 0
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 keys.append(k), texts.append(x)
                 size += len(x)
                 if size >= BLOCK_BYTES:
-                    yield block(keys, texts)
+                    blocks.append((keys, *number_pieces(texts)))
+                    held += size
                     keys, texts, size = [], [], 0
+                if held >= PART_BYTES:
+                    yield from group(blocks)
+                    held, blocks = 0, []
         if keys:
-            yield block(keys, texts)
+            blocks.append((keys, *number_pieces(texts)))
+        if blocks:
+            yield from group(blocks)
 
     return C.staged(src.mapInArrow(run, "part int, seq int, n long, docs binary, which binary, sizes binary, ids binary, counts binary"), "none")
 
