@@ -33,9 +33,9 @@ from . import common as C
 #: Text of a block, and tokens between checkpoints.
 BLOCK_BYTES, EVERY = 2 << 20, 128
 #: Text of a sorted partition.
-PART_BYTES = 48 << 20
+PART_BYTES = 32 << 20
 #: Text that pieces side by side may have, and such texts in one call.
-RUN_BYTES, CALL = 2048, 512
+RUN_BYTES, CALL = 2048, 16
 
 
 # --------------------------------------------------------------------------
@@ -232,7 +232,7 @@ class Pieces:
         length = C.byte_lengths(listed)
         single = (length == 0) | (length != C.byte_lengths(pc.utf8_rtrim_whitespace(listed))) | pc.starts_with(listed, FIRST).to_numpy(zero_copy_only=False)
         alone, order = np.flatnonzero(single), np.flatnonzero(~single)
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         texts = [x[1:] if x[:1] == FIRST else " " + x for x in listed.take(pa.array(alone)).to_pylist()]
         for at in range(0, len(texts), CALL):
             for e in self.t.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False):
@@ -246,7 +246,7 @@ class Pieces:
             for n, e in enumerate(self.t.encode_batch_fast([" " + x for x in joined[at : at + CALL].to_pylist()], add_special_tokens=False), at):
                 i, j = cuts[n], cuts[n + 1]
                 ids.append(np.array(e.ids, np.uint32))
-                sizes.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends[i:j] - (ends[i - 1] if i else 0)) + 1, prepend=0))
+                sizes.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends[i:j] - (ends[i - 1] if i else 0)) + 1, prepend=0).astype(np.uint32))
         got = np.concatenate(sizes).astype(np.int64)
         place = np.concatenate([alone, order])
         start, size = np.empty(len(got), np.int64), np.empty(len(got), np.int64)
@@ -305,11 +305,13 @@ def _staged_blocks(df: DataFrame, tokenizer_json: str, end_id: int, key: str, te
         arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("which", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
         held, blocks, keys, texts, size = 0, [], [], [], 0
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            # some rows at a time, for a batch of texts takes several times its size as Python's
+            for k, x in (r for i in range(0, len(b), 256) for r in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist())):
                 keys.append(k), texts.append(x)
                 size += len(x)
                 if size >= BLOCK_BYTES:
                     blocks.append((keys, *number_pieces(texts)))
+                    pa.default_memory_pool().release_unused()
                     held += size
                     keys, texts, size = [], [], 0
                 if held >= PART_BYTES:
