@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .match import permuted
+from ..functions import draws
+from ..functions.exact import hypergeometric_cdf
 
 
 def cross_correlation(df: DataFrame, lags: int, keys: list[str] = ["cell_id"], x: str = "ar", y: str = "ep") -> DataFrame:  # noqa: B006
@@ -65,26 +66,54 @@ def hit_share(df: DataFrame, lags: int, keys: list[str] = ["cell_id"]) -> DataFr
     return d.groupBy(*keys, "lag").agg(F.avg(F.when(F.col("_d") <= F.col("lag"), 1.0).otherwise(0.0)).alias("share"))
 
 
-def monte_carlo(df: DataFrame, iterations: int, seed: int, least: int = 10, absolute: float = 0.01, relative: float = 0.1, keys: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
+#: Draws that one md5 gives, and groups of draws that every series makes before it may stop.
+_EACH, _FIRST = 4, 13
+
+
+def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, least: int = 10, absolute: float = 0.01, relative: float = 0.1, keys: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
     """(keys, p, n, converged): sequential permutation test of the joint count sum(ar ep).
 
-    Exposure is shuffled within the year-months of each cell.  All iterations run
-    in one plan; the first one at which the rule stops is reported.  Months
-    without an outcome or without an exposure add nothing to any count, so they
-    are not shuffled.
+    Exposure is shuffled within the year-months of each cell.  The joint count of
+    a month of n days with x exposures and y outcomes is then hypergeometric, so
+    it is drawn from the counts: a row a month and four draws, and no day is
+    moved.  Months without an outcome or without an exposure add nothing.  The
+    first draws decide for most series; only the others make the rest.  The rule
+    is judged after every draw, and the first one at which it stops is reported.
     """
-    d = df.withColumn("_ym", F.date_format("d", "yyyy-MM"))
-    real = d.groupBy(*keys).agg(F.sum(F.col("ar") * F.col("ep")).alias("real"), F.sum("ar").alias("_sx"), F.sum("ep").alias("_sy"))
-    live = d.groupBy(*keys, "_ym").agg(F.max("ar").alias("_a"), F.max("ep").alias("_e")).where("_a > 0 and _e > 0")
-    d = d.join(live, [*keys, "_ym"], "left_semi")
-    p = permuted(d.select(*keys, "_ym", "d", "ar"), "ar", [*keys, "_ym"], "d", iterations, seed)
-    stat = p.join(d.where("ep = 1").select(*keys, "d"), [*keys, "d"]).groupBy(*keys, "iter").agg(F.sum("ar").alias("stat"))
-    w = Window.partitionBy(*keys).orderBy("iter")
-    run = real.where("_sx > 0 and _sy > 0").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    run = run.join(stat, [*keys, "iter"], "left").withColumn("stat", F.coalesce("stat", F.lit(0))).withColumn("n", F.col("iter") + 1)
-    run = run.withColumn("p", (F.sum(F.when(F.col("stat") >= F.col("real"), 1).otherwise(0)).over(w) + 1) / (F.col("n") + 1))
-    half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
-    run = run.withColumn("stop", (F.col("n") >= least) & ((half <= absolute) | (half / F.col("p") <= relative)))
-    last = Window.partitionBy(*keys).orderBy(F.col("stop").desc(), F.when(F.col("stop"), F.col("n")).otherwise(-F.col("n")))
-    out = run.withColumn("_o", F.row_number().over(last)).where("_o = 1").select(*keys, "p", "n", F.col("stop").alias("converged"))
+    d = df.groupBy(*keys, F.date_format("d", "yyyy-MM").alias("_ym")).agg(F.count(F.lit(1)).alias("_n"), F.sum("ar").cast("long").alias("_x"), F.sum("ep").cast("long").alias("_y"), F.sum(F.col("ar") * F.col("ep")).cast("long").alias("_j"))
+    d = d.persist()  # a row a cell and month, computed again if lost
+    real = d.groupBy(*keys).agg(F.sum("_j").alias("real"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"))
+    live = d.where("_x > 0 and _y > 0")
+    kinds = live.select("_n", "_x", "_y").distinct().withColumn("_cdf", hypergeometric_cdf(F.col("_n"), F.col("_x"), F.col("_y")))
+    live = live.join(kinds, ["_n", "_x", "_y"]).withColumn("_lo", F.greatest(F.lit(0).cast("long"), F.col("_x") + F.col("_y") - F.col("_n")))
+
+    def drawn(strata: DataFrame, first: int, last: int) -> DataFrame:
+        """(keys, iter, stat) of the groups of draws from ``first`` up to ``last``."""
+        m = strata.select(*keys, "_ym", "_lo", "_cdf", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("_g"))
+        m = m.withColumn("_u", draws.key(seed, *(F.col(k) for k in keys), F.col("_ym"), F.col("_g")))
+        count = lambda i: F.least(F.col("_lo") + F.size(F.filter("_cdf", lambda c: c <= draws.uniforms(F.col("_u"), i))), F.col("_lo") + F.size("_cdf") - 1)
+        g = m.groupBy(*keys, "_g").agg(F.array(*(F.sum(count(i)) for i in range(_EACH))).alias("_s"))
+        g = g.select(*keys, "_g", F.posexplode("_s").alias("_i", "stat"))
+        return g.select(*keys, (F.col("_g") * _EACH + F.col("_i")).alias("iter"), "stat").where(F.col("iter") < iterations)
+
+    def judged(cells: DataFrame, stats: DataFrame, upto: int) -> DataFrame:
+        """(keys, p, n, converged) after at most ``upto`` draws."""
+        w = Window.partitionBy(*keys).orderBy("iter")
+        run = cells.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))).join(stats, [*keys, "iter"], "left")
+        run = run.withColumn("stat", F.coalesce("stat", F.lit(0))).withColumn("n", F.col("iter") + 1)
+        run = run.withColumn("p", (F.sum(F.when(F.col("stat") >= F.col("real"), 1).otherwise(0)).over(w) + 1) / (F.col("n") + 1))
+        half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("n") + 1))
+        run = run.withColumn("stop", (F.col("n") >= least) & ((half <= absolute) | (half / F.col("p") <= relative)))
+        best = F.min_by(F.struct("p", "n", F.col("stop").alias("converged")), F.when(F.col("stop"), F.col("n")).otherwise(F.lit(2 * upto) - F.col("n")))
+        return run.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.p", "_b.n", "_b.converged")
+
+    groups = -(-iterations // _EACH)
+    first = min(groups, _FIRST)
+    cells, early = real.where("_sx > 0 and _sy > 0").select(*keys, "real"), drawn(live, 0, first)
+    out = judged(cells, early, min(iterations, first * _EACH))
+    if groups > first:
+        out = out.persist()
+        rest = out.where("not converged").select(*keys)
+        late = drawn(live.join(rest, keys, "left_semi"), first, groups)
+        out = out.where("converged").unionByName(judged(cells.join(rest, keys, "left_semi"), early.join(rest, keys, "left_semi").unionByName(late), iterations))
     return real.select(*keys).join(out, keys, "left").select(*keys, "p", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("converged", F.lit(False)).alias("converged"))

@@ -25,36 +25,29 @@ def discordant_all(df: DataFrame, keys: list[str], stratum: Column) -> DataFrame
 def sampled_pairs(df: DataFrame, stratum: Column, k: int, seed: int, strict: bool = False, cell: str = "cell_id", time: str = "d") -> DataFrame:
     """(cell, case time, case ar, control time, control ar): up to k controls a case without replacement.
 
-    Controls are taken in the order of an md5 draw.  ``strict`` drops cases with fewer than k.
+    ``strict`` drops cases with fewer than k.
     """
-    d = df.withColumn("_s", stratum)
-    case = d.where("ep = 1").select(cell, "_s", F.col(time).alias("case_d"), F.col("ar").alias("case_ar"))
-    ctrl = d.where("ep = 0").select(cell, "_s", F.col(time).alias("ctrl_d"), F.col("ar").alias("ctrl_ar"))
-    own = Window.partitionBy(cell, "case_d")
-    pairs = case.join(ctrl, [cell, "_s"])
-    if strict:
-        pairs = pairs.withColumn("_k", F.count(F.lit(1)).over(own)).where(F.col("_k") >= k)
-    order = draws.key(seed, F.col(cell), F.col("case_d"), F.col("ctrl_d"))
-    return pairs.withColumn("_n", F.row_number().over(own.orderBy(order, "ctrl_d"))).where(F.col("_n") <= k).select(cell, "case_d", "case_ar", "ctrl_d", "ctrl_ar")
+    d = df.withColumn("_s", stratum).withColumn("_id", F.concat_ws("|", F.col(cell).cast("string"), F.col(time).cast("string")))
+    case = d.where("ep = 1").select(cell, "_s", F.col("_id").alias("cid"), F.col(time).alias("case_d"), F.col("ar").alias("case_ar"))
+    ctrl = d.where("ep = 0").select(cell, "_s", F.col("_id").alias("kid"), F.col(time).alias("ctrl_d"), F.col("ar").alias("ctrl_ar"))
+    return drawn_controls(case, ctrl, [cell, "_s"], k, seed, strict).select(cell, "case_d", "case_ar", "ctrl_d", "ctrl_ar")
 
 
-def drawn_controls(case: DataFrame, ctrl: DataFrame, stratum: list[str], k: int, seed: int) -> DataFrame:
-    """(case(cid, ..), ctrl(kid, ..)): k different controls of its stratum for every case; cases with fewer are dropped.
+def drawn_controls(case: DataFrame, ctrl: DataFrame, stratum: list[str], k: int, seed: int, strict: bool = True) -> DataFrame:
+    """(case(cid, ..), ctrl(kid, ..)): k different controls of its stratum for every case.
 
     Controls are numbered in the order of an md5 draw, and a case draws k of the
     numbers by Floyd's method, so k rows a case are made and no other pair.
+    ``strict`` drops cases with fewer; else they get all there are.
     """
     w = Window.partitionBy(*stratum)
     ranked = ctrl.withColumn("_r", F.row_number().over(w.orderBy(draws.key(seed, F.col("kid")), "kid")).cast("long") - 1)
     size = ctrl.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = F.array().cast("array<bigint>")
-    for j in range(k):
-        top = F.col("_n") - k + j
-        r = draws.integer(top + 1, seed, F.col("cid"), F.lit(j))
-        chosen = F.concat(F.col(f"_c{j - 1}") if j else chosen, F.array(F.when(F.array_contains(F.col(f"_c{j - 1}"), r), top).otherwise(r) if j else r))
-        case = case.join(size, stratum).where(F.col("_n") >= k) if not j else case
-        case = case.withColumn(f"_c{j}", chosen)
-    pairs = case.withColumn("_r", F.explode(f"_c{k - 1}")).drop("_n", *(f"_c{j}" for j in range(k)))
+    case = case.join(size, stratum)
+    if strict:
+        case = case.where(F.col("_n") >= k)
+    take = F.least(F.lit(k).cast("long"), F.col("_n"))
+    pairs = case.withColumn("_r", F.explode(draws.choose(take, F.col("_n"), seed, F.col("cid")))).drop("_n")
     return pairs.join(ranked, [*stratum, "_r"]).drop("_r")
 
 

@@ -102,12 +102,14 @@ def bootstrap_contrasts(blocks: DataFrame, keys: list[str], repetitions: int, se
     97.5 percentiles, p = min(1, 2 min(P(d <= 0), P(d >= 0))) and significance.
     """
     own = [*keys, "phase"]
-    w = Window.partitionBy(*own)
-    b = blocks.withColumn("_i", F.row_number().over(w.orderBy("ym")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
-    slot = b.select(*own, "_n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
-    pick = draws.integer(F.col("_n"), seed, *(F.col(k) for k in own), F.col("rep"), F.col("_slot"))
-    drawn = slot.withColumn("_i", pick).drop("_n").join(b.drop("_n"), [*own, "_i"])
-    sums = drawn.groupBy(*own, "rep").agg(*(F.sum(x).alias(x) for x in "abcd"))
+    # a phase's blocks, a row a month, as one array; a repetition adds up what it draws from it
+    b = blocks.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("ym", *"abcd"))).alias("_b")).where(F.size("_b") >= least)
+    b = b.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    n = F.size("_b")
+    pick = lambda i: F.get(F.col("_b"), draws.integer(n, seed, *(F.col(k) for k in own), F.col("rep"), i).cast("int"))
+    zero = F.struct(*(F.lit(0).cast("long").alias(x) for x in "abcd"))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), pick), zero, lambda t, v: F.struct(*((t[x] + v[x]).alias(x) for x in "abcd")))
+    sums = b.select(*own, "rep", total.alias("_s")).select(*own, "rep", *(f"_s.{x}" for x in "abcd"))
     d = delta_intervals()
     values = sums.select(*own, "rep", *(d[m].alias(m) for m in metrics))
     diff = contrasts(values, [*keys, "rep"], metrics)

@@ -27,9 +27,18 @@ def _odds(df):
 
 _STRATA = "st AS (SELECT cell_id, month(panel.d) AS m, sum(ep * ar) AS c1, sum(ep * (1 - ar)) AS c0, sum((1 - ep) * ar) AS k1, sum((1 - ep) * (1 - ar)) AS k0 FROM panel GROUP BY 1, 2)"
 _ALL = f"{S.PANEL}, {_STRATA}, dc AS (SELECT cell_id, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01 FROM st GROUP BY 1)"
-_CASES = "pairs AS (SELECT c.cell_id, c.d AS case_d, c.ar AS case_ar, k.d AS ctrl_d, k.ar AS ctrl_ar FROM panel c JOIN panel k ON c.cell_id = k.cell_id AND month(c.d) = month(k.d) AND c.ep = 1 AND k.ep = 0)"
-_RANKED = "rk AS (SELECT *, count(*) OVER (PARTITION BY cell_id, case_d) AS k, row_number() OVER (PARTITION BY cell_id, case_d ORDER BY md5(concat_ws('|', '42', cell_id, case_d, ctrl_d)), ctrl_d) AS n FROM pairs)"
-_SAMPLED = f"{S.PANEL}, {_CASES}, {_RANKED}, sp AS (SELECT * FROM rk WHERE n <= 5), dc AS (SELECT cell_id, CAST(sum(case_ar * (1 - ctrl_ar)) AS BIGINT) AS n10, CAST(sum((1 - case_ar) * ctrl_ar) AS BIGINT) AS n01 FROM sp GROUP BY 1)"
+_DRAWN = f"""{S.PANEL}, ct AS (SELECT cell_id, month(d) AS m, d AS ctrl_d, ar AS ctrl_ar, row_number() OVER (PARTITION BY cell_id, month(d) ORDER BY md5(concat_ws('|', '42', cell_id, d)), concat_ws('|', cell_id, d)) - 1 AS r FROM panel WHERE ep = 0),
+cs AS (SELECT p.cell_id, p.d AS case_d, p.ar AS case_ar, m, n FROM panel p JOIN (SELECT cell_id, m, count(*) AS n FROM ct GROUP BY 1, 2) k ON k.cell_id = p.cell_id AND m = month(p.d) WHERE ep = 1)"""
+
+
+def _pairs_sql(k, strict=False):
+    """CTEs ending in sp(cell_id, case_d, case_ar, ctrl_d, ctrl_ar)."""
+    return f"""{_DRAWN}, {S.sql_choose('ch', 'cs', 'cell_id, case_d, case_ar, m', 'cell_id, case_d', k, 42, strict)},
+sp AS (SELECT ch.cell_id, case_d, case_ar, ctrl_d, ctrl_ar FROM ch JOIN ct USING (cell_id, m, r))"""
+
+
+_DISCORDANT = "CAST(sum(case_ar * (1 - ctrl_ar)) AS BIGINT) AS n10, CAST(sum((1 - case_ar) * ctrl_ar) AS BIGINT) AS n01"
+_SAMPLED = f"{_pairs_sql(5)}, dc AS (SELECT cell_id, {_DISCORDANT} FROM sp GROUP BY 1)"
 
 
 @query(f"WITH {_ALL} SELECT * FROM dc")
@@ -41,12 +50,12 @@ def _pairs(spark, sf_dir, strict=False, k=5):
     return match.sampled_pairs(S.panel(spark, sf_dir), _month(), k, 42, strict)
 
 
-@query(f"WITH {_SAMPLED} SELECT * FROM dc")
+@query(f"WITH RECURSIVE {_SAMPLED} SELECT * FROM dc")
 def cc_sampled(spark, sf_dir):
     return match.discordant(_pairs(spark, sf_dir), ["cell_id"])
 
 
-@query(f"WITH {_SAMPLED}, s2 AS (SELECT * FROM rk WHERE k >= 20 AND n <= 20) SELECT cell_id, count(DISTINCT case_d) AS cases, CAST(sum(case_ar * (1 - ctrl_ar)) AS BIGINT) AS n10, CAST(sum((1 - case_ar) * ctrl_ar) AS BIGINT) AS n01 FROM s2 GROUP BY 1")
+@query(f"WITH RECURSIVE {_pairs_sql(20, True)} SELECT cell_id, count(DISTINCT case_d) AS cases, {_DISCORDANT} FROM sp GROUP BY 1")
 def cc_strict_k(spark, sf_dir):
     p = _pairs(spark, sf_dir, True, 20)
     return match.discordant(p, ["cell_id"]).join(p.groupBy("cell_id").agg(F.count_distinct("case_d").alias("cases")), "cell_id")
@@ -59,7 +68,7 @@ def cc_or_grid(spark, sf_dir):
     return fdr.significant(o, "p", 0.05)
 
 
-@query(f"WITH {_SAMPLED}, t AS (SELECT CAST(sum(n10) AS BIGINT) AS n10, CAST(sum(n01) AS BIGINT) AS n01 FROM dc) SELECT n10, n01, {_num('n10', 'n01')} FROM t")
+@query(f"WITH RECURSIVE {_SAMPLED}, t AS (SELECT CAST(sum(n10) AS BIGINT) AS n10, CAST(sum(n01) AS BIGINT) AS n01 FROM dc) SELECT n10, n01, {_num('n10', 'n01')} FROM t")
 def cc_pooled(spark, sf_dir):
     return _odds(match.pooled(match.discordant(_pairs(spark, sf_dir), ["cell_id"])))
 
@@ -107,16 +116,18 @@ def placebo_summary(spark, sf_dir):
     return sham.agg(R(F.median("or")).alias("median"), R((F.count_if(F.col("or") >= F.col("real")) + 1) / (F.count("or") + 1)).alias("p"))
 
 
-_PERM = """tm AS (SELECT DISTINCT month(panel.d) AS m, panel.d AS day FROM panel),
-pa AS (SELECT it, m, day, row_number() OVER (PARTITION BY it, m ORDER BY day) AS r FROM tm, range(0, 5) q(it)),
-pb AS (SELECT it, m, day AS src, row_number() OVER (PARTITION BY it, m ORDER BY md5(concat_ws('|', '42', it, day)), day) AS r FROM tm, range(0, 5) q(it)),
+#: Shuffles of the placebo by calendar month.
+SHUFFLES = 20
+_PERM = f"""tm AS (SELECT DISTINCT month(panel.d) AS m, panel.d AS day FROM panel),
+pa AS (SELECT it, m, day, row_number() OVER (PARTITION BY it, m ORDER BY day) AS r FROM tm, range(0, {SHUFFLES}) q(it)),
+pb AS (SELECT it, m, day AS src, row_number() OVER (PARTITION BY it, m ORDER BY md5(concat_ws('|', '42', it, day)), day) AS r FROM tm, range(0, {SHUFFLES}) q(it)),
 pm AS (SELECT it, day, src FROM pa JOIN pb USING (it, m, r))"""
 
 
-def _time_permutation(spark, sf_dir, times=5):
+def _time_permutation(spark, sf_dir):
     """(iter, d, src): one permutation of days within calendar months, shared by all cells."""
     t = S.panel(spark, sf_dir).select(F.col("d").alias("unit")).distinct().withColumn("m", F.month("unit")).withColumn("src", F.col("unit"))
-    return match.permuted(t, "src", ["m"], "unit", times, 42).select("iter", F.col("unit").alias("d"), "src")
+    return match.permuted(t, "src", ["m"], "unit", SHUFFLES, 42).select("iter", F.col("unit").alias("d"), "src")
 
 
 @query(f"WITH {S.PANEL}, {_PERM} SELECT it AS iter, day, src FROM pm", ints=("iter",))
@@ -124,28 +135,13 @@ def calendar_month_permutation(spark, sf_dir):
     return _time_permutation(spark, sf_dir).select("iter", F.col("d").alias("day"), "src")
 
 
-@query()
-def calendar_month_permutation_full(spark, sf_dir):
-    """The reference's twenty shuffles."""
-    return _time_permutation(spark, sf_dir, 20).select("iter", F.col("d").alias("day"), "src")
-
-
 @query(f"""WITH {S.PANEL}, {_PERM}, x AS (SELECT it, p.cell_id, p.d, p.ep, coalesce(q.ar, 0) AS ar FROM panel p JOIN pm ON p.d = pm.day LEFT JOIN panel q ON q.cell_id = p.cell_id AND q.d = pm.src AND q.ar = 1),
 st AS (SELECT it, cell_id, month(x.d) AS m, sum(ep * ar) AS c1, sum(ep * (1 - ar)) AS c0, sum((1 - ep) * ar) AS k1, sum((1 - ep) * (1 - ar)) AS k0 FROM x GROUP BY 1, 2, 3)
 SELECT it AS iter, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01, round((sum(c1 * k0) + 0.5::DOUBLE) / (sum(c0 * k1) + 0.5::DOUBLE), 6) AS "or" FROM st GROUP BY 1""", ints=("iter",))
 def placebo_month_shuffle(spark, sf_dir):
-    return _month_shuffle(spark, sf_dir, 5)
-
-
-@query()
-def placebo_month_shuffle_full(spark, sf_dir):
-    return _month_shuffle(spark, sf_dir, 20)
-
-
-def _month_shuffle(spark, sf_dir, times):
     p = S.panel(spark, sf_dir)
     x = p.where("ar = 1").select("cell_id", F.col("d").alias("src"), "ar")
-    d = p.select("cell_id", "d", "ep").join(_time_permutation(spark, sf_dir, times), "d").join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
+    d = p.select("cell_id", "d", "ep").join(_time_permutation(spark, sf_dir), "d").join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
     return match.pooled(match.discordant_all(d, ["iter", "cell_id"], _month()), ["iter"]).select("iter", "n10", "n01", R(F.col("or")).alias("or"))
 
 

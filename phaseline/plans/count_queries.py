@@ -36,9 +36,9 @@ def time_counts(spark, sf_dir):
     return S.time_counts(S.panel(spark, sf_dir))
 
 
-@query(f"WITH {S.PANEL} SELECT CASE WHEN month(panel.d) IN (3,4,5) THEN 'MAM' WHEN month(panel.d) IN (6,7,8) THEN 'JJA' WHEN month(panel.d) IN (9,10,11) THEN 'SON' ELSE 'DJF' END AS season, {S.ABCD} FROM panel WHERE month(panel.d) IN (6,7,8,12,1,2) GROUP BY 1")
+@query(f"WITH {S.PANEL} SELECT CASE WHEN month(panel.d) IN (3,4,5) THEN 'MAM' WHEN month(panel.d) IN (6,7,8) THEN 'JJA' WHEN month(panel.d) IN (9,10,11) THEN 'SON' ELSE 'DJF' END AS season, {S.ABCD} FROM panel GROUP BY 1")
 def season_counts(spark, sf_dir):
-    p = S.panel(spark, sf_dir).withColumn("season", P.season_of(F.month("d"))).where(F.month("d").isin(6, 7, 8, 12, 1, 2))
+    p = S.panel(spark, sf_dir).withColumn("season", P.season_of(F.month("d")))
     return counts.contingency(p, ["season"])
 
 
@@ -163,7 +163,8 @@ def uniform_steps(spark, sf_dir):
     return g.where("value = _m").drop("_m")
 
 
-_WINDOWS = "w AS (SELECT i, CAST(DATE '1995-01-02' + to_days(CAST(i * 91 AS INTEGER)) AS DATE) AS start, CAST(DATE '1995-01-02' + to_days(CAST(i * 91 + 90 AS INTEGER)) AS DATE) AS stop FROM range(0, 28) r(i))"
+_WINDOWS = """b AS (SELECT CAST(min(panel.d) AS DATE) AS lo, CAST(max(panel.d) AS DATE) AS hi FROM panel), r AS (SELECT unnest(range(0, date_diff('day', lo, hi) // 91 + 1)) AS i, lo FROM b),
+w AS (SELECT i, CAST(lo + to_days(CAST(i * 91 AS INTEGER)) AS DATE) AS start, CAST(lo + to_days(CAST(i * 91 + 90 AS INTEGER)) AS DATE) AS stop FROM r)"""
 
 
 @query(f"WITH {S.PANEL}, {_WINDOWS}, c AS (SELECT i, start, cell_id, {S.ABCD} FROM panel JOIN w ON panel.d BETWEEN start AND stop GROUP BY 1, 2, 3) SELECT i, start, round(avg({S.LIFT}), 6) AS lift FROM c GROUP BY 1, 2")
@@ -172,17 +173,18 @@ def window90_lift(spark, sf_dir):
 
 
 def _window90(spark, sf_dir):
-    """Mean lift over cells in 90-day windows, both ends included, a day apart.
+    """Mean lift over cells in 90-day windows from the panel's first day on, both ends included, a day apart.
 
     A window's number follows from the day, so the assignment is no range join.
     """
-    p = S.panel(spark, sf_dir).withColumn("i", F.floor(F.datediff("d", F.lit("1995-01-02").cast("date")) / 91)).where("i between 0 and 27")
+    first = F.lit(S.days(spark, sf_dir)[0])
+    p = S.panel(spark, sf_dir).withColumn("i", F.floor(F.datediff("d", first) / 91))
     c = counts.contingency(p, ["i", "cell_id"]).withColumn("lift", M.lift())
-    return c.groupBy("i").agg(F.avg("lift").alias("lift")).withColumn("start", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("i") * 91).cast("int")))
+    return c.groupBy("i").agg(F.avg("lift").alias("lift")).withColumn("start", F.date_add(first, (F.col("i") * 91).cast("int")))
 
 
-@query(f"WITH {S.PANEL}, {_WINDOWS}, c AS (SELECT i, start, cell_id, {S.ABCD} FROM panel JOIN w ON panel.d BETWEEN start AND stop GROUP BY 1, 2, 3), m AS (SELECT start, avg({S.LIFT}) AS lift FROM c GROUP BY 1), x AS (SELECT date_diff('day', DATE '1995-01-02', start) / 365.25 AS x, lift FROM m WHERE lift IS NOT NULL) SELECT CASE WHEN count(*) >= 2 THEN round(regr_slope(lift, x), 6) END AS slope, CASE WHEN count(*) >= 2 THEN round(regr_intercept(lift, x), 6) END AS intercept, count(*) AS n FROM x")
+@query(f"WITH {S.PANEL}, {_WINDOWS}, c AS (SELECT i, start, cell_id, {S.ABCD} FROM panel JOIN w ON panel.d BETWEEN start AND stop GROUP BY 1, 2, 3), m AS (SELECT start, avg({S.LIFT}) AS lift FROM c GROUP BY 1), x AS (SELECT date_diff('day', (SELECT lo FROM b), start) / 365.25 AS x, lift FROM m WHERE lift IS NOT NULL) SELECT CASE WHEN count(*) >= 2 THEN round(regr_slope(lift, x), 6) END AS slope, CASE WHEN count(*) >= 2 THEN round(regr_intercept(lift, x), 6) END AS intercept, count(*) AS n FROM x")
 def lift_trend(spark, sf_dir):
-    m = _window90(spark, sf_dir).where("lift is not null").withColumn("x", F.datediff("start", F.lit("1995-01-02").cast("date")) / 365.25)
+    m = _window90(spark, sf_dir).where("lift is not null").withColumn("x", F.datediff("start", F.lit(S.days(spark, sf_dir)[0])) / 365.25)
     many = F.count(F.lit(1)) >= 2
     return m.agg(F.when(many, R(F.regr_slope("lift", "x"))).alias("slope"), F.when(many, R(F.regr_intercept("lift", "x"))).alias("intercept"), F.count(F.lit(1)).alias("n"))

@@ -39,19 +39,9 @@ def melt_wide_index(spark, sf_dir):
 _TIMES = f"{S.PANEL}, {S.LABELS}"
 
 
-@query(f"WITH {_TIMES}, dm AS (SELECT key AS day, phase FROM labels WHERE mode = 'MJO' AND day(key) % 7 = 0), t AS (SELECT DISTINCT panel.d AS day FROM panel), n AS (SELECT t.day, dm.phase, row_number() OVER (PARTITION BY t.day ORDER BY abs(date_diff('day', t.day, dm.day)), dm.day DESC) AS o FROM t CROSS JOIN dm) SELECT day, phase FROM n WHERE o = 1")
+@query(f"WITH {_TIMES}, dm AS (SELECT key AS day, phase FROM labels WHERE mode = 'MJO'), t AS (SELECT DISTINCT panel.d AS day FROM panel), n AS (SELECT t.day, dm.phase, row_number() OVER (PARTITION BY t.day ORDER BY abs(date_diff('day', t.day, dm.day)), dm.day DESC) AS o FROM t CROSS JOIN dm) SELECT day, phase FROM n WHERE o = 1")
 def asof_nearest_label(spark, sf_dir):
-    """Among the labels of every seventh day of a month, as in the SQL; ``asof_nearest_label_full`` has all."""
-    sparse = S.labels(spark, sf_dir).where("mode = 'MJO' and day(key) % 7 = 0").select(F.col("key").alias("day"), "phase")
-    return _nearest(spark, sf_dir, sparse)
-
-
-@query()
-def asof_nearest_label_full(spark, sf_dir):
-    return _nearest(spark, sf_dir, S.labels(spark, sf_dir).where("mode = 'MJO'").select(F.col("key").alias("day"), "phase"))
-
-
-def _nearest(spark, sf_dir, labels):
+    labels = S.labels(spark, sf_dir).where("mode = 'MJO'").select(F.col("key").alias("day"), "phase")
     times = S.panel(spark, sf_dir).select(F.col("d")).distinct()
     return modes.nearest_labels(times, labels).select(F.col("d").alias("day"), "phase")
 
@@ -139,11 +129,11 @@ def label_membership(spark, sf_dir):
 
 
 @query(f"""WITH {_PHASED}, k AS (SELECT mode, phase, cell_id, {S.ABCD} FROM ph GROUP BY 1, 2, 3), q AS (SELECT mode, phase, cell_id, {S.P1} AS p1, {S.sql_fisher('greater')} AS p FROM k),
-o AS (SELECT cell_id, mode, phase, p1, row_number() OVER (PARTITION BY cell_id ORDER BY round(p1, 9) DESC, CASE mode WHEN 'ENSO' THEN 0 WHEN 'MJO' THEN 1 WHEN 'AO' THEN 2 ELSE 3 END, phase) AS o FROM q WHERE p < 0.3 AND p1 IS NOT NULL) SELECT cell_id, mode, phase, round(p1, 6) AS p1 FROM o WHERE o = 1""")
+o AS (SELECT cell_id, mode, phase, p1, row_number() OVER (PARTITION BY cell_id ORDER BY round(p1, 9) DESC, CASE mode WHEN 'ENSO' THEN 0 WHEN 'MJO' THEN 1 WHEN 'AO' THEN 2 ELSE 3 END, phase) AS o FROM q WHERE p < 0.05 AND p1 IS NOT NULL) SELECT cell_id, mode, phase, round(p1, 6) AS p1 FROM o WHERE o = 1""")
 def max_prob_phase(spark, sf_dir):
     """The phase of the largest outcome probability under exposure, among associated ones; the first wins."""
     k = counts.contingency(_phased(spark, sf_dir), ["mode", "phase", "cell_id"])
-    q = k.withColumn("p", fisher(*map(F.col, "abcd"), "greater")).withColumn("p1", M.risk_exposed()).where("p < 0.3 and p1 is not null")
+    q = k.withColumn("p", fisher(*map(F.col, "abcd"), "greater")).withColumn("p1", M.risk_exposed()).where("p < 0.05 and p1 is not null")
     place = F.when(F.col("mode") == "ENSO", 0).when(F.col("mode") == "MJO", 1).when(F.col("mode") == "AO", 2).otherwise(3)
     return P.keep_one(q, ["cell_id"], [-F.round("p1", 9), place, F.col("phase")]).select("cell_id", "mode", "phase", R(F.col("p1")).alias("p1"))
 
@@ -169,8 +159,8 @@ def phase_pair_diff(spark, sf_dir):
     return c.select("mode", "phase1", "phase2", *(R(F.col(f"d_{m}")).alias(f"d_{m}") for m in _DIFF))
 
 
-#: Repetitions of the queries with SQL, and of those with ``_full``: the reference's.
-_REPS, _REPS_FULL = 40, 500
+#: Repetitions of the bootstrap.
+_REPS = 500
 
 
 def _boot_sql(blocks: str, keys: list[str], metrics: list[str]) -> str:
@@ -187,17 +177,8 @@ bt AS (SELECT {k}, phase1, phase2, metric, avg(x) AS mean, quantile_cont(x, 0.02
 
 @query(f"WITH {_BLOCKS}, {_boot_sql('bl', ['mode'], _DIFF)} SELECT mode, phase1, phase2, metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p FROM bt")
 def block_bootstrap_diff(spark, sf_dir):
-    return _bootstrap(spark, sf_dir, _REPS)
-
-
-@query()
-def block_bootstrap_diff_full(spark, sf_dir):
-    return _bootstrap(spark, sf_dir, _REPS_FULL)
-
-
-def _bootstrap(spark, sf_dir, reps):
     b = counts.contingency(_phased(spark, sf_dir), ["mode", "phase", "ym"])
-    t = modes.bootstrap_contrasts(b, ["mode"], reps, 42, _DIFF)
+    t = modes.bootstrap_contrasts(b, ["mode"], _REPS, 42, _DIFF)
     return t.select("mode", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
 
 
@@ -231,10 +212,10 @@ ef AS (SELECT mode, lag, phase1, phase2, CAST(sum(abs(s)) AS BIGINT) AS score, m
 er AS (SELECT *, row_number() OVER (ORDER BY score DESC, min_q, daf DESC, drd DESC, dpaf DESC, mode, lag, phase1, phase2) AS place FROM ef)"""
 
 
-def _effects(spark, sf_dir, reps=_REPS):
+def _effects(spark, sf_dir):
     """Contrasts of every lag with q values, as one row a comparison: score, direction, sizes."""
     blocks = _scan(spark, sf_dir, ["ym"]).drop("n_time")
-    t = modes.bootstrap_contrasts(blocks, ["mode", "lag"], reps, 42, _RANKM)
+    t = modes.bootstrap_contrasts(blocks, ["mode", "lag"], _REPS, 42, _RANKM)
     t = t.select("mode", "lag", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
     t = fdr.q_values(t, "p", by=["metric"]).withColumn("q", R(F.col("q")))
     sure = F.col("q") < 0.05
@@ -256,29 +237,12 @@ def _order():
 @query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score, min_q, direction, daf, drd, dpaf, place FROM er", ints=("place",))
 def effect_ranking(spark, sf_dir):
     """One global order; the table has a row a comparison and lag, so one task orders it."""
-    return _placed(_effects(spark, sf_dir))
-
-
-@query()
-def effect_ranking_full(spark, sf_dir):
-    return _placed(_effects(spark, sf_dir, _REPS_FULL))
-
-
-def _placed(e):
-    return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))
+    return _effects(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))
 
 
 @query(f"WITH {_EFFECT} SELECT mode, phase1, phase2, lag, score, direction FROM (SELECT *, row_number() OVER (PARTITION BY mode, phase1, phase2 ORDER BY place) AS o FROM er) WHERE o = 1")
 def best_lag(spark, sf_dir):
-    return _best(_effects(spark, sf_dir))
-
-
-@query()
-def best_lag_full(spark, sf_dir):
-    return _best(_effects(spark, sf_dir, _REPS_FULL))
-
-
-def _best(e):
+    e = _effects(spark, sf_dir)
     w = Window.partitionBy("mode", "phase1", "phase2").orderBy(*_order()[:5], "lag")
     return e.withColumn("_o", F.row_number().over(w)).where("_o = 1").select("mode", "phase1", "phase2", "lag", "score", "direction")
 
@@ -286,13 +250,4 @@ def _best(e):
 @query(f"WITH {_EFFECT} SELECT mode, lag, phase1, phase2, score FROM er WHERE place <= 40")
 def ranking_top40(spark, sf_dir):
     """The report's first forty lines: a top-k."""
-    return _top40(_effects(spark, sf_dir))
-
-
-@query()
-def ranking_top40_full(spark, sf_dir):
-    return _top40(_effects(spark, sf_dir, _REPS_FULL))
-
-
-def _top40(e):
-    return e.orderBy(*_order()).limit(40).select("mode", "lag", "phase1", "phase2", "score")
+    return _effects(spark, sf_dir).orderBy(*_order()).limit(40).select("mode", "lag", "phase1", "phase2", "score")

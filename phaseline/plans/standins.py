@@ -43,6 +43,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(d.join(thr, "cell_id").withColumn("ep", (F.col("v") > F.col("thr")).cast("int")).drop("thr"))
 
 
+def days(spark: SparkSession, sf_dir: str) -> tuple:
+    """The first and the last day of the panel, read from the date column alone; one day where it is empty."""
+    import datetime as dt
+
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))).first()
+    return first or dt.date(1995, 1, 1), last or dt.date(1995, 1, 1)
+
+
 def monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mode, ym, value): standardised monthly mean order price of a priority."""
     o = table(spark, sf_dir, "orders")
@@ -155,7 +163,8 @@ def sql_binomial(x: str, y: str) -> str:
 
 def sql_q(s: str, x: str) -> str:
     """Regularised upper incomplete gamma."""
-    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 300 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 401), lambda k: exp((k + {s}) * ln({x}) - {x} - lgamma({s} + k + 1))))) END"
+    terms = f"CAST(greatest({x} - {s}, 0) + 9 * sqrt(greatest({x}, {s})) + 60 AS BIGINT)"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, {terms}), lambda k: exp((k + {s}) * ln({x}) - {x} - lgamma({s} + k + 1))))) END"
 
 
 def sql_delta(rnd: int | None = 6) -> dict[str, str]:
@@ -184,3 +193,20 @@ def sql_rank(x: str = "phase") -> str:
 
 def sql_draw(n: str, *parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT % {n})"
+
+
+def sql_choose(name: str, source: str, keep: str, identity: str, k: int, seed: int, strict: bool = True) -> str:
+    """Recursive CTE ``name``(keep, r): Floyd's draws of k numbers under n for every row of ``source``(keep, n)."""
+    draw = f"('0x' || substr(md5(concat_ws('|', '{seed}', {identity}, j)), 1, 8))::BIGINT % (n - kk + j + 1)"
+    return f"""{name}_all AS (SELECT {keep}, n, least({k}, n) AS kk, 0::BIGINT AS j, []::BIGINT[] AS ch FROM {source}{f' WHERE n >= {k}' if strict else ''}
+UNION ALL SELECT {keep}, n, kk, j + 1, list_append(ch, CASE WHEN list_contains(ch, r) THEN n - kk + j ELSE r END) FROM (SELECT *, {draw} AS r FROM {name}_all WHERE j < kk)),
+{name} AS (SELECT {keep}, unnest(ch) AS r FROM {name}_all WHERE j = kk)"""
+
+
+def sql_student(t: str, v: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom, by the finite series in the angle."""
+    c2 = f"({v} / ({v} + {t} * {t}))"
+    sine, cosine = f"(abs({t}) / sqrt({v} + {t} * {t}))", f"sqrt({c2})"
+    even = f"{sine} * list_sum(list_transform(range(0, CAST({v} // 2 AS BIGINT)), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + j * ln({c2}))))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({v})) + coalesce({sine} * {cosine} * list_sum(list_transform(range(0, CAST(({v} - 1) // 2 AS BIGINT)), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + j * ln({c2})))), 0))"
+    return f"greatest(0.0, 1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END)"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import draws, metrics as M
+from ..functions import metrics as M
 from ..functions.exact import binomial_half, chi2_upper, fisher, normal_two_sided, student_two_sided
-from ..operators import balance, counts, fdr, panel as P, regress
+from ..operators import balance, counts, fdr, match, panel as P, regress
 from . import standins as S
 from .registry import query
 
@@ -42,9 +42,9 @@ def _tested(spark, sf_dir):
     return _cells(spark, sf_dir).select("cell_id", R(fisher(*_abcd())).alias("p"))
 
 
-@query(f"WITH {_P} SELECT cell_id, p, coalesce(p <= (SELECT max(p) FROM k WHERE p <= r / n::DOUBLE * 0.6), false) AS sig FROM k")
+@query(f"WITH {_P} SELECT cell_id, p, coalesce(p <= (SELECT max(p) FROM k WHERE p <= r / n::DOUBLE * 0.05), false) AS sig FROM k")
 def bh_mask(spark, sf_dir):
-    return fdr.significant(_tested(spark, sf_dir), "p", 0.6)
+    return fdr.significant(_tested(spark, sf_dir), "p", 0.05)
 
 
 @query(f"WITH {_P} SELECT cell_id, p, round(least(1.0, min(p * n / r::DOUBLE) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM k")
@@ -72,19 +72,19 @@ def cochran_q(spark, sf_dir):
 
 
 _IDX = f"{S.PANEL}, {S.MONTHLY}, j AS (SELECT mode, cell_id, lat, lon, value, ar * ep AS joint FROM panel JOIN monthly ON CAST(date_trunc('month', panel.d) AS DATE) = ym)"
-_CORR = f"{_IDX}, g AS (SELECT mode, cell_id, any_value(lat) AS lat, any_value(lon) AS lon, count(*) AS n, CAST(sum(joint) AS BIGINT) AS k, corr(joint, value) AS r FROM j GROUP BY 1, 2), gr AS (SELECT mode, cell_id, lat, lon, n, k, CASE WHEN n >= 30 AND k >= 3 AND NOT isnan(r) THEN r END AS r FROM g)"
+_CORR = f"{_IDX}, g AS (SELECT mode, cell_id, any_value(lat) AS lat, any_value(lon) AS lon, count(*) AS n, CAST(sum(joint) AS BIGINT) AS k, corr(joint, value) AS r FROM j GROUP BY 1, 2), gr AS (SELECT mode, cell_id, lat, lon, n, k, CASE WHEN n >= 30 AND k >= 10 AND NOT isnan(r) THEN r END AS r FROM g)"
 
 
-#: Joint events that a correlation needs: in queries with SQL, and in the others (the survey's).
-_JOINT, _JOINT_FULL = 3, 10
+#: Times and joint events that a correlation needs.
+_LEAST, _JOINT = 30, 10
 
 
-def _correlated(spark, sf_dir, joint=_JOINT):
+def _correlated(spark, sf_dir, least=_LEAST, joint=_JOINT):
     """Point-biserial r of joint events and each monthly index; NULL under the smallest sample."""
     p = S.panel(spark, sf_dir).withColumn("ym", F.trunc("d", "MM")).withColumn("joint", F.col("ar") * F.col("ep"))
     j = p.join(S.monthly_index(spark, sf_dir), "ym")
     g = j.groupBy("mode", "cell_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.sum("joint").alias("k"), F.corr(F.col("joint").cast("double"), "value").alias("r"))
-    return g.withColumn("r", F.when((F.col("n") >= 30) & (F.col("k") >= joint) & ~F.isnan("r"), F.col("r")))
+    return g.withColumn("r", F.when((F.col("n") >= least) & (F.col("k") >= joint) & ~F.isnan("r"), F.col("r")))
 
 
 @query(f"WITH {_CORR} SELECT mode, cell_id, n, k, round(r, 6) AS r FROM gr")
@@ -92,32 +92,24 @@ def point_biserial(spark, sf_dir):
     return _correlated(spark, sf_dir).select("mode", "cell_id", "n", "k", R(F.col("r")).alias("r"))
 
 
-@query()
-def point_biserial_full(spark, sf_dir):
-    return _correlated(spark, sf_dir, _JOINT_FULL).select("mode", "cell_id", "n", "k", R(F.col("r")).alias("r"))
-
-
 def _with_p(c):
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
     return c.withColumn("p", student_two_sided(t, F.col("n") - 2))
 
 
-@query()
-def point_biserial_p(spark, sf_dir):
-    """Two-sided p of each correlation; checked against exact tails in the tests."""
-    return _with_p(_correlated(spark, sf_dir, _JOINT_FULL)).select("mode", "cell_id", R(F.col("r")).alias("r"), R(F.col("p")).alias("p"))
+_TP = f"{_CORR}, gp AS (SELECT *, CASE WHEN r IS NOT NULL THEN {S.sql_student('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')} END AS p FROM gr)"
 
 
-@query(f"WITH {_CORR}, o AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC NULLS LAST, CASE mode WHEN 'ENSO' THEN 0 WHEN 'MJO' THEN 1 WHEN 'AO' THEN 2 ELSE 3 END) AS o FROM gr) SELECT cell_id, CASE WHEN r IS NULL OR r = 0 THEN 'no-dominant' ELSE mode END AS mode, round(r, 6) AS r FROM o WHERE o = 1")
-def dominant_mode(spark, sf_dir):
-    """The mode of the largest absolute correlation, without masks, as in the SQL; ties go by a fixed order of modes."""
-    return _dominant(_correlated(spark, sf_dir))
+@query(f"WITH {_TP} SELECT mode, cell_id, round(r, 6) AS r, round(p, 6) AS p FROM gp")
+def point_biserial_p(spark, sf_dir):
+    """Two-sided p of each correlation."""
+    return _with_p(_correlated(spark, sf_dir)).select("mode", "cell_id", R(F.col("r")).alias("r"), R(F.col("p")).alias("p"))
 
 
-@query()
-def dominant_mode_full(spark, sf_dir):
-    """The same among correlations that pass the FDR mask of their mode; no-dominant where none does."""
-    return _dominant(_masked(_with_p(_correlated(spark, sf_dir, _JOINT_FULL))))
+@query(f"WITH {_TP}, bk AS (SELECT mode, cell_id, p, row_number() OVER (PARTITION BY mode ORDER BY p, cell_id) AS i, count(*) OVER (PARTITION BY mode) AS m FROM gp WHERE p IS NOT NULL), bs AS (SELECT mode, max(p) AS star FROM bk WHERE p <= i / m::DOUBLE * 0.05 GROUP BY 1), gm AS (SELECT gp.mode, cell_id, CASE WHEN p <= star THEN r END AS r FROM gp LEFT JOIN bs USING (mode)), o AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC NULLS LAST, CASE mode WHEN 'ENSO' THEN 0 WHEN 'MJO' THEN 1 WHEN 'AO' THEN 2 ELSE 3 END) AS o FROM gm) SELECT cell_id, CASE WHEN r IS NULL OR r = 0 THEN 'no-dominant' ELSE mode END AS mode, round(r, 6) AS r FROM o WHERE o = 1")
+def dominant_mode(spark, sf_dir):
+    """The mode of the largest absolute correlation among those that pass the FDR mask of their mode; ties go by a fixed order of modes."""
+    return _dominant(_masked(_with_p(_correlated(spark, sf_dir))))
 
 
 def _masked(c, alpha=0.05):
@@ -132,31 +124,14 @@ def _dominant(c):
 
 @query(f"WITH {_CORR}, {S.REGION_TABLE} SELECT mode, region, round(avg(r), 6) AS r, count(r) AS n FROM gr JOIN regions ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY 1, 2")
 def region_mean_corr(spark, sf_dir):
-    return _region_means(spark, _correlated(spark, sf_dir))
-
-
-@query()
-def region_mean_corr_full(spark, sf_dir):
-    return _region_means(spark, _correlated(spark, sf_dir, _JOINT_FULL))
-
-
-def _region_means(spark, c):
-    c = P.with_regions(c, S.regions(spark))
+    c = P.with_regions(_correlated(spark, sf_dir), S.regions(spark))
     return c.groupBy("mode", "region").agg(R(F.avg("r")).alias("r"), F.count("r").alias("n"))
 
 
-@query(f"WITH {_CORR} SELECT mode, count(*) AS cells, count(*) FILTER (WHERE n >= 30 AND k >= 3) AS enough FROM gr GROUP BY 1")
+@query(f"WITH {_CORR} SELECT mode, count(*) AS cells, count(*) FILTER (WHERE n >= 30 AND k >= 10) AS enough FROM gr GROUP BY 1")
 def min_sample_filter(spark, sf_dir):
-    return _enough(_correlated(spark, sf_dir), _JOINT)
-
-
-@query()
-def min_sample_filter_full(spark, sf_dir):
-    return _enough(_correlated(spark, sf_dir, _JOINT_FULL), _JOINT_FULL)
-
-
-def _enough(c, joint):
-    return c.groupBy("mode").agg(F.count(F.lit(1)).alias("cells"), F.count_if((F.col("n") >= 30) & (F.col("k") >= joint)).alias("enough"))
+    enough = F.count_if((F.col("n") >= _LEAST) & (F.col("k") >= _JOINT))
+    return _correlated(spark, sf_dir).groupBy("mode").agg(F.count(F.lit(1)).alias("cells"), enough.alias("enough"))
 
 
 def _design(spark, sf_dir):
@@ -226,74 +201,47 @@ def traditional_rr(spark, sf_dir):
     return _orders(spark, sf_dir).agg(R(m(1) / m(0)).alias("rr"))
 
 
-_MATCHED = f"""{_DESIGN}, pr AS (SELECT c.id AS cid, c.ar AS case_ar, k.ar AS ctrl_ar, k.id AS kid, count(*) OVER (PARTITION BY c.id) AS k, row_number() OVER (PARTITION BY c.id ORDER BY md5(concat_ws('|', '42', c.id, k.id)), k.id) AS n
-FROM o c JOIN o k ON c.ep = 1 AND k.ep = 0 AND c.month = k.month AND c.grid = k.grid WHERE c.id % 5 = 0), mt AS (SELECT * FROM pr WHERE k >= 5 AND n <= 5)"""
+_MATCHED = f"""{_DESIGN}, ct AS (SELECT id AS kid, month, grid, ar AS ctrl_ar, row_number() OVER (PARTITION BY month, grid ORDER BY md5(concat_ws('|', '42', id)), id) - 1 AS r FROM o WHERE ep = 0),
+cs AS (SELECT id AS cid, month, grid, ar AS case_ar, n FROM o JOIN (SELECT month, grid, count(*) AS n FROM ct GROUP BY 1, 2) USING (month, grid) WHERE ep = 1),
+{S.sql_choose('ch', 'cs', 'cid, month, grid, case_ar', 'cid', 5, 42)}, mt AS (SELECT cid, case_ar, kid, ctrl_ar FROM ch JOIN ct USING (month, grid, r))"""
 
 
 def _matched(spark, sf_dir):
-    """Five controls of the same month and grid for every fifth case; cases with fewer are dropped."""
-    from pyspark.sql import Window
-
-    o = _orders(spark, sf_dir)
-    c = o.where("ep = 1 and id % 5 = 0").select(F.col("id").alias("cid"), "month", "grid", F.col("ar").alias("case_ar"))
-    k = o.where("ep = 0").select(F.col("id").alias("kid"), "month", "grid", F.col("ar").alias("ctrl_ar"))
-    w = Window.partitionBy("cid")
-    p = c.join(k, ["month", "grid"]).withColumn("k", F.count(F.lit(1)).over(w)).withColumn("n", F.row_number().over(w.orderBy(draws.key(42, F.col("cid"), F.col("kid")), "kid")))
-    return p.where("k >= 5 and n <= 5")
-
-
-def _matched_full(spark, sf_dir):
     """Five controls of the same month and grid for every case; cases with fewer are dropped."""
-    from ..operators.match import drawn_controls
-
     o = _orders(spark, sf_dir)
     c = o.where("ep = 1").select(F.col("id").alias("cid"), "month", "grid", F.col("ar").alias("case_ar"))
     k = o.where("ep = 0").select(F.col("id").alias("kid"), "month", "grid", F.col("ar").alias("ctrl_ar"))
-    return drawn_controls(c, k, ["month", "grid"], 5, 42)
+    return match.drawn_controls(c, k, ["month", "grid"], 5, 42)
 
 
-@query(f"WITH {_MATCHED}, u AS (SELECT DISTINCT cid, case_ar FROM mt), t AS (SELECT (SELECT sum(case_ar) FROM u) + 0.5::DOUBLE AS a, (SELECT sum(1 - case_ar) FROM u) + 0.5::DOUBLE AS b, sum(ctrl_ar) + 0.5::DOUBLE AS c, sum(1 - ctrl_ar) + 0.5::DOUBLE AS d FROM mt) SELECT a, b, c, d, round((a / b) / (c / d), 6) AS \"or\" FROM t")
+@query(f"WITH RECURSIVE {_MATCHED}, u AS (SELECT DISTINCT cid, case_ar FROM mt), t AS (SELECT (SELECT sum(case_ar) FROM u) + 0.5::DOUBLE AS a, (SELECT sum(1 - case_ar) FROM u) + 0.5::DOUBLE AS b, sum(ctrl_ar) + 0.5::DOUBLE AS c, sum(1 - ctrl_ar) + 0.5::DOUBLE AS d FROM mt) SELECT a, b, c, d, round((a / b) / (c / d), 6) AS \"or\" FROM t")
 def matched_or(spark, sf_dir):
-    """Of every fifth case, as in the SQL; ``matched_or_full`` is the whole job."""
-    return _matched_or(_matched(spark, sf_dir))
-
-
-@query()
-def matched_or_full(spark, sf_dir):
-    """Of every case; tests hold the matching against a plain version."""
-    return _matched_or(_matched_full(spark, sf_dir))
-
-
-def _matched_or(m):
+    m = _matched(spark, sf_dir)
     cases = m.select("cid", "case_ar").distinct().agg((F.sum("case_ar") + 0.5).alias("a"), (F.sum(1 - F.col("case_ar")) + 0.5).alias("b"))
     ctrl = m.agg((F.sum("ctrl_ar") + 0.5).alias("c"), (F.sum(1 - F.col("ctrl_ar")) + 0.5).alias("d"))
     t = cases.crossJoin(ctrl)  # one row each
     return t.select(*(F.col(x).cast("double").alias(x) for x in "abcd"), R((F.col("a") / F.col("b")) / (F.col("c") / F.col("d"))).alias("or"))
 
 
-@query(f"""WITH {_MATCHED}, u AS (SELECT DISTINCT cid AS id, case_ar AS ar, 1 AS is_case FROM mt UNION ALL SELECT kid, max(ctrl_ar), 0 FROM mt GROUP BY kid),
-a AS (SELECT it, id, is_case, row_number() OVER (PARTITION BY it ORDER BY id, is_case) AS r FROM u, range(0, 50) q(it)),
-b AS (SELECT it, ar, row_number() OVER (PARTITION BY it ORDER BY md5(concat_ws('|', '7', it, id * 2 + is_case)), id * 2 + is_case) AS r FROM u, range(0, 50) q(it)),
-s AS (SELECT it, (sum(ar * is_case) + 0.5) / (sum((1 - ar) * is_case) + 0.5) / ((sum(ar * (1 - is_case)) + 0.5) / (sum((1 - ar) * (1 - is_case)) + 0.5)) AS o FROM a JOIN b USING (it, r) GROUP BY it)
-SELECT round(quantile_cont(o::DOUBLE, 0.95), 6) AS p95, round(avg(o::DOUBLE), 6) AS mean, count(*) AS n FROM s""")
-def perturbation_test(spark, sf_dir):
-    """The odds ratio when exposure is shuffled over the matched rows of every fifth case, 50 times, as in the SQL."""
-    return _perturbed(_matched(spark, sf_dir), 50)
+#: Permutations of the matched exposure.
+PERMUTATIONS = 500
 
 
-@query()
-def perturbation_test_full(spark, sf_dir):
-    """The same over the matched rows of every case, 500 times."""
-    return _perturbed(_matched_full(spark, sf_dir), 500)
-
-
-def _perturbed(m, times):
-    from ..operators.match import permuted
-
+@query(f"""WITH RECURSIVE {_MATCHED}, u AS (SELECT DISTINCT cid AS id, case_ar AS ar, 1 AS is_case FROM mt UNION ALL SELECT kid, max(ctrl_ar), 0 FROM mt GROUP BY kid),
+t AS (SELECT count(*) AS n, CAST(sum(ar) AS BIGINT) AS x, CAST(sum(is_case) AS BIGINT) AS y FROM u),
+w AS (SELECT *, x * y / n::DOUBLE AS mid, 10 * sqrt(least(x, y, n - x, n - y)::DOUBLE) + 20 AS far FROM t),
+k AS (SELECT n, x, y, unnest(range(CAST(greatest(greatest(0, x + y - n), floor(mid - far)) AS BIGINT), CAST(least(least(x, y), ceil(mid + far)) AS BIGINT) + 1)) AS j FROM w),
+c AS (SELECT n, x, y, j, sum(exp({" + ".join(S.lfact(v) for v in ("x", "n - x", "y", "n - y"))} - {S.lfact("n")}{"".join(f" - {S.lfact(v)}" for v in ("j", "x - j", "y - j", "n - x - y + j"))})) OVER (ORDER BY j) AS cdf FROM k),
+i AS (SELECT it, ('0x' || substr(md5(concat_ws('|', '7', it)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(0, {PERMUTATIONS}) q(it)),
+d AS (SELECT it, any_value(n) AS n, any_value(x) AS x, any_value(y) AS y, least(min(j) + count(*) FILTER (WHERE cdf <= u), max(j)) AS a FROM i CROSS JOIN c GROUP BY it),
+s AS (SELECT (a + 0.5) / (y - a + 0.5) / ((x - a + 0.5) / (n - y - x + a + 0.5)) AS o FROM d)
+SELECT round(quantile_cont(o::DOUBLE, 0.95), 6) AS p95, round(avg(o::DOUBLE), 6) AS mean, count(*) AS n FROM s""")
+def perturbation_test(spark, sf_dir):
+    """The odds ratio when exposure is shuffled over the matched rows: the exposed among the cases are hypergeometric, so each repetition is one draw."""
+    m = _matched(spark, sf_dir)
     u = m.select(F.col("cid").alias("id"), F.col("case_ar").alias("ar"), F.lit(1).alias("is_case")).distinct()
     u = u.unionByName(m.groupBy(F.col("kid").alias("id")).agg(F.max("ctrl_ar").alias("ar")).withColumn("is_case", F.lit(0)))
-    u = u.select((F.col("id") * 2 + F.col("is_case")).alias("unit"), "is_case", "ar", F.lit(0).alias("s"))
-    p = permuted(u, "ar", ["s"], "unit", times, 7).join(u.select("unit", "is_case"), "unit")
-    odd = lambda c: (F.sum(F.when(c, F.col("ar")).otherwise(0)) + 0.5) / (F.sum(F.when(c, 1 - F.col("ar")).otherwise(0)) + 0.5)
-    s = p.groupBy("iter").agg((odd(F.col("is_case") == 1) / odd(F.col("is_case") == 0)).cast("double").alias("o"))
-    return s.agg(R(F.percentile("o", F.lit(0.95))).alias("p95"), R(F.avg("o")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    n = u.agg(F.count(F.lit(1)).alias("n"), F.sum("ar").cast("long").alias("x"), F.sum("is_case").cast("long").alias("y")).where("n > 0")
+    a, rest = balance.hypergeometric_draws(n, PERMUTATIONS, 7), F.col("n") - F.col("y") - F.col("x")
+    odd = (F.col("a") + 0.5) / (F.col("y") - F.col("a") + 0.5) / ((F.col("x") - F.col("a") + 0.5) / (rest + F.col("a") + 0.5))
+    return a.select(odd.alias("o")).agg(R(F.percentile("o", F.lit(0.95))).alias("p95"), R(F.avg("o")).alias("mean"), F.count(F.lit(1)).alias("n"))

@@ -117,11 +117,11 @@ def test_every_case_draws_its_controls(spark):
     assert len(got) == len(want) == 750 and set(got) == want
 
 
-def test_full_matching_uses_every_case(spark):
+def test_matching_uses_every_case(spark):
     from phaseline.plans import statistic_queries
 
     sf = "/root/testdata/sf0.01"
-    m = statistic_queries._matched_full(spark, sf).groupBy("cid").count().collect()
+    m = statistic_queries._matched(spark, sf).groupBy("cid").count().collect()
     o = statistic_queries._orders(spark, sf)
     enough = o.where("ep = 0").groupBy("month", "grid").count().where("count >= 5")
     assert {r["count"] for r in m} == {5} and len(m) == o.where("ep = 1").join(enough, ["month", "grid"]).count()
@@ -150,7 +150,7 @@ def test_cross_correlation(spark):
     assert lagdiag.strongest(tie).first().lag == -2
 
 
-def test_full_lag_queries_read_every_day(spark):
+def test_lag_queries_read_every_day(spark):
     """Events, exposures and lag sums of the whole panel against plain ones."""
     from phaseline.plans import lag_queries, standins
 
@@ -158,7 +158,7 @@ def test_full_lag_queries_read_every_day(spark):
     rows = [(r.cell_id, r.d, r.ar, r.ep) for r in standins.panel(spark, sf).collect()]
     first, last = min(r[1] for r in rows), max(r[1] for r in rows)
     n = (last - first).days + 1
-    dense = lag_queries.densified_panel_full(spark, sf)
+    dense = lag_queries.densified_panel(spark, sf)
     assert dense.count() == n * len({r[0] for r in rows}) and dense.agg(F.sum("ar"), F.sum("ep")).first()[:] == (sum(r[2] for r in rows), sum(r[3] for r in rows))
     x = {c: np.zeros((2, n)) for c, *_ in rows}
     for c, d, a, e in rows:
@@ -177,11 +177,11 @@ def test_full_lag_queries_read_every_day(spark):
             own = [a[t - k] for t in at if 0 <= t - k < n]
             if own:
                 mean[c, k] = np.mean(own)
-    for r in lag_queries.cross_correlation_full(spark, sf).collect():
+    for r in lag_queries.cross_correlation(spark, sf).collect():
         assert abs(r.r - near.get((r.cell_id, r.lag), 0)) < 2e-6
-    got = {(r.cell_id, r.lag): r.share for r in lag_queries.hit_cdf_full(spark, sf).collect()}
+    got = {(r.cell_id, r.lag): r.share for r in lag_queries.hit_cdf(spark, sf).collect()}
     assert got.keys() == share.keys() and all(abs(got[k] - v) < 2e-6 for k, v in share.items())
-    got = {(r.cell_id, r.tau): r.eta for r in lag_queries.eta_full(spark, sf).collect()}
+    got = {(r.cell_id, r.tau): r.eta for r in lag_queries.eta(spark, sf).collect()}
     assert got.keys() == mean.keys() and all(abs(got[k] - v) < 2e-6 for k, v in mean.items())
 
 
@@ -194,12 +194,12 @@ def test_nearest_labels(spark):
     assert near["2000-01-30"] is None and near["1999-01-01"] is None and near["2000-01-06"] == "b"
 
 
-def test_full_nearest_labels_use_every_label(spark):
+def test_nearest_labels_use_every_label(spark):
     from phaseline.plans import mode_queries, standins
 
     sf = "/root/testdata/sf0.001"
     labels = {r.key: r.phase for r in standins.labels(spark, sf).where("mode = 'MJO'").collect()}
-    got = {r.day: r.phase for r in mode_queries.asof_nearest_label_full(spark, sf).collect()}
+    got = {r.day: r.phase for r in mode_queries.asof_nearest_label(spark, sf).collect()}
     assert got == {d: labels[min(labels, key=lambda k: (abs((k - d).days), -k.toordinal()))] for d in got}
 
 
@@ -210,26 +210,52 @@ def test_phases(spark):
     assert [tuple(r) for r in m.select(modes.coarse_phase(F.col("a"), F.col("p")), modes.detailed_phase(F.col("a"), F.col("p"))).collect()] == [("Inactive", "Inactive"), ("Active_1to4", "Phase_4"), ("Active_5to8", "Phase_5"), (None, None), (None, None)]
 
 
-def test_full_queries_repeat_as_often_as_the_reference(spark, monkeypatch):
+def test_queries_repeat_as_often_as_the_reference(spark, monkeypatch):
     from phaseline.plans import registry
 
     sf, q = "/root/testdata/sf0.001", registry.queries()
-    assert q["placebo_month_shuffle_full"](spark, sf).count() == 20
-    assert q["calendar_month_permutation_full"](spark, sf).agg(F.count_distinct("iter")).first()[0] == 20
-    first = q["placebo_month_shuffle"](spark, sf).collect()  # more shuffles leave the first ones as they were
-    assert sorted(first) == sorted(q["placebo_month_shuffle_full"](spark, sf).where("iter < 5").collect())
-    assert q["perturbation_test_full"](spark, sf).first().n == 500
-    p = [r.p * 250 for r in q["block_bootstrap_diff_full"](spark, sf).collect() if r.p < 1]
-    assert any(abs(x - round(x)) < 1e-3 and round(x) % 12.5 for x in p)
+    assert q["placebo_month_shuffle"](spark, sf).count() == 20
+    assert q["calendar_month_permutation"](spark, sf).agg(F.count_distinct("iter")).first()[0] == 20
+    assert q["perturbation_test"](spark, sf).first().n == 500
     asked = []
     real = modes.bootstrap_contrasts
     monkeypatch.setattr(modes, "bootstrap_contrasts", lambda b, k, n, *a: asked.append(n) or real(b, k, n, *a))
     monkeypatch.setattr(lagdiag, "monte_carlo", lambda d, n, *a, f=lagdiag.monte_carlo: asked.append(n) or f(d, n, *a))
     for name in ("block_bootstrap_diff", "effect_ranking", "best_lag", "ranking_top40", "seq_mc_pvalue", "point_diagnostics"):
-        q[f"{name}_full"](spark, sf)
+        q[name](spark, sf)
     assert asked == [500] * 6
 
 
+def test_monte_carlo_is_a_permutation_test(spark):
+    """Drawn joint counts have the distribution of shuffles within months, and the rule stops at the first draw it may."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(8):
+        for t in range(120):
+            ar = int(rng.random() < 0.3)
+            rows.append((c, dt.date(2000, 1, 1) + dt.timedelta(days=t), t, ar, int(rng.random() < (0.15 + 0.1 * c * ar) / 1.5)))
+    rows += [(9, dt.date(2000, 1, 1) + dt.timedelta(days=t), t, 0, t % 2) for t in range(50)]
+    df = spark.createDataFrame(rows, "cell_id int, d date, t int, ar int, ep int")
+    got = {r.cell_id: r for r in lagdiag.monte_carlo(df, 2000, absolute=0.0, relative=0.0).collect()}
+    assert got[9].n == 0 and got[9].p is None and not got[9].converged
+    for c in range(8):
+        own = [(d.month, a, e) for k, d, _, a, e in rows if k == c]
+        m, a, e = (np.array(v) for v in zip(*own))
+        stats = np.zeros(4000)
+        for i in range(4000):
+            x = a.copy()
+            for k in set(m.tolist()):
+                x[m == k] = rng.permutation(x[m == k])
+            stats[i] = (x * e).sum()
+        assert got[c].n == 2000 and abs(got[c].p - (stats >= (a * e).sum()).mean()) < 0.05
+    early = {r.cell_id: r for r in lagdiag.monte_carlo(df, 500).collect()}
+    assert all(10 <= r.n <= 500 for k, r in early.items() if k < 8)
+    for r in early.values():
+        if r.converged:
+            half = 1.96 * (r.p * (1 - r.p) / (r.n + 1)) ** 0.5
+            assert half <= 0.01 or half / r.p <= 0.1
+
+
 def test_dominant_mode_is_masked(spark):
     """Of a mode's correlations only those count that pass its FDR mask, however large the others are."""
     from phaseline.plans import statistic_queries as Q
@@ -237,9 +263,8 @@ def test_dominant_mode_is_masked(spark):
     rows = [("ENSO", 1, 100, 20, 0.5), ("AO", 1, 100, 20, -0.1), ("PDO", 1, 30, 20, None), ("ENSO", 2, 100, 20, 0.1), ("AO", 2, 30, 20, 0.3), ("AO", 3, 100, 20, -0.6), ("ENSO", 3, 100, 20, 0.02)]
     c = Q._with_p(spark.createDataFrame(rows, "mode string, cell_id long, n long, k long, r double"))
     assert {r.cell_id: (r["mode"], r.r) for r in Q._dominant(Q._masked(c)).collect()} == {1: ("ENSO", 0.5), 2: ("no-dominant", None), 3: ("AO", -0.6)}
-    for name in ("point_biserial_full", "point_biserial_p"):
-        few = getattr(Q, name)(spark, "/root/testdata/sf0.01").join(Q.point_biserial(spark, "/root/testdata/sf0.01").select("mode", "cell_id", F.col("k").alias("joint")), ["mode", "cell_id"]).where("joint < 10")
-        assert few.count() and not few.where("r is not null").count()
+    few = Q.point_biserial(spark, "/root/testdata/sf0.01").where("k < 10")
+    assert few.count() and not few.where("r is not null").count()
 
 
 def test_bootstrap_of_equal_phases(spark):

@@ -46,7 +46,9 @@ def test_query_runs(spark, name):
 
 
 def test_streams_equal_batch(spark):
-    """A finished stream gives the windows that the watermark has closed, with the batch's counts."""
+    """A finished stream gives just the windows and episodes that the watermark has closed, with the batch's counts."""
+    import datetime as dt
+
     from pyspark.sql import functions as F
 
     from phaseline.plans import streaming_queries
@@ -54,9 +56,13 @@ def test_streams_equal_batch(spark):
 
     e = spark.read.parquet(f"{SF}/events.parquet")
     e = e.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("cell_id"), (F.col("event_type") == "error").cast("int").alias("ar"), (F.col("value") > 20).cast("int").alias("ep"))
-    batch = {tuple(r) for r in incremental.windowed_contingency(e, "ts", "1 day", "2 hours", ["cell_id"]).collect()}
-    stream = {tuple(r) for r in streaming_queries.stream_windowed_contingency(spark, SF).collect()}
-    assert stream and stream <= batch
+    last, last_ar = e.agg(F.max("ts"), F.max(F.when(F.col("ar") == 1, F.col("ts")))).first()
+    batch = incremental.windowed_contingency(e, "ts", "1 day", "2 hours", ["cell_id"]).collect()
+    want = {tuple(r) for r in batch if r.start + dt.timedelta(days=1) <= last - dt.timedelta(hours=2)}
+    assert want and {tuple(r) for r in streaming_queries.stream_windowed_contingency(spark, SF).collect()} == want
+    batch = incremental.exposure_episodes(e, "ts", "6 hours", "12 hours", ["cell_id"]).collect()
+    want = {tuple(r) for r in batch if r.stop <= last_ar - dt.timedelta(hours=12)}
+    assert want and {tuple(r) for r in streaming_queries.stream_exposure_episodes(spark, SF).collect()} == want
 
 
 def test_scan_is_pruned_and_pushed_down(spark):
