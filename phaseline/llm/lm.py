@@ -1,25 +1,31 @@
-"""Language-model scores by a weighted backoff automaton.
-
-The model is an interpolated bigram over an add-0.1 unigram:
-``P(w | h) = weight * c(h w) / c(h) + (1 - weight) * P(w)`` for a history h seen
-in training, ``P(w)`` else.  As an automaton, every seen history is a state with
-an arc for each seen bigram and a failure arc to the root that costs
-``log10(1 - weight)``; the root has an arc for every word.  A text is one
-left-to-right traversal from the start state that carries the state and adds
-the weights of the arcs taken.
+"""Language-model scores by a weighted backoff automaton of order three.
+
+The model is interpolated: ``P(w | u v) = q c(u v w) / c(u v) + (1 - q) P(w | v)``
+where the pair u v is a state, ``P(w | v) = q c(v w) / c(v) + (1 - q) P(w)`` where
+v was seen in training, and ``P(w)`` is an add-0.1 unigram.  As an automaton: the
+root has an arc for every word; every word seen has a state with an arc for each
+seen pair; every pair seen at least ``LEAST_STATE`` times is a state with an arc
+for each seen triple.  An arc leads to the longest state that ends with its word.
+A failure arc leads from a pair to its second word and from a word to the root,
+and costs ``log10(1 - q)``.  A text is one left-to-right traversal from the start
+state: where a state has no arc for the next word, failure arcs are followed down
+until one has, and the weights of all arcs taken add up.
 
 Counts are exact and never gathered in one place.  Each block of documents sends
 its distinct words, counted over its training documents, to owners by hash; the
-owners return each word's total and a number, small for frequent words.  Pairs
-of numbers then take the same way.  A pair whose history or word occurs in one
-block alone needs no owner.  So each block builds the part of
-the automaton that its documents visit, in bounded memory, and a frequent word
-or pair costs one entry a block.
-
-Defined cases: a null or empty text is one end token; a null key reads as no text, whose
-checksum is 0, so it is held out; repeated rows count
-each time; with no training documents every token is unknown; an empty table
-gives an empty result; other columns are ignored.
+owners return each word's total, whether other blocks have it too, and a number,
+small for frequent words.  Pairs of numbers take the same way, then triples, by a
+64-bit fingerprint of their numbers.  What no other block can have needs no owner:
+a pair with a word, or a triple with a pair, that occurs in one block alone.  So
+each block builds the part of the automaton that its documents visit, in bounded
+memory, and a frequent word, pair or triple costs one entry a block.
+
+Defined cases: a null or empty text is one end token; a null key reads as no text,
+whose checksum is 0, so it is held out; repeated rows count each time; equally
+frequent words are numbered by their fingerprints, which changes no score; a very
+long text is a block of its own; with no training documents every token is
+unknown; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from . import common as C
 
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 ADD, WEIGHT = 0.1, 0.3
+#: Occurrences in training from which a pair of words is a state.
+LEAST_STATE = 4
 #: Fingerprints of the end of a text and of the start state.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
@@ -70,76 +78,184 @@ def numbered_pairs(h: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
     return int(new.sum()), place
 
 
+def tokenised(keys: list, texts: list[bytes]) -> dict[str, bytes]:
+    """A block: its documents, its distinct words with their counts in training, and its tokens as numbers into them."""
+    hashes, parts, n = C.WordHashes(), [], []
+    end = np.array([END])
+    for x in texts:
+        words = x.lower().split()  # bytes: only A-Z change, only the six blanks split
+        parts += [hashes(words), end]
+        n.append(len(words) + 1)
+    held = np.array([held_out(k) for k in keys], bool)
+    words, token = np.unique(np.concatenate([*parts, np.array([END, START])]).astype(np.uint64), return_inverse=True)
+    token = token[:-2]
+    times = np.bincount(token[np.repeat(~held, n)], minlength=len(words))
+    times[np.searchsorted(words, START)] = int((~held).sum())  # how often training texts start
+    return {"docs": C.to_blob(k=pa.array(keys, pa.int64()), n=np.array(n, np.int64)), "words": C.to_blob(w=words, c=slim(times)), "tokens": C.to_blob(3, t=slim(token))}
+
+
 class Block:
-    """A block's tokens: fingerprints, and numbers into its sorted list of words."""
-
-    def __init__(self, payloads: list[bytes]):
-        hashes = C.WordHashes()
-        self.keys, n, parts = [], [], []
-        end = np.array([END])
-        for payload in payloads:
-            keys, texts = C.unpack(payload)
-            self.keys += keys
-            for x in texts:
-                words = x.lower().split()  # bytes: only A-Z change, only the six blanks split
-                parts += [hashes(words), end]
-                n.append(len(words) + 1)
-        self.n = np.array(n, np.int64)
+    """A block's tokens, numbers into its sorted list of words, and its pairs and triples of them."""
+
+    def __init__(self, docs: bytes, words: bytes, tokens: bytes):
+        d, w = C.from_blob(docs), C.from_blob(words)
+        self.keys, self.n = d.column("k").to_pylist(), C.np_col(d, "n")
+        self.words, self.times = C.np_col(w, "w"), C.np_col(w, "c").astype(np.int64)
+        self.token = C.np_col(C.from_blob(tokens), "t").astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
         self.held = np.array([held_out(k) for k in self.keys], bool)
         self.train = np.repeat(~self.held, self.n)
-        tokens = np.concatenate([*parts, np.array([START])]).astype(np.uint64)
-        self.words, at = np.unique(tokens, return_inverse=True)
-        self.token, self.start = at[:-1], int(at[-1])
+        self.start, self.end = (int(np.searchsorted(self.words, x)) for x in (START, END))
         self.history = np.concatenate([[0], self.token[:-1]])[: len(self.token)]
         self.history[self.first] = self.start
-        self.times = np.bincount(self.token[self.train], minlength=len(self.words))
-        self.times[self.start] = int((~self.held).sum())  # how often training texts start
 
-    def pairs(self, number: np.ndarray, shared: np.ndarray, owners: int) -> None:
-        """Distinct pairs: counts here, and which must be asked for, in an order both ends derive.
-
-        ``shared`` tells the words that other blocks have too; a pair of others is counted here in full.
-        """
+    def learn_words(self, total: np.ndarray, number: np.ndarray, shared: np.ndarray) -> None:
+        if len(total) != len(self.words):
+            raise ValueError("answers do not fit their block")
+        self.total, self.number = total, number
         width = len(self.words)
         u, self.pair = np.unique(self.history * width + self.token, return_inverse=True)
-        h, w = u // width, u % width
-        self.pair_count = np.bincount(self.pair[self.train], minlength=len(u))
-        asked = np.flatnonzero(shared[h] & shared[w])
-        hn, wn = number[h[asked]], number[w[asked]]
-        owner = ((C.mix64(hn * np.uint64(0x9E3779B97F4A7C15) + wn) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+        self.pair_h, self.pair_w = u // width, u % width
+        self.pair_total = np.bincount(self.pair[self.train], minlength=len(u))
+        self.pair_shared = shared[self.pair_h] & shared[self.pair_w]  # as far as words tell
+        self.pair_asked = np.flatnonzero(self.pair_shared)
+
+    def asked_pairs(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, number of the first word, of the second) of the pairs to ask for, which ``pair_asked`` is put in the order of."""
+        hn, wn = self.number[self.pair_h[self.pair_asked]], self.number[self.pair_w[self.pair_asked]]
+        owner = among(C.mix64(hn * np.uint64(0x9E3779B97F4A7C15) + wn), owners)
         order = np.lexsort((wn, hn, owner))
-        self.asked, self.owner, self.hn, self.wn = asked[order], owner[order], hn[order], wn[order]
+        self.pair_asked = self.pair_asked[order]
+        return owner[order], hn[order], wn[order]
 
+    def learn_pairs(self, total: np.ndarray, shared: np.ndarray) -> None:
+        if len(total) != len(self.pair_asked):
+            raise ValueError("answers do not fit their block")
+        self.pair_total[self.pair_asked] = total
+        self.pair_shared[self.pair_asked] = shared
+        # a triple is the pair before a token, where that is a state, and the token
+        self.is_state = (self.pair_total >= LEAST_STATE) & (self.pair_w != self.end)
+        inner = np.ones(len(self.token), bool)
+        inner[self.first] = False
+        self.place = np.flatnonzero(inner)
+        before = self.pair[self.place - 1]
+        self.place = self.place[self.is_state[before]]
+        before = self.pair[self.place - 1]
+        width = len(self.words)
+        u, self.triple = np.unique(before * width + self.token[self.place], return_inverse=True)
+        self.triple_state, self.triple_w = u // width, u % width
+        self.triple_pair = np.zeros(len(u), np.int64)  # its last two words
+        self.triple_pair[self.triple] = self.pair[self.place]
+        self.triple_total = np.bincount(self.triple[self.train[self.place]], minlength=len(u))
+        asked = np.flatnonzero(self.pair_shared[self.triple_state] & self.pair_shared[self.triple_pair])
+        n = [self.number[x[asked]] for x in (self.pair_h[self.triple_state], self.pair_w[self.triple_state], self.triple_w)]
+        key = C.mix64(n[0] * np.uint64(0x9E3779B97F4A7C15) + C.mix64(n[1] * np.uint64(0xC2B2AE3D27D4EB4F) + C.mix64(n[2])))
+        order = np.argsort(key, kind="stable")
+        self.triple_asked, self.triple_key = asked[order], key[order]
+
+    def learn_triples(self, total: np.ndarray) -> None:
+        if len(total) != len(self.triple_asked):
+            raise ValueError("answers do not fit their block")
+        self.triple_total[self.triple_asked] = total
 
-class Automaton:
-    """The states and arcs that one block visits."""
 
-    def __init__(self, block: Block, total: np.ndarray, n_train: int, distinct: int, weight: float):
-        self.block, self.total = block, total
-        self.root = np.log10((total + ADD) / (n_train + ADD * (distinct + 1)))  # the root's arcs
-        self.fail, self.weight = np.log10(1 - weight), weight
+class Automaton:
+    """The states and arcs that one block visits.
+
+    States are numbered: 0 the root, then one a word, then one a pair.  ``fail``
+    and ``fail_weight`` are the failure arc of each; arcs are kept by what they
+    read: the root's by word, a word's by pair, a pair's by triple.
+    """
+
+    def __init__(self, b: Block, n_train: int, distinct: int, weight: float):
+        self.block, width, pairs = b, len(b.words), len(b.pair_h)
+        seen_word, seen_pair = b.total > 0, b.pair_total > 0
+        self.of_word, self.of_pair = 1 + np.arange(width), 1 + width + np.arange(pairs)
+        self.fail = np.concatenate([[0], np.zeros(width, np.int64), self.of_word[b.pair_w]])
+        self.fail_weight = np.concatenate([[0.0], np.full(width + pairs, np.log10(1 - weight))])
+        # the longest state that ends with a word, and with a pair
+        self.after_word = np.where(seen_word & (np.arange(width) != b.end), self.of_word, 0)
+        self.after_pair = np.where(b.is_state, self.of_pair, self.after_word[b.pair_w])
+        # weights of arcs; minus infinity where there is none
+        with np.errstate(divide="ignore", invalid="ignore"):
+            one = (b.total + ADD) / (n_train + ADD * (distinct + 1))
+            two = weight * b.pair_total / b.total[b.pair_h] + (1 - weight) * one[b.pair_w]
+            three = weight * b.triple_total / b.pair_total[b.triple_state] + (1 - weight) * two[b.triple_pair]
+            self.arc_word = np.log10(one)
+            self.arc_pair = np.where(seen_pair & seen_word[b.pair_h], np.log10(two), -np.inf)
+            self.arc_triple = np.where(b.triple_total > 0, np.log10(three), -np.inf)
+
+    def arcs(self) -> Iterator[tuple[int, int, float, int]]:
+        """(state, word, weight, next state) of every arc that is there."""
+        b = self.block
+        for w, x in enumerate(self.arc_word.tolist()):
+            yield 0, w, x, int(self.after_word[w])
+        for p in np.flatnonzero(self.arc_pair > -np.inf).tolist():
+            yield int(self.of_word[b.pair_h[p]]), int(b.pair_w[p]), float(self.arc_pair[p]), int(self.after_pair[p])
+        for t in np.flatnonzero(self.arc_triple > -np.inf).tolist():
+            yield int(self.of_pair[b.triple_state[t]]), int(b.triple_w[t]), float(self.arc_triple[t]), int(self.after_pair[b.triple_pair[t]])
 
     def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """(root weight, weight taken) of every token, in order."""
+        """(root weight, weight of the arcs taken) of every token, in order.
+
+        A state depends on the last two words alone, so the states in which all
+        tokens of the block are read are known at once, and every round follows
+        one arc of each token that has not yet been read.
+        """
         b = self.block
-        root = self.root[b.token]
-        seen = self.total[b.history]  # of the state that each token leaves; 0: it is the root itself
-        arc = b.pair_count[b.pair]
-        taken = np.where(seen > 0, root + self.fail, root)
-        hit = np.flatnonzero((arc > 0) & (seen > 0))
-        taken[hit] = np.log10(self.weight * arc[hit] / seen[hit] + (1 - self.weight) * 10.0 ** root[hit])
+        state = np.empty(len(b.token), np.int64)
+        state[1:] = self.after_pair[b.pair[:-1]]
+        state[b.first] = self.of_word[b.start] if b.total[b.start] else 0
+        root = self.arc_word[b.token]
+        triple = np.full(len(b.token), -np.inf)
+        triple[b.place] = self.arc_triple[b.triple]
+        taken, left = np.zeros(len(b.token)), np.arange(len(b.token))
+        words = len(b.words)
+        while len(left):
+            s = state[left]
+            arc = np.where(s > words, triple[left], np.where(s > 0, self.arc_pair[b.pair[left]], root[left]))
+            there = arc > -np.inf
+            taken[left[there]] += arc[there]
+            left = left[~there]
+            taken[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
         return root, taken
 
 
+def among(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges of 64-bit numbers each key lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float = WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``."""
     total = C.text_bytes(df, text)[1]
     owners = C.pieces(2 * total, BUCKET_BYTES)
-    blocks = C.staged(C.pack_documents(df, key, text, BLOCK_BYTES, 5), "none")
+    src = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"))
+
+    def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seq, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def flush():
+            nonlocal seq
+            row = {"block": seq} | tokenised(keys, texts)
+            seq += 1
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())]))
+
+        for b in batches:
+            for i in range(0, len(b), 256):
+                for k, x in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).cast(pa.binary()).to_pylist()):
+                    keys.append(k), texts.append(x)
+                    size += len(x)
+                    if size >= BLOCK_BYTES:
+                        yield flush()
+                        keys, texts, size = [], [], 0
+        if keys:
+            yield flush()
 
-    def owner_of(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+    blocks = C.staged(src.mapInArrow(tokenise, "block long, docs binary, words binary, tokens binary"), "none")
 
     def rows_of(rows: list[tuple]) -> list[pa.Array]:
         kinds = (pa.int64(), pa.int64(), pa.binary())
@@ -147,9 +263,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
 
     def ask_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = Block([payload.as_py()])
-                rows = [(o, block, C.to_blob(k=b.words[i:j], c=slim(b.times[i:j]))) for o, i, j in cuts(owner_of(b.words))]
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = C.from_blob(blob.as_py())
+                words, times = C.np_col(t, "w"), C.np_col(t, "c")
+                rows = [(o, block, C.to_blob(k=words[i:j], c=times[i:j])) for o, i, j in cuts(among(words, owners))]
                 yield pa.RecordBatch.from_arrays(rows_of(rows), ["owner", "block", "blob"])
 
     def count_words(table: pa.Table) -> pa.Table:
@@ -172,22 +289,30 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
         stats[:, 0] = total[real].sum(), (total[real] > 0).sum()
         return pa.table({"block": table.column("block"), "kind": pa.array(np.zeros(len(parts), np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary()), "n": stats[0], "v": stats[1]})
 
-    def known(b: Block, right: pa.Table) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-        """Totals of the block's words, whose pairs are made ready, and the answers about pairs."""
-        kind, part, answer = (right.column(c).to_pylist() for c in ("kind", "part", "answer"))
-        words = [C.from_blob(a) for _, k, a in sorted((p, k, a) for k, p, a in zip(kind, part, answer) if k == 0)]
-        total = np.concatenate([C.np_col(t, "c") for t in words]).astype(np.int64)
-        number = np.concatenate([C.np_col(t, "i") for t in words]).astype(np.uint64)
-        if len(total) != len(b.words):
-            raise ValueError("answers do not fit their block")
-        b.pairs(number, np.concatenate([C.np_col(t, "s") for t in words]).astype(bool), owners)
-        return total, sorted((p, a) for k, p, a in zip(kind, part, answer) if k == 1)
+    def opened(left: pa.Table, right: pa.Table) -> Block:
+        """The block with all that the answers so far tell."""
+        b = Block(*(left.column(c)[0].as_py() for c in ("docs", "words", "tokens")))
+        answers: tuple[list, list, list] = ([], [], [])
+        for kind, part, answer in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "answer"))):
+            answers[kind].append((part, answer))
+        words, pairs, triples = ([C.from_blob(a) for _, a in sorted(own)] for own in answers)
+        joined = lambda own, c, kind: np.concatenate([np.zeros(0, kind), *(C.np_col(t, c) for t in own)]).astype(kind)
+        b.learn_words(joined(words, "c", np.int64), joined(words, "i", np.uint64), joined(words, "s", bool))
+        b.asked = b.asked_pairs(owners)
+        if stage(right) > 0:
+            b.learn_pairs(joined(pairs, "c", np.int64), joined(pairs, "s", bool))
+        if stage(right) > 1:
+            b.learn_triples(joined(triples, "c", np.int64))
+        return b
+
+    def stage(right: pa.Table) -> int:
+        """How many rounds of questions have been answered after the words' one; each round's rows say so."""
+        return right.column("round")[0].as_py()
 
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left.column("payload").to_pylist())
-        known(b, right)
-        block, c = left.column("block")[0].as_py(), b.pair_count[b.asked]
-        rows = [(o, block, C.to_blob(3, h=slim(np.diff(b.hn[i:j], prepend=np.uint64(0))), w=slim(b.wn[i:j]), c=slim(c[i:j]))) for o, i, j in cuts(b.owner)]
+        b = opened(left, right)
+        (owner, hn, wn), c, block = b.asked, b.pair_total[b.pair_asked], left.column("block")[0].as_py()
+        rows = [(o, block, C.to_blob(3, h=slim(np.diff(hn[i:j], prepend=np.uint64(0))), w=slim(wn[i:j]), c=slim(c[i:j]))) for o, i, j in cuts(owner)]
         return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
 
     def count_pairs(table: pa.Table) -> pa.Table:
@@ -200,39 +325,51 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
             size.append(t.num_rows)
         n, inverse = numbered_pairs(np.concatenate(heads), np.concatenate(words))
         total = np.bincount(inverse, weights=np.concatenate(times), minlength=n).astype(np.int64)[inverse]
+        shared = (np.bincount(inverse, minlength=n) > 1).astype(np.uint8)[inverse]
         ends = np.cumsum(size)
-        answers = [C.to_blob(3, c=slim(total[e - n : e])) for e, n in zip(ends, size)]
+        answers = [C.to_blob(3, c=slim(total[e - n : e]), s=shared[e - n : e]) for e, n in zip(ends, size)]
         return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(size), np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary())})
 
-    words = C.staged(blocks.mapInArrow(ask_words, "owner long, block long, blob binary").groupBy("owner").applyInArrow(count_words, "block long, kind int, part long, answer binary, n long, v long"), "none")
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = opened(left, right)
+        k, c, block = b.triple_key, b.triple_total[b.triple_asked], left.column("block")[0].as_py()
+        rows = [(o, block, C.to_blob(1, k=np.diff(k[i:j], prepend=np.uint64(0)), c=slim(c[i:j]))) for o, i, j in cuts(among(k, owners))]
+        return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
+
+    def count_triples(table: pa.Table) -> pa.Table:
+        parts = [C.from_blob(x) for x in table.column("blob").to_pylist()]
+        u, inverse = np.unique(np.concatenate([np.cumsum(C.np_col(p, "k"), dtype=np.uint64) for p in parts]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([C.np_col(p, "c") for p in parts]), minlength=len(u)).astype(np.int64)[inverse]
+        ends = np.cumsum([p.num_rows for p in parts])
+        answers = [C.to_blob(3, c=slim(total[e - p.num_rows : e])) for e, p in zip(ends, parts)]
+        return pa.table({"block": table.column("block"), "kind": pa.array(np.full(len(parts), 2, np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary())})
+
+    words = C.staged(blocks.select("block", "words").mapInArrow(ask_words, "owner long, block long, blob binary").groupBy("owner").applyInArrow(count_words, "block long, kind int, part long, answer binary, n long, v long"), "none")
     stats = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_train, distinct = int(stats.n), int(stats.v)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left.column("payload").to_pylist())
-        total, answers = known(b, right)
-        found = [C.np_col(C.from_blob(a), "c") for _, a in answers]
-        if sum(map(len, found)) != len(b.asked):
-            raise ValueError("answers do not fit their block")
-        if found:
-            b.pair_count[b.asked] = np.concatenate(found)
-        root, taken = Automaton(b, total, n_train, distinct, weight).traverse()
+        b = opened(left, right)
+        root, taken = Automaton(b, n_train, distinct, weight).traverse()
         add = lambda x: np.add.reduceat(x, b.first)
         return pa.table(
             {
                 "doc_id": pa.array(b.keys, pa.int64()),
                 "held_out": b.held,
                 "n_tokens": b.n,
-                "n_known": add((total[b.token] > 0).astype(np.int64)),
+                "n_known": add((b.total[b.token] > 0).astype(np.int64)),
                 "train_tokens": np.full(len(b.n), n_train, np.int64),
                 "base_score": add(root),
                 "score": add(taken),
             }
         )
 
+    answer, ask = "block long, kind int, part long, answer binary", "owner long, block long, blob binary"
     back = words.drop("n", "v")
-    texts = blocks.repartition("block")  # one exchange for both uses
-    pairs = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(ask_pairs, "owner long, block long, blob binary")
-    counted = pairs.groupBy("owner").applyInArrow(count_pairs, "block long, kind int, part long, answer binary")
+    texts = blocks.repartition("block").groupBy("block")  # one exchange for all uses
+    told = lambda answers, n: answers.withColumn("round", F.lit(n)).groupBy("block")
+    pairs = texts.cogroup(told(back, 0)).applyInArrow(ask_pairs, ask).groupBy("owner").applyInArrow(count_pairs, answer)
+    known = back.unionByName(pairs)
+    triples = texts.cogroup(told(known, 1)).applyInArrow(ask_triples, ask).groupBy("owner").applyInArrow(count_triples, answer)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(back.unionByName(counted).groupBy("block")).applyInArrow(finish, out)
+    return texts.cogroup(told(known.unionByName(triples), 2)).applyInArrow(finish, out)

@@ -476,32 +476,92 @@ def test_multikey_quicksort():
 # ---------------------------------------------------------------- op10
 
 
-def test_lm(docs, rows, empty):
+@pytest.mark.parametrize("block_bytes", [8 << 20, 3000])
+def test_lm(docs, rows, empty, monkeypatch, block_bytes):
+    """Scores against a plain recursion over counts, in one block and in many."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block_bytes)
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     texts = [(i, (x or "").encode().lower().split() + [None]) for i, x, _, _ in rows]
-    one, two, of = Counter(), Counter(), Counter()
+    one, two, three, of = Counter(), Counter(), Counter(), Counter()
     for i, w in texts:
         if not held(i):
             one.update(w)
-            two.update(zip(["^"] + w[:-1], w))
             of.update(["^"] + w[:-1])
-    n, v = sum(one.values()), len(one)
+            two.update(zip(["^"] + w[:-1], w))
+            three.update(zip(["^"] + w[:-2], w[:-1], w[1:]))
+    n, v, q = sum(one.values()), len(one), lm.WEIGHT
     p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda h, w: q * two[h, w] / of[h] + (1 - q) * p(w) if two[h, w] else (1 - q) * p(w) if of[h] else p(w)
+    p3 = lambda g, h, w: (q * three[g, h, w] / two[g, h] + (1 - q) * p2(h, w)) if two[g, h] >= lm.LEAST_STATE else p2(h, w)
     want = []
     for i, w in texts:
-        full = sum(math.log10(lm.WEIGHT * two[h, x] / of[h] + (1 - lm.WEIGHT) * p(x) if of[h] else p(x)) for h, x in zip(["^"] + w[:-1], w))
+        full = math.log10(p2("^", w[0])) + sum(math.log10(p3(g, h, x)) for g, h, x in zip(["^"] + w[:-2], w[:-1], w[1:]))
         want.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), full))
+    assert sum(c >= lm.LEAST_STATE for c in two.values()) > 100
     got = [tuple(r) for r in lm.score(docs).collect()]
+    assert len(got) == len(want)
     for a, b in zip(sorted(got, key=repr), sorted(want, key=repr)):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * abs(b[5]) and abs(a[6] - b[6]) < 1e-6 * abs(b[6])
-    assert len(got) == len(want) and lm.score(empty).count() == 0
+    assert lm.score(empty).count() == 0
     only = lm.score(docs.where("doc_id = 2").limit(1)).first()
     assert only.train_tokens == only.n_tokens
 
 
-def test_model_sums_to_one():
-    """The weights of the arcs that leave a state, with its failure arc, are a distribution."""
-    one, two, h = {"a": 3, "b": 1}, {"a": 2}, 2
-    p = {w: (one.get(w, 0) + 0.1) / (4 + 0.1 * 3) for w in ("a", "b", "unknown")}
-    total = sum(lm.WEIGHT * two.get(w, 0) / h + (1 - lm.WEIGHT) * p[w] for w in p)
-    assert abs(total - 1) < 1e-12
+def _automaton(texts):
+    """The automaton of one block that holds all there is."""
+    t = lm.tokenised(list(range(1, len(texts) + 1)), texts)
+    b = lm.Block(t["docs"], t["words"], t["tokens"])
+    b.learn_words(b.times, np.arange(len(b.words), dtype=np.uint64), np.zeros(len(b.words), bool))
+    b.asked_pairs(1)
+    b.learn_pairs(np.zeros(0, np.int64), np.zeros(0, bool))
+    b.learn_triples(np.zeros(0, np.int64))
+    real = np.arange(len(b.words)) != b.start
+    return b, lm.Automaton(b, int(b.times[real].sum()), int((b.times[real] > 0).sum()), lm.WEIGHT)
+
+
+def test_arcs_of_each_state_sum_to_one():
+    """Of every state built: its arcs, and what its failure arc leaves to the words it has none for."""
+    rng = np.random.default_rng(3)
+    b, a = _automaton([" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30), p=np.arange(8, 0, -1) / 36)).encode() for _ in range(200)])
+    arcs = defaultdict(dict)
+    for s, w, x, _ in a.arcs():
+        assert w not in arcs[s]
+        arcs[s][w] = 10**x
+    n, v = int(b.times.sum() - b.times[b.start]), int((b.times > 0).sum() - 1)
+    unknown = lm.ADD / (n + lm.ADD * (v + 1))
+    vocabulary = [w for w in range(len(b.words)) if w != b.start and b.times[w] > 0]
+
+    def read(s, w):
+        return arcs[s][w] if w in arcs[s] else 10 ** a.fail_weight[s] * read(a.fail[s], w) if s else unknown
+
+    assert sum(s > len(b.words) for s in arcs) > 20
+    for s in arcs:
+        assert abs(sum(read(s, w) for w in vocabulary) + read(s, -1) - 1) < 1e-9
+
+
+def test_traversal_walks_the_states():
+    """The scores of a walk that carries one state from arc to arc."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghijkl"), rng.integers(0, 40))).encode() for _ in range(120)]
+    b, a = _automaton(texts)
+    arcs = {(s, w): (x, to) for s, w, x, to in a.arcs()}
+    _, taken = a.traverse()
+    failed = 0
+    for f, n in zip(b.first.tolist(), b.n.tolist()):
+        state = int(a.of_word[b.start]) if b.total[b.start] else 0
+        for i in range(f, f + n):
+            got = 0.0
+            while (state, int(b.token[i])) not in arcs:
+                got += a.fail_weight[state]
+                state = int(a.fail[state])
+                failed += 1
+            x, state = arcs[state, int(b.token[i])]
+            assert abs(got + x - taken[i]) < 1e-12
+    assert failed > 50
+
+
+def test_numbers_beyond_32_bits_are_told_apart():
+    h = np.array([5, 5, 1 << 33, 5], np.uint64)
+    w = np.array([7, 7, 7, (1 << 32) + 7], np.uint64)
+    n, place = lm.numbered_pairs(h, w)
+    assert n == 3 and place[0] == place[1] and len(set(place.tolist())) == 3
