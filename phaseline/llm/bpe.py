@@ -11,8 +11,10 @@ Decoding joins ids with the table of token bytes.  That table is broadcast: it
 has one row an id of the vocabulary, whatever the corpus.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; a
-null id is kept and null; repeated rows stay repeated; other columns are
-ignored whatever their names; an empty table gives an empty result.
+null id is kept and null; a very long text is a block of its own, cut at no place;
+of two equally ranked pairs the first is merged first; repeated rows stay
+repeated; other columns are ignored whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

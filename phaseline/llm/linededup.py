@@ -12,7 +12,9 @@ Only built-in DataFrame functions are used.
 
 Defined cases: a line is compared without blanks at its ends, and a blank line
 is never counted or dropped; a null text stays null and counts as a page
-without lines; a null host is a host; repeated rows are pages of their own; an
+without lines; a null host is a host; a very long text is split whole; a line just
+at the share stays; repeated rows are pages of their own; other columns are kept
+by ``drop_boilerplate``, whatever their names, and ignored by ``clean_pages``; an
 empty table gives an empty result.
 """
 

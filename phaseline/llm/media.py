@@ -12,8 +12,9 @@ Every row is computed by itself, frames in slices, so a row's values depend on
 its bytes only and long rows need memory for one slice of frames.
 
 Defined cases: a null or empty text is one unit of 64 zero bytes;
-null keys and repeated rows keep their rows; an empty table gives an empty
-result; other columns are ignored.
+a very long text is worked on in slices of frames; null keys and repeated rows
+keep their rows, and equal texts get equal values; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ Targets: weights share the total; no target exceeds ``cap`` times its source's
 size, and what is above is shared out again by weight until none is.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null
-source is a source; rows of one key and size are alike, and a budget that ends
-among them cuts one of them; an empty table gives an empty result.
+source is a source; a very long text is one row like others; rows of one key and
+size are alike, and a budget that ends among them cuts one of them; other columns
+are ignored by ``mixture`` and kept, whatever their names, by ``apply_mixture``;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,9 +12,12 @@ and token counts, the bits, and the bit offset of every 128th token.  A block
 needs no other block, and each checkpoint starts a lane of its own, so a block
 is decoded in 128 steps over all lanes at once.
 
-Defined cases: a null or empty text has only the end id; null keys sort first;
-rows of one key sort by text; an empty table gives two empty tables; other
-columns are ignored.
+Strings of added tokens in a text are read as the library reads them by default.
+
+Defined cases: a null or empty text has only the end id; a very long text is a
+block of its own; null keys sort first; rows of one key sort by text; ids of equal
+counts get codes in order of id; an empty table gives two empty tables; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

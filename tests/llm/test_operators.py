@@ -332,7 +332,7 @@ def test_mixing(docs, rows, empty):
         if not over:
             break
         full |= over
-    named = mixing.mix(docs.select("doc_id", "source", mixing.word_count(docs.text).alias("w")).localCheckpoint(), "source", "w", "doc_id").collect()
+    named = mixing.mix(docs.select("doc_id", "source", mixing.word_count(docs.text).alias("w")), "source", "w", "doc_id").collect()
     got = mixing.mixture(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((i is None, i or 0, len(words(x))) for i, x, _, _ in rows)
     assert all(0 <= r.taken <= 3 * r.size for r in got)
