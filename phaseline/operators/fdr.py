@@ -1,8 +1,9 @@
 """False-discovery-rate control (Benjamini-Hochberg) without a global sort in one task.
 
 Equal p values share their largest rank, so ranks are cumulative counts of
-distinct values.  Values are cut into ``SLICES`` ranges: sums over whole ranges
-form a small table, and windows only order the values inside a range.
+distinct values.  Values are cut into ranges, half of them equal in p and half
+equal in its logarithm, for small values pile up: sums over whole ranges form a
+small table, and windows only order the values inside a range.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+SLICES = 8192
 
 
 def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     """(by, p, _b, _rank, _n): every distinct p with its largest rank and the number of tests."""
     v = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
-    v = v.withColumn("_b", F.least(F.floor(F.col(p) * SLICES), F.lit(SLICES)))
+    half, low = SLICES // 2, 1 / 64  # below ``low`` by logarithm, down to the least positive number; 0 is a range of its own
+    by_log = F.greatest(F.lit(1), half + F.floor(F.log(F.col(p) / low) * (half / 750.0)))
+    by_p = half + F.floor((F.col(p) - low) * (half / (1 - low)))
+    v = v.withColumn("_b", F.when(F.col(p) <= 0, F.lit(0)).when(F.col(p) < low, by_log).otherwise(F.least(by_p, F.lit(SLICES))).cast("long"))
     sums = v.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most SLICES + 1 rows
     before = F.coalesce(F.sum("_s").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

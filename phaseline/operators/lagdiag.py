@@ -85,7 +85,8 @@ def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, least: int
     real = d.groupBy(*keys).agg(F.sum("_j").alias("real"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"))
     live = d.where("_x > 0 and _y > 0")
     kinds = live.select("_n", "_x", "_y").distinct().withColumn("_cdf", hypergeometric_cdf(F.col("_n"), F.col("_x"), F.col("_y")))
-    live = live.join(kinds, ["_n", "_x", "_y"]).withColumn("_lo", F.greatest(F.lit(0).cast("long"), F.col("_x") + F.col("_y") - F.col("_n")))
+    live = live.join(kinds, ["_n", "_x", "_y"]).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_ym")  # few rows, many draws
+    live = live.withColumn("_lo", F.greatest(F.lit(0).cast("long"), F.col("_x") + F.col("_y") - F.col("_n")))
 
     def drawn(strata: DataFrame, first: int, last: int) -> DataFrame:
         """(keys, iter, stat) of the groups of draws from ``first`` up to ``last``."""

@@ -104,7 +104,11 @@ def bootstrap_contrasts(blocks: DataFrame, keys: list[str], repetitions: int, se
     own = [*keys, "phase"]
     # a phase's blocks, a row a month, as one array; a repetition adds up what it draws from it
     b = blocks.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("ym", *"abcd"))).alias("_b")).where(F.size("_b") >= least)
-    b = b.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    # the arrays are few and small but the draws many: shares of the repetitions are dealt out, not coalesced
+    shares = min(repetitions, 20)
+    b = b.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own, "_c")
+    b = b.withColumn("rep", F.explode(F.sequence(F.col("_c"), F.lit(repetitions - 1), F.lit(shares)))).drop("_c")
     n = F.size("_b")
     pick = lambda i: F.get(F.col("_b"), draws.integer(n, seed, *(F.col(k) for k in own), F.col("rep"), i).cast("int"))
     zero = F.struct(*(F.lit(0).cast("long").alias(x) for x in "abcd"))

@@ -125,17 +125,27 @@ def interpolated(df: DataFrame, ts: str, value: str, hours: int, cell: str = "ce
 
 
 def box_smoothed(df: DataFrame, value: str, size: int, edge: str = "nearest", row: str = "i", column: str = "j") -> DataFrame:
-    """Moving average over size x size neighbours of a full grid; ``edge`` nearest or constant (NULL)."""
+    """Moving average over size x size neighbours of a full grid; ``edge`` nearest or constant (NULL).
+
+    Two passes of sums, along columns and along rows, make 2 x size copies and
+    not size x size; windows would hold a whole line of the grid in order.
+    """
     h = size // 2
-    ends = df.agg(F.max(row).alias("_mi"), F.max(column).alias("_mj"))
-    offsets = F.array(*(F.struct(F.lit(x).alias("di"), F.lit(y).alias("dj")) for x in range(-h, h + 1) for y in range(-h, h + 1)))
-    d = df.join(F.broadcast(ends)).withColumn("_o", F.explode(offsets))  # one row
-    ni, nj = F.col(row) + F.col("_o.di"), F.col(column) + F.col("_o.dj")
-    if edge == "nearest":
-        ni, nj = F.least(F.greatest(ni, F.lit(0)), F.col("_mi")), F.least(F.greatest(nj, F.lit(0)), F.col("_mj"))
-    d = d.select(row, column, ni.alias("_ni"), nj.alias("_nj"))
-    near = df.select(F.col(row).alias("_ni"), F.col(column).alias("_nj"), F.col(value).alias("_v"))
-    mean = F.avg("_v")
-    if edge != "nearest":
-        mean = F.when(F.count("_v") == size * size, mean)
-    return d.join(near, ["_ni", "_nj"], "left").groupBy(row, column).agg(mean.alias(value))
+
+    def summed(d: DataFrame, axis: str, other: str, ends: DataFrame) -> DataFrame:
+        """(axis, other, _s, _n): sums and counts over ``size`` neighbours along ``axis``."""
+        d = d.withColumn("_o", F.explode(F.sequence(F.lit(-h), F.lit(h)))).withColumn("_at", F.col(axis) + F.col("_o"))
+        if edge == "nearest":  # the cells at an end stand in for those beyond it, so each of them counts once more for every target there
+            last = F.col("_m")
+            d = d.join(F.broadcast(ends.select(F.max(axis).alias("_m"))))  # one row
+            copies = lambda at_end, gap: F.when(at_end, F.greatest(F.lit(0), gap)).otherwise(0)
+            more = copies(F.col(axis) == 0, h - F.col("_at")) + copies(F.col(axis) == last, h - (last - F.col("_at")))
+            inside = d.where((F.col("_at") >= 0) & (F.col("_at") <= last)).withColumn("_w", 1 + more)
+        else:
+            inside = d.withColumn("_w", F.lit(1))
+        return inside.groupBy(F.col("_at").alias(axis), other).agg(F.sum(F.col("_s") * F.col("_w")).alias("_s"), F.sum(F.col("_n") * F.col("_w")).alias("_n"))
+
+    start = df.select(row, column, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_s"), F.col(value).isNotNull().cast("long").alias("_n"))
+    both = summed(summed(start, row, column, df), column, row, df)
+    enough = F.col("_n") == size * size if edge != "nearest" else F.col("_n") > 0
+    return df.select(row, column).join(both, [row, column], "left").select(row, column, F.when(enough, F.col("_s") / F.col("_n")).alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,8 @@ def doy_thresholds(df: DataFrame, value: str, q: float, half: int, ring: int = 3
     goes to its 2 half + 1 windows and is then grouped by equality.
     """
     d = df.select(*keys, F.col(value).alias("_v"), F.explode(window_days(F.dayofyear("d"), half, ring)).alias("doy"))
+    if not keys and not wet:  # pooled over all cells: a group a day of the year, each of any size
+        return exact_quantile(d, "_v", q, ["doy"], places)
     x = F.when(F.col("_v") > 0, F.col("_v")) if wet else F.col("_v")
     thr = F.round(F.percentile(x, F.lit(q)), places)
     return d.groupBy(*keys, "doy").agg((F.coalesce(thr, F.lit(0.0)) if wet else thr).alias("thr"))
@@ -31,6 +33,45 @@ def flagged(df: DataFrame, thresholds: DataFrame, value: str, strict: bool = Tru
     return d.withColumn("ep", hit.cast("int")).withColumn("amount", F.when(hit, v))
 
 
-def global_threshold(value: str, q: float, places: int = 6) -> Column:
-    """Aggregate: the q-quantile of positive values."""
-    return F.round(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(q)), places)
+#: Equal parts of a range of values that one pass counts.
+_PARTS = 4096
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] = [], places: int | None = None, name: str = "thr") -> DataFrame:  # noqa: B006
+    """(by, name): the exact q-quantile of all values of a group, between its two neighbours by linear interpolation.
+
+    For a few groups of any size: two passes count values in equal parts of the
+    range, each time the part that holds the rank, and a third ranks the distinct
+    values of what is left.  So no task holds a group's values, as an exact
+    percentile's buffer would.  ``by`` has few values (none, or the days of a year),
+    so the ranges are broadcast.
+    """
+    d = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    at = F.lit(float(q)) * (F.col("_n") - 1)
+    b = d.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    b = b.select(*by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), at.alias("_at"), F.floor(at).alias("_k0"), F.ceil(at).alias("_k1"))
+    fixed = ["_at", "_k0", "_k1"]
+
+    def left(bounds: DataFrame) -> DataFrame:
+        rows = d.join(F.broadcast(bounds), by) if by else d.join(F.broadcast(bounds))  # a row a group
+        return rows.where("_v >= _lo and _v <= _hi")
+
+    for _ in range(2):
+        part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS), F.lit(_PARTS - 1))).otherwise(0)
+        c = left(b).groupBy(*by, "_below", *fixed, part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p")  # at most _PARTS rows a group
+        c = c.withColumn("_upto", F.col("_below") + F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
+        c = c.where("(_from <= _k0 and _k0 < _upto) or (_from <= _k1 and _k1 < _upto)")
+        b = c.groupBy(*by, *fixed).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_from").alias("_below"))
+    v = left(b).groupBy(*by, "_below", *fixed, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    v = v.withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v")))
+    first = lambda k: F.min(F.when(F.col("_upto") > F.col(k), F.col("_v")))
+    r = v.groupBy(*by, *fixed).agg(first("_k0").alias("_a"), first("_k1").alias("_b"))
+    thr = F.col("_a") + (F.col("_at") - F.col("_k0")) * (F.col("_b") - F.col("_a"))
+    return r.select(*by, (thr if places is None else F.round(thr, places)).alias(name))
+
+
+def global_threshold(df: DataFrame, value: str, q: float, places: int = 6) -> DataFrame:
+    """(thr): the q-quantile of all positive values; NULL where there are none."""
+    one = exact_quantile(df.where(F.col(value) > 0), value, q, places=places)
+    return one.agg(F.max("thr").alias("thr"))

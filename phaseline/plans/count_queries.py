@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.exact import fisher
-from ..operators import counts, panel as P
+from ..operators import counts, panel as P, thresholds as T
 from . import standins as S
 from .registry import query
 
@@ -80,7 +80,7 @@ def outcome_exposed_share(spark, sf_dir):
 @query(f"WITH {S.CELLS}, m AS (SELECT cell_id, {S.LIFT} AS lift FROM cells) SELECT cell_id, round(least(lift, (SELECT quantile_cont(lift, 0.95) FROM m)), 6) AS lift FROM m")
 def lift_percentile_cap(spark, sf_dir):
     m = counts.contingency(S.panel(spark, sf_dir), ["cell_id"]).select("cell_id", M.lift().alias("lift"))
-    top = m.agg(F.percentile("lift", F.lit(0.95)).alias("top"))
+    top = T.exact_quantile(m, "lift", 0.95, name="top").agg(F.max("top").alias("top"))
     return m.join(F.broadcast(top)).select("cell_id", R(F.when(F.col("lift").isNotNull(), F.least("lift", "top"))).alias("lift"))  # one row
 
 

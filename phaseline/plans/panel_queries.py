@@ -163,7 +163,7 @@ def threshold_flags(spark, sf_dir):
 
 @query(f"WITH {S.DAILY}, {_WET} SELECT round(quantile_cont(v::DOUBLE, 0.95) FILTER (WHERE v > 0), 6) AS thr FROM wet")
 def global_p95_wet(spark, sf_dir):
-    return _wet(spark, sf_dir).agg(T.global_threshold("v", 0.95).alias("thr"))
+    return T.global_threshold(_wet(spark, sf_dir), "v", 0.95)
 
 
 @query(f"WITH {S.DAILY}, {_windows(15, 365)} SELECT doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS thr FROM w GROUP BY 1", ints=("doy",))
@@ -176,7 +176,7 @@ f AS (SELECT v > t1 AS x, v > t2 AS y FROM daily, g, m WHERE (dayofyear(daily.d)
 def flag_overlap(spark, sf_dir):
     d = S.daily(spark, sf_dir)
     m = T.doy_thresholds(d, "v", 0.95, 15, 365, keys=[]).withColumnRenamed("thr", "t2")
-    g = d.agg(F.round(F.percentile("v", F.lit(0.95)), 6).alias("t1"))
+    g = T.exact_quantile(d, "v", 0.95, places=6, name="t1")
     f = d.withColumn("doy", (F.dayofyear("d") - 1) % 365 + 1).join(m, "doy").join(F.broadcast(g))  # one row
     x, y = F.col("v") > F.col("t1"), F.col("v") > F.col("t2")
     return f.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_global"), F.count_if(y & ~x).alias("only_window"))

@@ -330,3 +330,44 @@ def test_keep_one_and_runs(spark):
     assert sorted(r.v for r in panel.keep_one(d, ["k"], ["o"], last=True).collect()) == ["y", "z"]
     r = spark.createDataFrame([(1, t) for t in (1, 2, 3, 7, 8)], "c int, t long")
     assert sorted((x.first, x.last, x.n) for x in panel.runs(r, "t", ["c"]).collect()) == [(1, 3, 3), (7, 8, 2)]
+
+
+def test_exact_quantiles(spark):
+    """Against sorted values: ties, one value, far outliers, groups, nulls, none at all."""
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=5001), 1: np.repeat([1.0, 2.0, 2.0, 7.0], 50), 2: np.array([3.5]), 3: np.concatenate([rng.random(3000) * 1e-9, [1e12, -1e12]]), 4: rng.integers(0, 5, 1000).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [(0, None), (5, None)], "k int, v double").repartition(5)
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.thr for r in thresholds.exact_quantile(df, "v", q, ["k"]).collect()}
+        assert got.keys() == groups.keys()
+        assert all(abs(got[k] - np.quantile(x, q)) <= 1e-12 * max(1, abs(got[k])) for k, x in groups.items())
+        one = thresholds.exact_quantile(df, "v", q).collect()
+        assert len(one) == 1 and abs(one[0].thr - np.quantile(np.concatenate(list(groups.values())), q)) <= 1e-12 * max(1, abs(one[0].thr))
+    assert thresholds.exact_quantile(df.where("k = 5"), "v", 0.5).count() == 0
+    assert thresholds.global_threshold(df.where("v < 0"), "v", 0.95).collect()[0].thr is None
+
+
+def test_false_discovery_of_tiny_values(spark):
+    """p values over three hundred orders of magnitude, ties, 0 and 1, against sorting."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([10.0 ** -rng.uniform(0, 300, 400), np.repeat(0.03, 20), rng.random(300), [0.0, 0.0, 1.0, 1.0, 5e-324]])
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    want = np.empty(len(p))
+    want[order] = np.minimum(1, q)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(-1, None)], "i int, p double")
+    got = {r.i: r.q for r in fdr.q_values(df, "p").collect()}
+    assert got[-1] is None and all(abs(got[i] - w) <= 1e-12 * max(w, 1e-300) + 0 * w or abs(got[i] / w - 1) < 1e-9 for i, w in enumerate(want))
+    star = max((x for x, k in zip(p[order], range(1, len(p) + 1)) if x <= k / len(p) * 0.05), default=-1)
+    assert {r.i for r in fdr.significant(df, "p", 0.05).where("sig").collect()} == {i for i, x in enumerate(p) if x <= star}
+
+
+def test_smoothing_of_wide_boxes(spark):
+    """Boxes wider than the grid, and missing values."""
+    x = np.arange(20.0).reshape(4, 5)
+    d = spark.createDataFrame([(i, j, None if (i, j) == (1, 1) else float(x[i, j])) for i in range(4) for j in range(5)], "i int, j int, x double")
+    x[1, 1] = np.nan
+    for size in (3, 7):
+        got = {(r.i, r.j): r.x for r in panel.box_smoothed(d, "x", size).collect()}
+        grid = np.pad(x, size // 2, mode="edge")
+        assert all(abs(got[i, j] - np.nanmean(grid[i : i + size, j : j + size])) < 1e-12 for i in range(4) for j in range(5))
