@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
+
 
 def in_range(df: DataFrame, column: str, low, high) -> DataFrame:
     """Rows from low to high, both included; bounds take the column's type, so the filter reaches a Parquet scan."""
@@ -149,3 +151,37 @@ def box_smoothed(df: DataFrame, value: str, size: int, edge: str = "nearest", ro
     both = summed(summed(start, row, column, df), column, row, df)
     enough = F.col("_n") == size * size if edge != "nearest" else F.col("_n") > 0
     return df.select(row, column).join(both, [row, column], "left").select(row, column, F.when(enough, F.col("_s") / F.col("_n")).alias(value))
+
+
+def row_sample(df: DataFrame, key: str, per: int = 10, most: int = 5_000_000, seed: int = 42) -> DataFrame:
+    """One row in ``per`` and ``most`` at most, exactly so many, without replacement: the first in the order of an md5 of ``key``.
+
+    Counts by the md5's leading digits tell where the order is cut, so only rows
+    that agree in the first six digits with the cut are ordered in one task.
+    """
+    d = df.withColumn("_h", draws.key(seed, F.col(key)))
+    rest = min(d.count() // per, most)
+    taken, edge = [], ""
+    for at in (1, 4):
+        own = d.where(F.col("_h").startswith(edge)) if edge else d
+        sizes = sorted(tuple(r) for r in own.groupBy(F.substring("_h", at, 3).alias("b")).agg(F.count(F.lit(1))).collect())  # 4,096 at most
+        cut, before = None, 0
+        for b, n in sizes:
+            if before + n > rest:
+                cut = b
+                break
+            before += n
+        taken.append(own if cut is None else own.where(F.substring("_h", at, 3) < cut))
+        if cut is None:
+            return _together(taken).drop("_h")
+        rest, edge = rest - before, edge + cut
+    w = Window.partitionBy(F.substring("_h", 1, 6)).orderBy("_h", key)
+    last = d.where(F.col("_h").startswith(edge)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rest).drop("_n")
+    return _together([*taken, last]).drop("_h")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -247,9 +247,7 @@ def sort_by_time(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT % 10 = 0")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('|', '42', o_orderkey)), o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= least(n // 10, 5000000)")
 def row_sample_10pct(spark, sf_dir):
-    """A tenth of the rows, the same on any partitioning: the sampling operator."""
-    from ..functions import draws
-
-    return S.table(spark, sf_dir, "orders").select("o_orderkey").where(draws.integer(F.lit(10), 42, F.col("o_orderkey")) == 0)
+    """A tenth of the rows, and five million at most, without replacement: the sampling operator."""
+    return P.row_sample(S.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")

@@ -2,7 +2,8 @@
 
 ``spark.read.format("cube").option("path", ...).option("variables", "ar,ep")``
 reads NumPy archives (``.npz`` with ``time`` in epoch seconds, ``lat``, ``lon``
-and one ``[time, lat, lon]`` array a variable), or NetCDF files where the
+and one ``[time, lat, lon]`` array a variable; a partition reads its own times
+only), or NetCDF files where the
 netCDF4 codec is installed.  Rows are (ts, lat, lon, variables); NaN is NULL.
 """
 
@@ -16,13 +17,30 @@ class _Times(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+def _member(path: str, name: str, start: int, stop: int | None):
+    """Rows ``start`` to ``stop`` of one array of an archive; what lies before is skipped, never held."""
+    import zipfile
+
+    import numpy as np
+
+    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+        major, _ = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+        if fortran and len(shape) > 1:
+            raise ValueError(f"{name} of {path} must be in row order, times first")
+        stop = min(shape[0], shape[0] if stop is None else stop)
+        row = kind.itemsize * int(np.prod(shape[1:], dtype=np.int64))
+        f.seek(f.tell() + start * row)
+        return np.frombuffer(f.read((stop - start) * row), kind).reshape(stop - start, *shape[1:])
+
+
 def _open(path: str):
     """(times, lats, lons, variable getter) of a file."""
     import numpy as np
 
     if path.endswith(".npz"):
-        z = np.load(path)
-        return z["time"], z["lat"], z["lon"], lambda name, a, b: z[name][a:b]
+        time, lat, lon = (_member(path, x, 0, None) for x in ("time", "lat", "lon"))
+        return time, lat, lon, lambda name, a, b: _member(path, name, a, b)
     try:
         import netCDF4
     except ImportError as e:

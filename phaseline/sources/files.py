@@ -14,7 +14,11 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")  # one machine
     return f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 

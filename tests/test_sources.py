@@ -37,3 +37,42 @@ def test_report_and_cached_stage(spark, tmp_path):
     make = lambda: calls.append(1) or spark.range(4)
     assert files.cached_stage(spark, f"{tmp_path}/s", make).count() == 4 and files.cached_stage(spark, f"{tmp_path}/s", make).count() == 4
     assert len(calls) == 1
+
+
+def test_cube_reads_only_its_times(spark, tmp_path, monkeypatch):
+    """A chunk holds its own rows, of stored and of compressed archives."""
+    from phaseline.sources import cube
+
+    x = np.arange(5000 * 6, dtype=np.float32).reshape(5000, 2, 3)
+    for save in (np.savez, np.savez_compressed):
+        save(tmp_path / "c.npz", time=np.arange(5000.0), lat=np.arange(2.0), lon=np.arange(3.0), ar=x)
+        monkeypatch.setattr(np, "load", None)
+        time, _, _, get = cube._open(str(tmp_path / "c.npz"))
+        assert len(time) == 5000 and (get("ar", 4990, 5000) == x[4990:]).all() and (get("ar", 7, 9) == x[7:9]).all()
+        monkeypatch.undo()
+
+
+def test_rain_is_seasonal(spark):
+    from pyspark.sql import functions as F
+
+    from phaseline.sources import synthetic
+
+    r = synthetic.seasonal_rain(spark, 30, peaks=())
+    assert r.count() == 30 * 365 and sorted(r.collect()) == sorted(synthetic.seasonal_rain(spark, 30, peaks=()).repartition(3).collect())
+    by = {x.s: x for x in r.withColumn("s", (F.abs(F.col("day") - 200) < 30).cast("int")).groupBy("s").agg(F.avg((F.col("precip") > 0).cast("int")).alias("wet"), F.avg(F.when(F.col("precip") > 0, F.col("precip"))).alias("mean")).collect()}
+    assert 0.7 < by[1].wet < 0.85 and 0.4 < by[0].wet < 0.6 and 36 < by[1]["mean"] < 48 and by[0]["mean"] < 25
+    d = synthetic.exposure_design(spark, 20_000)
+    m = {x.r: x for x in d.withColumn("r", (F.col("month").between(6, 8) & (F.col("grid") > 7)).cast("int")).groupBy("r").agg(F.avg("ar").alias("ar"), F.avg("ep").alias("ep")).collect()}
+    assert abs(m[1].ar - 0.66) < 0.04 and m[0].ar < 0.3 and m[1].ep > 2 * m[0].ep
+
+
+def test_samples_have_their_size(spark):
+    import hashlib
+
+    from phaseline.operators import panel
+
+    d = spark.range(5003)
+    order = sorted(range(5003), key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k))
+    assert sorted(r.id for r in panel.row_sample(d, "id").collect()) == sorted(order[:500])
+    assert sorted(r.id for r in panel.row_sample(d, "id", most=37).collect()) == sorted(order[:37])
+    assert panel.row_sample(d, "id", per=1).count() == 5003 and panel.row_sample(d.limit(0), "id").count() == 0
