@@ -60,7 +60,7 @@ def decode_ids(ids: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
     return data[C.ragged(start[ids], n)], n
 
 
-def _by_owner(words: set[str], owners: int) -> dict[int, list[str]]:
+def _by_owner(words: Iterable[str], owners: int) -> dict[int, list[str]]:
     """The words of each owner, in order, so that both ends agree on it."""
     import xxhash
 
@@ -85,17 +85,20 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     blocks = C.pack_documents(df, key, text, BLOCK_BYTES, 5).repartition("block")
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
 
-    def split(payload: bytes):
+    def split(payload: bytes, seen: dict[str, int]) -> tuple[list, list[np.ndarray]]:
+        """Keys, and each text's pre-tokens as numbers by ``seen``, which learns new ones; no text's strings are kept."""
         import regex
 
         keys, texts = C.unpack(payload)
-        find = regex.compile(pattern).findall
-        return keys, [find(x.decode()) for x in texts]
+        find, number = regex.compile(pattern).findall, seen.setdefault
+        return keys, [np.array([number(w, len(seen)) for w in find(x.decode())], np.int32) for x in texts]
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                groups = _by_owner({w for tokens in split(payload.as_py())[1] for w in tokens}, owners)
+                seen: dict[str, int] = {}
+                split(payload.as_py(), seen)
+                groups = _by_owner(seen, owners)
                 blobs = [C.to_blob(3, w=pa.array(g, pa.string())) for g in groups.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array([block] * len(groups), pa.int64()), pa.array(list(map(check, groups.values())), pa.int64()), pa.array(blobs, pa.binary())], ["owner", "block", "words_hash", "words"])
 
@@ -138,10 +141,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
         return size, np.frombuffer(blob, f"<u{kinds[1]}", -1, 6 + n * int(kinds[0])).astype(np.uint32)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        split_docs = [split(p) for p in left.column("payload").to_pylist()]
-        groups = _by_owner({w for _, docs in split_docs for tokens in docs for w in tokens}, owners)
+        seen: dict[str, int] = {}
+        split_docs = [split(p, seen) for p in left.column("payload").to_pylist()]
+        groups = _by_owner(seen, owners)
         answers = {(o, h): unpack_ids(a) for o, h, a in zip(*(right.column(c).to_pylist() for c in ("owner", "words_hash", "answer")))}
-        number: dict[str, int] = {}
+        place, known = np.empty(len(seen), np.int64), 0  # of each number in the order of the answers
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for owner, words in groups.items():
             size, ids = answers.get((owner, check(words)), (None, None))
@@ -149,14 +153,15 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
                 one = one_piece()
                 own = [one(w) for w in words]
                 size, ids = np.fromiter(map(len, own), np.int64, len(own)), np.array([i for x in own for i in x], np.uint32)
-            number.update(zip(words, range(len(number), len(number) + len(words))))
+            place[[seen[w] for w in words]] = np.arange(known, known + len(words))
+            known += len(words)
             flat.append(ids), sizes.append(size)
         flat, size = np.concatenate(flat), np.concatenate(sizes)
         start = np.cumsum(size) - size
         tables = []
         for keys, docs in split_docs:
             per = np.fromiter(map(len, docs), np.int64, len(docs))
-            at = np.fromiter((number[w] for tokens in docs for w in tokens), np.int64, int(per.sum()))
+            at = place[np.concatenate([np.zeros(0, np.int32), *docs])]
             ids = flat[C.ragged(start[at], size[at])]
             ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(per)])]
             tables.append((finish or as_lists)(keys, ids, np.diff(ends)))
