@@ -30,6 +30,7 @@ empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -43,7 +44,7 @@ from . import common as C
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 ADD, WEIGHT = 0.1, 0.3
 #: Occurrences in training from which a pair of words is a state.
-LEAST_STATE = 4
+LEAST_STATE = 8
 #: Fingerprints of the end of a text and of the start state.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
@@ -53,10 +54,31 @@ def held_out(key: int | None) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
 
 
-def slim(x: np.ndarray) -> np.ndarray:
-    """The same non-negative numbers in the narrowest type."""
-    most = int(x.max(initial=0))
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays of non-negative numbers, byte by byte of their places, which compresses small numbers well."""
+    out = []
+    for x in arrays:
+        x = np.ascontiguousarray(x).astype(np.uint64)
+        width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+        data = pa.Codec("zstd", level).compress(planes, asbytes=True) if planes else b""
+        out += [struct.pack("<QBQ", len(x), width, len(data)), data]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``, as unsigned 64-bit numbers."""
+    out, at = [], 0
+    while at < len(data):
+        n, width, size = struct.unpack_from("<QBQ", data, at)
+        at += 17
+        x = np.zeros((n, 8), np.uint8)
+        if n:
+            planes = pa.Codec("zstd").decompress(data[at : at + size], n * width, asbytes=True)
+            x[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+        out.append(x.reshape(-1).view(np.uint64))
+        at += size
+    return out
 
 
 def cuts(owner: np.ndarray) -> list[tuple[int, int, int]]:
@@ -91,29 +113,41 @@ def tokenised(keys: list, texts: list[bytes]) -> dict[str, bytes]:
     token = token[:-2]
     times = np.bincount(token[np.repeat(~held, n)], minlength=len(words))
     times[np.searchsorted(words, START)] = int((~held).sum())  # how often training texts start
-    return {"docs": C.to_blob(k=pa.array(keys, pa.int64()), n=np.array(n, np.int64)), "words": C.to_blob(w=words, c=slim(times)), "tokens": C.to_blob(3, t=slim(token))}
+    place = np.empty(len(words), np.int64)
+    place[by_count(times)] = np.arange(len(words))
+    token, ends = place[token], np.searchsorted(words, [START, END])
+    return {
+        "words": words.tobytes(),
+        "docs": C.to_blob(k=pa.array(keys, pa.int64()), n=np.array(n, np.int64)),
+        "times": pack(times, ends),
+        "tokens": pack(token, level=5),
+    }
+
+
+def by_count(times: np.ndarray) -> np.ndarray:
+    """A block's words by their counts; tokens are written as places in it, which are small numbers mostly."""
+    return np.argsort(-times, kind="stable")
 
 
 class Block:
     """A block's tokens, numbers into its sorted list of words, and its pairs and triples of them."""
 
-    def __init__(self, docs: bytes, words: bytes, tokens: bytes):
-        d, w = C.from_blob(docs), C.from_blob(words)
+    def __init__(self, docs: bytes, times: bytes, tokens: bytes):
+        d, (times, ends), (token,) = C.from_blob(docs), unpack(times), unpack(tokens)
         self.keys, self.n = d.column("k").to_pylist(), C.np_col(d, "n")
-        self.words, self.times = C.np_col(w, "w"), C.np_col(w, "c").astype(np.int64)
-        self.token = C.np_col(C.from_blob(tokens), "t").astype(np.int64)
+        self.times, self.width = times.astype(np.int64), len(times)
+        self.start, self.end = ends.tolist()
+        self.token = by_count(self.times)[token.astype(np.int64)]
         self.first = np.cumsum(self.n) - self.n
         self.held = np.array([held_out(k) for k in self.keys], bool)
         self.train = np.repeat(~self.held, self.n)
-        self.start, self.end = (int(np.searchsorted(self.words, x)) for x in (START, END))
         self.history = np.concatenate([[0], self.token[:-1]])[: len(self.token)]
         self.history[self.first] = self.start
 
     def learn_words(self, total: np.ndarray, number: np.ndarray, shared: np.ndarray) -> None:
-        if len(total) != len(self.words):
+        if len(total) != self.width:
             raise ValueError("answers do not fit their block")
-        self.total, self.number = total, number
-        width = len(self.words)
+        self.total, self.number, width = total, number, self.width
         u, self.pair = np.unique(self.history * width + self.token, return_inverse=True)
         self.pair_h, self.pair_w = u // width, u % width
         self.pair_total = np.bincount(self.pair[self.train], minlength=len(u))
@@ -141,7 +175,7 @@ class Block:
         before = self.pair[self.place - 1]
         self.place = self.place[self.is_state[before]]
         before = self.pair[self.place - 1]
-        width = len(self.words)
+        width = self.width
         u, self.triple = np.unique(before * width + self.token[self.place], return_inverse=True)
         self.triple_state, self.triple_w = u // width, u % width
         self.triple_pair = np.zeros(len(u), np.int64)  # its last two words
@@ -168,7 +202,7 @@ class Automaton:
     """
 
     def __init__(self, b: Block, n_train: int, distinct: int, weight: float):
-        self.block, width, pairs = b, len(b.words), len(b.pair_h)
+        self.block, width, pairs = b, b.width, len(b.pair_h)
         seen_word, seen_pair = b.total > 0, b.pair_total > 0
         self.of_word, self.of_pair = 1 + np.arange(width), 1 + width + np.arange(pairs)
         self.fail = np.concatenate([[0], np.zeros(width, np.int64), self.of_word[b.pair_w]])
@@ -210,7 +244,7 @@ class Automaton:
         triple = np.full(len(b.token), -np.inf)
         triple[b.place] = self.arc_triple[b.triple]
         taken, left = np.zeros(len(b.token)), np.arange(len(b.token))
-        words = len(b.words)
+        words = b.width
         while len(left):
             s = state[left]
             arc = np.where(s > words, triple[left], np.where(s > 0, self.arc_pair[b.pair[left]], root[left]))
@@ -228,7 +262,10 @@ def among(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float = WEIGHT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain) for every row of ``df``.
+
+    ``gain`` is how far the model's log10 probability of a token lies over the root's, on average over the text.
+    """
     total = C.text_bytes(df, text)[1]
     owners = C.pieces(2 * total, BUCKET_BYTES)
     src = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"))
@@ -242,7 +279,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
             nonlocal seq
             row = {"block": seq} | tokenised(keys, texts)
             seq += 1
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("words", "docs", "times", "tokens"))]))
 
         for b in batches:
             for i in range(0, len(b), 256):
@@ -255,7 +292,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
         if keys:
             yield flush()
 
-    blocks = C.staged(src.mapInArrow(tokenise, "block long, docs binary, words binary, tokens binary"), "none")
+    blocks = C.staged(src.mapInArrow(tokenise, "block long, words binary, docs binary, times binary, tokens binary"), "none")
 
     def rows_of(rows: list[tuple]) -> list[pa.Array]:
         kinds = (pa.int64(), pa.int64(), pa.binary())
@@ -263,16 +300,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
 
     def ask_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = C.from_blob(blob.as_py())
-                words, times = C.np_col(t, "w"), C.np_col(t, "c")
-                rows = [(o, block, C.to_blob(k=words[i:j], c=times[i:j])) for o, i, j in cuts(among(words, owners))]
+            for block, w, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                words, times = np.frombuffer(w.as_py(), np.uint64), unpack(c.as_py())[0]
+                rows = [(o, block, pack(np.diff(words[i:j], prepend=np.uint64(0)), times[i:j])) for o, i, j in cuts(among(words, owners))]
                 yield pa.RecordBatch.from_arrays(rows_of(rows), ["owner", "block", "blob"])
 
     def count_words(table: pa.Table) -> pa.Table:
-        parts = [C.from_blob(x) for x in table.column("blob").to_pylist()]
-        keys = np.concatenate([C.np_col(p, "k") for p in parts])
-        times = np.concatenate([C.np_col(p, "c") for p in parts]).astype(np.int64)
+        parts = [unpack(x) for x in table.column("blob").to_pylist()]
+        keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts])
+        times = np.concatenate([c for _, c in parts]).astype(np.int64)
         u, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=times, minlength=len(u)).astype(np.int64)  # exact below 2**53
         rank = np.empty(len(u), np.int64)
@@ -280,10 +316,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
         number = (rank * owners + table.column("owner")[0].as_py()).astype(np.uint64)
         shared = (np.bincount(inverse, minlength=len(u)) > 1).astype(np.uint8)  # an entry a block
         answers, at = [], 0
-        for p in parts:
-            own = inverse[at : at + p.num_rows]
-            at += p.num_rows
-            answers.append(C.to_blob(c=slim(total[own]), i=slim(number[own]), s=shared[own]))
+        for k, _ in parts:
+            own = inverse[at : at + len(k)]
+            at += len(k)
+            answers.append(pack(total[own], number[own], shared[own]))
         real = u != START
         stats = np.zeros((2, len(parts)), np.int64)
         stats[:, 0] = total[real].sum(), (total[real] > 0).sum()
@@ -291,18 +327,18 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
 
     def opened(left: pa.Table, right: pa.Table) -> Block:
         """The block with all that the answers so far tell."""
-        b = Block(*(left.column(c)[0].as_py() for c in ("docs", "words", "tokens")))
+        b = Block(*(left.column(c)[0].as_py() for c in ("docs", "times", "tokens")))
         answers: tuple[list, list, list] = ([], [], [])
         for kind, part, answer in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "answer"))):
             answers[kind].append((part, answer))
-        words, pairs, triples = ([C.from_blob(a) for _, a in sorted(own)] for own in answers)
-        joined = lambda own, c, kind: np.concatenate([np.zeros(0, kind), *(C.np_col(t, c) for t in own)]).astype(kind)
-        b.learn_words(joined(words, "c", np.int64), joined(words, "i", np.uint64), joined(words, "s", bool))
+        words, pairs, triples = ([unpack(a) for _, a in sorted(own)] for own in answers)
+        joined = lambda own, i, kind: np.concatenate([np.zeros(0, np.uint64), *(t[i] for t in own)]).astype(kind)
+        b.learn_words(joined(words, 0, np.int64), joined(words, 1, np.uint64), joined(words, 2, bool))
         b.asked = b.asked_pairs(owners)
         if stage(right) > 0:
-            b.learn_pairs(joined(pairs, "c", np.int64), joined(pairs, "s", bool))
+            b.learn_pairs(joined(pairs, 0, np.int64), joined(pairs, 1, bool))
         if stage(right) > 1:
-            b.learn_triples(joined(triples, "c", np.int64))
+            b.learn_triples(joined(triples, 0, np.int64))
         return b
 
     def stage(right: pa.Table) -> int:
@@ -312,39 +348,39 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         b = opened(left, right)
         (owner, hn, wn), c, block = b.asked, b.pair_total[b.pair_asked], left.column("block")[0].as_py()
-        rows = [(o, block, C.to_blob(3, h=slim(np.diff(hn[i:j], prepend=np.uint64(0))), w=slim(wn[i:j]), c=slim(c[i:j]))) for o, i, j in cuts(owner)]
+        rows = [(o, block, pack(np.diff(hn[i:j], prepend=np.uint64(0)), wn[i:j], c[i:j])) for o, i, j in cuts(owner)]
         return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
 
     def count_pairs(table: pa.Table) -> pa.Table:
         heads, words, times, size = [], [], [], []
         for x in table.column("blob").to_pylist():
-            t = C.from_blob(x)
-            heads.append(np.cumsum(C.np_col(t, "h"), dtype=np.uint64))
-            words.append(C.np_col(t, "w").astype(np.uint64))
-            times.append(C.np_col(t, "c").astype(np.int64))
-            size.append(t.num_rows)
+            h, w, c = unpack(x)
+            heads.append(np.cumsum(h, dtype=np.uint64))
+            words.append(w)
+            times.append(c.astype(np.int64))
+            size.append(len(c))
         n, inverse = numbered_pairs(np.concatenate(heads), np.concatenate(words))
         total = np.bincount(inverse, weights=np.concatenate(times), minlength=n).astype(np.int64)[inverse]
         shared = (np.bincount(inverse, minlength=n) > 1).astype(np.uint8)[inverse]
         ends = np.cumsum(size)
-        answers = [C.to_blob(3, c=slim(total[e - n : e]), s=shared[e - n : e]) for e, n in zip(ends, size)]
+        answers = [pack(total[e - n : e], shared[e - n : e]) for e, n in zip(ends, size)]
         return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(size), np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary())})
 
     def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
         b = opened(left, right)
         k, c, block = b.triple_key, b.triple_total[b.triple_asked], left.column("block")[0].as_py()
-        rows = [(o, block, C.to_blob(1, k=np.diff(k[i:j], prepend=np.uint64(0)), c=slim(c[i:j]))) for o, i, j in cuts(among(k, owners))]
+        rows = [(o, block, pack(np.diff(k[i:j], prepend=np.uint64(0)), c[i:j], level=1)) for o, i, j in cuts(among(k, owners))]
         return pa.table(dict(zip(("owner", "block", "blob"), rows_of(rows))))
 
     def count_triples(table: pa.Table) -> pa.Table:
-        parts = [C.from_blob(x) for x in table.column("blob").to_pylist()]
-        u, inverse = np.unique(np.concatenate([np.cumsum(C.np_col(p, "k"), dtype=np.uint64) for p in parts]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([C.np_col(p, "c") for p in parts]), minlength=len(u)).astype(np.int64)[inverse]
-        ends = np.cumsum([p.num_rows for p in parts])
-        answers = [C.to_blob(3, c=slim(total[e - p.num_rows : e])) for e, p in zip(ends, parts)]
+        parts = [unpack(x) for x in table.column("blob").to_pylist()]
+        u, inverse = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([c for _, c in parts]), minlength=len(u)).astype(np.int64)[inverse]
+        ends = np.cumsum([len(k) for k, _ in parts])
+        answers = [pack(total[e - len(k) : e]) for e, (k, _) in zip(ends, parts)]
         return pa.table({"block": table.column("block"), "kind": pa.array(np.full(len(parts), 2, np.int32)), "part": table.column("owner"), "answer": pa.array(answers, pa.binary())})
 
-    words = C.staged(blocks.select("block", "words").mapInArrow(ask_words, "owner long, block long, blob binary").groupBy("owner").applyInArrow(count_words, "block long, kind int, part long, answer binary, n long, v long"), "none")
+    words = C.staged(blocks.select("block", "words", "times").mapInArrow(ask_words, "owner long, block long, blob binary").groupBy("owner").applyInArrow(count_words, "block long, kind int, part long, answer binary, n long, v long"), "none")
     stats = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_train, distinct = int(stats.n), int(stats.v)
 
@@ -361,15 +397,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", weight: float
                 "train_tokens": np.full(len(b.n), n_train, np.int64),
                 "base_score": add(root),
                 "score": add(taken),
+                "gain": add(taken - root) / b.n,
             }
         )
 
     answer, ask = "block long, kind int, part long, answer binary", "owner long, block long, blob binary"
     back = words.drop("n", "v")
-    texts = blocks.repartition("block").groupBy("block")  # one exchange for all uses
+    texts = blocks.drop("words").repartition("block").groupBy("block")  # one exchange for all uses
     told = lambda answers, n: answers.withColumn("round", F.lit(n)).groupBy("block")
     pairs = texts.cogroup(told(back, 0)).applyInArrow(ask_pairs, ask).groupBy("owner").applyInArrow(count_pairs, answer)
     known = back.unionByName(pairs)
     triples = texts.cogroup(told(known, 1)).applyInArrow(ask_triples, ask).groupBy("owner").applyInArrow(count_triples, answer)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, gain double"
     return texts.cogroup(told(known.unionByName(triples), 2)).applyInArrow(finish, out)

@@ -510,12 +510,12 @@ def test_lm(docs, rows, empty, monkeypatch, block_bytes):
 def _automaton(texts):
     """The automaton of one block that holds all there is."""
     t = lm.tokenised(list(range(1, len(texts) + 1)), texts)
-    b = lm.Block(t["docs"], t["words"], t["tokens"])
-    b.learn_words(b.times, np.arange(len(b.words), dtype=np.uint64), np.zeros(len(b.words), bool))
+    b = lm.Block(t["docs"], t["times"], t["tokens"])
+    b.learn_words(b.times, np.arange(b.width, dtype=np.uint64), np.zeros(b.width, bool))
     b.asked_pairs(1)
     b.learn_pairs(np.zeros(0, np.int64), np.zeros(0, bool))
     b.learn_triples(np.zeros(0, np.int64))
-    real = np.arange(len(b.words)) != b.start
+    real = np.arange(b.width) != b.start
     return b, lm.Automaton(b, int(b.times[real].sum()), int((b.times[real] > 0).sum()), lm.WEIGHT)
 
 
@@ -529,12 +529,12 @@ def test_arcs_of_each_state_sum_to_one():
         arcs[s][w] = 10**x
     n, v = int(b.times.sum() - b.times[b.start]), int((b.times > 0).sum() - 1)
     unknown = lm.ADD / (n + lm.ADD * (v + 1))
-    vocabulary = [w for w in range(len(b.words)) if w != b.start and b.times[w] > 0]
+    vocabulary = [w for w in range(b.width) if w != b.start and b.times[w] > 0]
 
     def read(s, w):
         return arcs[s][w] if w in arcs[s] else 10 ** a.fail_weight[s] * read(a.fail[s], w) if s else unknown
 
-    assert sum(s > len(b.words) for s in arcs) > 20
+    assert sum(s > b.width for s in arcs) > 20
     for s in arcs:
         assert abs(sum(read(s, w) for w in vocabulary) + read(s, -1) - 1) < 1e-9
 
@@ -560,6 +560,12 @@ def test_traversal_walks_the_states():
     assert failed > 50
 
 
+def test_packed_numbers():
+    arrays = [np.array([], np.int64), np.array([0, 0, 5]), np.array([1 << 63, 3, 255, 256], np.uint64), np.arange(70_000)]
+    for got, want in zip(lm.unpack(lm.pack(*arrays)), arrays, strict=True):
+        assert got.dtype == np.uint64 and got.tolist() == want.tolist()
+
+
 def test_numbers_beyond_32_bits_are_told_apart():
     h = np.array([5, 5, 1 << 33, 5], np.uint64)
     w = np.array([7, 7, 7, (1 << 32) + 7], np.uint64)
