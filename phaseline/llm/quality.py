@@ -31,8 +31,8 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: (ratio, smallest margin outside the quartiles, whether low values are rejected too)
 RULES = (("word_length_100", 60, True), ("symbols_1000", 100, False), ("dup_lines_1000", 400, False))
-#: A mean over fewer words is noisier, so its fence widens as one over the root of the words.
-STEADY_WORDS = 50
+#: Quartiles come from texts of some hundred words; a mean over fewer words is noisier, so its fence widens as one over the root of the words.
+STEADY_WORDS = 200
 
 
 def measure(df: DataFrame, text: str, name: str) -> DataFrame:
