@@ -44,7 +44,7 @@ from . import common as C
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 ADD, WEIGHT = 0.1, 0.3
 #: Occurrences in training from which a pair of words is a state.
-LEAST_STATE = 8
+LEAST_STATE = 4
 #: Fingerprints of the end of a text and of the start state.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
