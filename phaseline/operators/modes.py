@@ -124,3 +124,26 @@ def bootstrap_contrasts(blocks: DataFrame, keys: list[str], repetitions: int, se
         F.avg(x).alias("mean"), F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(x <= 0), share(x >= 0))).alias("p")
     )
     return out.withColumn("sig", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+#: Fixed value: what a comparison without a bootstrap says.
+FEW_BLOCKS = "Not enough blocks or missing phase"
+
+
+def pair_rows(blocks: DataFrame, keys: list[str], repetitions: int, seed: int, metrics: list[str], least: int = 3) -> DataFrame:
+    """One row a comparison: its label, pooled differences, blocks and bootstrap side by side.
+
+    Where either phase has fewer than ``least`` blocks the bootstrap's columns are
+    NULL and ``note`` says so.
+    """
+    d = delta_intervals()
+    pooled = blocks.groupBy(*keys, "phase").agg(*(F.sum(x).alias(x) for x in "abcd"), F.count_distinct("ym").alias("blocks"))
+    diff = contrasts(pooled.select(*keys, "phase", *(d[m].alias(m) for m in metrics)), keys, metrics)
+    for i in "12":
+        diff = diff.join(pooled.select(*keys, F.col("phase").alias(f"phase{i}"), F.col("blocks").alias(f"blocks{i}")), [*keys, f"phase{i}"])
+    drawn = bootstrap_contrasts(blocks, keys, repetitions, seed, metrics, least)
+    at = [*keys, "phase1", "phase2"]
+    wide = drawn.groupBy(*at).agg(*(F.max(F.when(F.col("metric") == f"d_{m}", F.col(x))).alias(f"{m}_{x}") for m in metrics for x in ("mean", "low", "high", "p", "sig")))
+    out = diff.join(wide, at, "left")
+    label = F.concat(F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)), F.lit(": "), "phase1", F.lit(" - "), "phase2")
+    return out.withColumn("comparison", label).withColumn("note", F.when(F.least("blocks1", "blocks2") < least, FEW_BLOCKS))

@@ -182,6 +182,21 @@ def block_bootstrap_diff(spark, sf_dir):
     return t.select("mode", "phase1", "phase2", "metric", *(R(F.col(x)).alias(x) for x in ("mean", "low", "high", "p")))
 
 
+_SIDES = ", ".join(f"{s}.blocks AS blocks{i}" for s, i in (("x", 1), ("y", 2)))
+
+
+@query(f"""WITH {_BLOCKS}, {_boot_sql('bl', ['mode'], _DIFF)}, pb AS (SELECT mode, phase, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c, CAST(sum(d) AS BIGINT) AS d, count(*) AS blocks FROM bl GROUP BY 1, 2),
+pv AS (SELECT mode, phase, blocks, {', '.join(f'{_D[m]} AS {m}' for m in _DIFF)} FROM pb), pp AS ({_PAIR(_SIDES + ', ' + ', '.join(f'round(x.{m} - y.{m}, 6) AS d_{m}' for m in _DIFF), 'pv', 'mode')}),
+w AS (SELECT mode, phase1, phase2, {', '.join(f"round(max({x}) FILTER (WHERE metric = 'd_{m}'), 6) AS {m}_{x}" for m in _DIFF for x in ('mean', 'low', 'high', 'p'))} FROM bt GROUP BY 1, 2, 3)
+SELECT *, mode || ': ' || phase1 || ' - ' || phase2 AS comparison, CASE WHEN least(blocks1, blocks2) < 3 THEN '{modes.FEW_BLOCKS}' END AS note FROM pp LEFT JOIN w USING (mode, phase1, phase2)""")
+def phase_pair_rows(spark, sf_dir):
+    """The difference rows whole: pooled differences, blocks, bootstrap, and the note of those without one."""
+    b = counts.contingency(_phased(spark, sf_dir), ["mode", "phase", "ym"])
+    t = modes.pair_rows(b, ["mode"], _REPS, 42, _DIFF)
+    drawn = [f"{m}_{x}" for m in _DIFF for x in ("mean", "low", "high", "p")]
+    return t.select("mode", "phase1", "phase2", "comparison", "blocks1", "blocks2", "note", *(R(F.col(x)).alias(x) for x in [*(f"d_{m}" for m in _DIFF), *drawn]))
+
+
 _SCAN = f"{S.TIMES}, {S.LAGGED}, sc AS (SELECT mode, lag, phase, CAST(date_trunc('month', day) AS DATE) AS ym, a, b, c, d, day FROM times JOIN lagged ON (unit = 'month' AND key = CAST(date_trunc('month', day) AS DATE)) OR (unit = 'day' AND key = day))"
 _LSUM = "SELECT mode, lag, phase, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c, CAST(sum(d) AS BIGINT) AS d, count(*) AS n_time FROM sc GROUP BY 1, 2, 3"
 

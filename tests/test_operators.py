@@ -267,6 +267,18 @@ def test_dominant_mode_is_masked(spark):
     assert few.count() and not few.where("r is not null").count()
 
 
+def test_pair_rows_note_few_blocks(spark):
+    """A phase of two months is compared, has no bootstrap and says so."""
+    made = [("m", ph, f"2000-0{k}-01", 3 + k, 5, 2, 9) for ph, n in (("ElNino", 4), ("LaNina", 4), ("Neutral", 2)) for k in range(1, n + 1)]
+    b = spark.createDataFrame(made, "mode string, phase string, ym string, a long, b long, c long, d long")
+    got = {(r.phase1, r.phase2): r for r in modes.pair_rows(b, ["mode"], 20, 42, ["rd"]).collect()}
+    assert len(got) == 3
+    for (one, two), r in got.items():
+        few = "Neutral" in (one, two)
+        assert (r.note == modes.FEW_BLOCKS) == few and (r.rd_mean is None) == few and r.d_rd is not None
+        assert r.comparison == f"m: {one} - {two}" and r.blocks1 == (2 if one == "Neutral" else 4)
+
+
 def test_bootstrap_of_equal_phases(spark):
     rows = [("m", p, dt.date(2000, 1 + i % 12, 1), 5, 5, 5, 5) for p in ("Positive", "Negative") for i in range(6)]
     b = spark.createDataFrame(rows, "mode string, phase string, ym date, a long, b long, c long, d long")
