@@ -78,11 +78,38 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from . import bpe, chat
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    control = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    windows = chat.windows(turns.unionByName(control), bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    return chat.digests(windows)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import interaction
+
+    return interaction.filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from . import alignment
+
+    definition, model = alignment.read_definition(P.path("byte_bpe_50k.json")), alignment.read_model(P.path("piece_bpe_32k.model"))
+    return alignment.alignment(_documents(spark, sf_dir), definition, P.PATTERN, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, mixing, neardup, quality
+    from . import interaction, linededup, mixing, neardup, quality
 
-    return {"op4_near_duplicates": neardup.near_duplicates_sql(), "op5_line_dedup": linededup.clean_pages_sql(), "op6_mixing": mixing.mixture_sql(), "op7_quality_rules": quality.rules_sql()}
+    return {"op4_near_duplicates": neardup.near_duplicates_sql(), "op5_line_dedup": linededup.clean_pages_sql(), "op6_mixing": mixing.mixture_sql(), "op7_quality_rules": quality.rules_sql(), "op12_filter_audit": interaction.filter_audit_sql()}
