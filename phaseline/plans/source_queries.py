@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import counts
-from ..sources import files, synthetic
+from ..sources import cube, files, grib, synthetic
 from . import standins as S
 from .registry import query
 
@@ -87,6 +87,66 @@ def multi_file_panel(spark, sf_dir):
 
 
 
+_FIELDS = ["v", "ar"]
+_META = {"": {"title": "daily amounts"}, "v": {"units": "cents", "long_name": "amount"}, "ar": {"units": "1", "long_name": "exposure"}}
+
+
+def _cube(spark, sf_dir, level: int) -> str:
+    """The panel written as a cube of chunks."""
+    path = files.work_folder(spark)
+    d = S.located(S.daily(spark, sf_dir)).select(F.col("d").cast("timestamp").alias("ts"), "lat", "lon", F.col("v").cast("double").alias("v"), "ar")
+    cube.write(d, path, _FIELDS, _META, level, hours=24 * 30, degrees=2.0)
+    return path
+
+
+def _panel_rows(c):
+    """A cube's points that hold something, as the panel's rows."""
+    return c.where("v is not null").select(F.to_date("ts").alias("day"), "lat", "lon", F.col("v").cast("long").alias("v"), F.col("ar").cast("int").alias("ar"))
+
+
+_PLACED = f"{S.DAILY}, placed AS (SELECT daily.d AS day, 10 + (cell_id // {S.COLUMNS}) * CAST(0.25 AS DOUBLE) AS lat, 100 + (cell_id % {S.COLUMNS}) * CAST(0.25 AS DOUBLE) AS lon, v, ar FROM daily)"
+
+
+@query(f"WITH {_PLACED} SELECT * FROM placed", ints=("ar",))
+def cube_round_trip(spark, sf_dir):
+    """The whole panel written as compressed NetCDF chunks with attributes, and read back."""
+    return _panel_rows(cube.read(spark, [_cube(spark, sf_dir, 4)], _FIELDS))
+
+
+@query(f"WITH {_PLACED} SELECT * FROM placed WHERE day BETWEEN DATE '1996-03-01' AND DATE '1996-09-30' AND lat BETWEEN 10.0 AND 10.25 AND lon BETWEEN 102.0 AND 107.5", ints=("ar",))
+def cube_box(spark, sf_dir):
+    """A box and a range of times of a cube: only chunks that meet it are opened, only its times and latitudes are read."""
+    c = cube.read(spark, [_cube(spark, sf_dir, 0)], _FIELDS)
+    box = (F.col("lat").between(10.0, 10.25)) & F.col("lon").between(102.0, 107.5) & F.col("ts").between(F.lit("1996-03-01").cast("timestamp"), F.lit("1996-09-30").cast("timestamp"))
+    return _panel_rows(c.where(box))
+
+
+def _fields(spark, sf_dir) -> str:
+    """The panel's amounts (228) and exposures (167), a GRIB message a day each."""
+    path = files.work_folder(spark)
+    d = S.located(S.daily(spark, sf_dir))
+    both = F.explode(F.array(*(F.struct(F.lit(p).alias("param"), x.cast("double").alias("value")) for p, x in ((228, F.floor(F.col("v") / 100)), (167, F.col("ar")))))).alias("f")
+    d = d.select(F.col("d").cast("timestamp").alias("ts"), "lat", "lon", both).select("ts", "lat", "lon", "f.*", F.lit(1).alias("level_type"), F.lit(0).alias("level"))
+    grib.write(d, path)
+    return path
+
+
+@query(f"WITH {_PLACED} SELECT day, lat, lon, v // 100 AS value FROM placed WHERE day >= DATE '1996-06-01'")
+def grib_messages(spark, sf_dir):
+    """One parameter's fields from a date on: the other's messages are passed over by their headers."""
+    g = grib.read(spark, [_fields(spark, sf_dir)]).where("param = 228 and ts >= timestamp'1996-06-01' and value is not null")
+    return g.select(F.to_date("ts").alias("day"), "lat", "lon", F.col("value").cast("long").alias("value"))
+
+
+@query(f"WITH {_PLACED}, f AS (SELECT date_trunc('month', day)::DATE AS month, day, lat, lon, ar FROM placed WHERE dayofmonth(day) = 1) SELECT month, count(*) AS points, CAST(sum(ar) AS BIGINT) AS exposed FROM f GROUP BY 1")
+def grib_first_of_month(spark, sf_dir):
+    """An index of all messages as a table; the messages chosen from it are decoded, a byte range each."""
+    path = files.work_folder(spark)
+    grib.headers(spark, [_fields(spark, sf_dir)]).write.parquet(path)
+    chosen = spark.read.parquet(path).where("param = 167 and dayofmonth(ts) = 1")
+    return grib.points(chosen).where("value is not null").groupBy(F.trunc("ts", "MM").alias("month")).agg(F.count(F.lit(1)).alias("points"), F.sum("value").cast("long").alias("exposed"))
+
+
 
 _U = lambda name, *parts: f"(('0x' || substr(md5(concat_ws('|', '42', '{name}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE + 0.5::DOUBLE / 4294967296)"
 _BELL = lambda centre, width: f"exp(-pow((day - {centre}) / {width}::DOUBLE, 2))"
