@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import fdr, match, panel as P
+from ..operators import bitseries, fdr, match, panel as P
 from . import standins as S
 from .registry import query
 
@@ -87,14 +90,24 @@ def shifted_exposure(spark, sf_dir):
 SHIFTS = (-30, -21, -14, -7, 7, 14, 21, 30)
 
 
+def _placebo(spark, sf_dir, sources, name: str):
+    """Pooled discordant counts of designs that take exposure from other days; ``sources`` makes them from the first day and the number of days."""
+    first, last = S.days(spark, sf_dir)
+    days = (last - first).days + 1
+    months = np.array([(first + dt.timedelta(days=i)).month for i in range(days)])
+    p = S.panel(spark, sf_dir).withColumn("t", F.datediff("d", F.lit(first))).withColumn("there", F.lit(1))
+    series = bitseries.packed(p, ["ar", "ep", "there"])
+    return match.pooled(bitseries.placebo_counts(series, sources(first, days), months, name=name), [name])
+
+
 def _placebo_shift(spark, sf_dir):
     """Discordant counts with exposure taken k days off, for all k at once; k = 0 is the real design."""
-    p = S.panel(spark, sf_dir)
-    k = F.explode(F.array(*map(F.lit, (0, *SHIFTS)))).alias("k")
-    at = p.select("cell_id", "d", "ep", k).withColumn("src", F.date_sub("d", F.col("k")))
-    x = p.where("ar = 1").select("cell_id", F.col("d").alias("src"), "ar")
-    d = at.join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
-    return match.pooled(match.discordant_all(d, ["k", "cell_id"], _month()), ["k"])
+
+    def shifts(_, days):
+        at = {k: np.arange(days) - k for k in (0, *SHIFTS)}
+        return {k: np.where((s >= 0) & (s < days), s, -1) for k, s in at.items()}
+
+    return _placebo(spark, sf_dir, shifts, "k")
 
 
 _PLACEBO = f"""{S.PANEL}, ks(k) AS (VALUES {', '.join(f'({k})' for k in (0, *SHIFTS))}),
@@ -139,10 +152,15 @@ def calendar_month_permutation(spark, sf_dir):
 st AS (SELECT it, cell_id, month(x.d) AS m, sum(ep * ar) AS c1, sum(ep * (1 - ar)) AS c0, sum((1 - ep) * ar) AS k1, sum((1 - ep) * (1 - ar)) AS k0 FROM x GROUP BY 1, 2, 3)
 SELECT it AS iter, CAST(sum(c1 * k0) AS BIGINT) AS n10, CAST(sum(c0 * k1) AS BIGINT) AS n01, round((sum(c1 * k0) + 0.5::DOUBLE) / (sum(c0 * k1) + 0.5::DOUBLE), 6) AS "or" FROM st GROUP BY 1""", ints=("iter",))
 def placebo_month_shuffle(spark, sf_dir):
-    p = S.panel(spark, sf_dir)
-    x = p.where("ar = 1").select("cell_id", F.col("d").alias("src"), "ar")
-    d = p.select("cell_id", "d", "ep").join(_time_permutation(spark, sf_dir), "d").join(x, ["cell_id", "src"], "left").withColumn("ar", F.coalesce("ar", F.lit(0)))
-    return match.pooled(match.discordant_all(d, ["iter", "cell_id"], _month()), ["iter"]).select("iter", "n10", "n01", R(F.col("or")).alias("or"))
+    """Twenty shuffles of days within calendar months; each is an index of the time axis, read off a table of a row a day and shuffle."""
+
+    def shuffles(first, days):
+        out = {i: np.full(days, -1) for i in range(SHUFFLES)}
+        for r in _time_permutation(spark, sf_dir).collect():  # of the time axis, not of cells
+            out[r.iter][(r.d - first).days] = (r.src - first).days
+        return out
+
+    return _placebo(spark, sf_dir, shuffles, "iter").select("iter", "n10", "n01", R(F.col("or")).alias("or"))
 
 
 @query(f"""WITH {S.PANEL}, w AS (SELECT cell_id, strftime(panel.d, '%Y-%m') AS ym, panel.d AS day, ar FROM panel),

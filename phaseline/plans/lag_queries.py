@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lagdiag as L, panel as P
+from ..operators import bitseries as B, lagdiag as L, panel as P
 from . import standins as S
 from .registry import query
 
@@ -24,6 +24,18 @@ def _dense(spark, sf_dir):
     return P.dense(S.panel(spark, sf_dir), first, last, ["ar", "ep"])
 
 
+def _series(spark, sf_dir):
+    """The panel's flags as packed bits from its first day on, and how many days there are."""
+    first, last = S.days(spark, sf_dir)
+    p = S.panel(spark, sf_dir).withColumn("t", F.datediff("d", F.lit(first)))
+    return B.packed(p, ["ar", "ep"]), (last - first).days + 1
+
+
+def _correlated(spark, sf_dir):
+    series, days = _series(spark, sf_dir)
+    return B.cross_correlation(series, LAGS, days)
+
+
 @query(f"WITH {_DENSE} SELECT cell_id, d AS day, t, ar, ep FROM dn")
 def densified_panel(spark, sf_dir):
     d = _dense(spark, sf_dir)
@@ -32,27 +44,25 @@ def densified_panel(spark, sf_dir):
 
 @query(f"WITH {_XC} SELECT cell_id, lag, round(r, 6) AS r FROM xc", ints=("lag",))
 def cross_correlation(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    return L.cross_correlation(d, LAGS).select("cell_id", "lag", R(F.col("r")).alias("r"))
+    return _correlated(spark, sf_dir).select("cell_id", "lag", R(F.col("r")).alias("r"))
 
 
 @query(f"WITH {_XC}, z AS (SELECT cell_id, lag, CASE WHEN abs(r) > 1e-9 THEN r ELSE 0 END AS r FROM xc) SELECT a.cell_id, a.lag, round((a.r - b.r) / greatest(abs(a.r), abs(b.r), 1e-12), 8) + 0.0 AS s FROM z a JOIN z b ON a.cell_id = b.cell_id AND a.lag = -b.lag AND a.lag > 0", ints=("lag",))
 def directionality(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    r = L.cross_correlation(d, LAGS).withColumn("r", F.when(F.abs("r") > 1e-9, F.col("r")).otherwise(0.0))
+    r = _correlated(spark, sf_dir).withColumn("r", F.when(F.abs("r") > 1e-9, F.col("r")).otherwise(0.0))
     return L.directionality(r).select("cell_id", "lag", (R(F.col("s"), 8) + 0.0).alias("s"))
 
 
 @query(f"WITH {_DENSE}, b AS (SELECT cell_id, avg(ar) AS baseline FROM dn GROUP BY 1) SELECT e.cell_id, tau, round(avg(x.ar), 6) AS eta, round(any_value(baseline), 6) AS baseline FROM dn e CROSS JOIN range(-5, 6) q(tau) JOIN dn x ON x.cell_id = e.cell_id AND x.t = e.t - tau JOIN b ON b.cell_id = e.cell_id WHERE e.ep = 1 GROUP BY 1, 2", ints=("tau",))
 def eta(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    return L.event_average(d, 5).select("cell_id", "tau", R(F.col("eta")).alias("eta"), R(F.col("baseline")).alias("baseline"))
+    series, days = _series(spark, sf_dir)
+    return B.event_average(series, 5, days).select("cell_id", "tau", R(F.col("eta")).alias("eta"), R(F.col("baseline")).alias("baseline"))
 
 
 @query(f"WITH {_DENSE} SELECT e.cell_id, k AS lag, round(avg(CASE WHEN near <= k THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT e.cell_id, e.t, min(abs(x.t - e.t)) AS near FROM dn e LEFT JOIN dn x ON x.cell_id = e.cell_id AND x.ar = 1 WHERE e.ep = 1 GROUP BY 1, 2) e CROSS JOIN range(0, 8) q(k) GROUP BY 1, 2", ints=("lag",))
 def hit_cdf(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    return L.hit_share(d, 7).select("cell_id", "lag", R(F.col("share")).alias("share"))
+    series, days = _series(spark, sf_dir)
+    return B.hit_share(series, 7, days).select("cell_id", "lag", R(F.col("share")).alias("share"))
 
 
 #: Permutations a cell at most.
@@ -78,15 +88,14 @@ def seq_mc_pvalue(spark, sf_dir):
 
 @query(f"WITH {_XC}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc) SELECT cell_id, lag, round(r, 6) AS r FROM top WHERE o = 1", ints=("lag",))
 def strongest_lag(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    return L.strongest(L.cross_correlation(d, LAGS)).select("cell_id", "lag", R(F.col("r")).alias("r"))
+    return L.strongest(_correlated(spark, sf_dir)).select("cell_id", "lag", R(F.col("r")).alias("r"))
 
 
 @query(f"WITH {_XC}, {_MC[len(_DENSE) + 2:]}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc), k AS (SELECT cell_id, count(DISTINCT ar) > 1 AND count(DISTINCT ep) > 1 AS ok FROM dn GROUP BY 1) SELECT cell_id, CASE WHEN ok THEN lag END AS lag, CASE WHEN ok THEN round(r, 6) END AS r, CASE WHEN ok THEN round(p, 6) END AS p FROM top JOIN mc USING (cell_id) JOIN k USING (cell_id) WHERE o = 1", ints=("lag",))
 def point_diagnostics(spark, sf_dir):
     """Strongest lag and Monte-Carlo p of every cell; NULL where a series is constant."""
     d = _dense(spark, sf_dir)
-    top = L.strongest(L.cross_correlation(d, LAGS))
+    top = L.strongest(_correlated(spark, sf_dir))
     ok = d.groupBy("cell_id").agg(((F.min("ar") < F.max("ar")) & (F.min("ep") < F.max("ep"))).alias("ok"))
     mc = L.monte_carlo(d, ITERATIONS, 42)
     j = top.join(mc.select("cell_id", "p"), "cell_id").join(ok, "cell_id")
