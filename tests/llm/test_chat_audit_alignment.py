@@ -14,6 +14,14 @@ from hypothesis import strategies as st
 from phaseline.llm import alignment, bpe, chat, interaction
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_tasks(spark):
+    """Small tables stay over as many tasks as large ones."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def by_row(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
