@@ -13,8 +13,8 @@ def key(*parts: Column | str | int) -> Column:
 
 
 def integer(below: Column, *parts: Column | str | int) -> Column:
-    """A whole number from 0 up to ``below``."""
-    return F.conv(F.substring(key(*parts), 1, 8), 16, 10).cast("long") % below
+    """A whole number from 0 up to ``below``, from 60 bits of an md5."""
+    return F.conv(F.substring(key(*parts), 1, 15), 16, 10).cast("long") % below
 
 
 def uniform(*parts: Column | str | int) -> Column:

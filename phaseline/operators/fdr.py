@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import stored
+
 SLICES = 8192
 
 
@@ -32,6 +34,7 @@ def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
 
 def significant(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``df`` with boolean ``sig``: p up to the largest one under its critical value."""
+    df = stored(df)  # tests are dear, and read twice
     passing = _ranked(df, p, by).where(F.col(p) <= F.col("_rank") / F.col("_n") * alpha)
     star = passing.groupBy(*by).agg(F.max(p).alias("_star"))
     d = df.join(star, by, "left") if by else df.join(F.broadcast(star))  # one row
@@ -40,6 +43,7 @@ def significant(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] = [])
 
 def q_values(df: DataFrame, p: str, name: str = "q", by: list[str] = []) -> DataFrame:  # noqa: B006
     """``df`` with adjusted p values; NULL where p is NULL."""
+    df = stored(df)  # tests are dear, and read twice
     v = _ranked(df, p, by).withColumn("_m", F.col(p) * F.col("_n") / F.col("_rank"))
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most SLICES + 1 rows
     above = F.min("_least").over(own.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..functions.exact import binomial_half
 from ..functions.metrics import matched_odds_ratio
+from .panel import numbered
 
 
 def discordant_all(df: DataFrame, keys: list[str], stratum: Column) -> DataFrame:
@@ -36,12 +37,12 @@ def sampled_pairs(df: DataFrame, stratum: Column, k: int, seed: int, strict: boo
 def drawn_controls(case: DataFrame, ctrl: DataFrame, stratum: list[str], k: int, seed: int, strict: bool = True) -> DataFrame:
     """(case(cid, ..), ctrl(kid, ..)): k different controls of its stratum for every case.
 
-    Controls are numbered in the order of an md5 draw, and a case draws k of the
-    numbers by Floyd's method, so k rows a case are made and no other pair.
-    ``strict`` drops cases with fewer; else they get all there are.
+    Controls are numbered in the order of an md5 draw (``panel.numbered``: a stratum of any
+    size lies over many tasks), and a case draws k of the numbers by Floyd's method, so
+    k rows a case are made and no other pair.  ``strict`` drops cases with fewer; else
+    they get all there are.
     """
-    w = Window.partitionBy(*stratum)
-    ranked = ctrl.withColumn("_r", F.row_number().over(w.orderBy(draws.key(seed, F.col("kid")), "kid")).cast("long") - 1)
+    ranked = numbered(ctrl.withColumn("_h", draws.key(seed, F.col("kid"))), stratum, ["_h", "kid"], "_r").drop("_h")
     size = ctrl.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
     case = case.join(size, stratum)
     if strict:

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..functions import metrics as M
+from ..functions.exact import fisher
 from ..functions.metrics import delta_intervals
+from . import fdr
+from .counts import count_columns
+from .panel import stored
 
 #: Fixed order of phases within each mode, in which they are compared (first minus second).
 PHASE_ORDER = ["ElNino", "LaNina", "Positive", "Negative", "Neutral", *(f"Phase_{i}" for i in range(1, 9)), "Active_1to4", "Active_5to8", "Inactive"]
@@ -53,12 +58,28 @@ def day_labels(df: DataFrame, labels: DataFrame, lag: int = 0, time: str = "d")
 
 
 def nearest_labels(df: DataFrame, labels: DataFrame, time: str = "d", at: str = "day", tolerance: int | None = None) -> DataFrame:
-    """Label of the nearest index date (the later one on a tie), looked up once a distinct time."""
+    """Label of the nearest index date (the later one on a tie), looked up once a distinct time.
+
+    Times and index dates are sorted together by ranges, so no task holds the axis; each
+    range looks inside itself, and beyond its ends to the last label before and the first
+    one after it, of which there are two a range.
+    """
+    spark = df.sparkSession
     times = df.select(F.col(time).alias("_t")).distinct().withColumn("_l", F.lit(None).cast("date"))
     both = times.unionByName(labels.select(F.col(at).cast("date").alias("_t"), F.col(at).cast("date").alias("_l")))
-    back = Window.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)  # the time axis, not the panel
-    ahead = Window.orderBy("_t").rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_b", F.max("_l").over(back)).withColumn("_a", F.min("_l").over(ahead)).where("_l is null").select("_t", "_b", "_a").distinct()
+    both = stored(both.repartitionByRange("_t").withColumn("_p", F.spark_partition_id()))
+    ends = both.groupBy("_p").agg(F.min("_l").alias("a"), F.max("_l").alias("b")).orderBy("_p").collect()  # a row a range
+    known = [r.b for r in ends]
+    later = [r.a for r in ends]
+    for i in range(1, len(ends)):  # the last label up to each range, and the first one from it on
+        known[i] = known[i] or known[i - 1]
+        later[-i - 1] = later[-i - 1] or later[-i]
+    outer = [(r._p, known[i - 1] if i else None, later[i + 1] if i + 1 < len(ends) else None) for i, r in enumerate(ends)]
+    both = both.join(F.broadcast(spark.createDataFrame(outer, "_p int, _before date, _after date")), "_p")
+    back = Window.partitionBy("_p").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_p").orderBy("_t").rangeBetween(0, Window.unboundedFollowing)
+    inner = both.withColumn("_b", F.coalesce(F.max("_l").over(back), "_before")).withColumn("_a", F.coalesce(F.min("_l").over(ahead), "_after"))
+    both = inner.where("_l is null").select("_t", "_b", "_a").distinct()
     before, after = F.datediff("_t", "_b"), F.datediff("_a", "_t")
     pick = F.when(F.col("_b").isNull() | (after <= before), F.col("_a")).otherwise(F.col("_b"))
     near = both.select("_t", pick.alias("_at"))
@@ -86,6 +107,42 @@ def scan_counts(times: DataFrame, labels: DataFrame, lags: DataFrame, extra: lis
     return both.groupBy("mode", "lag", "phase", *extra).agg(*(F.sum(x).alias(x) for x in "abcd"), F.count(F.lit(1)).alias("n_time"))
 
 
+#: Measures of a cell that a phase's row averages.
+FIELDS = {"p1": M.risk_exposed, "p0": M.risk_unexposed, "rd": M.risk_difference, "rr": M.risk_ratio, "af": M.attributable_fraction, "paf": M.population_attributable_fraction}
+
+
+def phase_rows(df: DataFrame, keys: list[str], alpha: float = 0.05, cell: str = "cell_id", time: str = "d") -> DataFrame:
+    """One wide row a phase of the panel ``df(keys, cell, lat, time, ar, ep)``: 29 columns of its cells and 21 pooled ones, in this order.
+
+    Times; cells whose one-sided exact test is under ``alpha``, and those that pass the
+    phase's false-discovery control; means of six measures over all cells and over the
+    significant ones, plain and weighted by the cosine of latitude; then pooled
+    measures with delta-method intervals, shares and totals.  A measure that a cell
+    lacks is no part of a mean; a mean of nothing is NULL.
+    """
+    k = df.groupBy(*keys, cell, "lat").agg(*count_columns())
+    k = k.select("*", fisher(*map(F.col, "abcd"), "greater").alias("_p"), F.cos(F.radians("lat")).alias("_w"), *(f().alias(f"_{m}") for m, f in FIELDS.items()))
+    k = fdr.significant(k, "_p", alpha, keys)
+    low = F.col("_p") < alpha
+    out = [F.count_if(low).alias("sig_p"), F.count_if("sig").alias("sig_fdr")]
+    for weighted in (False, True):
+        for chosen, suffix in ((F.lit(True), "all"), (low, "sig")):
+            for m in FIELDS:
+                x = F.when(chosen, F.col(f"_{m}"))
+                w = F.when(x.isNotNull(), F.col("_w"))
+                mean = M.ratio(F.sum(x * w), F.sum(w)) if weighted else F.avg(x)
+                out.append(mean.alias(f"{'aw_' if weighted else ''}mean_{m}_{suffix}"))
+    sums = k.groupBy(*keys).agg(*out, *(F.sum(x).alias(x) for x in "abcd"))
+    times = df.groupBy(*keys).agg(F.count_distinct(time).alias("n_time"))
+    d, a = delta_intervals(), {x: F.when(F.col(x) == 0, F.lit(0.5)).otherwise(F.col(x).cast("double")) for x in "abcd"}
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    pooled = {"pooled_p1": F.when(d["rr"].isNotNull(), a["a"] / (a["a"] + a["b"])), "pooled_p0": F.when(d["rr"].isNotNull(), a["c"] / (a["c"] + a["d"]))}
+    pooled |= {f"pooled_{m}{end}": d[f"{m}{end}"] for m in ("rd", "rr", "af", "paf") for end in ("", "_low", "_high")}
+    pooled |= {"pooled_ar_share": M.ratio(F.col("a") + F.col("b"), n), "pooled_ep_share": M.ratio(F.col("a") + F.col("c"), n)}
+    same = sums.join(times, keys)
+    return same.select(*keys, "n_time", *(c for c in sums.columns if c.startswith(("sig_", "mean_", "aw_"))), *(v.alias(c) for c, v in pooled.items()), *(F.col(x).alias(f"{x}_total") for x in "abcd"), n.alias("n_total"))
+
+
 def contrasts(summary: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Differences of every two phases of a key that both exist, first minus second in the fixed order."""
     r = phase_rank(F.col("phase"))

@@ -8,10 +8,18 @@ its caller, who knows its size.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import draws
+from ..sources import files
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 
 def in_range(df: DataFrame, column: str, low, high) -> DataFrame:
@@ -153,6 +161,56 @@ def box_smoothed(df: DataFrame, value: str, size: int, edge: str = "nearest", ro
     return df.select(row, column).join(both, [row, column], "left").select(row, column, F.when(enough, F.col("_s") / F.col("_n")).alias(value))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder: what several jobs read, or what must not be dealt out again."""
+    path = files.work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """``df`` with the place, from 0, of each row in the order of its group; stored.
+
+    The rows of all groups are sorted by ranges of (group, order), so a group of any size
+    lies over as many tasks as it fills.  A task numbers its rows as they come; only the
+    group that goes on from the task before needs to know how many rows it had there,
+    a row a task.  Rows alike in group and order are numbered as they come.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [*group, *order]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, at, first = TaskContext.get().partitionId(), None, 0, True
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for g in group:
+                code = b.column(b.schema.get_field_index(g)).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            value = lambda i: tuple(b.column(b.schema.get_field_index(g))[i].as_py() for g in group)  # noqa: B023, E731
+            new[0] = value(0) != last
+            head = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # where the row's group begins in this batch
+            place = np.arange(n) - head + np.where(head < 0, at - 1, 0)
+            opening = first & (np.cumsum(new) <= 1 if last is None else ~np.maximum.accumulate(new))  # still the task's first group
+            first = bool(opening[-1])
+            last, at = value(n - 1), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(np.full(n, part)), pa.array(opening)], [*b.schema.names, name, "_part", "_opening"])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in (name, "_part")), T.StructField("_opening", T.BooleanType())])
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
+    ends = rows.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.max("_opening").alias("_first"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a group has a row a task
+    carry = ends.withColumn("_before", F.sum("_n").over(before)).where("_first and _before is not null").select("_part", "_before")
+    out = rows.join(F.broadcast(stored(carry)), "_part", "left")  # a row a task at most
+    return out.select(*df.columns, (F.col(name) + F.when(F.col("_opening"), F.coalesce("_before", F.lit(0))).otherwise(0)).alias(name))
+
+
 def row_sample(df: DataFrame, key: str, per: int = 10, most: int = 5_000_000, seed: int = 42) -> DataFrame:
     """One row in ``per`` and ``most`` at most, exactly so many, without replacement: the first in the order of an md5 of ``key``.
 

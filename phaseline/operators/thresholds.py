@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws
-from ..sources import files
+from .panel import stored
 
 
 def window_days(doy: Column, half: int, ring: int) -> Column:
@@ -84,7 +84,7 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
     spark = df.sparkSession
     d = df.select(*run, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     sketch = F.expr(f"kll_sketch_agg_double(_v, {_ITEMS})").alias("_s")
-    first = _stored(d.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), sketch).withColumn("_p", F.lit(0)))
+    first = stored(d.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), sketch).withColumn("_p", F.lit(0)))
     n_run = {tuple(r[k] for k in run): r._n for r in first.select(*run, "_n").collect()}
     runs_of: dict[tuple, list[tuple]] = {}
     for g, r in [(r, r) for r in n_run] if members is None else [(tuple(m[c] for c in group), tuple(m[c] for c in run)) for m in members.collect()]:
@@ -123,7 +123,7 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
         upto = draws.count_upto(F.col("_m"), F.col("_v"))
         # part 2 i: between two marks; part 2 i - 1: equal to one
         counted = d.join(F.broadcast(asked), at_run).withColumn("_u", upto).withColumn("_p", (2 * F.col("_u") - F.when(F.get(F.col("_m"), F.col("_u") - 1) == F.col("_v"), 1).otherwise(0)).cast("int"))
-        sketches = _stored(counted.groupBy(*run, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), sketch))
+        sketches = stored(counted.groupBy(*run, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), sketch))
         counts: dict[tuple, list] = {}
         for r in sketches.select(*run, "_p", "_n", "_least").collect():
             counts.setdefault(tuple(r[k] for k in run), []).append((r._p, r._n, r._least))
@@ -173,13 +173,6 @@ def _inside(marks: list[float], part: int, s: dict) -> bool:
     return (marks[i - 1] if i else -math.inf) >= s["low"] and (marks[i] if i < len(marks) else math.inf) <= s["high"]
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` in the shared folder: a small table that several jobs read."""
-    path = files.work_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def global_threshold(df: DataFrame, value: str, q: float, places: int = 6) -> DataFrame:
     """(thr): the q-quantile of all positive values; NULL where there are none."""
     one = exact_quantile(df.where(F.col(value) > 0), value, q, places=places)

@@ -96,6 +96,39 @@ def phase_field_summary(spark, sf_dir):
     return f.groupBy("mode", "phase").agg(R(F.avg("af")).alias("mean_af"), R(F.min("af")).alias("min_af"), R(F.max("af")).alias("max_af"), F.count("af").alias("n_af"), R(F.avg("paf")).alias("mean_paf"), R(F.avg("lift")).alias("mean_lift"), F.count("lift").alias("n_lift"))
 
 
+_FIELD_SQL = {"p1": S.P1, "p0": S.P0, "rd": f"({S.P1}) - ({S.P0})", "rr": f"({S.P1}) / nullif({S.P0}, 0)", "af": S.AF, "paf": S.PAF}
+_HALF = {x: f"(CASE WHEN {x} = 0 THEN 0.5 ELSE {x}::DOUBLE END)" for x in "abcd"}
+
+
+def _means_sql() -> str:
+    out = []
+    for prefix, mean in (("", "avg({x})"), ("aw_", "sum({x} * w) / nullif(sum(CASE WHEN {x} IS NOT NULL THEN w END), 0)")):
+        for suffix, chosen in (("all", "true"), ("sig", "p < 0.05")):
+            out += [f"round({mean.format(x=f'(CASE WHEN {chosen} THEN {m} END)')}, 6) AS {prefix}mean_{m}_{suffix}" for m in _FIELD_SQL]
+    return ", ".join(out)
+
+
+def _pooled_sql() -> str:
+    d, ok = S.sql_delta(), "a + b > 0 AND c + d > 0"
+    out = [f"CASE WHEN {ok} THEN round({_HALF['a']} / ({_HALF['a']} + {_HALF['b']}), 6) END AS pooled_p1", f"CASE WHEN {ok} THEN round({_HALF['c']} / ({_HALF['c']} + {_HALF['d']}), 6) END AS pooled_p0"]
+    out += [f"{d[f'{m}{end}']} AS pooled_{m}{end}" for m in ("rd", "rr", "af", "paf") for end in ("", "_low", "_high")]
+    out += ["round((a + b) / nullif(a + b + c + d, 0)::DOUBLE, 6) AS pooled_ar_share", "round((a + c) / nullif(a + b + c + d, 0)::DOUBLE, 6) AS pooled_ep_share"]
+    return ", ".join([*out, *(f"{x} AS {x}_total" for x in "abcd"), "a + b + c + d AS n_total"])
+
+
+@query(f"""WITH {_PHASED}, k AS (SELECT mode, phase, cell_id, {S.ABCD} FROM ph GROUP BY 1, 2, 3),
+f AS (SELECT *, {S.sql_fisher('greater')} AS p, cos(radians(10 + (cell_id // {S.COLUMNS}) * CAST(0.25 AS DOUBLE))) AS w, {', '.join(f'{v} AS {m}' for m, v in _FIELD_SQL.items())} FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, phase ORDER BY p, cell_id) AS i, count(p) OVER (PARTITION BY mode, phase) AS tests FROM f),
+s AS (SELECT mode, phase, max(p) AS star FROM r WHERE p <= i / tests::DOUBLE * 0.05 GROUP BY 1, 2),
+g AS (SELECT mode, phase, count(*) FILTER (WHERE p < 0.05) AS sig_p, count(*) FILTER (WHERE p <= star) AS sig_fdr, {_means_sql()}, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in 'abcd')} FROM f LEFT JOIN s USING (mode, phase) GROUP BY 1, 2),
+t AS (SELECT mode, phase, count(DISTINCT day) AS n_time FROM ph GROUP BY 1, 2)
+SELECT mode, phase, n_time, g.* EXCLUDE (mode, phase, a, b, c, d), {_pooled_sql()} FROM g JOIN t USING (mode, phase)""")
+def phase_rows(spark, sf_dir):
+    """The whole row of every phase: 29 columns of its cells and 21 pooled ones."""
+    rows = modes.phase_rows(_phased(spark, sf_dir), ["mode", "phase"])
+    return rows.select(*(R(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in rows.schema))
+
+
 @query(f"""WITH {_TIMES}, w AS (SELECT e.phase AS enso, a.phase AS ao, p.phase AS pdo, m.phase AS mjo, ar, ep FROM panel JOIN mphase e ON e.mode = 'ENSO' AND e.ym = CAST(date_trunc('month', panel.d) AS DATE) JOIN mphase a ON a.mode = 'AO' AND a.ym = e.ym JOIN mphase p ON p.mode = 'PDO' AND p.ym = e.ym JOIN labels m ON m.mode = 'MJO' AND m.key = panel.d),
 g AS (SELECT enso, ao, pdo, mjo, {S.ABCD} FROM w GROUP BY 1, 2, 3, 4) SELECT 'ENSO=' || enso || ', MJO=' || mjo || ', AO=' || ao || ', PDO=' || pdo AS combo, a, b, c, d, round(CASE WHEN a > 0 AND b > 0 AND c > 0 AND d > 0 THEN a::DOUBLE * d / (b::DOUBLE * c) END, 6) AS "or", round({S.sql_fisher()}, 6) AS p FROM g""")
 def phase_combo_or(spark, sf_dir):

@@ -77,6 +77,18 @@ def threshold_cache(spark, sf_dir):
     return files.cached_stage(spark, path, make)
 
 
+@query(f"WITH {S.CELLS} SELECT cell_id, a, b, c, d FROM cells")
+def staged_counts(spark, sf_dir):
+    """Counts a cell kept by input file: the panel's first years are counted, then the last ones are added, and only they are read."""
+    base, stage = files.work_folder(spark), files.work_folder(spark)
+    p = S.panel(spark, sf_dir).select("cell_id", "ar", "ep", (F.year("d") > 1996).alias("late"))
+    files.write_panel(p, base, ["late"])
+    partial = lambda df, by: counts.contingency(df, [*by, "cell_id"])
+    merge = lambda rows: rows.groupBy("cell_id").agg(*(F.sum(x).alias(x) for x in "abcd"))
+    files.counted_stage(spark, stage, [f"{base}/late=false"], partial, merge)
+    return files.counted_stage(spark, stage, [f"{base}/late=false", f"{base}/late=true"], partial, merge)
+
+
 @query(f"WITH {S.MONTHLY}, n AS (SELECT mode, count(*) AS n FROM monthly GROUP BY 1) SELECT mode, n FROM n")
 def multi_file_panel(spark, sf_dir):
     """Several folders read as one table."""

@@ -192,12 +192,12 @@ def sql_rank(x: str = "phase") -> str:
 
 
 def sql_draw(n: str, *parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT % {n})"
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT % {n})"
 
 
 def sql_choose(name: str, source: str, keep: str, identity: str, k: int, seed: int, strict: bool = True) -> str:
     """Recursive CTE ``name``(keep, r): Floyd's draws of k numbers under n for every row of ``source``(keep, n)."""
-    draw = f"('0x' || substr(md5(concat_ws('|', '{seed}', {identity}, j)), 1, 8))::BIGINT % (n - kk + j + 1)"
+    draw = f"('0x' || substr(md5(concat_ws('|', '{seed}', {identity}, j)), 1, 15))::BIGINT % (n - kk + j + 1)"
     return f"""{name}_all AS (SELECT {keep}, n, least({k}, n) AS kk, 0::BIGINT AS j, []::BIGINT[] AS ch FROM {source}{f' WHERE n >= {k}' if strict else ''}
 UNION ALL SELECT {keep}, n, kk, j + 1, list_append(ch, CASE WHEN list_contains(ch, r) THEN n - kk + j ELSE r END) FROM (SELECT *, {draw} AS r FROM {name}_all WHERE j < kk)),
 {name} AS (SELECT {keep}, unnest(ch) AS r FROM {name}_all WHERE j = kk)"""

@@ -106,3 +106,58 @@ def cached_stage(spark: SparkSession, path: str, make) -> DataFrame:
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def counted_stage(spark: SparkSession, path: str, inputs: list[str], partial, merge, version: str = "") -> DataFrame:
+    """``merge`` of the partial results of each input file, which are kept at ``path`` from call to call.
+
+    ``partial(df, by)`` makes mergeable rows (counts, sums, extremes) of ``df``, grouped by
+    the columns ``by`` besides its own; ``merge(rows)`` puts those of all files together.
+    Results are kept by what made them (the plan of ``partial`` over the files' schema, and
+    ``version``, which must change with what a plan doesn't show, as a Python function) and by
+    each file's path, length and time: a new or changed file is read alone, a changed
+    maker makes all anew, files that are gone don't count, and a job that
+    failed has kept nothing.
+    """
+    import hashlib
+    import re
+
+    whole = spark.read.parquet(*inputs)
+    digest = lambda p, n, t: F.sha2(F.concat_ws("|", p, n.cast("string"), F.unix_micros(t).cast("string")), 256)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(inputs)
+    # a row a file, without its contents; the name here is plain, in a row's metadata it is encoded
+    listed = there.select("path", digest(F.regexp_replace("path", "^file:/+", "file:/"), F.col("length"), F.col("modificationTime")).alias("source")).collect()
+    made = partial(whole.limit(0).withColumn("source", F.lit("")), ["source"])
+    plan = re.sub(r"#\d+L?", "", made._jdf.queryExecution().analyzed().canonicalized().toString())
+    plan = re.sub(r"Relation \[[^\]]*\] parquet", "Relation", plan)
+    base = f"{path.rstrip('/')}/maker={hashlib.sha256(f'{version}|{whole.schema.json()}|{plan}'.encode()).hexdigest()[:32]}"
+    kept: dict[str, str] = {}
+    for batch in _folders(spark, base):
+        if any(f.endswith("/_SUCCESS") for f in _names(spark, batch)):
+            for f in _folders(spark, batch):
+                kept.setdefault(f.rpartition("source=")[2], f)
+    if new := [r.path for r in listed if r.source not in kept]:
+        plain = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+        d = spark.read.parquet(*new).withColumn("source", digest(plain, F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")))
+        batch = f"{base}/batch={uuid.uuid4().hex}"
+        partial(d, ["source"]).repartition("source").write.partitionBy("source").parquet(batch)
+        for f in _folders(spark, batch):
+            kept.setdefault(f.rpartition("source=")[2], f)
+    own = [kept[r.source] for r in listed if r.source in kept]  # a file without rows leaves none
+    rows = spark.read.schema(made.drop("source").schema).parquet(*own) if own else made.drop("source")
+    return merge(rows)
+
+
+def _listing(spark: SparkSession, folder: str) -> list:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    return sorted(s.getPath().toString() for s in _listing(spark, folder) if s.isDirectory())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    return [s.getPath().toString() for s in _listing(spark, folder) if s.isFile()]
