@@ -8,8 +8,12 @@
   by label, as far as it must; what parts from the rest there stays in the parent
   region, in slices, and the region's hubs (its largest class, and the member with
   the most neighbours over all orders) go along with every slice.
-* A region that was parted so is then compared block by block: every two of its
-  members that are not yet in one component meet in some task.
+* The members of regions that were parted so, and are not one component by then, are
+  joined exactly, once for all orders: their shingles are put in one order, rare
+  ones first, and two sets that are alike enough share one of their first quarter.
+  A shingle there that members of two components have is a meeting; meetings of the
+  same members are one.  Only a meeting too large for a task, of members that
+  rare shingles cannot tell apart, is compared block by block.
 * A task sorts its members by their labels in the order and goes up from the
   longest common prefix: neighbours first, then all that share just so many labels
   and are not yet connected.  It emits no pairs: it confirms candidates on full
@@ -172,26 +176,62 @@ def _tasks(reps: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFram
     return out.unionByName(tasks.select("task", "key", "order")).unionByName(visits).distinct(), open_rows.select("region", "key", "n", "order")
 
 
-def _cross_tasks(parted: DataFrame, found: DataFrame, most: int, weight: int) -> DataFrame:
-    """(task, key, component, order): blocks of each parted region, every two of them in one task.
+def _cross_tasks(meeting: DataFrame, most: int, weight: int) -> DataFrame:
+    """(task, key, component): blocks of each large meeting (region, key, n, component, short), every two in one task that may hold a link.
 
-    Blocks of the region's largest component are not paired with each other, for
-    its members are connected already.  A block has half of a task's bounds.
+    Members of the largest component are connected already, and a link has a ``short``
+    member: those of one of these kinds, whichever are more, are the inner blocks, which
+    are not paired with each other.  A block has half of a task's bounds.
     """
-    member = parted.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    member = C.staged(member)
-    per = member.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    d = C.staged(meeting)
+    per = d.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count_if(~F.col("short")).alias("long"), F.sum(F.when(~F.col("short"), F.col("n")).otherwise(0)).alias("long_weight"))
     top = F.max_by(F.struct("component", "size", "weight"), F.struct("size", -F.col("component"))).alias("top")
-    sums = per.groupBy("region").agg(top, F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    sums = per.groupBy("region").agg(top, *(F.sum(c).alias(c) for c in ("size", "weight", "long", "long_weight")))
+    sums = sums.withColumn("by_short", F.col("long") >= F.col("top.size"))
+    inner_size, inner_weight = (F.when(F.col("by_short"), F.col(x)).otherwise(F.col(f"top.{y}")) for x, y in (("long", "size"), ("long_weight", "weight")))
     blocks = lambda size, w: F.greatest(F.ceil(2 * size / most), F.ceil(2 * w / weight), F.lit(1))
-    inner, rest = blocks(F.col("top.size"), F.col("top.weight")), blocks(F.col("size") - F.col("top.size"), F.col("weight") - F.col("top.weight"))
-    sums = sums.select("region", F.col("top.component").alias("top"), inner.alias("inner"), rest.alias("rest"))
-    d = member.join(sums, "region").withColumn("in_top", F.col("component") == F.col("top"))
+    sums = sums.select("region", F.col("top.component").alias("top"), "by_short", blocks(inner_size, inner_weight).alias("inner"), blocks(F.col("size") - inner_size, F.col("weight") - inner_weight).alias("rest"))
+    d = d.join(sums, "region").withColumn("is_inner", F.when(F.col("by_short"), ~F.col("short")).otherwise(F.col("component") == F.col("top")))
     draw = F.xxhash64("region", "key")
-    d = d.withColumn("own", F.when(F.col("in_top"), F.col("rest") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("rest"))))
+    d = d.withColumn("own", F.when(F.col("is_inner"), F.col("rest") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("rest"))))
     # the others' blocks meet all blocks but themselves: inside, they are compared in each of their tasks
-    d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("inner"))))).where("with <> own")
-    return d.select(F.xxhash64("region", F.lit("blocks"), F.least("own", "with"), F.greatest("own", "with")).alias("task"), "key", "component", "order")
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(F.col("is_inner"), 0).otherwise(F.col("inner"))))).where("with <> own")
+    return d.select(F.xxhash64("region", F.lit("blocks"), F.least("own", "with"), F.greatest("own", "with")).alias("task"), "key", "component")
+
+
+#: A shingle that more members have is placed by how many; all others come before it.
+RARE = 32
+
+
+def _rare_tasks(members: DataFrame, texts: DataFrame, width: int, percent: int, most: int, weight: int) -> DataFrame:
+    """(task, key, component): meetings of ``members(key, component)`` by the rare shingles that they share, a prefix filter.
+
+    Every two members of different components with at least ``percent`` of their
+    shingles in common are in some task: the first shingle that both have is near the
+    front of each, and nearer (``short``) in the smaller one.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = C.WordHashes()
+        for b in batches:
+            for key, component, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = shingle_set(text.as_py().encode(), hashes, width)
+                whole = int(np.bitwise_xor.reduce(C.mix64(s)).view(np.int64)) if len(s) else 0  # tells different texts of one key apart
+                same = lambda v: pa.array(np.full(len(s), v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(key), same(component), same(len(s)), same(whole), pa.array(s.view(np.int64))], ["key", "component", "n", "whole", "shingle"])
+
+    rows = C.staged(members.join(texts, "key").select("key", "component", "x").mapInArrow(run, "key long, component long, n long, whole long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
+    placed = rows.join(common, "shingle", "left").groupBy("key", "component", "n", "whole").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "shingle"))).alias("s"))
+    far, near = (F.col("n") - F.ceil(F.col("n") * (x * percent) / y) + 1 for x, y in ((1, 100), (2, 100 + percent)))
+    first = F.transform(F.slice("s", 1, far.cast("int")), lambda x, i: F.struct(x["shingle"].alias("shingle"), (i < near).alias("short")))
+    prefix = C.staged(placed.select("key", "component", "n", F.explode(first).alias("f")).select("key", "component", "n", "f.*").distinct())
+    met = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("short").alias("any"), F.bit_xor(F.xxhash64("key", "short")).alias("h1"), F.bit_xor(F.xxhash64("short", "key")).alias("h2"))
+    one = C.staged(met.where("low <> high and any").groupBy("size", "weight", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle", "size", "weight"))
+    meeting = prefix.join(one, "shingle").withColumnRenamed("shingle", "region")
+    large = (F.col("size") > most) | (F.col("weight") > weight)
+    small = meeting.where(~large).select(F.col("region").alias("task"), "key", "component")
+    return small.unionByName(_cross_tasks(meeting.where(large).select("region", "key", "n", "component", "short"), most, weight))
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -200,7 +240,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: int = 0, known: np.ndarray | None = None) -> np.ndarray:
+def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: int = 0, known: np.ndarray | None = None, cut: float = SKETCH_LEAST) -> np.ndarray:
     """The smallest key that each member reaches by confirmed links inside the region.
 
     Members are sorted by their signatures in the region's order of labels.  From
@@ -209,7 +249,8 @@ def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: i
     one component, all others, the most alike first.  Every two members become
     candidates at the depth of their common prefix, unless they are connected by
     then, which those that part late mostly are.  Members of one component of
-    ``known`` count as linked.
+    ``known`` count as linked.  Pairs whose signatures agree in less than ``cut`` are
+    passed over unless they are neighbours; 0 passes over none.
     """
     n = len(keys)
     by_key = np.argsort(keys, kind="stable")
@@ -237,13 +278,13 @@ def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: i
             heads = np.flatnonzero(lcp < depth)
             for a, b in zip(heads.tolist(), np.append(heads[1:], n).tolist()):
                 if b - a > 1:
-                    _link_run(sort[a:b], lcp[a:b] == depth, label, sig, size, percent, confirm)
+                    _link_run(sort[a:b], lcp[a:b] == depth, label, sig, size, percent, confirm, cut)
     out = np.empty(n, np.int64)
     out[by_key] = keys[label]
     return out
 
 
-def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, confirm) -> None:
+def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, confirm, cut: float) -> None:
     """Candidates among members that share a prefix, and part at its end wherever ``parts`` is set."""
     seam = np.flatnonzero(parts[1:])
     if not len(seam) or (label[run] == label[run[0]]).all():
@@ -257,7 +298,7 @@ def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.nda
         return
     # those outside the run's largest component against all, which leaves that one's members uncompared
     outer = np.flatnonzero(own != values[count.argmax()])
-    least = int(np.ceil(SKETCH_LEAST * sig.shape[1]))
+    least = int(np.ceil(cut * sig.shape[1]))
     first, second, score = [], [], []
     mine, wide = sig[run], size[run]
     for i in outer.tolist():
@@ -300,7 +341,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         hashes = C.WordHashes()
         keys, first = np.unique(t.column("key").to_numpy(), return_index=True)
         texts, known = t.column("x").cast(pa.large_binary()), t.column("component").to_numpy()[first]
-        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, t.column("order")[0].as_py(), known)
+        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, 0, known, 0.0)
         to = known[np.searchsorted(keys, reached)]
         a, b = np.unique(np.stack([known, to])[:, known != to], axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
@@ -312,7 +353,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     links = links.unionByName(same_key.join(multi.withColumnRenamed("key", "a"), "a", "left_semi"))
     found = C.components(links)
     member = reps.select("class", F.col("key").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    across = None if parted is None else C.staged(_cross_tasks(parted, found, most_members, most_shingles))
+    across = None
+    if parted is not None:
+        own = parted.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        apart = own.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        members = C.staged(own.join(apart.select("region"), "region", "left_semi").select("key", "component").distinct())
+        if not members.isEmpty():
+            across = C.staged(_rare_tasks(members, texts, width, percent, most_members, most_shingles))
     if across is not None and not across.isEmpty():
         more = across.join(texts, "key").groupBy("task").applyInArrow(compare_across, "a long, b long")
         merged = C.components(more).select(F.col("node").alias("component_id"), F.col("component").alias("merged"))

@@ -283,6 +283,31 @@ def test_large_region_without_a_hub(spark):
         assert by_row(neardup.near_duplicates(df, most_members=most)) == near_want(made)
 
 
+@pytest.mark.parametrize("most,rare", [(1024, 32), (4, 3)])
+def test_rare_shingles_meet_every_link(spark, monkeypatch, most, rare):
+    """Members that share a template in part: every two that are alike enough are in some task, whatever their sizes; many others are not."""
+    import random
+
+    monkeypatch.setattr(neardup, "RARE", rare)
+    rng, made = random.Random(3), []
+    templates = [[f"t{j}x{k}" for k in range(60)] for j in range(3)]
+    for i in range(140):
+        w = list(templates[i % 3]) + [f"o{i}x{k}" for k in range(rng.randrange(1, 16))]
+        for _ in range(rng.randrange(2)):
+            w[rng.randrange(60)] = f"c{i // 4}"
+        made.append((i, " ".join(w[rng.randrange(6) :])))
+    sets = {i: shingles(x) for i, x in made}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(i, i) for i in sets], "key long, component long")
+    texts = spark.createDataFrame([*made, made[5]], "key long, x string")
+    tasks = defaultdict(set)
+    for r in neardup._rare_tasks(members, texts, 5, 75, most, 1 << 30).collect():
+        tasks[r.task].add(r.key)
+    met = {(a, b) for t in tasks.values() for a in t for b in t if a < b}
+    assert len(links) > 50 and links <= met
+    assert max(map(len, tasks.values())) <= most if most > 8 else True
+
+
 # ---------------------------------------------------------------- op5
 
 
