@@ -2,13 +2,22 @@
 
 The base patterns find assignments, access keys and long hexadecimal runs
 wherever they stand.  The lexer reads the text as source or configuration
-(``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name := ..``,
-``name => ..``, ``<name>literal</name>``, literals in one or three quotes, several
-joined by ``+`` over lines) into pairs of a name and literals.
-A right side that is itself a name is replaced by the literals last assigned to
-it, through any number of steps, so a constant is judged by every name it
-reaches.  A pair scores by how sensitive its name's words are and by how much
-its literal looks like a secret; from ``LEAST_SCORE`` on the literal is found.
+into pairs of a name and its literals:
+
+* assignments: ``name = ".."``, ``:``, ``:=``, ``=>``, ``<-``, ``?=``, ``+=``, with a type
+  (``name: str = ".."``, ``const name string = ".."``), several names (``a, b = ".."``, item by
+  item; ``a = b = ".."``), keyword arguments, quoted keys, and the value on the next line, in
+  brackets, joined by ``+``, or in neighbouring quotes;
+* calls that name what they set or get: ``define("NAME", "..")``, ``get("name", "..")``;
+* markup: ``<name>..</name>``, attributes, and ``key="name" value=".."`` of one tag;
+* YAML blocks (``name: |``), and ``name:`` followed by ``value:``, in JSON too.
+
+A right side that is itself a name is replaced by the literals that it stands for, through
+any number of steps, so a constant is judged by every name it reaches.  Names are
+looked up in the scopes around (deeper braces or indents are inner scopes): an inner
+assignment doesn't change an outer name, and is seen outside only where nothing else
+has its name.  A pair scores by how sensitive its name's words are and by how much its
+literal, its escapes decoded, looks like a secret; from ``LEAST_SCORE`` on it is found.
 
 A span inside an assignment that a base pattern already found is not repeated.
 
@@ -21,6 +30,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
@@ -37,7 +47,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Weights of the words of a name, and words that make it harmless.
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "cred": 2, "creds": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "bearer": 2}
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "pw": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "cred": 2, "creds": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "bearer": 2}
 HARMLESS = {"count", "length", "len", "size", "max", "min", "limit", "type", "name", "path", "file", "url", "field", "label", "expires", "expiry", "index", "public", "hint"}
 PLACEHOLDERS = {"true", "false", "null", "none", "nil", "undefined", "changeme", "example", "placeholder", "redacted", "todo", "password", "secret", "token"}
 LEAST_SCORE = 4.0
@@ -47,11 +57,27 @@ LEAST_SCORE = 4.0
 _HINT = re.compile("|".join(sorted(SENSITIVE)), re.I)
 _NAME = r"[A-Za-z_$][\w$.-]*+"
 _TRIPLE = r"""\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}"""
-_ITEM = _TRIPLE + r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`|[^\s"'`,;#(){}\[\]<>+]++"""
-_PAIR = re.compile(rf"""(?<![\w$.-])({_NAME})["'\]]{{0,2}}[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+({_ITEM})((?:\s*+\+\s*+(?:{_ITEM}))*+)""")
-#: An element of markup whose tag is the name.
-_ELEMENT = re.compile(rf"""<({_NAME})(?:\s[^<>]*+)?>\s*+([^<>\s](?:[^<>]*[^<>\s])?)\s*+</\1\s*+>""")
-_ITEMS = re.compile(_ITEM)
+_QUOTED = _TRIPLE + r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"""
+#: A literal, after the letters that some languages put before it, and a word without quotes.
+_STRING = re.compile(rf"[rRbBuUfF@$]{{0,2}}({_QUOTED})")
+_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>+]++""")
+_OPERATOR = r":=|=>|<-|[?+]?=(?!=)|:(?![:/=])"
+#: What begins a pair, or ends a scope: a name with its operator, a call that names its first argument, a tag, a brace.
+_HEAD = re.compile(
+    rf"""(?<![\w$.-])(?P<names>{_NAME}(?:[ \t]*+,[ \t]*+{_NAME}){{1,6}})[ \t]*+=(?!=)"""
+    rf"""|(?<![\w$.-])(?P<typed>{_NAME})(?:[ \t]*+:[ \t]*+[\w.\[\]|?*&<>]{{1,60}}|[ \t]++(?P<second>[\w.\[\]*]{{1,60}}))[ \t]*+=(?!=)"""
+    rf"""|(?<![\w$.-])(?P<name>{_NAME})["'\]]{{0,2}}[ \t]*+(?P<op>{_OPERATOR})"""
+    rf"""|\([ \t]*+["'](?P<argument>{_NAME})["'][ \t]*+,(?=\s*+["'`])"""
+    r"""|<(?P<tag>[A-Za-z][\w:.-]*+)(?P<attributes>(?:\s++[\w:.-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+)\s*+/?>"""
+    r"""|(?P<brace>[{}])"""
+)
+_ATTRIBUTE = re.compile(r"""([\w:.-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+_TEXT = re.compile(r"\s*+([^<>\s](?:[^<>]*[^<>\s])?)\s*+</([\w:.-]++)\s*+>")
+_GAP = re.compile(r"[ \t]*+(?:\\\n[ \t]*+)?")
+_NEXT_LINE = re.compile(r"[ \t]*+(?:#[^\n]*+)?\n[ \t]*+(?=[\"'`(\[])")
+_BLOCK = re.compile(r"[ \t]*+[|>][+-]?\d?[ \t]*+\n")
+#: Names that only say which name the value beside them has, and what that value is called.
+_NAMING, _VALUE = {"name", "key", "id", "variable"}, {"value", "val", "default", "content"}
 _IDENTIFIER = re.compile(rf"{_NAME}\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -61,7 +87,7 @@ def name_score(name: str) -> float:
     words = [w.lower() for w in _WORDS.findall(name)]
     if any(w in HARMLESS for w in words):
         return 0.0
-    return float(sum(SENSITIVE.get(w, 0) for w in words))
+    return float(sum(SENSITIVE.get(w) or SENSITIVE.get(w.removesuffix("s"), 0) for w in words))
 
 
 def literal_score(literal: str) -> float:
@@ -76,27 +102,191 @@ def literal_score(literal: str) -> float:
     return (n >= 12) * 0.5 + (kinds - 1) * 0.5 + max(0.0, entropy - 2.0) * 0.5
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, its right side) of every assignment: items as (kind, start, end), kind ``"`` or ``n``.
+def decoded(literal: str) -> str:
+    """A literal's escapes resolved: of control characters, by number, and of characters that stand for themselves."""
+    if "\\" not in literal:
+        return html.unescape(literal) if "&" in literal else literal
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)) if m[1] or m[2] or m[3] else _CONTROL.get(m[4], m[4]), literal)
+
+
+_ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,5})\}|([\s\S]))")
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _literal(text: str, a: int, b: int) -> tuple[str, int, int]:
+    """A quoted span without its quotes."""
+    q = 3 if b - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1
+    return ('"', a + q, b - q)
+
 
-    Assignments come in the order of the text; elements of markup are pairs too.
+def _value(text: str, at: int, several: bool) -> tuple[list[list], list[str], int]:
+    """What stands right of an operator: values (lists of joined items), names assigned on the way, and where reading goes on.
+
+    Items are (kind, start, end), kind ``"`` for literals, ``n`` for names.  Commas part values,
+    inside brackets or where ``several`` are asked for; elsewhere a comma ends the right side.
     """
-    elements = [(m.start(1), m[1], [('"', *m.span(2))]) for m in _ELEMENT.finditer(text)] if "</" in text else []
-    at = 0
-    for m in _PAIR.finditer(text):
-        while at < len(elements) and elements[at][0] < m.start():
-            yield elements[at][1:]
-            at += 1
-        items = []
-        for i in _ITEMS.finditer(text, m.start(2), m.end()):
-            a, b = i.span()
-            if text[a] in "\"'`":
-                q = 3 if b - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1
-                items.append(('"', a + q, b - q))
+    values, names, depth, joined, done = [], [], 0, False, at
+    if m := _NEXT_LINE.match(text, at):
+        at = m.end()
+    while True:
+        at = (_SPACE if depth or joined else _GAP).match(text, at).end()
+        c = text[at : at + 1]
+        if m := _STRING.match(text, at):
+            item = _literal(text, *m.span(1))
+            if values and (joined or text[done - 1 : done] in "\"'`"):  # joined, or quotes side by side
+                values[-1].append(item)
+            else:
+                values.append([item])
+            at = done = m.end()
+            joined = False
+        elif c and c in "([" and not (values and not joined and not depth):
+            at, depth = at + 1, depth + 1
+            continue
+        elif c and c in ")]" and depth:
+            at = done = at + 1
+            depth -= 1
+            joined = False
+        elif (m := _BARE.match(text, at)) and (not values or joined):
+            if _CHAIN.match(text, m.end()) and _IDENTIFIER.match(text, *m.span()):
+                if depth:
+                    break
+                names.append(m[0])
+                at = done = _CHAIN.match(text, m.end()).end()
+                continue
+            item = ("n" if _IDENTIFIER.match(text, *m.span()) else '"', *m.span())
+            values[-1].append(item) if joined else values.append([item])
+            at = done = m.end()
+            joined = False
+        else:
+            break
+        after = _SPACE.match(text, at).end()
+        if text[after : after + 1] == "+" and text[after + 1 : after + 2] != "=":
+            at, joined = after + 1, True
+        elif text[after : after + 1] == "," and (depth or several):
+            nxt = _SPACE.match(text, after + 1).end() if depth else _GAP.match(text, after + 1).end()
+            if not _STRING.match(text, nxt) and not (names or _BARE.match(text, nxt)) or len(values) >= _MOST:
+                break
+            at, done = nxt, after + 1
+            if (m := _STRING.match(text, nxt)) and not _PAIRED.match(text, m.end()):
+                values.append([_literal(text, *m.span(1))])
+                at = done = m.end()
+            elif not depth and (m := _BARE.match(text, nxt)) and not _PAIRED.match(text, m.end()):
+                values.append([("n" if _IDENTIFIER.match(text, *m.span()) else '"', *m.span())])
+                at = done = m.end()
             else:
-                items.append(("n" if _IDENTIFIER.match(text, a, b) else '"', a, b))
-        yield m[1], items
-    yield from (e[1:] for e in elements[at:])
+                done = after
+                break
+    return values, names, max(done, 0)
+
+
+_SPACE = re.compile(r"\s*+")
+_CHAIN = re.compile(r"[ \t]*+=(?!=)[ \t]*+")
+_PAIRED = re.compile(rf"""["'\]]{{0,2}}[ \t]*+(?:{_OPERATOR})""")
+#: Values of one list.
+_MOST = 1 << 20
+
+
+def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], tuple[int, int, int]]]:
+    """(name, items of its right side, (braces, indent, least indent since the last pair)) of every pair, in the order of the text."""
+    at, depth, indent, naming, looked = 0, 0, _BLANKS.match(text).end(), None, 0
+    while m := _HEAD.search(text, at):
+        at = m.end()
+        if m["brace"]:
+            depth = max(0, depth + (1 if m["brace"] == "{" else -1))
+            naming = None
+            continue
+        least = indent
+        for line in _LINE.finditer(text, looked, m.start() + 1):  # lines without a pair end scopes, too
+            indent = line.end() - line.start() - 1
+            least = min(least, indent)
+        looked = m.start()  # what lies before is not looked at again
+        level = (depth, indent, least)
+        if m["tag"]:
+            pairs = [(x[1], (x.start(2), x.end(2)) if x[2] is not None else (x.start(3), x.end(3))) for x in _ATTRIBUTE.finditer(text, m.start("attributes"), m.end("attributes"))]
+            for name, (a, b) in pairs:
+                yield name, [('"', a, b)], level
+            named = {k.lower(): text[a:b] for k, (a, b) in pairs if k.lower() in _NAMING}
+            for k, (a, b) in pairs:
+                if k.lower() in _VALUE and named:
+                    yield from ((n, [('"', a, b)], level) for n in named.values())
+            if (x := _TEXT.match(text, at)) and x[2] == m["tag"]:
+                yield m["tag"], [('"', *x.span(1))], level
+                yield from ((n, [('"', *x.span(1))], level) for n in named.values())
+            continue
+        names = re.split(r"[ \t]*,[ \t]*", m["names"]) if m["names"] else [m["typed"] or m["argument"] or m["name"]]
+        if m["second"]:  # a name and its type, in either order
+            names.append(m["second"])
+        if (m["op"] or "") == ":" and (x := _BLOCK.match(text, at)):
+            items, at = _block(text, x.end(), indent)
+            yield names[0], items, level
+            continue
+        values, more, at = _value(text, at, bool(m["names"]))
+        if m["names"] and len(values) > 1:
+            yield from ((n, v, level) for n, v in zip(names, values))
+        elif values:
+            # commas part arguments and items: those of a list are all the name's, what follows a plain value is not
+            own = [i for v in (values if _LISTED.match(text, m.end()) else values[:1]) for i in v]
+            for n in [*names, *more]:
+                yield n, own, level
+            if m["name"] and names[0].lower().lstrip("-") in _NAMING and len(own) == 1:
+                naming = text[own[0][1] : own[0][2]]
+                continue
+            if naming and names[0].lower() in _VALUE:
+                yield naming, own, level
+        naming = None
+
+
+_BLANKS = re.compile(r"[ \t]*+(?:- [ \t]*+)?")
+_LINE = re.compile(r"\n[ \t]*+(?:- [ \t]*+)?(?=\S)")
+_LISTED = re.compile(r"\s*+[(\[]")
+
+
+def _block(text: str, at: int, indent: int) -> tuple[list[tuple[str, int, int]], int]:
+    """The lines of a YAML block deeper than ``indent``, without their indents, and where it ends."""
+    items = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        begin = _BLANKS_ONLY.match(text, at, end).end()
+        if begin < end:
+            if begin - at <= indent:
+                break
+            items.append(('"', begin, end))
+        at = end + 1
+    return items, min(at, len(text))
+
+
+_BLANKS_ONLY = re.compile(r"[ \t]*+")
+
+
+class Scopes:
+    """Names by scope: braces and indents around an assignment tell which."""
+
+    def __init__(self):
+        self.stack: list[tuple[tuple[int, int], dict]] = [((0, 0), {})]
+
+    def enter(self, depth: int, indent: int, least: int) -> None:
+        """Leaves the scopes that a place lies outside of, or that a line before it ended, and begins one if it lies deeper."""
+        self._leave((depth, min(least, indent)))
+        if self.stack[-1][0] < (depth, indent):
+            self.stack.append(((depth, indent), {}))
+
+    def _leave(self, level: tuple[int, int]) -> None:
+        while len(self.stack) > 1 and self.stack[-1][0] > level:
+            inner = self.stack.pop()[1]
+            at, outer = self.stack[-1]
+            if len(inner) > len(outer):  # what an inner scope named stays known, behind all that the outer one names
+                inner.update(outer)
+                self.stack[-1] = (at, inner)
+            else:
+                for k, v in inner.items():
+                    outer.setdefault(k, v)
+
+    def get(self, name: str):
+        return next((d[name] for _, d in reversed(self.stack) if name in d), None)
+
+    def set(self, name: str, value) -> None:
+        self.stack[-1][1][name] = value
 
 
 def scan_text(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -110,16 +300,17 @@ def scan_text(text: str) -> list[tuple[str, int, int, str, float]]:
     found += [("hex", *m.span(), "", 0.0) for m in _HEX.finditer(text)]
     if _HINT.search(text):
         best: dict[tuple[int, int], tuple] = {}
-        constants: dict[str, list] = {}  # [literals, the constants joined with them, the score of the most sensitive name that they have reached]
-        for name, items in lex(text):
+        scopes = Scopes()  # of [literals, the constants joined with them, the score of the most sensitive name that they have reached]
+        for name, items, level in lex(text):
+            scopes.enter(*level)
             value = [[], [], 0.0]
             for kind, a, b in items:
-                known = constants.get(text[a:b]) if kind == "n" else None
+                known = scopes.get(text[a:b]) if kind == "n" else None
                 if known is None:
                     value[0].append((a, b))
                 else:
                     value[1].append(known)
-            constants[name] = value
+            scopes.set(name, value)
             own = name_score(name)
             reached = [(value, "literal")]
             while reached:  # a value is walked again only for a more sensitive name, so joins upon joins take linear time
@@ -128,7 +319,7 @@ def scan_text(text: str) -> list[tuple[str, int, int, str, float]]:
                     continue
                 v[2] = own
                 for a, b in v[0]:
-                    looks = literal_score(text[a:b])
+                    looks = literal_score(decoded(text[a:b]))
                     if looks > 0 and own + looks >= LEAST_SCORE and own + looks > best.get((a, b), (0, 0, 0))[2]:
                         best[a, b] = (how, name, own + looks)
                 reached += [(c, "constant") for c in v[1]]

@@ -75,6 +75,60 @@ def test_syntax_of_literals():
     assert found("<tokenCount>q8Jd82!kdLwp0</tokenCount>") == set()
 
 
+SECRET = "Xk9$Qw7!Lp2mVn4r"
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        'db_password: str = "{}"', 'const dbPassword string = "{}"', 'const apiKey: string = "{}"', 'private static final String API_SECRET = "{}";', "export DB_PASSWORD={}",
+        '<add key="DbPassword" value="{}"/>', '<db password="{}">', '<param name="db_password">{}</param>', "- name: DB_PASSWORD\n  value: {}\n", '{{"name": "DB_PASSWORD", "value": "{}"}}',
+        'db_password:\n    "{}"', 'db_password = (\n    "{}"\n)', "client_secret: |\n  {}\nother: 1", 'define("DB_PASSWORD", "{}");', 'cfg.get("pw", "{}")', 'passwords = ["{}", "y"]',
+        'db_password, x = "{}", 1', 'x, db_password = 1, "{}"', 'a = b = "{}"\ndb_password = a', 'a = b = "{}"\ndb_password = b', "DB_PASSWORD ?= {}", 'db_password <- "{}"', 'db_password += "{}"',
+        'connect(user="x", password="{}")', "[db]\npassword = {}\n", 'if x:\n  a = "{}"\ndb_password = a',
+    ],
+)
+def test_syntax_of_assignments(form):
+    text = form.format(SECRET)
+    assert SECRET in {text[a:b] for k, a, b, *_ in secrets.scan_text(text) if k in ("literal", "constant")}
+    color = form.format(SECRET).replace("assword", "ainting").replace("ASSWORD", "AINTING").replace("pw", "px").replace("apiKey", "apple").replace("API_SECRET", "APPLE").replace("client_secret", "client_color")
+    assert not [f for f in secrets.scan_text(color) if f[0] in ("literal", "constant")]
+
+
+def test_neighbouring_quotes_scopes_and_escapes():
+    found = lambda x: {(k, x[a:b]) for k, a, b, *_ in secrets.scan_text(x) if k in ("literal", "constant")}
+    assert found('db_password = ("Xk9$Qw7!" "Lp2mVn4r")') == {("literal", "Xk9$Qw7!"), ("literal", "Lp2mVn4r")}
+    outer = 'k = "Zx9!kkPqL02mmQ"\ndef f():\n    k = "Zx9!kkPqL02mmR"\n    return 1\n'
+    assert found(f"{outer}db_password = k") == {("constant", "Zx9!kkPqL02mmQ")}
+    assert found(outer + "def g():\n    db_password = k") == {("constant", "Zx9!kkPqL02mmQ")}
+    assert found('{k: "Zx9!kkPqL02mmQ", sub: {k: "Zx9!kkPqL02mmR"}, db_password: k}') == {("constant", "Zx9!kkPqL02mmQ")}
+    assert secrets.decoded(r"\x41\u00e9\u{1F642}\n\\\q") == "A\u00e9\U0001f642\n\\q"
+    plain = r"\x61" * 12  # one letter, twelve times: no secret once it is decoded
+    assert found(f'db_password = "{plain}"') == set()
+
+
+@pytest.mark.parametrize("piece", ["password = [", "password = (", 'password = "', '<a key="x" ', "key, ", "a = ", "{k: ", 'x = ("a" "b" ', "password = a + b ", "key : a", " key\n  key: |\n", "w "])
+def test_lexing_takes_linear_time(piece):
+    """Ten times the text takes about ten times the steps, counted as calls of Python functions."""
+    import sys
+
+    def steps(n):
+        count = 0
+
+        def tick(frame, event, arg):
+            nonlocal count
+            count += 1
+
+        sys.setprofile(tick)
+        try:
+            secrets.scan_text(piece * n + ' token = "Zx9!kkPqL02mmQ"')
+        finally:
+            sys.setprofile(None)
+        return count
+
+    assert steps(4_000) < 14 * steps(400) + 2_000
+
+
 def test_secrets_of_long_texts():
     """Lexing takes time in proportion to a text, also where constants are joined upon constants."""
     import time
