@@ -240,7 +240,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: int = 0, known: np.ndarray | None = None, cut: float = SKETCH_LEAST) -> np.ndarray:
+def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: int = 0) -> np.ndarray:
     """The smallest key that each member reaches by confirmed links inside the region.
 
     Members are sorted by their signatures in the region's order of labels.  From
@@ -248,17 +248,12 @@ def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: i
     candidates: first neighbours in the order, then, as long as they are not in
     one component, all others, the most alike first.  Every two members become
     candidates at the depth of their common prefix, unless they are connected by
-    then, which those that part late mostly are.  Members of one component of
-    ``known`` count as linked.  Pairs whose signatures agree in less than ``cut`` are
-    passed over unless they are neighbours; 0 passes over none.
+    then, which those that part late mostly are.
     """
     n = len(keys)
     by_key = np.argsort(keys, kind="stable")
     keys, sets = keys[by_key], [sets[i] for i in by_key]
     label = np.arange(n)
-    if known is not None:
-        _, at, of = np.unique(known[by_key], return_index=True, return_inverse=True)
-        label = at[of]
     size = np.array([len(s) for s in sets])
 
     def confirm(i: int, j: int) -> None:
@@ -278,13 +273,13 @@ def link_region(keys: np.ndarray, sets: list[np.ndarray], percent: int, order: i
             heads = np.flatnonzero(lcp < depth)
             for a, b in zip(heads.tolist(), np.append(heads[1:], n).tolist()):
                 if b - a > 1:
-                    _link_run(sort[a:b], lcp[a:b] == depth, label, sig, size, percent, confirm, cut)
+                    _link_run(sort[a:b], lcp[a:b] == depth, label, sig, size, percent, confirm)
     out = np.empty(n, np.int64)
     out[by_key] = keys[label]
     return out
 
 
-def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, confirm, cut: float) -> None:
+def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, confirm) -> None:
     """Candidates among members that share a prefix, and part at its end wherever ``parts`` is set."""
     seam = np.flatnonzero(parts[1:])
     if not len(seam) or (label[run] == label[run[0]]).all():
@@ -298,7 +293,7 @@ def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.nda
         return
     # those outside the run's largest component against all, which leaves that one's members uncompared
     outer = np.flatnonzero(own != values[count.argmax()])
-    least = int(np.ceil(cut * sig.shape[1]))
+    least = int(np.ceil(SKETCH_LEAST * sig.shape[1]))
     first, second, score = [], [], []
     mine, wide = sig[run], size[run]
     for i in outer.tolist():
@@ -319,6 +314,32 @@ def _link_run(run: np.ndarray, parts: np.ndarray, label: np.ndarray, sig: np.nda
         a, b = a[512:][apart], b[512:][apart]
 
 
+def link_exactly(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest component of ``known`` that each member reaches by links between members of different components.
+
+    A member's overlaps with all others are counted at once, from the members of each of
+    its shingles, so every pair is judged on its full sets.  Members of the largest
+    component are not compared with each other.
+    """
+    n, size = len(keys), np.array([len(s) for s in sets])
+    own, label = np.unique(known, return_inverse=True)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    shingle = np.unique(every, return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    holders, each = owner[order], np.bincount(shingle)
+    start = np.cumsum(each) - each
+    ends = np.cumsum(size)
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero(label != largest).tolist():
+        mine = shingle[ends[i] - size[i] : ends[i]]
+        both = np.bincount(holders[C.ragged(start[mine], each[mine])], minlength=n)
+        hit = (100 * both >= percent * (size[i] + size - both)) & (both > 0)
+        met = np.unique(label[hit])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return own[label]
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most_members: int = MOST_MEMBERS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
     table = _sets_table(df, key, text, width)
@@ -341,8 +362,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         hashes = C.WordHashes()
         keys, first = np.unique(t.column("key").to_numpy(), return_index=True)
         texts, known = t.column("x").cast(pa.large_binary()), t.column("component").to_numpy()[first]
-        reached = link_region(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], percent, 0, known, 0.0)
-        to = known[np.searchsorted(keys, reached)]
+        to = link_exactly(keys, [shingle_set(texts[i].as_py(), hashes, width) for i in first.tolist()], known, percent)
         a, b = np.unique(np.stack([known, to])[:, known != to], axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
