@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..functions.exact import binomial_half
 from ..functions.metrics import matched_odds_ratio
-from .panel import numbered
+from .panel import numbered, stored
 
 
 def discordant_all(df: DataFrame, keys: list[str], stratum: Column) -> DataFrame:
@@ -29,6 +29,7 @@ def sampled_pairs(df: DataFrame, stratum: Column, k: int, seed: int, strict: boo
     ``strict`` drops cases with fewer than k.
     """
     d = df.withColumn("_s", stratum).withColumn("_id", F.concat_ws("|", F.col(cell).cast("string"), F.col(time).cast("string")))
+    d = stored(d.select(cell, "_s", "_id", time, "ep", "ar"))  # cases, controls and their numbers are read off it
     case = d.where("ep = 1").select(cell, "_s", F.col("_id").alias("cid"), F.col(time).alias("case_d"), F.col("ar").alias("case_ar"))
     ctrl = d.where("ep = 0").select(cell, "_s", F.col("_id").alias("kid"), F.col(time).alias("ctrl_d"), F.col("ar").alias("ctrl_ar"))
     return drawn_controls(case, ctrl, [cell, "_s"], k, seed, strict).select(cell, "case_d", "case_ar", "ctrl_d", "ctrl_ar")

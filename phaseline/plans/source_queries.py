@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import counts
-from ..sources import cube, files, grib, synthetic
+from ..sources import cube, files, grib
 from . import standins as S
 from .registry import query
 
@@ -159,26 +159,6 @@ def grib_first_of_month(spark, sf_dir):
     return grib.points(chosen).where("value is not null").groupBy(F.trunc("ts", "MM").alias("month")).agg(F.count(F.lit(1)).alias("points"), F.sum("value").cast("long").alias("exposed"))
 
 
-
-_U = lambda name, *parts: f"(('0x' || substr(md5(concat_ws('|', '42', '{name}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE + 0.5::DOUBLE / 4294967296)"
-_BELL = lambda centre, width: f"exp(-pow((day - {centre}) / {width}::DOUBLE, 2))"
-
-
-@query(f"""WITH t AS (SELECT CAST(i // 365 AS INTEGER) AS year, CAST(i % 365 + 1 AS INTEGER) AS day FROM range(0, 10950) r(i)),
-x AS (SELECT *, CASE WHEN {_U('wet', 'year', 'day')} < 0.45 + 0.35 * {_BELL(200, 75)} THEN -(ln({_U('a', 'year', 'day')}) + ln({_U('b', 'year', 'day')})) * (5 + 18 * {_BELL(200, 60)}) ELSE 0 END AS rain FROM t)
-SELECT year, day, round(rain + CASE WHEN year = 0 THEN {' + '.join(f'{h} * {_BELL(c, w)}' for c, h, w in synthetic.PEAKS)} ELSE 0 END, 6) AS precip FROM x""")
-def synthetic_rain(spark, sf_dir):
-    return synthetic.seasonal_rain(spark).withColumn("precip", R(F.col("precip")))
-
-
-@query(f"""WITH t AS (SELECT i AS id, CAST(1 + floor(12 * {_U('month', 'i')}) AS INTEGER) AS month, CAST(1 + floor(10 * {_U('grid', 'i')}) AS INTEGER) AS grid FROM range(0, 6000) r(i)),
-g AS (SELECT *, CASE WHEN grid <= 3 THEN 'Dry inland' WHEN grid <= 7 THEN 'Transition' ELSE 'Coastal humid' END AS region, CAST(month BETWEEN 6 AND 8 AS INTEGER) AS s, CAST(grid > 7 AS INTEGER) AS c FROM t),
-a AS (SELECT *, CAST({_U('ar', 'id')} < greatest(0.02, least(0.85, 0.08 + 0.33 * s + 0.25 * c)) AS INTEGER) AS ar FROM g)
-SELECT id, month, grid, region, ar, CAST({_U('ep', 'id')} < greatest(0.005, least(0.65, 0.015 + 0.09 * ar + 0.06 * s + 0.055 * c)) AS INTEGER) AS ep FROM a""")
-def synthetic_design(spark, sf_dir):
-    return synthetic.exposure_design(spark)
-
-
 @query(f"WITH {S.CELLS} SELECT 'counts' AS sheet, cell_id, CAST(a AS DOUBLE) AS value FROM cells UNION ALL SELECT 'shares', cell_id, round(a / nullif(a + b, 0)::DOUBLE, 6) FROM cells")
 def report_sheets(spark, sf_dir):
     """Several tables written under one report, and read back by name."""
