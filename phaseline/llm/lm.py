@@ -45,6 +45,8 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 ADD, WEIGHT = 0.1, 0.3
 #: Occurrences in training from which a pair of words is a state.
 LEAST_STATE = 4
+#: Tokens of a block that are walked as plain Python numbers at a time; the state goes on from slice to slice.
+STEPS = 1 << 16
 #: Fingerprints of the end of a text and of the start state.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
@@ -202,7 +204,7 @@ class Automaton:
     """
 
     def __init__(self, b: Block, n_train: int, distinct: int, weight: float):
-        self.block, width, pairs = b, b.width, len(b.pair_h)
+        self.block, self.weight, width, pairs = b, weight, b.width, len(b.pair_h)
         seen_word, seen_pair = b.total > 0, b.pair_total > 0
         self.of_word, self.of_pair = 1 + np.arange(width), 1 + width + np.arange(pairs)
         self.fail = np.concatenate([[0], np.zeros(width, np.int64), self.of_word[b.pair_w]])
@@ -230,29 +232,46 @@ class Automaton:
             yield int(self.of_pair[b.triple_state[t]]), int(b.triple_w[t]), float(self.arc_triple[t]), int(self.after_pair[b.triple_pair[t]])
 
     def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """(root weight, weight of the arcs taken) of every token, in order.
+        """(root weight, weight of the arcs taken) of every token, from left to right.
 
-        A state depends on the last two words alone, so the states in which all
-        tokens of the block are read are known at once, and every round follows
-        one arc of each token that has not yet been read.
+        The state is carried from token to token: the arc taken names the next one.
+        Where a state's arc for a token lies among all arcs was numbered with the
+        block (``pair``, ``triple``), so a step compares no words.
         """
-        b = self.block
-        state = np.empty(len(b.token), np.int64)
-        state[1:] = self.after_pair[b.pair[:-1]]
-        state[b.first] = self.of_word[b.start] if b.total[b.start] else 0
-        root = self.arc_word[b.token]
-        triple = np.full(len(b.token), -np.inf)
-        triple[b.place] = self.arc_triple[b.triple]
-        taken, left = np.zeros(len(b.token)), np.arange(len(b.token))
-        words = b.width
-        while len(left):
-            s = state[left]
-            arc = np.where(s > words, triple[left], np.where(s > 0, self.arc_pair[b.pair[left]], root[left]))
-            there = arc > -np.inf
-            taken[left[there]] += arc[there]
-            left = left[~there]
-            taken[left] += self.fail_weight[state[left]]
-            state[left] = self.fail[state[left]]
+        b, words = self.block, self.block.width
+        triple = np.full(len(b.token), -1)
+        triple[b.place] = b.triple
+        missing, fail_weight = -np.inf, float(np.log10(1 - self.weight))
+        first = self.of_word[b.start] if b.total[b.start] else 0
+        starts, root = np.zeros(len(b.token), bool), self.arc_word[b.token]
+        starts[b.first] = True
+        taken, state = np.empty(len(b.token)), 0
+        for at in range(0, len(b.token), STEPS):
+            here = slice(at, at + STEPS)
+            t, p, w = triple[here], b.pair[here], b.token[here]
+            three = np.where(t >= 0, self.arc_triple[t], missing) if len(self.arc_triple) else np.full(len(t), missing)
+            before = b.pair[np.maximum(np.arange(at, at + len(t)) - 1, 0)]
+            columns = (starts[here], three, self.arc_pair[p], root[here], self.after_pair[p], self.after_word[w], self.fail[self.of_pair[before]])
+            out = []
+            for new, x3, x2, x1, to_pair, to_word, failed in zip(*(c.tolist() for c in columns)):
+                if new:
+                    state = first
+                weight = 0.0
+                if state > words:  # a pair, whose failure arc leads to its second word
+                    if x3 > missing:
+                        out.append(x3)
+                        state = to_pair
+                        continue
+                    weight, state = fail_weight, failed
+                if state:  # a word, whose failure arc leads to the root
+                    if x2 > missing:
+                        out.append(weight + x2)
+                        state = to_pair
+                        continue
+                    weight += fail_weight
+                out.append(weight + x1)
+                state = to_word
+            taken[here] = out
         return root, taken
 
 

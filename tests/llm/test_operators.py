@@ -618,8 +618,10 @@ def test_arcs_of_each_state_sum_to_one():
         assert abs(sum(read(s, w) for w in vocabulary) + read(s, -1) - 1) < 1e-9
 
 
-def test_traversal_walks_the_states():
-    """The scores of a walk that carries one state from arc to arc."""
+@pytest.mark.parametrize("steps", [1 << 16, 7, 1])
+def test_traversal_walks_the_states(monkeypatch, steps):
+    """The scores of a walk over a table of arcs; the state goes on from slice to slice of any length."""
+    monkeypatch.setattr(lm, "STEPS", steps)
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(list("abcdefghijkl"), rng.integers(0, 40))).encode() for _ in range(120)]
     b, a = _automaton(texts)
