@@ -5,8 +5,9 @@ map side; a line goes if the share of its host's pages that contain it exceeds
 ``percent`` and it is on at least ``least`` pages.  At most
 ``lines a page * 100 / percent`` lines of a host can exceed the share, so the
 lines that go fit one array a host; pages are joined with their host's array,
-which is broadcast only where its stored size is under Spark's own threshold.
-The pages themselves are never shuffled for it.
+which is broadcast only where its stored size is under Spark's own threshold;
+pages are not shuffled then.  Beyond it they are, by host, and a hot host's are
+left to Spark's splitting of skewed joins.
 
 Only built-in DataFrame functions are used.
 
