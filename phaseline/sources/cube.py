@@ -8,9 +8,10 @@ installed, or a folder that ``write`` made.  The path may name several, by comma
 * ``read`` pushes comparisons of ts, lat and lon down: chunks of a folder are chosen by its
   index, and of a file only the times and the band of latitudes asked for are read.
   ``variables`` prunes columns: others are not read.
+* ``v is not null`` is pushed down too: points without a value are left out where they are read.
 * The driver knows files by their sizes and a folder by its index.  Headers and axes
   are read in tasks: a file is shared out by its size, and each task takes its share of
-  the times.
+  the times; of the chunks of a folder a task takes one, or several once there are many.
 * ``write`` deals rows out to chunks by ranges of the axes, one task a chunk; a chunk is a
   NetCDF file with CF attributes of its own, compressed whole if asked for.  Files are
   published by one index at the end (``store.FolderWriter``).
@@ -42,6 +43,8 @@ CF = {
 }
 #: Bytes of a file that one task reads, and values that it holds at once.
 SPLIT, HELD = 128 << 20, 1 << 21
+#: Chunks of a folder up to which each has a task of its own, and rows that are put together from small ones.
+TASKS, ROWS = 256, 1 << 15
 
 
 @dataclass
@@ -53,6 +56,13 @@ class _Share(InputPartition):
     parts: int
 
 
+@dataclass
+class _Chunks(InputPartition):
+    """Some of a folder's files, each read whole."""
+
+    paths: list[str]
+
+
 # --------------------------------------------------------------------------
 # one file
 
@@ -116,18 +126,30 @@ class CubeReader(DataSourceReader):
         self.paths, self.split = options["path"].split(","), int(options.get("splitBytes", SPLIT))
         self.times = int(options.get("times", 0))
         self.bounds = store.Bounds(AXES)
+        self.present: set[str] = set()  # variables that rows must have
 
     def partitions(self):
         out = []
         for p in self.paths:
             if store.is_folder(p):
-                out += [_Share(f"{p.rstrip('/')}/{e['file']}", 0, 1) for e in self._chosen(p)]
+                out += self._dealt(p, self._chosen(p))
             else:
                 (size,) = store.sizes([p])
                 parts = max(1, -(-size // self.split))
                 out += [_Share(p, i, parts) for i in range(parts)]
         return out or [_Share("", 0, 1)]
 
+    def _dealt(self, folder: str, chunks: list[dict]) -> list[_Chunks]:
+        """Chunks in the index's order, shared out by their bytes."""
+        total = sum(e["bytes"] for e in chunks)
+        parts = max(min(len(chunks), TASKS), -(-total // self.split))
+        out, before = {}, 0
+        for i, e in enumerate(chunks):
+            own = i if len(chunks) <= parts else before * parts // total
+            out.setdefault(own, []).append(f"{folder.rstrip('/')}/{e['file']}")
+            before += e["bytes"]
+        return [_Chunks(paths) for paths in out.values()]
+
     def _chosen(self, folder: str) -> list[dict]:
         """Index rows of the chunks that meet the bounds."""
         import pyarrow.compute as pc
@@ -137,9 +159,25 @@ class CubeReader(DataSourceReader):
             return []
         for a, (low, high) in self.bounds.items():
             t = t.filter(pc.and_(pc.less_equal(t[f"{a}_low"], high), pc.greater_equal(t[f"{a}_high"], low)))
-        return t.select(["file"]).to_pylist()
+        return t.select(["file", "bytes"]).to_pylist()
 
     def read(self, part):
+        import pyarrow as pa
+
+        if isinstance(part, _Share):
+            yield from self._rows(part)
+            return
+        held, n = [], 0
+        for path in part.paths:
+            for b in self._rows(_Share(path, 0, 1)):
+                held, n = [*held, b], n + len(b)
+                if n >= ROWS:
+                    yield pa.concat_batches(held)
+                    held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def _rows(self, part: _Share):
         import numpy as np
         import pyarrow as pa
 
@@ -167,17 +205,23 @@ class CubeReader(DataSourceReader):
             shape = (len(t), len(y), len(x))
             axes = [np.broadcast_to(v, shape).reshape(-1) for v in (t[:, None, None], y[None, :, None], x[None, None, :])]
             cols = [pa.array((axes[0] * 1e6).round().astype("datetime64[us]"), pa.timestamp("us", "UTC")), pa.array(axes[1]), pa.array(axes[2])]
+            there = np.ones(len(axes[0]), bool)
             for v in self.names:
-                got = np.asarray(get(v, i, j, low, high), float)[np.ix_(own - i, rows - low, columns)]
-                cols.append(pa.array(got.reshape(-1), from_pandas=True))
-            yield pa.RecordBatch.from_arrays(cols, [*AXES, *self.names])
+                got = np.asarray(get(v, i, j, low, high), float)[np.ix_(own - i, rows - low, columns)].reshape(-1)
+                cols.append(pa.array(got, from_pandas=True))
+                if v in self.present:
+                    there &= ~np.isnan(got)
+            b = pa.RecordBatch.from_arrays(cols, [*AXES, *self.names])
+            yield b if there.all() else b.filter(pa.array(there))
 
 
 class PushedCubeReader(CubeReader):
-    """The same with comparisons of the axes pushed down; Spark asks for its own setting then."""
+    """The same with comparisons of the axes, and variables that must be there, pushed down; Spark asks for its own setting then."""
 
     def pushFilters(self, filters):
+        filters = list(filters)
         self.bounds.narrow(filters)
+        self.present |= store.present(filters)
         return filters  # Spark still judges each row exactly
 
 
@@ -199,16 +243,13 @@ class CubeWriter(store.FolderWriter):
 
         held, key = [], None
         for b in batches:
-            keys, at = b.column(0), 0
-            while at < len(b):
-                own, end = keys[at].as_py(), at
-                while end < len(b) and keys[end].as_py() == own:
-                    end += 1
+            for at, end in store.stretches(b.columns[:1]):
+                own = b.column(0)[at].as_py()
                 if own != key and held:
                     yield self._chunk(pa.Table.from_batches(held))
                     held = []
                 held.append(b.slice(at, end - at))
-                key, at = own, end
+                key = own
         if held:
             yield self._chunk(pa.Table.from_batches(held))
 

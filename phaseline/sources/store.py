@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSourceArrowWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
@@ -102,6 +102,25 @@ class Bounds(dict):
         return self[name][0] <= value <= self[name][1]
 
 
+def present(filters: Iterable) -> set[str]:
+    """Columns that pushed filters ask to be there."""
+    return {f.attribute[0] for f in filters if isinstance(f, IsNotNull) and len(f.attribute) == 1}
+
+
+def stretches(columns: Iterable) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of rows that are alike in all ``columns``, Arrow arrays of one length."""
+    import numpy as np
+
+    new = None
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        if new is None:
+            new = np.arange(len(code)) == 0
+        new[1:] |= code[1:] != code[:-1]
+    starts = np.flatnonzero(new).tolist()
+    yield from zip(starts, [*starts[1:], len(new)])
+
+
 def _number(v) -> float:
     return (v if v.tzinfo else v.replace(tzinfo=dt.timezone.utc)).timestamp() if isinstance(v, dt.datetime) else float(v)
 
