@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-#: Values of unpacked flags that a task holds at once.
-HELD = 1 << 24
+#: Values of an unpacked flag that a task holds at once; the operators make some tens of bytes of each.
+HELD = 1 << 21
 
 
 def packed(df: DataFrame, flags: list[str], t: str = "t", key: str = "cell_id") -> DataFrame:
     """(key, words): for every key of ``df`` its words, each (word, bits of every flag); bit i of a word is the time 64 word + i, negative times are left out."""
     word, bit = F.expr(f"{t} div 64").cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(t) % 64).cast("int"))
     d = df.select(key, *(F.when(F.col(f) == 1, bit).otherwise(0).cast("long").alias(f) for f in flags), F.when(F.col(t) >= 0, word).alias("word"))
-    words = d.repartition(key).groupBy(key, "word").agg(*(F.bit_or(f).alias(f) for f in flags))  # the second grouping needs no exchange
+    words = d.groupBy(key, "word").agg(*(F.bit_or(f).alias(f) for f in flags))  # rows that lie by the key already need no exchange
     return words.groupBy(key).agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", *flags))).alias("words"))
 
 
@@ -50,8 +50,8 @@ def over_cells(series: DataFrame, flags: list[str], times: int, make: Callable[[
     import pyarrow as pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, HELD // max(1, times))
         for b in batches:
-            step = max(1, HELD // max(1, times))
             for i in range(0, len(b), step):
                 part = b.slice(i, step)
                 words = part.column(1)

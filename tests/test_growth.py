@@ -49,3 +49,16 @@ def test_points_without_a_value_are_not_sent(spark, tmp_path):
     reader.pushFilters([IsNotNull(("v",))])
     assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == 3
     assert cube.read(spark, [f"{tmp_path}/c"], ["v"]).count() == 9 and cube.read(spark, [f"{tmp_path}/c"], ["v"]).where("v is not null").count() == 3
+
+
+def _flags_at_once(spark, cells: int, times: int) -> list[int]:
+    """Values of a flag that ``over_cells`` unpacks at once, a number a part."""
+    words = [(i, [(0, 1, 1)]) for i in range(cells)]
+    series = spark.createDataFrame(words, "cell_id int, words array<struct<word: bigint, ar: bigint, ep: bigint>>").coalesce(1)
+    sizes = lambda flags: (np.zeros(1, np.int64), {"n": np.array([flags["ar"].size])})
+    return [r.n for r in bitseries.over_cells(series, ["ar", "ep"], times, sizes, "n long").collect()]
+
+
+def test_a_task_unpacks_few_flags_at_once(spark):
+    n = _flags_at_once(spark, 3_000, 2_500)
+    assert sum(n) == 3_000 * 2_500 and max(n) <= 1 << 21
