@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -66,55 +66,54 @@ def hit_share(df: DataFrame, lags: int, keys: list[str] = ["cell_id"]) -> DataFr
     return d.groupBy(*keys, "lag").agg(F.avg(F.when(F.col("_d") <= F.col("lag"), 1.0).otherwise(0.0)).alias("share"))
 
 
-#: Draws that one md5 gives, and groups of draws that every series makes before it may stop.
-_EACH, _FIRST = 4, 13
+#: Draws that one md5 gives.
+_EACH = 4
 
 
-def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, least: int = 10, absolute: float = 0.01, relative: float = 0.1, keys: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
+def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, days: Column | None = None, least: int = 10, absolute: float = 0.01, relative: float = 0.1, keys: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
     """(keys, p, n, converged): sequential permutation test of the joint count sum(ar ep).
 
     Exposure is shuffled within the year-months of each cell.  The joint count of
     a month of n days with x exposures and y outcomes is then hypergeometric, so
-    it is drawn from the counts: a row a month and four draws, and no day is
-    moved.  Months without an outcome or without an exposure add nothing.  The
-    first draws decide for most series; only the others make the rest.  The rule
-    is judged after every draw, and the first one at which it stops is reported.
+    it is drawn from the counts, and no day is moved.  Months without an outcome or
+    without an exposure add nothing.  A cell is one row with an array of its
+    months: draws are made from it four at a time, the rule is judged after every
+    draw, and nothing is drawn after the first one at which it stops.
+
+    ``df`` has a row a day.  With ``days``, how many days the series has in the month
+    that begins at ``_ym``, days without exposure and outcome need no row.
     """
-    d = df.groupBy(*keys, F.date_format("d", "yyyy-MM").alias("_ym")).agg(F.count(F.lit(1)).alias("_n"), F.sum("ar").cast("long").alias("_x"), F.sum("ep").cast("long").alias("_y"), F.sum(F.col("ar") * F.col("ep")).cast("long").alias("_j"))
-    d = d.persist()  # a row a cell and month, computed again if lost
-    real = d.groupBy(*keys).agg(F.sum("_j").alias("real"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"))
-    live = d.where("_x > 0 and _y > 0")
-    kinds = live.select("_n", "_x", "_y").distinct().withColumn("_cdf", hypergeometric_cdf(F.col("_n"), F.col("_x"), F.col("_y")))
-    live = live.join(kinds, ["_n", "_x", "_y"]).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_ym")  # few rows, many draws
-    live = live.withColumn("_lo", F.greatest(F.lit(0).cast("long"), F.col("_x") + F.col("_y") - F.col("_n")))
-
-    def drawn(strata: DataFrame, first: int, last: int) -> DataFrame:
-        """(keys, iter, stat) of the groups of draws from ``first`` up to ``last``."""
-        m = strata.select(*keys, "_ym", "_lo", "_cdf", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("_g"))
-        m = m.withColumn("_u", draws.key(seed, *(F.col(k) for k in keys), F.col("_ym"), F.col("_g")))
-        count = lambda i: F.least(F.col("_lo") + F.size(F.filter("_cdf", lambda c: c <= draws.uniforms(F.col("_u"), i))), F.col("_lo") + F.size("_cdf") - 1)
-        g = m.groupBy(*keys, "_g").agg(F.array(*(F.sum(count(i)) for i in range(_EACH))).alias("_s"))
-        g = g.select(*keys, "_g", F.posexplode("_s").alias("_i", "stat"))
-        return g.select(*keys, (F.col("_g") * _EACH + F.col("_i")).alias("iter"), "stat").where(F.col("iter") < iterations)
-
-    def judged(cells: DataFrame, stats: DataFrame, upto: int) -> DataFrame:
-        """(keys, p, n, converged) after at most ``upto`` draws."""
-        w = Window.partitionBy(*keys).orderBy("iter")
-        run = cells.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))).join(stats, [*keys, "iter"], "left")
-        run = run.withColumn("stat", F.coalesce("stat", F.lit(0))).withColumn("n", F.col("iter") + 1)
-        run = run.withColumn("p", (F.sum(F.when(F.col("stat") >= F.col("real"), 1).otherwise(0)).over(w) + 1) / (F.col("n") + 1))
-        half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("n") + 1))
-        run = run.withColumn("stop", (F.col("n") >= least) & ((half <= absolute) | (half / F.col("p") <= relative)))
-        best = F.min_by(F.struct("p", "n", F.col("stop").alias("converged")), F.when(F.col("stop"), F.col("n")).otherwise(F.lit(2 * upto) - F.col("n")))
-        return run.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.p", "_b.n", "_b.converged")
-
-    groups = -(-iterations // _EACH)
-    first = min(groups, _FIRST)
-    cells, early = real.where("_sx > 0 and _sy > 0").select(*keys, "real"), drawn(live, 0, first)
-    out = judged(cells, early, min(iterations, first * _EACH))
-    if groups > first:
-        out = out.persist()
-        rest = out.where("not converged").select(*keys)
-        late = drawn(live.join(rest, keys, "left_semi"), first, groups)
-        out = out.where("converged").unionByName(judged(cells.join(rest, keys, "left_semi"), early.join(rest, keys, "left_semi").unionByName(late), iterations))
-    return real.select(*keys).join(out, keys, "left").select(*keys, "p", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("converged", F.lit(False)).alias("converged"))
+    d = df.groupBy(*keys, F.trunc("d", "MM").alias("_ym")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("ar").cast("long").alias("_x"), F.sum("ep").cast("long").alias("_y"), F.sum(F.col("ar") * F.col("ep")).cast("long").alias("_j"))
+    n = F.col("_rows") if days is None else days.cast("long")
+    live = (F.col("_x") > 0) & (F.col("_y") > 0)
+    # an ordered array, so that every run makes the same row
+    months = F.sort_array(F.collect_list(F.when(live, F.struct("_ym", n.alias("n"), F.col("_x").alias("x"), F.col("_y").alias("y")))))
+    real = d.groupBy(*keys).agg(F.sum("_j").alias("_real"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"), months.alias("_months"))
+    cdf = lambda m: hypergeometric_cdf(m["n"], m["x"], m["y"])
+    ready = F.transform("_months", lambda m: F.struct(F.date_format(m["_ym"], "yyyy-MM").alias("ym"), F.greatest(F.lit(0).cast("long"), m["x"] + m["y"] - m["n"]).alias("lo"), cdf(m).alias("cdf")))
+    real = real.withColumn("_months", ready)
+
+    def drawn(g: Column) -> Column:
+        """The joint counts of the four draws of group ``g``."""
+        seen = F.transform("_months", lambda m: F.struct(m["lo"].alias("lo"), m["cdf"].alias("cdf"), draws.key(seed, *(F.col(k) for k in keys), m["ym"], g).alias("u")))
+        count = lambda m, i: F.least(m["lo"] + F.size(F.filter(m["cdf"], lambda c: c <= draws.uniforms(m["u"], i))), m["lo"] + F.size(m["cdf"]) - 1)
+        none = F.array(*(F.lit(0).cast("long") for _ in range(_EACH)))
+        return F.aggregate(seen, none, lambda t, m: F.array(*(F.get(t, F.lit(i)) + count(m, i) for i in range(_EACH))))
+
+    def state(hits: Column, n: Column, stop: Column) -> Column:
+        return F.struct(hits.cast("long").alias("hits"), n.cast("int").alias("n"), stop.alias("stop"))
+
+    share = lambda hits, n: (hits + 1) / (n + 1)
+
+    def judged(s: Column, stat: Column) -> Column:
+        """The state after one more draw, unless the rule has stopped or all draws are made."""
+        hits, n = s["hits"] + F.when(stat >= F.col("_real"), 1).otherwise(0), s["n"] + 1
+        p = share(hits, n)
+        half = 1.96 * F.sqrt(p * (1 - p) / (n + 1))
+        return F.when(s["stop"] | (s["n"] >= iterations), s).otherwise(state(hits, n, (n >= least) & ((half <= absolute) | (half / p <= relative))))
+
+    groups = F.sequence(F.lit(0), F.lit(-(-iterations // _EACH) - 1))
+    start = state(F.lit(0), F.lit(0), F.lit(False))
+    run = F.aggregate(groups, start, lambda s, g: F.when(s["stop"], s).otherwise(F.aggregate(drawn(g), s, judged)))
+    out = real.select(*keys, F.when((F.col("_sx") > 0) & (F.col("_sy") > 0), run).alias("_s"))
+    return out.select(*keys, share(F.col("_s.hits"), F.col("_s.n")).alias("p"), F.coalesce("_s.n", F.lit(0)).alias("n"), F.coalesce("_s.stop", F.lit(False)).alias("converged"))

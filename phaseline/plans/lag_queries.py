@@ -31,6 +31,13 @@ def _series(spark, sf_dir):
     return B.packed(p, ["ar", "ep"]), (last - first).days + 1
 
 
+def _monte_carlo(spark, sf_dir):
+    """Monte-Carlo p from the rows that the panel has: the calendar tells how many days of a month the dense one has."""
+    first, last = S.days(spark, sf_dir)
+    days = F.datediff(F.least(F.last_day("_ym"), F.lit(last)), F.greatest("_ym", F.lit(first))) + 1
+    return L.monte_carlo(S.panel(spark, sf_dir).where(F.col("d").between(F.lit(first), F.lit(last))), ITERATIONS, 42, days)
+
+
 def _correlated(spark, sf_dir):
     series, days = _series(spark, sf_dir)
     return B.cross_correlation(series, LAGS, days)
@@ -83,7 +90,7 @@ mc AS (SELECT rl.cell_id, p, coalesce(n, 0) AS n, coalesce(stop, false) AS conve
 
 @query(f"WITH {_MC} SELECT cell_id, round(p, 6) AS p, n, converged FROM mc", ints=("n",))
 def seq_mc_pvalue(spark, sf_dir):
-    return L.monte_carlo(_dense(spark, sf_dir), ITERATIONS, 42).withColumn("p", R(F.col("p")))
+    return _monte_carlo(spark, sf_dir).withColumn("p", R(F.col("p")))
 
 
 @query(f"WITH {_XC}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc) SELECT cell_id, lag, round(r, 6) AS r FROM top WHERE o = 1", ints=("lag",))
@@ -94,9 +101,9 @@ def strongest_lag(spark, sf_dir):
 @query(f"WITH {_XC}, {_MC[len(_DENSE) + 2:]}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(abs(r), 9) DESC, lag) AS o FROM xc), k AS (SELECT cell_id, count(DISTINCT ar) > 1 AND count(DISTINCT ep) > 1 AS ok FROM dn GROUP BY 1) SELECT cell_id, CASE WHEN ok THEN lag END AS lag, CASE WHEN ok THEN round(r, 6) END AS r, CASE WHEN ok THEN round(p, 6) END AS p FROM top JOIN mc USING (cell_id) JOIN k USING (cell_id) WHERE o = 1", ints=("lag",))
 def point_diagnostics(spark, sf_dir):
     """Strongest lag and Monte-Carlo p of every cell; NULL where a series is constant."""
-    d = _dense(spark, sf_dir)
-    top = L.strongest(_correlated(spark, sf_dir))
-    ok = d.groupBy("cell_id").agg(((F.min("ar") < F.max("ar")) & (F.min("ep") < F.max("ep"))).alias("ok"))
-    mc = L.monte_carlo(d, ITERATIONS, 42)
+    series, days = _series(spark, sf_dir)
+    top = L.strongest(B.cross_correlation(series, LAGS, days))
+    ok = S.panel(spark, sf_dir).groupBy("cell_id").agg((F.sum("ar").between(1, days - 1) & F.sum("ep").between(1, days - 1)).alias("ok"))
+    mc = _monte_carlo(spark, sf_dir)
     j = top.join(mc.select("cell_id", "p"), "cell_id").join(ok, "cell_id")
     return j.select("cell_id", F.when(F.col("ok"), F.col("lag")).alias("lag"), F.when(F.col("ok"), R(F.col("r"))).alias("r"), F.when(F.col("ok"), R(F.col("p"))).alias("p"))

@@ -24,11 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell_id, d, v, ar): the daily panel before flags."""
+    """(cell_id, d, v, ar): the daily panel before flags.
+
+    Lines are dealt out by cell, their one exchange: what is grouped or ordered by cell afterwards stays in its task.
+    """
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("cell_id"), F.to_date("l_shipdate").alias("d")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("v"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("ar")
-    )
+    cents, returned = F.round(F.col("l_extendedprice") * 100).cast("long"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    li = li.select(F.col("l_suppkey").alias("cell_id"), F.to_date("l_shipdate").alias("d"), cents.alias("v"), returned.alias("ar"))
+    shares = _shares(spark, sf_dir)
+    li = li.repartition(shares, "cell_id") if shares else li.repartition("cell_id")
+    return li.groupBy("cell_id", "d").agg(F.sum("v").alias("v"), F.max("ar").alias("ar"))
+
+
+#: Lines of a task.
+LINES = 1 << 19
+
+
+def _shares(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the lines fill, where they are more than the session's partitions; else 0.  Counted from the file's footers."""
+    fill = -(-table(spark, sf_dir, "lineitem").count() // LINES)
+    return fill if fill > int(spark.conf.get("spark.sql.shuffle.partitions")) else 0
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -38,9 +53,9 @@ def located(df: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, lat, lon, d, v, ar, ep)."""
-    d = daily(spark, sf_dir)
-    thr = d.groupBy("cell_id").agg(F.round(F.percentile("v", F.lit(0.95)), 6).alias("thr"))
-    return located(d.join(thr, "cell_id").withColumn("ep", (F.col("v") > F.col("thr")).cast("int")).drop("thr"))
+    d = daily(spark, sf_dir).where("cell_id is not null")
+    thr = F.round(F.percentile("v", F.lit(0.95)).over(Window.partitionBy("cell_id")), 6)
+    return located(d.withColumn("thr", thr).withColumn("ep", (F.col("v") > F.col("thr")).cast("int")).drop("thr"))
 
 
 def days(spark: SparkSession, sf_dir: str) -> tuple:

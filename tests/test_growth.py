@@ -62,3 +62,18 @@ def _flags_at_once(spark, cells: int, times: int) -> list[int]:
 def test_a_task_unpacks_few_flags_at_once(spark):
     n = _flags_at_once(spark, 3_000, 2_500)
     assert sum(n) == 3_000 * 2_500 and max(n) <= 1 << 21
+
+
+def test_monte_carlo_takes_one_exchange(spark):
+    """No dense panel is made and no draw is shuffled: rows are dealt out by cell, and the rest stays in its task."""
+    assert _plan(registry.queries()["seq_mc_pvalue"](spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_monte_carlo_of_sparse_rows_is_that_of_dense_ones(spark):
+    rng = np.random.default_rng(1)
+    rows = [(c, dt.date(2000, 1, 10) + dt.timedelta(days=t), int(rng.random() < 0.3), int(rng.random() < 0.2)) for c in range(6) for t in range(100)]
+    dense = spark.createDataFrame(rows, "cell_id int, d date, ar int, ep int")
+    last = F.lit(dt.date(2000, 1, 10) + dt.timedelta(days=99))
+    days = F.datediff(F.least(F.last_day("_ym"), last), F.greatest("_ym", F.lit(dt.date(2000, 1, 10)))) + 1
+    sparse = lagdiag.monte_carlo(dense.where("ar + ep > 0"), 50, 7, days)
+    assert sorted(sparse.collect()) == sorted(lagdiag.monte_carlo(dense, 50, 7).collect())
