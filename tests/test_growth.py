@@ -77,3 +77,8 @@ def test_monte_carlo_of_sparse_rows_is_that_of_dense_ones(spark):
     days = F.datediff(F.least(F.last_day("_ym"), last), F.greatest("_ym", F.lit(dt.date(2000, 1, 10)))) + 1
     sparse = lagdiag.monte_carlo(dense.where("ar + ep > 0"), 50, 7, days)
     assert sorted(sparse.collect()) == sorted(lagdiag.monte_carlo(dense, 50, 7).collect())
+
+
+def test_long_axes_are_unpacked_by_fewer_cells(spark):
+    n = _flags_at_once(spark, 300, 50_000)
+    assert sum(n) == 300 * 50_000 and max(n) <= 1 << 21
