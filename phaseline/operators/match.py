@@ -6,7 +6,7 @@ cell and stratum (by default the calendar month, whatever the year).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -76,13 +76,14 @@ def pooled(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
 def permuted(df: DataFrame, value: str, stratum: list[str], unit: str, iterations: int, seed: int, first: int = 0) -> DataFrame:
     """(iter, stratum, unit, value): values shuffled among the units of each stratum.
 
-    Units in order are joined with units in the order of a draw, so each
-    iteration is a permutation within every stratum.
+    Units in order are put beside units in the order of a draw, so each iteration is a
+    permutation within every stratum.  A stratum is one row with an array of its units,
+    which are the days of a month or of a calendar month: iterations take no copy of the
+    rows through an exchange, and rows that already lie by a part of the stratum stay.
     """
-    its = F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))).alias("iter")
-    w = Window.partitionBy(*stratum)
-    to = df.select(*stratum, unit, F.row_number().over(w.orderBy(unit)).alias("_r")).select("*", its)
-    of = df.select(*stratum, unit, value, its)
-    wi = Window.partitionBy("iter", *stratum)
-    of = of.withColumn("_r", F.row_number().over(wi.orderBy(draws.key(seed, F.col("iter"), F.col(unit)), unit))).drop(unit)
-    return to.join(of, ["iter", *stratum, "_r"]).drop("_r")
+    rows = df.groupBy(*stratum).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(value).alias("v")))).alias("_rows"))
+    its = rows.withColumn("iter", F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))))
+    drawn = F.sort_array(F.transform("_rows", lambda r: F.struct(draws.key(seed, F.col("iter"), r["u"]).alias("h"), r["u"].alias("u"), r["v"].alias("v"))))
+    pairs = F.explode(F.arrays_zip(F.col("_rows.u").alias("u"), F.col("_of.v").alias("v"))).alias("_p")
+    out = its.withColumn("_of", drawn).select("iter", *stratum, pairs)
+    return out.select("iter", *stratum, F.col("_p.u").alias(unit), F.col("_p.v").alias(value))

@@ -82,3 +82,10 @@ def test_monte_carlo_of_sparse_rows_is_that_of_dense_ones(spark):
 def test_long_axes_are_unpacked_by_fewer_cells(spark):
     n = _flags_at_once(spark, 300, 50_000)
     assert sum(n) == 300 * 50_000 and max(n) <= 1 << 21
+
+
+def test_permutation_joins_no_copies(spark):
+    """Iterations are made inside a stratum's row: no iteration is sorted, exchanged or joined."""
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 4)], "s string, u int, v int")
+    plan = _plan(match.permuted(df, "v", ["s"], "u", 3, 1))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
