@@ -89,3 +89,7 @@ def test_permutation_joins_no_copies(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 4)], "s string, u int, v int")
     plan = _plan(match.permuted(df, "v", ["s"], "u", 3, 1))
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_point_diagnostics_make_no_dense_rows(spark):
+    assert "explode" not in _plan(registry.queries()["point_diagnostics"](spark, SF))
