@@ -138,6 +138,9 @@ def _unpacked(data: bytes, bits: int, n: int):
 
     if bits in (8, 16, 32):
         return np.frombuffer(data, f">u{bits // 8}", n).astype(float)
+    if bits == 24:
+        high, middle, low = np.frombuffer(data, np.uint8, 3 * n).reshape(n, 3).astype(float).T
+        return (high * 256 + middle) * 256 + low
     each = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     out = np.zeros(n)
     for column in each.T:
@@ -186,12 +189,15 @@ def decode(raw: bytes, m: Message):
     return np.repeat(lats, columns), np.tile(lons, rows), values
 
 
-def _points(m: Message, raw: bytes):
-    """A message's rows as one Arrow batch."""
+def _points(m: Message, raw: bytes, present: bool = False):
+    """A message's rows as one Arrow batch; ``present`` leaves masked points out."""
     import numpy as np
     import pyarrow as pa
 
     lats, lons, values = decode(raw, m)
+    if present:
+        known = ~np.isnan(values)
+        lats, lons, values = lats[known], lons[known], values[known]
     n = len(values)
     same = lambda v: pa.array(np.full(n, v, np.int32))
     ts = pa.array(np.full(n, round(m.ts * 1e6), "datetime64[us]"), pa.timestamp("us", "UTC"))
@@ -218,7 +224,7 @@ def _ranges(paths: Iterable[str], split: int) -> list[_Range]:
 class GribReader(DataSourceReader):
     def __init__(self, options):
         self.paths, self.split = options["path"].split(","), int(options.get("splitBytes", SPLIT))
-        self.bounds = store.Bounds(("ts", "param", "level_type", "level"))
+        self.bounds, self.present = store.Bounds(("ts", "param", "level_type", "level")), False
         for k in ("param", "level_type"):
             if options.get(k):
                 self.bounds[k] = [float(options[k])] * 2
@@ -233,14 +239,16 @@ class GribReader(DataSourceReader):
         if part.path:
             read = store.Ranges(part.path)
             for m in messages_in(read, part.start, part.stop, self._wanted):
-                yield _points(m, read(m.at, m.size))
+                yield _points(m, read(m.at, m.size), self.present)
 
 
 class PushedGribReader(GribReader):
-    """The same with comparisons of what headers say pushed down; Spark asks for its own setting then."""
+    """The same with comparisons of what headers say, and ``value is not null``, pushed down; Spark asks for its own setting then."""
 
     def pushFilters(self, filters):
+        filters = list(filters)
         self.bounds.narrow(filters)
+        self.present |= "value" in store.present(filters)
         return filters  # Spark still judges each row exactly
 
 
@@ -346,7 +354,10 @@ def encode(ts: float, param: int, level_type: int, level: int, lats, lons, value
         mask = np.packbits(known).tobytes()
         mask += b"\0" * (len(mask) % 2)
         bms = number(6 + len(mask), 3) + bytes([8 * len(mask) - len(flat)]) + b"\0\0" + mask
-    packed = np.packbits(((steps[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1)).tobytes()
+    if bits in (8, 16, 24, 32):  # whole bytes
+        packed = steps.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - bits // 8 :].tobytes()
+    else:
+        packed = np.packbits(((steps[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1)).tobytes()
     unused = 8 * len(packed) - bits * len(v)
     if (11 + len(packed)) % 2:
         packed, unused = packed + b"\0", unused + 8
@@ -377,19 +388,16 @@ class GribWriter(store.FolderWriter):
             return encode(ts, *key[1:], lats, lons, t.column("value").to_numpy(), self.bits, self.decimal)
 
         for b in batches:
-            keys, at = list(zip(*(b.column(c).to_pylist() for c in names))), 0
-            while at < len(b):
-                end = at
-                while end < len(b) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != key and held:
+            for at, end in store.stretches([b.column(b.schema.get_field_index(c)) for c in names]):
+                own = tuple(b.column(c)[at].as_py() for c in names)
+                if own != key and held:
                     data += message()
                     held, n = [], n + 1
                     if len(data) >= self.most:
                         yield bytes(data), {"messages": n}
                         data, n = bytearray(), 0
                 held.append(b.slice(at, end - at))
-                key, at = keys[at], end
+                key = own
         if held:
             data += message()
             n += 1

@@ -93,3 +93,13 @@ def test_permutation_joins_no_copies(spark):
 
 def test_point_diagnostics_make_no_dense_rows(spark):
     assert "explode" not in _plan(registry.queries()["point_diagnostics"](spark, SF))
+
+
+def test_masked_points_are_not_sent(tmp_path):
+    at = np.arange(12)
+    values = np.where(at % 3 == 0, np.nan, at * 70_001.0)
+    (tmp_path / "x.grib").write_bytes(grib.encode(86400.0, 228, 1, 0, 10 + at // 4 / 4, 100 + at % 4 / 4, values))
+    reader = grib.PushedGribReader({"path": str(tmp_path / "x.grib")})
+    reader.pushFilters([IsNotNull(("value",))])
+    got = [v for p in reader.partitions() for b in reader.read(p) for v in b.column("value").to_pylist()]
+    assert sorted(got) == [v for v in values.tolist() if v == v]
