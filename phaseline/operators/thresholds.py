@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
+from collections.abc import Iterable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import draws
 from .panel import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 
 def window_days(doy: Column, half: int, ring: int) -> Column:
     """Days of the year whose window of +-half days on a ring holds ``doy``."""
@@ -80,9 +84,10 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
     pass.  A pass leaves some hundredth of a group whatever its values are; equal
     values are a pivot's own count.  Once what is left of a group fits one task, it is
     sorted there.  Only pivots and counts, a few a group and run, reach the driver.
+    Runs and values are stored first, so ``df`` is made once and passes only scan.
     """
     spark = df.sparkSession
-    d = df.select(*run, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    d = stored(df.select(*run, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"))
     sketch = F.expr(f"kll_sketch_agg_double(_v, {_ITEMS})").alias("_s")
     first = stored(d.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), sketch).withColumn("_p", F.lit(0)))
     n_run = {tuple(r[k] for k in run): r._n for r in first.select(*run, "_n").collect()}
@@ -119,10 +124,8 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
             for r in runs_of[g]:
                 marks.setdefault(r, set()).update(x for x in (s["low"], s["high"], *cut[g]) if math.isfinite(x))
         ordered = {r: sorted(m) for r, m in marks.items()}
-        asked = table([(*r, m) for r, m in ordered.items()], [*run_type, T.StructField("_m", T.ArrayType(T.DoubleType()))])
-        upto = draws.count_upto(F.col("_m"), F.col("_v"))
-        # part 2 i: between two marks; part 2 i - 1: equal to one
-        counted = d.join(F.broadcast(asked), at_run).withColumn("_u", upto).withColumn("_p", (2 * F.col("_u") - F.when(F.get(F.col("_m"), F.col("_u") - 1) == F.col("_v"), 1).otherwise(0)).cast("int"))
+        asked = table([(*r, i) for i, r in enumerate(ordered)], [*run_type, T.StructField("_at", T.IntegerType())])
+        counted = _parted(d.join(F.broadcast(asked), at_run).select(*run, "_v", "_at"), list(ordered.values()))
         sketches = stored(counted.groupBy(*run, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), sketch))
         counts: dict[tuple, list] = {}
         for r in sketches.select(*run, "_p", "_n", "_least").collect():
@@ -144,6 +147,28 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
     return out.select(*group, (F.col("_t") if places is None else F.round("_t", places)).alias(name))
 
 
+def _parted(df: DataFrame, marks: list[list[float]]) -> DataFrame:
+    """``df(.., _v, _at)`` with ``_p``, the part of each value among the sorted marks number ``_at``.
+
+    Part 2 i lies between two marks, part 2 i - 1 is equal to one.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            v, at = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            order, part = np.argsort(at, kind="stable"), np.empty(len(b), np.int32)
+            ends = np.flatnonzero(np.diff(at[order])) + 1
+            for own in np.split(order, ends) if len(b) else []:
+                m = marks[at[own[0]]]
+                part[own] = np.searchsorted(m, v[own], "left") + np.searchsorted(m, v[own], "right")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(part)], [*b.schema.names[:-1], "_p"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("_p", T.IntegerType())]))
+
+
 def _narrow(s: dict, cut: tuple[float, float], runs: list[tuple[list, list]]) -> float | None:
     """Moves a group's open interval to the part that holds its rank; its quantile, if the rank falls on a mark.
 

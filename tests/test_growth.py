@@ -103,3 +103,9 @@ def test_masked_points_are_not_sent(tmp_path):
     reader.pushFilters([IsNotNull(("value",))])
     got = [v for p in reader.partitions() for b in reader.read(p) for v in b.column("value").to_pylist()]
     assert sorted(got) == [v for v in values.tolist() if v == v]
+
+
+def test_quantile_makes_its_input_once(spark):
+    df, seen = _counted(spark.range(150_000).select((F.col("id") * 7919 % 150_000).alias("v")))
+    assert thresholds.exact_quantile(df, "v", 0.95).first().thr == pytest.approx(0.95 * 149_999)
+    assert seen.value == 150_000
