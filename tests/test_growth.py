@@ -109,3 +109,15 @@ def test_quantile_makes_its_input_once(spark):
     df, seen = _counted(spark.range(150_000).select((F.col("id") * 7919 % 150_000).alias("v")))
     assert thresholds.exact_quantile(df, "v", 0.95).first().thr == pytest.approx(0.95 * 149_999)
     assert seen.value == 150_000
+
+
+def test_calendar_windows_make_their_input_once(spark):
+    df, seen = _counted(spark.range(200_000).select(F.date_add(F.lit(dt.date(2001, 1, 1)), (F.col("id") % 4).cast("int")).alias("d"), F.col("id").alias("v")))
+    got = {r.doy: r.thr for r in thresholds.doy_thresholds(df, "v", 0.5, 1, 365, keys=[]).collect()}
+    assert got[2] == pytest.approx(np.median([i for i in range(200_000) if i % 4 < 3])) and seen.value == 200_000
+
+
+def test_parts_of_marks(spark):
+    df = spark.createDataFrame([(0, 5.0, 0), (0, 2.0, 0), (1, 3.0, 1), (0, 1.0, 0), (1, 9.0, 1)], "run int, _v double, _at int")
+    got = {(r.run, r._v): r._p for r in thresholds._parted(df, [[2.0, 4.0], [3.0]]).collect()}
+    assert got == {(0, 1.0): 0, (0, 2.0): 1, (0, 5.0): 4, (1, 3.0): 1, (1, 9.0): 2}
