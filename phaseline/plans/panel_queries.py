@@ -174,10 +174,10 @@ def moving_window_p95(spark, sf_dir):
 @query(f"""WITH {S.DAILY}, {_windows(15, 365)}, m AS (SELECT doy, round(quantile_cont(v::DOUBLE, 0.95), 6) AS t2 FROM w GROUP BY 1), g AS (SELECT round(quantile_cont(v::DOUBLE, 0.95), 6) AS t1 FROM daily),
 f AS (SELECT v > t1 AS x, v > t2 AS y FROM daily, g, m WHERE (dayofyear(daily.d) - 1) % 365 + 1 = m.doy) SELECT count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE x AND NOT y) AS only_global, count(*) FILTER (WHERE y AND NOT x) AS only_window FROM f""")
 def flag_overlap(spark, sf_dir):
-    d = S.daily(spark, sf_dir)
+    d = P.stored(S.daily(spark, sf_dir).select("d", "v"))  # read by both thresholds and by their flags
     m = T.doy_thresholds(d, "v", 0.95, 15, 365, keys=[]).withColumnRenamed("thr", "t2")
     g = T.exact_quantile(d, "v", 0.95, places=6, name="t1")
-    f = d.withColumn("doy", (F.dayofyear("d") - 1) % 365 + 1).join(m, "doy").join(F.broadcast(g))  # one row
+    f = d.withColumn("doy", (F.dayofyear("d") - 1) % 365 + 1).join(F.broadcast(m), "doy").join(F.broadcast(g))  # a row a day of the year, one row
     x, y = F.col("v") > F.col("t1"), F.col("v") > F.col("t2")
     return f.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_global"), F.count_if(y & ~x).alias("only_window"))
 

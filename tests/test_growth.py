@@ -121,3 +121,8 @@ def test_parts_of_marks(spark):
     df = spark.createDataFrame([(0, 5.0, 0), (0, 2.0, 0), (1, 3.0, 1), (0, 1.0, 0), (1, 9.0, 1)], "run int, _v double, _at int")
     got = {(r.run, r._v): r._p for r in thresholds._parted(df, [[2.0, 4.0], [3.0]]).collect()}
     assert got == {(0, 1.0): 0, (0, 2.0): 1, (0, 5.0): 4, (1, 3.0): 1, (1, 9.0): 2}
+
+
+def test_flag_overlap_makes_days_once(spark):
+    """Flags are read off the stored days, not made again from lines."""
+    assert "l_shipdate" not in _plan(registry.queries()["flag_overlap"](spark, SF))
