@@ -193,6 +193,7 @@ def pair_rows(blocks: DataFrame, keys: list[str], repetitions: int, seed: int, m
     Where either phase has fewer than ``least`` blocks the bootstrap's columns are
     NULL and ``note`` says so.
     """
+    blocks = stored(blocks)  # a row a month and phase, read by every part
     d = delta_intervals()
     pooled = blocks.groupBy(*keys, "phase").agg(*(F.sum(x).alias(x) for x in "abcd"), F.count_distinct("ym").alias("blocks"))
     diff = contrasts(pooled.select(*keys, "phase", *(d[m].alias(m) for m in metrics)), keys, metrics)
