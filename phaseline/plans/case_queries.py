@@ -60,8 +60,8 @@ def cc_sampled(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_pairs_sql(20, True)} SELECT cell_id, count(DISTINCT case_d) AS cases, {_DISCORDANT} FROM sp GROUP BY 1")
 def cc_strict_k(spark, sf_dir):
-    p = _pairs(spark, sf_dir, True, 20)
-    return match.discordant(p, ["cell_id"]).join(p.groupBy("cell_id").agg(F.count_distinct("case_d").alias("cases")), "cell_id")
+    own = match.discordant(_pairs(spark, sf_dir, True, 20), ["cell_id", "case_d"])  # a row a case; pairs are made once
+    return own.groupBy("cell_id").agg(F.sum("n10").alias("n10"), F.sum("n01").alias("n01"), F.count(F.lit(1)).alias("cases"))
 
 
 @query(f"WITH {_ALL}, o AS (SELECT cell_id, n10, n01, {_num('n10', 'n01')} FROM dc), k AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, cell_id) AS r, count(p) OVER () AS n FROM o) SELECT cell_id, n10, n01, \"or\", or_low, or_high, p, coalesce(p <= (SELECT max(p) FROM k WHERE p <= r / n::DOUBLE * 0.05), false) AS sig FROM k")

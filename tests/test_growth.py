@@ -132,3 +132,7 @@ def test_pair_rows_make_blocks_once(spark):
     rows = [("M", p, m, 5 + m + i, 9, 4, 30) for i, p in enumerate(("Positive", "Negative", "Neutral")) for m in range(6)]
     blocks, seen = _counted(spark.createDataFrame(rows, "mode string, phase string, ym int, a long, b long, c long, d long"))
     assert modes.pair_rows(blocks, ["mode"], 10, 1, ["rd"]).count() == 3 and seen.value == len(rows)
+
+
+def test_strict_pairs_are_made_once(spark):
+    assert _plan(registry.queries()["cc_strict_k"](spark, SF)).count("Generate explode") == 1
