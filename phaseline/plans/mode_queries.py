@@ -67,13 +67,14 @@ _PHASED = f"{_TIMES}, ph AS (SELECT mode, phase, cell_id, ar, ep, panel.d AS day
 
 
 def _phased(spark, sf_dir):
-    """The panel once for every mode, with that mode's phase."""
+    """The panel once for every mode, with that mode's phase.
+
+    A month's label is first put to each of its days, so the panel is made and joined once.
+    """
     p = S.panel(spark, sf_dir).withColumn("ym", F.trunc("d", "MM"))
-    l = S.labels(spark, sf_dir)  # noqa: E741
-    month = p.join(l.where("mode <> 'MJO'").withColumnRenamed("key", "ym"), "ym")
-    day = p.join(l.where("mode = 'MJO'").withColumnRenamed("key", "d"), "d")
-    cols = ["mode", "phase", "cell_id", "d", "ym", "ar", "ep", "lat"]
-    return month.select(*cols).unionByName(day.select(*cols))
+    end = F.when(F.col("mode") == "MJO", F.col("key")).otherwise(F.last_day("key"))
+    l = S.labels(spark, sf_dir).select("mode", "phase", F.explode(F.sequence(F.col("key"), end)).alias("d"))  # noqa: E741
+    return p.join(F.broadcast(l), "d").select("mode", "phase", "cell_id", "d", "ym", "ar", "ep", "lat")  # a row a day and mode
 
 
 @query(f"WITH {_PHASED} SELECT mode, phase, cell_id, {S.ABCD} FROM ph GROUP BY 1, 2, 3")

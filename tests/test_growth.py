@@ -136,3 +136,8 @@ def test_pair_rows_make_blocks_once(spark):
 
 def test_strict_pairs_are_made_once(spark):
     assert _plan(registry.queries()["cc_strict_k"](spark, SF)).count("Generate explode") == 1
+
+
+def test_phases_take_one_panel(spark):
+    """Labels of months and of days meet the panel in one join."""
+    assert _plan(mode_queries._phased(spark, SF)).count("FileScan parquet [l_suppkey") == 1
