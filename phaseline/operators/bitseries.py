@@ -72,9 +72,9 @@ def _overlap(k: int, n: int) -> tuple[slice, slice]:
 
 
 def cross_correlation(series: DataFrame, lags: int, times: int, x: str = "ar", y: str = "ep", key: str = "cell_id") -> DataFrame:
-    """(key, lag, r): r(k) = sum over t of (x[t+k] - mx)(y[t] - my) / (n sx sy), the divisor n at every lag.
+    """(key, lag, r, varies): r(k) = sum over t of (x[t+k] - mx)(y[t] - my) / (n sx sy), the divisor n at every lag.
 
-    Positive lag: x follows y.  A constant series has r = 0.  Times without a row count as 0.
+    Positive lag: x follows y.  A constant series has r = 0, and does not vary.  Times without a row count as 0.
     """
 
     def make(flags):
@@ -88,9 +88,9 @@ def cross_correlation(series: DataFrame, lags: int, times: int, x: str = "ar", y
                 p, q = a[:, i], b[:, j]
                 out[:, k + lags] = (p & q).sum(axis=1) - mb * p.sum(axis=1) - ma * q.sum(axis=1) + (n - abs(k)) * ma * mb
         r = np.divide(out, scale[:, None], out=np.zeros_like(out), where=scale[:, None] != 0)
-        return np.repeat(np.arange(len(a)), 2 * lags + 1), {"lag": np.tile(np.arange(-lags, lags + 1, dtype=np.int32), len(a)), "r": r.reshape(-1)}
+        return np.repeat(np.arange(len(a)), 2 * lags + 1), {"lag": np.tile(np.arange(-lags, lags + 1, dtype=np.int32), len(a)), "r": r.reshape(-1), "varies": np.repeat(scale != 0, 2 * lags + 1)}
 
-    return over_cells(series, [x, y], times, make, "lag int, r double", key)
+    return over_cells(series, [x, y], times, make, "lag int, r double, varies boolean", key)
 
 
 def event_average(series: DataFrame, lags: int, times: int, key: str = "cell_id") -> DataFrame:

@@ -5,12 +5,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draws
 from ..functions.exact import hypergeometric_cdf
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 
 def cross_correlation(df: DataFrame, lags: int, keys: list[str] = ["cell_id"], x: str = "ar", y: str = "ep") -> DataFrame:  # noqa: B006
     """(keys, lag, r): r(k) = sum over t of (x[t+k] - mx)(y[t] - my) / (n sx sy), the divisor n at every lag.
@@ -66,8 +73,37 @@ def hit_share(df: DataFrame, lags: int, keys: list[str] = ["cell_id"]) -> DataFr
     return d.groupBy(*keys, "lag").agg(F.avg(F.when(F.col("_d") <= F.col("lag"), 1.0).otherwise(0.0)).alias("share"))
 
 
-#: Draws that one md5 gives.
-_EACH = 4
+#: Draws that one md5 gives, and md5s of a month made at once.
+_EACH, _AT_ONCE = 4, 16
+
+
+def _joint_counts(heads: list[bytes], lows: np.ndarray, cdfs: list[np.ndarray], groups: range) -> np.ndarray:
+    """Summed joint counts of a cell's months, a number a draw; the four numbers of a month's ``g``-th md5 are four draws."""
+    md5 = b"".join(hashlib.md5(b"%s|%d" % (h, g)).digest() for h in heads for g in groups)
+    u = (np.frombuffer(md5, ">u4") / float(1 << 32)).reshape(len(heads), _EACH * len(groups))
+    sizes = np.array([len(c) for c in cdfs], np.int64)
+    width = int(sizes.max(initial=0))
+    padded = np.full((len(heads), width), np.inf)
+    padded[np.arange(width) < sizes[:, None]] = np.concatenate([*cdfs, np.zeros(0)])
+    passed = np.zeros(u.shape, np.int64)
+    for k in range(width):
+        passed += padded[:, k, None] <= u
+    return (lows[:, None] + np.minimum(passed, sizes[:, None] - 1)).sum(axis=0)
+
+
+def _judged(real: int, months: tuple, iterations: int, least: int, absolute: float, relative: float) -> tuple[int, int, bool]:
+    """(hits, draws, stopped) of one cell: the rule is judged after every draw, and nothing is drawn after the lot in which it stops."""
+    hits = n = 0
+    for first in range(0, -(-iterations // _EACH), _AT_ONCE):
+        stats = _joint_counts(*months, range(first, min(first + _AT_ONCE, -(-iterations // _EACH))))[: iterations - n]
+        h, made = hits + np.cumsum(stats >= real), n + 1 + np.arange(len(stats))
+        p = (h + 1) / (made + 1)
+        half = 1.96 * np.sqrt(p * (1 - p) / (made + 1))
+        stop = np.flatnonzero((made >= least) & ((half <= absolute) | (half / p <= relative)))
+        if len(stop):
+            return int(h[stop[0]]), int(made[stop[0]]), True
+        hits, n = int(h[-1]), int(made[-1])
+    return hits, n, False
 
 
 def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, days: Column | None = None, least: int = 10, absolute: float = 0.01, relative: float = 0.1, keys: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
@@ -77,8 +113,8 @@ def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, days: Colu
     a month of n days with x exposures and y outcomes is then hypergeometric, so
     it is drawn from the counts, and no day is moved.  Months without an outcome or
     without an exposure add nothing.  A cell is one row with an array of its
-    months: draws are made from it four at a time, the rule is judged after every
-    draw, and nothing is drawn after the first one at which it stops.
+    months: draws are made from it some tens at a time, the rule is judged after every
+    draw, and nothing is drawn after the lot in which it stops.
 
     ``df`` has a row a day.  With ``days``, how many days the series has in the month
     that begins at ``_ym``, days without exposure and outcome need no row.
@@ -90,30 +126,27 @@ def monte_carlo(df: DataFrame, iterations: int = 500, seed: int = 42, days: Colu
     months = F.sort_array(F.collect_list(F.when(live, F.struct("_ym", n.alias("n"), F.col("_x").alias("x"), F.col("_y").alias("y")))))
     real = d.groupBy(*keys).agg(F.sum("_j").alias("_real"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"), months.alias("_months"))
     cdf = lambda m: hypergeometric_cdf(m["n"], m["x"], m["y"])
-    ready = F.transform("_months", lambda m: F.struct(F.date_format(m["_ym"], "yyyy-MM").alias("ym"), F.greatest(F.lit(0).cast("long"), m["x"] + m["y"] - m["n"]).alias("lo"), cdf(m).alias("cdf")))
-    real = real.withColumn("_months", ready)
-
-    def drawn(g: Column) -> Column:
-        """The joint counts of the four draws of group ``g``."""
-        seen = F.transform("_months", lambda m: F.struct(m["lo"].alias("lo"), m["cdf"].alias("cdf"), draws.key(seed, *(F.col(k) for k in keys), m["ym"], g).alias("u")))
-        count = lambda m, i: F.least(m["lo"] + F.size(F.filter(m["cdf"], lambda c: c <= draws.uniforms(m["u"], i))), m["lo"] + F.size(m["cdf"]) - 1)
-        none = F.array(*(F.lit(0).cast("long") for _ in range(_EACH)))
-        return F.aggregate(seen, none, lambda t, m: F.array(*(F.get(t, F.lit(i)) + count(m, i) for i in range(_EACH))))
-
-    def state(hits: Column, n: Column, stop: Column) -> Column:
-        return F.struct(hits.cast("long").alias("hits"), n.cast("int").alias("n"), stop.alias("stop"))
-
-    share = lambda hits, n: (hits + 1) / (n + 1)
-
-    def judged(s: Column, stat: Column) -> Column:
-        """The state after one more draw, unless the rule has stopped or all draws are made."""
-        hits, n = s["hits"] + F.when(stat >= F.col("_real"), 1).otherwise(0), s["n"] + 1
-        p = share(hits, n)
-        half = 1.96 * F.sqrt(p * (1 - p) / (n + 1))
-        return F.when(s["stop"] | (s["n"] >= iterations), s).otherwise(state(hits, n, (n >= least) & ((half <= absolute) | (half / p <= relative))))
-
-    groups = F.sequence(F.lit(0), F.lit(-(-iterations // _EACH) - 1))
-    start = state(F.lit(0), F.lit(0), F.lit(False))
-    run = F.aggregate(groups, start, lambda s, g: F.when(s["stop"], s).otherwise(F.aggregate(drawn(g), s, judged)))
-    out = real.select(*keys, F.when((F.col("_sx") > 0) & (F.col("_sy") > 0), run).alias("_s"))
-    return out.select(*keys, share(F.col("_s.hits"), F.col("_s.n")).alias("p"), F.coalesce("_s.n", F.lit(0)).alias("n"), F.coalesce("_s.stop", F.lit(False)).alias("converged"))
+    head = lambda m: F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.date_format(m["_ym"], "yyyy-MM"))
+    ready = F.transform("_months", lambda m: F.struct(head(m).alias("head"), F.greatest(F.lit(0).cast("long"), m["x"] + m["y"] - m["n"]).alias("lo"), cdf(m).alias("cdf")))
+    asked = (F.col("_sx") > 0) & (F.col("_sy") > 0)
+    real = real.select(*keys, F.when(asked, F.col("_real")).alias("_real"), F.when(asked, ready).alias("_months"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for r, held in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1)):
+                if r is None or not held.is_valid:
+                    out.append((None, 0, False))
+                    continue
+                m = held.values
+                at, values = m.field("cdf").offsets.to_numpy(), m.field("cdf").values.to_numpy()
+                months = [h.encode() for h in m.field("head").to_pylist()], m.field("lo").to_numpy(), [values[i:j] for i, j in zip(at[:-1], at[1:])]
+                hits, n, stop = _judged(r, months, iterations, least, absolute, relative)
+                out.append(((hits + 1) / (n + 1), n, stop))
+            p, n, stop = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(p, pa.float64()), pa.array(n, pa.int32()), pa.array(stop, pa.bool_())], [*keys, "p", "n", "converged"])
+
+    kinds = ", ".join(f"`{k}` {real.schema[k].dataType.simpleString()}" for k in keys)
+    return real.mapInArrow(run, f"{kinds}, p double, n int, converged boolean")

@@ -103,7 +103,6 @@ def point_diagnostics(spark, sf_dir):
     """Strongest lag and Monte-Carlo p of every cell; NULL where a series is constant."""
     series, days = _series(spark, sf_dir)
     top = L.strongest(B.cross_correlation(series, LAGS, days))
-    ok = S.panel(spark, sf_dir).groupBy("cell_id").agg((F.sum("ar").between(1, days - 1) & F.sum("ep").between(1, days - 1)).alias("ok"))
-    mc = _monte_carlo(spark, sf_dir)
-    j = top.join(mc.select("cell_id", "p"), "cell_id").join(ok, "cell_id")
-    return j.select("cell_id", F.when(F.col("ok"), F.col("lag")).alias("lag"), F.when(F.col("ok"), R(F.col("r"))).alias("r"), F.when(F.col("ok"), R(F.col("p"))).alias("p"))
+    j = top.join(_monte_carlo(spark, sf_dir).select("cell_id", "p"), "cell_id")
+    ok = F.col("varies")
+    return j.select("cell_id", F.when(ok, F.col("lag")).alias("lag"), F.when(ok, R(F.col("r"))).alias("r"), F.when(ok, R(F.col("p"))).alias("p"))

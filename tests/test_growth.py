@@ -95,6 +95,24 @@ def test_point_diagnostics_make_no_dense_rows(spark):
     assert "explode" not in _plan(registry.queries()["point_diagnostics"](spark, SF))
 
 
+def test_point_diagnostics_make_the_panel_twice(spark):
+    """For lags and for draws; whether a series varies is told with its lags."""
+    assert _plan(registry.queries()["point_diagnostics"](spark, SF)).count("percentile(") == 2
+
+
+def test_draws_are_made_outside_expressions(spark):
+    """Draws of a cell are arrays in its task: no md5 is turned into a number value by value in the plan."""
+    assert "conv(" not in _plan(registry.queries()["seq_mc_pvalue"](spark, SF))
+
+
+def test_no_draw_after_the_lot_that_stops(monkeypatch):
+    made, counts = [], lagdiag._joint_counts
+    monkeypatch.setattr(lagdiag, "_joint_counts", lambda h, lows, cdfs, groups: made.extend(groups) or counts(h, lows, cdfs, groups))
+    month = [b"1|1|2000-01"], np.array([0]), [np.array([0.5, 1.0])]
+    assert lagdiag._judged(0, month, 500, 10, 0.01, 0.1) == (10, 10, True) and len(made) == 16  # always reached: p = 1
+    assert lagdiag._judged(2, month, 50, 10, 0.0, 0.0) == (0, 50, False)  # never reached
+
+
 def test_masked_points_are_not_sent(tmp_path):
     at = np.arange(12)
     values = np.where(at % 3 == 0, np.nan, at * 70_001.0)
