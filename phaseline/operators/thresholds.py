@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -80,10 +80,11 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
     ``members(group, run)`` says which (None: each run is a group); groups and runs are
     few, their values any number.  A selection by ranks: mergeable sketches of the runs give each group two
     pivots close about its rank, one pass counts every row once by its place among the
-    pivots of its run, and the part that holds the rank is sketched for the next
-    pass.  A pass leaves some hundredth of a group whatever its values are; equal
-    values are a pivot's own count.  Once what is left of a group fits one task, it is
-    sorted there.  Only pivots and counts, a few a group and run, reach the driver.
+    pivots of its run, and what lies in the part that holds the rank of some group is
+    stored and sketched for the next pass.  A pass leaves some hundredth of a group
+    whatever its values are, and the next one reads no more; equal values are a pivot's
+    own count.  Once what is left of a group fits one task, it is sorted there.  Only
+    pivots and counts, a few a group and run, reach the driver.
     Runs and values are stored first, so ``df`` is made once and passes only scan.
     """
     spark = df.sparkSession
@@ -115,27 +116,46 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
         n = sum(n_run[r] for r in rs)
         at = q * (n - 1)
         state[g] = {"n": n, "at": at, "k": math.floor(at), "low": -math.inf, "high": math.inf, "below": 0, "upto": n}
-    sketches, parts = first, {g: [(r, 0) for r in rs] for g, rs in runs_of.items()}
+    sketches, parts, under = first, {g: [(r, 0) for r in rs] for g, rs in runs_of.items()}, {}
     while wide := {g: s for g, s in state.items() if s["upto"] - s["below"] > _HELD}:
         share = lambda s, side: min(1.0, max(0.0, (s["k"] - s["below"]) / (s["upto"] - s["below"]) + side * _MARGIN))
         cut = pivots(sketches, [(g, r, p) for g in wide for r, p in parts[g]], {g: (share(s, -1), share(s, 1)) for g, s in wide.items()})
         marks: dict[tuple, set] = {}
-        for g, s in wide.items():
+        for g, s in state.items():
             for r in runs_of[g]:
-                marks.setdefault(r, set()).update(x for x in (s["low"], s["high"], *cut[g]) if math.isfinite(x))
+                marks.setdefault(r, set()).update(x for x in (s["low"], s["high"], *cut.get(g, ())) if math.isfinite(x))
         ordered = {r: sorted(m) for r, m in marks.items()}
         asked = table([(*r, i) for i, r in enumerate(ordered)], [*run_type, T.StructField("_at", T.IntegerType())])
-        counted = _parted(d.join(F.broadcast(asked), at_run).select(*run, "_v", "_at"), list(ordered.values()))
-        sketches = stored(counted.groupBy(*run, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), sketch))
         counts: dict[tuple, list] = {}
-        for r in sketches.select(*run, "_p", "_n", "_least").collect():
-            counts.setdefault(tuple(r[k] for k in run), []).append((r._p, r._n, r._least))
+        for r in _part_counts(d.join(F.broadcast(asked), at_run).select("_v", "_at"), list(ordered.values())).groupBy("_at", "_p").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least")).collect():
+            counts.setdefault(list(ordered)[r._at], []).append((r._p, r._n, r._least))
+        for r, n in under.items():
+            counts.setdefault(r, []).append((0, n, -math.inf))  # values that an earlier pass left behind, all under the marks
         for g, s in wide.items():
             own = [(ordered[r], counts.get(r, [])) for r in runs_of[g]]
             if (value := _narrow(s, cut[g], own)) is not None:
                 found.append((*g, value))
                 del state[g]
+        if not state:
+            break
+        # what no group asks for any more is left behind, and counted where it lies under what is left
+        spans: dict[tuple, tuple[float, float]] = {}
+        for g, s in state.items():
+            for r in runs_of[g]:
+                low, high = spans.get(r, (math.inf, -math.inf))
+                spans[r] = min(low, s["low"]), max(high, s["high"])
+        kept = table([(*r, *(x if math.isfinite(x) else None for x in ends)) for r, ends in spans.items()], [*run_type, *(T.StructField(c, T.DoubleType()) for c in ("_low", "_high"))])
+        inside = F.coalesce(F.col("_v") > F.col("_low"), F.lit(True)) & F.coalesce(F.col("_v") < F.col("_high"), F.lit(True))
+        d = stored(d.join(F.broadcast(kept), at_run).where(inside).select(*run, "_v"))
+        at_run = [d[k].eqNullSafe(F.col(f"_run{i}")) for i, k in enumerate(run)]
+        for r, (low, _) in spans.items():
+            if r in ordered and math.isfinite(low):
+                i = 2 * bisect.bisect_left(ordered[r], low) + 1
+                under[r] = sum(n for p, n, _ in counts.get(r, []) if p <= i)
         parts = {g: [(r, p) for r in runs_of[g] for p, _, _ in counts.get(r, []) if _inside(ordered[r], p, s)] for g, s in state.items() if g in wide}
+        if any(s["upto"] - s["below"] > _HELD for s in state.values()):
+            placed = _parted(d.join(F.broadcast(asked), at_run).select(*run, "_v", "_at"), list(ordered.values()))
+            sketches = stored(placed.groupBy(*run, "_p").agg(sketch))
     ends = table([(*g, *r, s["low"], s["high"], s["k"] - s["below"], s["at"] - s["k"]) for g, s in state.items() for r in runs_of[g]], [*group_type, *run_type, *(T.StructField(c, T.DoubleType()) for c in ("_low", "_high")), T.StructField("_k", T.LongType()), T.StructField("_part", T.DoubleType())])
     left = d.join(F.broadcast(ends), at_run).select(*(ends[c] for c in group), "_v", "_low", "_high", "_k", "_part").where("_v > _low and _v < _high").groupBy(*group, "_high", "_k", "_part").agg(F.sort_array(F.collect_list("_v")).alias("_z"))  # at most _HELD values a group
     z = F.col("_z")
@@ -147,28 +167,58 @@ def run_quantiles(df: DataFrame, value: str, q: float, run: list[str], members:
     return out.select(*group, (F.col("_t") if places is None else F.round("_t", places)).alias(name))
 
 
-def _parted(df: DataFrame, marks: list[list[float]]) -> DataFrame:
-    """``df(.., _v, _at)`` with ``_p``, the part of each value among the sorted marks number ``_at``.
+def _placing(marks: list[list[float]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of values and of ``at`` that gives each value's part among the sorted marks number ``at``: part 2 i lies between two marks, part 2 i - 1 is equal to one."""
+    import numpy as np
 
-    Part 2 i lies between two marks, part 2 i - 1 is equal to one.
-    """
+    every = np.unique(np.concatenate([np.zeros(0), *map(np.asarray, marks)]))
+    starts = np.cumsum([0, *map(len, marks)])
+    # a mark is its list's number and its rank among all marks, so one search finds the places of values of any list
+    own = np.repeat(np.arange(len(marks)), np.diff(starts)) * (len(every) + 1) + np.searchsorted(every, np.concatenate([np.zeros(0), *map(np.asarray, marks)]))
+
+    def places(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+        first = at.astype(np.int64) * (len(every) + 1)
+        under, upto = (np.searchsorted(own, first + np.searchsorted(every, v, side)) for side in ("left", "right"))
+        return (under + upto - 2 * starts[at]).astype(np.int32)
+
+    return places
+
+
+def _parted(df: DataFrame, marks: list[list[float]]) -> DataFrame:
+    """``df(.., _v, _at)`` with ``_p``, the part of each value."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import pyarrow as pa
 
+        places = _placing(marks)
         for b in batches:
-            v, at = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
-            order, part = np.argsort(at, kind="stable"), np.empty(len(b), np.int32)
-            ends = np.flatnonzero(np.diff(at[order])) + 1
-            for own in np.split(order, ends) if len(b) else []:
-                m = marks[at[own[0]]]
-                part[own] = np.searchsorted(m, v[own], "left") + np.searchsorted(m, v[own], "right")
+            part = places(b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(part)], [*b.schema.names[:-1], "_p"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("_p", T.IntegerType())]))
 
 
+def _part_counts(df: DataFrame, marks: list[list[float]]) -> DataFrame:
+    """(_at, _p, _n, _least): how many values of ``df(_v, _at)`` each part has and the least of them, a row a part and task."""
+    width = 2 * max(map(len, marks), default=0) + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        places = _placing(marks)
+        counts, least = np.zeros(len(marks) * width, np.int64), np.full(len(marks) * width, np.inf)
+        for b in batches:
+            v, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            place = at.astype(np.int64) * width + places(v, at)
+            counts += np.bincount(place, minlength=len(counts))
+            np.minimum.at(least, place, v)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((some // width).astype(np.int32)), pa.array((some % width).astype(np.int32)), pa.array(counts[some]), pa.array(least[some])], ["_at", "_p", "_n", "_least"])
+
+    return df.mapInArrow(run, "_at int, _p int, _n long, _least double")
+
+
 def _narrow(s: dict, cut: tuple[float, float], runs: list[tuple[list, list]]) -> float | None:
     """Moves a group's open interval to the part that holds its rank; its quantile, if the rank falls on a mark.
 
@@ -184,7 +234,8 @@ def _narrow(s: dict, cut: tuple[float, float], runs: list[tuple[list, list]]) ->
         if s["k"] < upto:
             after = x
             if s["at"] > s["k"] and s["k"] + 1 >= upto:  # the next rank is the least value above the mark
-                after = min(least for i, parts in at for p, _, least in parts if p > i + 1)
+                after = min((least for i, parts in at for p, _, least in parts if p > i + 1), default=s["high"])
+                after = min(after, s["high"])  # values from there on may have been left behind
             return x + (s["at"] - s["k"]) * (after - x)
         s["low"], s["below"] = x, upto
     return None

@@ -141,6 +141,22 @@ def test_parts_of_marks(spark):
     assert got == {(0, 1.0): 0, (0, 2.0): 1, (0, 5.0): 4, (1, 3.0): 1, (1, 9.0): 2}
 
 
+def test_later_passes_read_what_is_left(spark, monkeypatch):
+    """After a pass only values near the rank are stored; quantiles stay exact with runs that groups share, equal values and bounds that meet."""
+    rng, sizes, keep = np.random.default_rng(3), [], thresholds.stored
+    monkeypatch.setattr(thresholds, "_HELD", 300)
+    monkeypatch.setattr(thresholds, "stored", lambda df: (sizes.append(out.count()) if "_v" in (out := keep(df)).columns else None, out)[1])
+    values = {r: np.round(rng.normal(r / 50, 1, 8_000), 1 + r % 3) for r in range(4)}
+    df = spark.createDataFrame([(r, float(v)) for r, vs in values.items() for v in vs], "run int, v double")
+    near = {g: [g, (g + 1) % 4] for g in range(4)}
+    members = spark.createDataFrame([(g, r) for g, rs in near.items() for r in rs], "g int, run int")
+    for q in (0.0, 0.31, 0.95, 1.0):
+        sizes.clear()
+        got = {r.g: r.thr for r in thresholds.run_quantiles(df, "v", q, ["run"], members, ["g"]).collect()}
+        assert got == pytest.approx({g: np.quantile(np.concatenate([values[r] for r in rs]), q) for g, rs in near.items()})
+        assert sizes[0] == 32_000 and all(b < a / 4 for a, b in zip(sizes[:1], sizes[1:]))
+
+
 def test_flag_overlap_makes_days_once(spark):
     """Flags are read off the stored days, not made again from lines."""
     assert "l_shipdate" not in _plan(registry.queries()["flag_overlap"](spark, SF))
