@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-#: Values of an unpacked flag that a task holds at once; the operators make some tens of bytes of each.
-HELD = 1 << 21
+#: Values of an unpacked flag that a task holds at once; the operators make some tens of bytes of each, few beside a worker's own imports.
+HELD = 1 << 18
 
 
 def packed(df: DataFrame, flags: list[str], t: str = "t", key: str = "cell_id") -> DataFrame:

@@ -64,6 +64,59 @@ def test_a_task_unpacks_few_flags_at_once(spark):
     assert sum(n) == 3_000 * 2_500 and max(n) <= 1 << 21
 
 
+def test_unpacked_flags_are_few_beside_a_worker(spark):
+    """A task's part is full at a tenth of a GB already, so a task of more cells, or a longer axis, holds no more."""
+    for cells, times in ((500, 2_500), (3_000, 2_500), (300, 50_000)):
+        n = _flags_at_once(spark, cells, times)
+        assert sum(n) == cells * times and max(n) <= 1 << 18
+
+
+def test_placebos_take_few_bytes_whatever_the_cells(spark):
+    """Peak of what a worker makes over 400 and 1,600 cells of 2,500 days and nine designs: some MB, the same for both."""
+    import tracemalloc
+
+    times = 2_500
+    designs = {k: np.where((s := np.arange(times) - k) < 0, -1, np.minimum(s, times - 1)) for k in range(9)}
+
+    def peak(cells: int) -> int:
+        run = []
+        word = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda w: F.struct(w.cast("long").alias("word"), *(F.xxhash64("id", w, F.lit(f)).alias(f) for f in ("ar", "ep", "there"))))
+        series = spark.range(0, cells, 1, 1).select(F.col("id").alias("cell_id"), word.alias("words"))
+
+        class Frame:  # as ``series``; keeps what workers are given
+            schema = series.schema
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, f, _):
+                run.append(f)
+
+        bitseries.placebo_counts(Frame(), designs, np.arange(times) // 30 % 12)
+        batches = series.toArrow().combine_chunks().to_batches()
+        tracemalloc.start()
+        try:
+            assert sum(len(b) for b in run[0](batches)) == cells * len(designs)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    few, many = peak(400), peak(1_600)
+    assert many < 8e6 and many < 1.1 * few
+
+
+def test_placebos_do_not_depend_on_the_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(c, t, int(rng.random() < 0.4), int(rng.random() < 0.2), 1) for c in range(30) for t in range(150) if rng.random() < 0.7]
+    series = bitseries.packed(spark.createDataFrame(rows, "cell_id int, t int, ar int, ep int, there int"), ["ar", "ep", "there"])
+    designs = {k: np.where((s := np.arange(150) - k) < 0, -1, s) for k in (0, 7, 30)}
+    found = []
+    for held in (1, 1_000, 1 << 18):  # a cell, six cells, all cells of a batch
+        monkeypatch.setattr(bitseries, "HELD", held)
+        found.append(sorted(bitseries.placebo_counts(series, designs, np.arange(150) // 30).collect()))
+    assert len(found[0]) == 90 and found[0] == found[1] == found[2]
+
+
 def test_monte_carlo_takes_one_exchange(spark):
     """No dense panel is made and no draw is shuffled: rows are dealt out by cell, and the rest stays in its task."""
     assert _plan(registry.queries()["seq_mc_pvalue"](spark, SF)).count("Exchange hashpartitioning") == 1
